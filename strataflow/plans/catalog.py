@@ -1,6 +1,6 @@
 """All registered queries; importing a module registers its queries."""
 
-from . import benchmark_queries, well_queries  # noqa: F401
+from . import benchmark_queries, depth_queries, well_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -189,10 +189,10 @@ def _timed(t):
     ["ddr_activities"],
     TIMED
     + BREAKDOWN
-    + """select well, round(productive_hrs, 4) as productive_hrs, round(npt_hrs, 4) as npt_hrs, round(trip_hrs, 4) as trip_hrs,
- round(other_hrs, 4) as other_hrs, round(total_hrs, 4) as total_hrs, problem_count, activities,
- round(productive_hrs / total_hrs * 100, 4) as productive_pct, round(npt_hrs / total_hrs * 100, 4) as npt_pct,
- round(trip_hrs / total_hrs * 100, 4) as trip_pct, round(other_hrs / total_hrs * 100, 4) as other_pct from s""",
+    + """select well, round(productive_hrs + 1e-9, 4) as productive_hrs, round(npt_hrs + 1e-9, 4) as npt_hrs, round(trip_hrs + 1e-9, 4) as trip_hrs,
+ round(other_hrs + 1e-9, 4) as other_hrs, round(total_hrs + 1e-9, 4) as total_hrs, problem_count, activities,
+ round(productive_hrs / total_hrs * 100 + 1e-9, 4) as productive_pct, round(npt_hrs / total_hrs * 100 + 1e-9, 4) as npt_pct,
+ round(trip_hrs / total_hrs * 100 + 1e-9, 4) as trip_pct, round(other_hrs / total_hrs * 100 + 1e-9, 4) as other_pct from s""",
 )
 def time_breakdown(t):
     return rounded(e.time_breakdown(_timed(t)))
@@ -201,7 +201,7 @@ def time_breakdown(t):
 @query(
     "a7_npt_breakdown",
     ["ddr_activities"],
-    TIMED + "select well, cause, round(sum(hrs), 4) as hrs, count(*) as events from timed where time_class = 'npt' group by well, cause",
+    TIMED + "select well, cause, round(sum(hrs) + 1e-9, 4) as hrs, count(*) as events from timed where time_class = 'npt' group by well, cause",
 )
 def npt_breakdown(t):
     return rounded(e.npt_breakdown(_timed(t)))
@@ -222,7 +222,7 @@ def longest_npt_event(t):
 @query(
     "a9_productive_breakdown",
     ["ddr_activities"],
-    TIMED + "select well, kind, round(sum(hrs), 4) as hrs, count(*) as events from timed where time_class = 'productive' group by well, kind",
+    TIMED + "select well, kind, round(sum(hrs) + 1e-9, 4) as hrs, count(*) as events from timed where time_class = 'productive' group by well, kind",
 )
 def productive_breakdown(t):
     return rounded(e.productive_breakdown(_timed(t)))
@@ -244,7 +244,7 @@ def duration(t):
   coalesce(nullif(sum(dist_drill_m), 0), max(md_m) - min(md_m)) as drilled_m from ddr_status
   where hole_diameter_in is not null and hole_diameter_in <> 0 and md_m is not null and md_m <> 0 group by well, hole_diameter_in)
 select well, hole_diameter_in, round(min_md, 6) as min_md, round(max_md, 6) as max_md, n_days,
- round(drilled_m, 4) as drilled_m, round(drilled_m / n_days, 4) as m_per_day from g""",
+ round(drilled_m + 1e-9, 4) as drilled_m, round(drilled_m / n_days + 1e-9, 4) as m_per_day from g""",
 )
 def progress_by_hole(t):
     return rounded(e.progress_by_hole(t["ddr_status"]), min_md=6, max_md=6)
@@ -270,7 +270,7 @@ def daily_increment(t):
     ["ddr_status"],
     GAINS
     + """, r as (select well, gain_m, row_number() over (partition by well order by gain_m) as r, count(*) over (partition by well) as n from gains)
-select well, round(min(gain_m), 6) as min_gain, round(max(gain_m), 6) as max_gain, round(avg(gain_m), 4) as mean_gain,
+select well, round(min(gain_m), 6) as min_gain, round(max(gain_m), 6) as max_gain, round(avg(gain_m) + 1e-9, 4) as mean_gain,
  count(*) as n_gains, round(max(case when r = n // 2 + 1 then gain_m end), 6) as median_gain from r group by well""",
 )
 def daily_progress_stats(t):

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import checkpointed
+from ..functions.numbers import interval_mid, truthy
+from ..functions.predicates import mudlog_quality
+from .benchmarks import mudlog_in_sections
+from .issues import formation_at
+from .ordered import day_chunk, depth_chunk, scan, union_all
+from .sizing import checkpointed, sized
 
 
 def rank_wells(per_well: DataFrame, col: str, out: str, bins: int = 4096) -> DataFrame:
@@ -34,3 +39,291 @@ def rank_wells(per_well: DataFrame, col: str, out: str, bins: int = 4096) -> Dat
         .withColumn(out, F.col("_in_bin") + F.col("_offset"))
         .drop("_bin", "_in_bin", "_offset")
     )
+
+
+def npt_ranking(breakdown: DataFrame) -> DataFrame:
+    """Wells by share of non-productive time."""
+    return rank_wells(breakdown.select("well", "npt_hrs", "total_hrs", "npt_pct"), "npt_pct", "npt_rank")
+
+
+def weather_by_month(timed: DataFrame) -> DataFrame:
+    """Hours lost to weather per well and calendar month."""
+    return (
+        timed.filter(F.col("cause") == "Weather")
+        .groupBy("well", F.substring("date", 6, 2).alias("month"))
+        .agg(F.sum("duration_hrs").alias("hrs"), F.count("*").alias("events"))
+    )
+
+
+def campaigns(status: DataFrame, gap_days: int = 30) -> DataFrame:
+    """Stretches of reports without an idle gap of more than ``gap_days``.
+
+    Reports are reduced to days first: the windows run over the calendar only.
+    """
+    days = status.groupBy("well", "date").agg(
+        F.count("*").alias("reports"), F.min("md_m").alias("lo"), F.max("md_m").alias("hi")
+    )
+    in_order = Window.partitionBy("well").orderBy("date")
+    idle = F.datediff(F.to_date("date"), F.to_date(F.lag("date").over(in_order)))
+    starts = days.withColumn("_idle", idle).withColumn(
+        "_new", F.when(F.col("_idle").isNull() | (F.col("_idle") > gap_days), 1).otherwise(0)
+    )
+    numbered = starts.withColumn("campaign_no", F.sum("_new").over(in_order))
+    return numbered.groupBy("well", "campaign_no").agg(
+        F.min("date").alias("from_date"),
+        F.max("date").alias("to_date"),
+        F.sum("reports").alias("reports"),
+        F.min("lo").alias("md_min"),
+        F.max("hi").alias("md_max"),
+        F.max(F.when(F.col("_new") == 1, F.col("_idle"))).alias("idle_days_before"),
+    )
+
+
+def flat_stretches(status: DataFrame, max_gain_m: float = 5.0, min_days: int = 2) -> DataFrame:
+    """Runs of days whose deepest depth moves by at most ``max_gain_m`` from day to day."""
+    days = status.filter(truthy(F.col("md_m"))).groupBy("well", "date").agg(F.max("md_m").alias("md"))
+    in_order = Window.partitionBy("well").orderBy("date")
+    moved = days.withColumn("_gain", F.col("md") - F.lag("md").over(in_order)).withColumn(
+        "_new", F.when(F.abs("_gain") <= max_gain_m, 0).otherwise(1)
+    )
+    return (
+        moved.withColumn("stretch_no", F.sum("_new").over(in_order))
+        .groupBy("well", "stretch_no")
+        .agg(
+            F.min("date").alias("from_date"),
+            F.max("date").alias("to_date"),
+            F.count("*").alias("days"),
+            F.min("md").alias("md_min"),
+            F.max("md").alias("md_max"),
+        )
+        .filter(F.col("days") >= min_days)
+    )
+
+
+def _rop_by_mid(mudlog: DataFrame, *extra: str) -> DataFrame:
+    """Plausible intervals summed per (well, midpoint): what a depth lookup needs."""
+    return (
+        mudlog.filter(mudlog_quality())
+        .withColumn("md_mid", interval_mid(F.col("md_top_m"), F.col("md_bottom_m")))
+        .groupBy("well", "md_mid", *extra)
+        .agg(F.count("*").alias("n"), F.sum("rop_avg_m_per_hr").alias("s"))
+    )
+
+
+def rop_by_formation(mudlog: DataFrame, tops: DataFrame) -> DataFrame:
+    """Mean ROP per well and formation."""
+    located = formation_at(_rop_by_mid(mudlog), tops, "md_mid")
+    return (
+        located.groupBy("well", "formation")
+        .agg(F.sum("n").alias("intervals"), (F.sum("s") / F.sum("n")).alias("avg_rop"))
+    )
+
+
+def rop_by_lithology(mudlog: DataFrame) -> DataFrame:
+    return (
+        mudlog.filter(mudlog_quality())
+        .groupBy("lith_type")
+        .agg(
+            F.count("*").alias("intervals"),
+            F.avg("rop_avg_m_per_hr").alias("avg_rop"),
+            F.avg("wob_avg_kN").alias("avg_wob"),
+        )
+    )
+
+
+def run_performance(runs: DataFrame, mudlog: DataFrame, run_id: str = "run_no", width: float = 1.0) -> DataFrame:
+    """Intervals, mean ROP and WOB whose midpoint lies inside each assembly run.
+
+    Runs overlap freely, so a join would list every (run, interval) pair.  Running sums in depth
+    order give the same: value at the end of the run minus value before its start.
+    """
+    def fixed(col: str):
+        return F.sum(F.col(col).cast("decimal(20,9)")).cast("decimal(38,9)")
+
+    points = (
+        mudlog.filter(mudlog_quality())
+        .withColumn("_pos", interval_mid(F.col("md_top_m"), F.col("md_bottom_m")))
+        .groupBy("well", "_pos")
+        .agg(
+            F.count("*").alias("_n"), fixed("rop_avg_m_per_hr").alias("_r"),
+            fixed("wob_avg_kN").alias("_w"), F.count("wob_avg_kN").alias("_wn"),
+        )
+        .withColumn("_kind", F.lit(1))
+    )
+    real = runs.filter(F.col("md_start_m") <= F.col("md_stop_m")).select("well", run_id, "md_start_m", "md_stop_m")
+    bounds = union_all(
+        [
+            real.select("well", F.col("md_start_m").alias("_pos"), F.lit(0).alias("_kind")),
+            real.select("well", F.col("md_stop_m").alias("_pos"), F.lit(2).alias("_kind")),
+        ]
+    ).distinct()
+    zero = F.lit(0).cast("decimal(38,9)")
+    swept = scan(
+        union_all([points, bounds]),
+        ["well"],
+        depth_chunk("_pos", width),
+        ["_pos", "_kind"],
+        total={
+            "n": F.coalesce("_n", F.lit(0)), "wn": F.coalesce("_wn", F.lit(0)),
+            "r": F.coalesce("_r", zero), "w": F.coalesce("_w", zero),
+        },
+    ).filter(F.col("_kind") != 1)
+
+    def at(kind: int, position: str, tag: str) -> DataFrame:
+        return swept.filter(F.col("_kind") == kind).select(
+            "well", F.col("_pos").alias(position), *[F.col(c).alias(f"{c}_{tag}") for c in ("n", "wn", "r", "w")]
+        )
+
+    joined = real.join(at(0, "md_start_m", "a"), ["well", "md_start_m"]).join(
+        at(2, "md_stop_m", "b"), ["well", "md_stop_m"]
+    )
+
+    def inside(c: str):
+        return (F.col(f"{c}_b") - F.col(f"{c}_a")).cast("double")
+
+    return joined.select(
+        "well",
+        run_id,
+        "md_start_m",
+        "md_stop_m",
+        (F.col("n_b") - F.col("n_a")).alias("intervals"),
+        F.try_divide(inside("r"), inside("n")).alias("avg_rop"),
+        F.try_divide(inside("w"), inside("wn")).alias("avg_wob"),
+    )
+
+
+def parameter_correlations(mudlog: DataFrame) -> DataFrame:
+    """Correlation of ROP with rotation, weight and mud weight per well."""
+    return (
+        mudlog.filter(mudlog_quality())
+        .groupBy("well")
+        .agg(
+            F.count("*").alias("intervals"),
+            F.corr("rop_avg_m_per_hr", "rpm_avg").alias("rop_rpm"),
+            F.corr("rop_avg_m_per_hr", "wob_avg_kN").alias("rop_wob"),
+            F.corr("rop_avg_m_per_hr", "mud_weight_sg").alias("rop_mw"),
+        )
+    )
+
+
+def section_means(sectioned: DataFrame) -> DataFrame:
+    return sectioned.groupBy("well", "hole_diameter_in").agg(
+        F.avg("wob_avg_kN").alias("wob_mean"),
+        F.stddev_pop("wob_avg_kN").alias("wob_sd"),
+        F.avg("torque_avg_kNm").alias("torque_mean"),
+        F.stddev_pop("torque_avg_kNm").alias("torque_sd"),
+        F.avg("rop_avg_m_per_hr").alias("rop_mean"),
+    )
+
+
+def hard_intervals(mudlog: DataFrame, status: DataFrame, sigmas: float = 1.0) -> DataFrame:
+    """Intervals with high weight and torque for their section, yet below half its mean ROP."""
+    rows = mudlog_in_sections(mudlog, status)
+    means = sized(section_means(rows))
+    joined = rows.join(means, ["well", "hole_diameter_in"])
+    return joined.filter(
+        (F.col("wob_avg_kN") > F.col("wob_mean") + sigmas * F.col("wob_sd"))
+        & (F.col("torque_avg_kNm") > F.col("torque_mean") + sigmas * F.col("torque_sd"))
+        & (F.col("rop_avg_m_per_hr") < 0.5 * F.col("rop_mean"))
+    )
+
+
+def change_points(mudlog: DataFrame, tops: DataFrame, value: str = "dxc", jump: float = 0.05, step_m: float = 10.0) -> DataFrame:
+    """Depth steps whose mean differs from the step above by more than ``jump``, with their formation.
+
+    Steps are aggregates: a well has as many as its depth allows.
+    """
+    steps = (
+        mudlog.filter(F.col(value).isNotNull())
+        .groupBy("well", (F.floor(F.col("md_top_m") / step_m) * step_m).cast("double").alias("step_md"))
+        .agg(F.avg(value).alias("step_mean"), F.count("*").alias("intervals"))
+    )
+    in_order = Window.partitionBy("well").orderBy("step_md")
+    moved = steps.withColumn("change", F.col("step_mean") - F.lag("step_mean").over(in_order))
+    return formation_at(moved.filter(F.abs("change") > jump), tops, "step_md")
+
+
+def gas_near_kicks(activities: DataFrame, mudlog: DataFrame, tolerance_m: float = 10.0, width: float = 1.0) -> DataFrame:
+    """Well-control activities with the highest methane within ``tolerance_m`` of their depth.
+
+    Methane is reduced to one maximum per metre, so a depth meets a fixed number of bins.
+    """
+    bins = (
+        mudlog.filter(F.col("methane_avg_ppm").isNotNull())
+        .groupBy("well", F.floor(interval_mid(F.col("md_top_m"), F.col("md_bottom_m")) / width).alias("bin"))
+        .agg(F.max("methane_avg_ppm").alias("peak"))
+    )
+    reach = int(tolerance_m // width)
+    kicks = activities.filter(F.col("activity_code").startswith("well_control") & truthy(F.col("depth_m")))
+    depths = kicks.select("well", F.floor(F.col("depth_m") / width).alias("at")).distinct()
+    near = (
+        depths.withColumn("bin", F.explode(F.sequence(F.col("at") - reach, F.col("at") + reach)))
+        .join(bins, ["well", "bin"])
+        .groupBy("well", "at")
+        .agg(F.max("peak").alias("max_ch4"))
+    )
+    return (
+        kicks.select("event_id", "well", "date", "depth_m", F.floor(F.col("depth_m") / width).alias("at"))
+        .join(near, ["well", "at"], "left")
+        .drop("at")
+    )
+
+
+def npt_vs_production(breakdown: DataFrame, production: DataFrame) -> DataFrame:
+    """Downtime share beside cumulative oil, and their correlation over the producing wells."""
+    both = checkpointed(breakdown.select("well", "npt_pct").join(production.select("well", "cum_oil"), "well"))
+    overall = both.agg(F.corr("npt_pct", "cum_oil").alias("c")).scalar()
+    return both.withColumn("field_corr", overall)
+
+
+def rop_percentiles(mudlog: DataFrame, status: DataFrame) -> DataFrame:
+    """P10, P50 and P90 of ROP per section by rank: the smallest value with that share at or below it.
+
+    Values are counted per 0.1 m/h step first; the ranking runs over at most 2,001 steps a section.
+    """
+    rows = mudlog_in_sections(mudlog, status)
+    steps = rows.groupBy(
+        "well", "hole_diameter_in", F.ceil(F.col("rop_avg_m_per_hr") * 10).alias("step")
+    ).agg(F.count("*").alias("n"))
+    key = Window.partitionBy("well", "hole_diameter_in")
+    upto = key.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    share = steps.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(key))
+
+    def percentile(p: float, name: str):
+        return (F.min(F.when(F.col("share") >= p, F.col("step"))) / 10.0).alias(name)
+
+    return share.groupBy("well", "hole_diameter_in").agg(
+        F.sum("n").alias("intervals"), percentile(0.1, "p10"), percentile(0.5, "p50"), percentile(0.9, "p90")
+    )
+
+
+def progress_vs_rop(status: DataFrame, mudlog: DataFrame) -> DataFrame:
+    """Daily progress beside the mean ROP of the drilled depth range of each hole section."""
+    daily = (
+        status.filter(F.col("hole_diameter_in").isNotNull() & (F.col("dist_drill_m") > 0))
+        .groupBy("well", "hole_diameter_in", "date")
+        .agg(F.sum("dist_drill_m").alias("dist_m"))
+        .groupBy("well", "hole_diameter_in")
+        .agg(F.avg("dist_m").alias("m_per_day"), F.count("*").alias("days"))
+    )
+    rop = (
+        mudlog_in_sections(mudlog, status)
+        .groupBy("well", "hole_diameter_in")
+        .agg(F.avg("rop_avg_m_per_hr").alias("avg_rop"))
+    )
+    hours = F.col("m_per_day") / F.col("avg_rop")
+    return daily.join(rop, ["well", "hole_diameter_in"]).withColumn("drilling_hrs_per_day", hours)
+
+
+def delivery_time(meta: DataFrame, start: str = "spud_date", end: str = "drill_complete_date") -> DataFrame:
+    """Days from the earliest spud to the latest completion of each well."""
+    def day(c: str):
+        return F.substring(c, 1, 10).try_cast("date")
+
+    spans = meta.groupBy("well").agg(F.min(day(start)).alias("spud"), F.max(day(end)).alias("complete"))
+    return spans.filter(F.col("spud").isNotNull() & F.col("complete").isNotNull()).select(
+        "well",
+        F.col("spud").cast("string").alias("spud"),
+        F.col("complete").cast("string").alias("complete"),
+        F.datediff("complete", "spud").alias("delivery_days"),
+    )

@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     benchmark_queries,
     column_queries,
     depth_queries,
+    question_queries,
     source_queries,
     text_queries,
     well_queries,

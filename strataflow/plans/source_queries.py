@@ -16,88 +16,81 @@ from .registry import query, rounded
 
 # ------------------------------------------------------------ daily reports
 
-_NS = 'xmlns{x}="http://www.witsml.org/schemas/1series"'
 KEY = "'15_9_F_' || cast(o_custkey % 26 as string)"
 DAY = "cast(cast(o_orderdate as date) as string)"
 
 
-def _el(tag: str, value: str, attrs: str = "") -> str:
-    """SQL that writes one element; ``p`` is the name prefix column."""
-    return f"'<' || p || '{tag}{attrs}>' || {value} || '</' || p || '{tag}>'"
+def _uom(value: str, unit: str) -> str:
+    """An element with a unit attribute."""
+    return f"named_struct('_uom', '{unit}', '_VALUE', {value})"
 
 
 def _activity(n: int) -> str:
-    return " || ".join(
-        [
-            "'<' || p || 'activity>'",
-            _el("dTimStart", f"d || 'T0{n}:00:00+01:00'"),
-            _el("dTimEnd", f"d || 'T0{n + 1}:30:00+01:00'"),
-            _el("md", f"cast(o_totalprice / 50 + {n} as string)", ' uom="m"'),
-            _el("phase", "'fixed'"),
-            _el("proprietaryCode", f"'drilling -- {'drill' if n == 1 else 'trip'}'"),
-            _el("state", "case when o_orderkey % 8 = 0 then 'problem' else 'ok' end"),
-            _el("stateDetailActivity", "'success'"),
-            _el("comments", f"case when o_orderkey % 4 = {n} then '  ' else ' Ran &amp; pulled {n} at ' || o_orderpriority || ' ' end"),
-            "'</' || p || 'activity>'",
-        ]
+    return f"""named_struct('dTimStart', d || 'T0{n}:00:00+01:00', 'dTimEnd', d || 'T0{n + 1}:30:00+01:00',
+  'md', {_uom(f"cast(o_totalprice / 50 + {n} as string)", "m")}, 'phase', 'fixed', 'proprietaryCode', 'drilling -- {"drill" if n == 1 else "trip"}',
+  'state', case when o_orderkey % 8 = 0 then 'problem' else 'ok' end, 'stateDetailActivity', 'success',
+  'comments', case when o_orderkey % 4 = {n} then '  ' else ' Ran & pulled {n} at ' || o_orderpriority || ' ' end)"""
+
+
+REPORTS = f"""
+with o as (select *, {KEY} as w, {DAY} as d from {{orders}})
+select o_orderkey, w, d, named_struct(
+ 'nameWell', 'NO ' || w, 'nameWellbore', 'NO ' || w || ' bore',
+ 'wellboreInfo', named_struct('dTimSpud', d || 'T00:00:00', 'operator', 'Operator ' || o_orderstatus, 'rigAlias', named_struct('name', 'RIG ' || cast(o_custkey % 3 as string))),
+ 'statusInfo', if(o_orderkey % 6 = 5, null, named_struct('reportNo', cast(o_orderkey as string) || case when o_orderkey % 7 = 0 then '.7' else '' end,
+  'md', {_uom("case when o_orderkey % 11 = 0 then '-999.99' when o_orderkey % 13 = 0 then 'n/a' else cast(o_totalprice / 50 as string) end", "m")},
+  'diaHole', {_uom("case when o_orderkey % 2 = 0 then '12.25' else ' 8.5 ' end", "in")},
+  'ropCurrent', case when o_orderkey % 3 = 0 then '-999.99' when o_orderkey % 3 = 1 then '-999.25' else '25.5' end,
+  'sum24Hr', case when o_orderkey % 9 = 0 then '' else '  Drilled <ahead> ' || o_orderpriority end,
+  'forecast24Hr', case when o_orderkey % 5 = 0 then 'Run casing' else '' end)),
+ 'activity', if(o_orderkey % 3 = 0, null, array({_activity(1)}, {_activity(2)})),
+ 'fluid', if(o_orderkey % 2 = 1, null, named_struct('type', 'water based', 'mudClass', 'WBM', 'locationSample', 'flowline',
+  'density', {_uom("cast(1 + cast(o_orderkey % 60 as double) / 100 as string)", "g/cm3")}, 'pv', cast(o_orderkey % 45 as string),
+  'yp', case when o_orderkey % 10 = 0 then '-9999' else cast(o_orderkey % 17 as string) end)),
+ 'surveyStation', named_struct('md', cast(o_orderkey % 4000 as string), 'tvd', cast(o_orderkey % 3500 as string), 'incl', cast(o_orderkey % 90 as string), 'azi', cast(o_orderkey % 360 as string)),
+ 'porePressure', named_struct('md', cast(o_orderkey % 4000 as string), 'ecd', cast(1 + cast(o_orderkey % 30 as double) / 100 as string))
+) as report from o"""
+
+
+def _ddr_files(t) -> DataFrame:
+    """One document per order: prefixed and default namespace, broken, empty and doubled ones."""
+    key = F.col("o_orderkey")
+    namespaces = " ".join(f'{a}="http://www.witsml.org/schemas/1series"' for a in ("xmlns", "xmlns:witsml"))
+    body = F.col("body")
+    inner = (
+        F.when(key % 49 == 0, F.lit("<note/>"))
+        .when(key % 47 == 0, F.concat(body, F.regexp_replace(body, "Drilled", "SECOND")))
+        .otherwise(body)
+    )
+    prefixed = F.regexp_replace("plain", "<(/?)([A-Za-z])", "<$1witsml:$2")
+    reports = t.spark.sql(REPORTS, orders=t.source("orders"))
+    # One step per column: each is computed once and used by the next.
+    return (
+        reports.withColumn("body", F.to_xml("report", {"rowTag": "drillReport", "indent": ""}))
+        .withColumn("inner", inner)
+        .withColumn("plain", F.concat(F.lit(f"<drillReports {namespaces}>"), "inner", F.lit("</drillReports>")))
+        .select(
+            F.concat("w", F.lit("_"), F.translate("d", "-", "_"), F.lit(".xml")).alias("file"),
+            F.when(key % 50 == 0, F.lit("<drillReports><drillReport></drillReports>"))
+            .when(key % 2 == 0, prefixed)
+            .otherwise(F.col("plain"))
+            .alias("content"),
+        )
     )
 
 
-_REPORT = " || ".join(
-    [
-        "'<' || p || 'drillReport>'",
-        _el("nameWell", "'NO ' || w"),
-        _el("nameWellbore", "'NO ' || w || ' bore'"),
-        "'<' || p || 'wellboreInfo>'",
-        _el("dTimSpud", "d || 'T00:00:00'"),
-        _el("operator", "'Operator ' || o_orderstatus"),
-        "'<' || p || 'rigAlias>'",
-        _el("name", "'RIG ' || cast(o_custkey % 3 as string)"),
-        "'</' || p || 'rigAlias></' || p || 'wellboreInfo>'",
-        "case when o_orderkey % 6 = 5 then '' else '<' || p || 'statusInfo>'",
-        _el("reportNo", "cast(o_orderkey as string) || case when o_orderkey % 7 = 0 then '.7' else '' end"),
-        _el("md", "case when o_orderkey % 11 = 0 then '-999.99' when o_orderkey % 13 = 0 then 'n/a' else cast(o_totalprice / 50 as string) end", ' uom="m"'),
-        _el("diaHole", "case when o_orderkey % 2 = 0 then '12.25' else ' 8.5 ' end", ' uom="in"'),
-        _el("ropCurrent", "case when o_orderkey % 3 = 0 then '-999.99' when o_orderkey % 3 = 1 then '-999.25' else '25.5' end"),
-        _el("sum24Hr", "case when o_orderkey % 9 = 0 then '' else '  Drilled &lt;ahead&gt; ' || o_orderpriority end"),
-        _el("forecast24Hr", "case when o_orderkey % 5 = 0 then 'Run casing' else '' end"),
-        "'</' || p || 'statusInfo>' end",
-        f"case when o_orderkey % 3 = 0 then '' else {_activity(1)} || {_activity(2)} end",
-        "case when o_orderkey % 2 = 1 then '' else '<' || p || 'fluid>'",
-        _el("type", "'water based'"),
-        _el("mudClass", "'WBM'"),
-        _el("locationSample", "'flowline'"),
-        _el("density", "cast(1 + cast(o_orderkey % 60 as double) / 100 as string)", ' uom="g/cm3"'),
-        _el("pv", "cast(o_orderkey % 45 as string)"),
-        _el("yp", "case when o_orderkey % 10 = 0 then '-9999' else cast(o_orderkey % 17 as string) end"),
-        "'</' || p || 'fluid>' end",
-        "'<' || p || 'surveyStation>'",
-        _el("md", "cast(o_orderkey % 4000 as string)"),
-        _el("tvd", "cast(o_orderkey % 3500 as string)"),
-        _el("incl", "cast(o_orderkey % 90 as string)"),
-        _el("azi", "cast(o_orderkey % 360 as string)"),
-        "'</' || p || 'surveyStation><' || p || 'porePressure>'",
-        _el("md", "cast(o_orderkey % 4000 as string)"),
-        _el("ecd", "cast(1 + cast(o_orderkey % 30 as double) / 100 as string)"),
-        "'</' || p || 'porePressure></' || p || 'drillReport>'",
-    ]
-)
-DDR_FILES = f"""
-with o as (select *, {KEY} as w, {DAY} as d, case when o_orderkey % 2 = 0 then 'witsml:' else '' end as p from {{orders}}),
-r as (select *, {_REPORT} as report from o)
-select w || '_' || replace(d, '-', '_') || '.xml' as file,
- case when o_orderkey % 50 = 0 then '<' || p || 'drillReports><' || p || 'drillReport>'
-  else '<' || p || 'drillReports {_NS.format(x="")}' || ' {_NS.format(x=":witsml")}>' ||
-   case when o_orderkey % 49 = 0 then '<' || p || 'note/>' when o_orderkey % 47 = 0 then report || replace(report, 'Drilled', 'SECOND') else report end
-   || '</' || p || 'drillReports>' end as content
-from r"""
+def _spread(df: DataFrame) -> DataFrame:
+    """Input files come in many splits; the small test tables in one, so their rows are spread."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 # The same reports as rows: broken files and files without a report are left out.
 GOOD = f"select *, {KEY} as well, {DAY} as date from orders where o_orderkey % 50 <> 0 and o_orderkey % 49 <> 0"
 ACTS = """select g.*, n from good g, (values (1), (2)) v(n) where o_orderkey % 3 <> 0"""
 
 
 def _reports(t) -> DataFrame:
-    return ddr.parse_ddr(t.spark.sql(DDR_FILES, orders=t.source("orders")))
+    return ddr.parse_ddr(_spread(_ddr_files(t)))
 
 
 STATUS_SQL = """select well, date, cast(o_orderkey as int) as report_no,
@@ -127,7 +120,7 @@ def read_ddr_xml(t):
 @query("s2_ddr_key_from_filename", sql=f"select {KEY} as well, {DAY} as date from orders")
 def key_from_filename(t):
     well, date = ddr.ddr_key_from_filename(F.col("file"))
-    return t.spark.sql(DDR_FILES, orders=t.source("orders")).select(well.alias("well"), date.alias("date"))
+    return _ddr_files(t).select(well.alias("well"), date.alias("date"))
 
 
 @query("s3_ddr_status", sql=f"with good as ({GOOD}) {STATUS_SQL}")
@@ -203,7 +196,7 @@ def errors(t):
 
 def _elements(t, sql: str, schema: T.StructType, **sources: str) -> DataFrame:
     """Rows of ``sql`` with their ``xml`` text parsed into column ``e``."""
-    rows = t.spark.sql(sql, **{k: t.source(v) for k, v in sources.items()})
+    rows = _spread(t.spark.sql(sql, **{k: t.source(v) for k, v in sources.items()}))
     return rows.withColumn("e", F.from_xml("xml", schema.simpleString(), {"ignoreNamespace": "true"})).drop("xml")
 
 

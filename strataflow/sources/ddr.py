@@ -71,7 +71,9 @@ def read_ddr_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_errors(reports: DataFrame) -> DataFrame:
-    return reports.filter(F.col("error").isNotNull()).select("file", "error")
+    # Outer explode for the reason given at ``_elements``.
+    reasons = reports.select("file", F.explode_outer(F.array("error")).alias("error"))
+    return reasons.filter(F.col("error").isNotNull())
 
 
 def _text(col: str) -> Column:
@@ -82,13 +84,20 @@ def _float(col: str) -> Column:
     return clean_float_ddr(F.col(col))
 
 
+def _elements(reports: DataFrame, items: Column) -> DataFrame:
+    """One row per element.  An outer explode keeps Spark from adding a filter on the array, which
+    it would push below the parser and so parse every document twice."""
+    return reports.select("well", "date", "report", F.explode_outer(items).alias("e")).filter(
+        F.col("e").isNotNull()
+    )
+
+
 def _first(reports: DataFrame, element: str) -> DataFrame:
-    rows = reports.withColumn("info", F.get(f"report.{element}", F.lit(0)))
-    return rows.filter(F.col("info").isNotNull())
+    return _elements(reports, F.slice(f"report.{element}", 1, 1))
 
 
 def ddr_status(reports: DataFrame) -> DataFrame:
-    info = "info"
+    info = "e"
     return _first(reports, "statusInfo").select(
         "well",
         "date",
@@ -108,7 +117,7 @@ def ddr_status(reports: DataFrame) -> DataFrame:
 
 
 def _repeated(reports: DataFrame, element: str) -> DataFrame:
-    return reports.select("well", "date", F.explode(f"report.{element}").alias("e"))
+    return _elements(reports, F.col(f"report.{element}"))
 
 
 def ddr_activities(reports: DataFrame) -> DataFrame:
@@ -162,8 +171,8 @@ def ddr_pore_pressure(reports: DataFrame) -> DataFrame:
 
 
 def wellbore_info(reports: DataFrame) -> DataFrame:
-    info = "info"
-    return _first(reports, "wellboreInfo").withColumn("rig", F.get("info.rigAlias", F.lit(0))).select(
+    info = "e"
+    return _first(reports, "wellboreInfo").withColumn("rig", F.get("e.rigAlias", F.lit(0))).select(
         "well",
         "date",
         _text("report.nameWell").alias("name_well"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import strip
@@ -77,27 +77,26 @@ def ingest(
 
 
 def doc_index(docs: DataFrame, embed=None) -> DataFrame:
-    """Documents with a stable id, depth 0 where missing, and an embedding if one is supplied.
+    """Documents with an id, depth 0 where missing, and an embedding if an embedder is supplied.
 
-    The id is ``well_date_type_hash_ordinal``; the ordinal tells equal texts of one day apart.
-    Equal texts are one short group unless a text is repeated endlessly, so the ordinal is salted by
-    nothing but the rows' own content.
+    The id is ``well_date_type_hash_position``.  The position is unique over the whole frame and
+    needs no shuffle, however often one text is repeated.
     """
-    key = ["well", "date", "doc_type", "text_hash"]
-    hashed = docs.withColumn("text_hash", F.xxhash64("well", "date", "doc_type", "text")).withColumn(
-        "depth_m", F.coalesce("depth_m", F.lit(0.0))
-    ).withColumn("activity_code", F.coalesce("activity_code", F.lit("")))
-    # Equal rows are counted before the shuffle and spread out again by ordinal after it.
-    counted = hashed.groupBy(*key, "depth_m", "activity_code", "text").agg(F.count("*").alias("n"))
-    before = (
-        Window.partitionBy(*key).orderBy("depth_m", "activity_code").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    numbered = counted.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn(
-        "ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)) + F.col("offset")
-    )
-    out = numbered.select(
-        F.concat_ws("_", "well", "date", "doc_type", F.hex("text_hash"), "ordinal").alias("doc_id"),
-        "well", "date", "depth_m", "doc_type", "activity_code", "text",
+    out = docs.select(
+        F.concat_ws(
+            "_",
+            "well",
+            "date",
+            "doc_type",
+            F.hex(F.xxhash64("well", "date", "doc_type", "text")),
+            F.monotonically_increasing_id().cast("string"),
+        ).alias("doc_id"),
+        "well",
+        "date",
+        F.coalesce("depth_m", F.lit(0.0)).alias("depth_m"),
+        "doc_type",
+        F.coalesce("activity_code", F.lit("")).alias("activity_code"),
+        "text",
     )
     return out if embed is None else out.withColumn("embedding", embed(F.col("text")))
 

@@ -26,9 +26,8 @@ _DOCUMENT = T.StructType(
 def read_ddr_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, content) of each report file; a file is one day of one well, so a row is small."""
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.xml")
-        .text(path)
+        spark.read.option("pathGlobFilter", "*.xml")
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
     )
 

@@ -22,7 +22,10 @@ PRODUCTION_RENAMES = {
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Latin-1 lines without trailing white space."""
-    raw = spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\n").text(path)
+    # The text reader hands the bytes on as they are; they are decoded here.
+    raw = spark.read.text(path, lineSep="\n").select(
+        F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("value")
+    )
     return raw.select(F.regexp_replace("value", r"\s+$", "").alias("line"))
 
 

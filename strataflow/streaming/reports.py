@@ -12,10 +12,9 @@ from ..sources import ddr, tables
 def stream_ddr(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
     """Parsed reports of the files that arrive under ``path``."""
     files = (
-        spark.readStream.option("wholetext", True)
-        .option("pathGlobFilter", "*.xml")
+        spark.readStream.option("pathGlobFilter", "*.xml")
         .option("maxFilesPerTrigger", max_files)
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
     )
     return ddr.parse_ddr(files)

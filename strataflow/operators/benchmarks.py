@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import interval_mid, zscore
@@ -20,10 +20,12 @@ def top_bottom(df: DataFrame, order: list[Column], reverse: list[Column], k: int
     total = df.limit(k + 1).count()
 
     def band(label: str, keys: list[Column]) -> DataFrame:
-        best = df.orderBy(*keys).limit(k)
-        listed = best.agg(F.collect_list(F.struct(*df.columns)).alias("_rows"))
-        return listed.select(F.lit(label).alias("band"), F.posexplode("_rows")).select(
-            "band", (F.col("pos") + 1).alias("rank_no"), "col.*"
+        # The unpartitioned window numbers the k rows that are left, no more.
+        return (
+            df.orderBy(*keys)
+            .limit(k)
+            .withColumn("rank_no", F.row_number().over(Window.orderBy(*keys)))
+            .withColumn("band", F.lit(label))
         )
 
     top = band("top", order)

@@ -11,11 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import truthy
+from ..functions.numbers import interval_mid, truthy
 from .ordered import depth_chunk, scan, union_all
-from .sizing import sized
+from .sizing import checkpointed, sized
 
-DEPTH_BIN_M = 1.0
+# Wide enough to hold many rows, narrow enough that distinct depths in one bin stay few.
+DEPTH_BIN_M = 25.0
 POINT, PROBE, CLOSE = 0, 1, 2
 
 
@@ -180,53 +181,53 @@ def interval_mean(
     lo: str,
     hi: str,
     value: str,
-    mid: Column,
-    tie: Sequence[Column],
     width: float = DEPTH_BIN_M,
 ) -> DataFrame:
     """Mean ``value`` of the intervals that hold a depth, else that of the nearest midpoint.
 
     One sweep in depth order: an interval adds its value where it opens and takes it back where it
-    closes.  Sums are fixed-point decimals, so nothing is lost when they cancel.
+    closes.  Sums are fixed-point decimals, so nothing is lost when they cancel.  An edge that is
+    NULL or zero, or edges in the wrong order, hold no depth; their midpoint still counts.
+    Midpoint ties go to the smaller ``lo``, then to the smaller value.
     Returns distinct probes with ``n_containing`` and the mean.
     """
-    fixed = F.col(value).cast("decimal(20,9)")
-    real = intervals.filter(truthy(F.col(lo)) & truthy(F.col(hi)) & (F.col(lo) <= F.col(hi)))
+    fixed = "decimal(38,9)"
+    # Equal intervals become one row before they are turned into edges.
+    merged = intervals.groupBy(*by, lo, hi).agg(
+        F.count("*").alias("_n"),
+        F.sum(F.col(value).cast("decimal(20,9)")).cast(fixed).alias("_v"),
+        F.min(value).alias("_first"),
+    )
+    holds = truthy(F.col(lo)) & truthy(F.col(hi)) & (F.col(lo) <= F.col(hi))
+    mid = interval_mid(F.col(lo), F.col(hi))
+    point = F.struct(
+        mid.alias("pos"),
+        F.coalesce(lo, F.lit(float("inf"))).alias("lo"),
+        F.col("_first").alias("value"),
+    )
 
-    def edges(position: str, kind: int, sign: int) -> DataFrame:
-        return (
-            real.groupBy(*by, F.col(position).alias("_pos"))
-            .agg(
-                (F.count("*") * sign).alias("_n"),
-                (F.sum(fixed) * sign).cast("decimal(38,9)").alias("_v"),
-            )
-            .withColumn("_kind", F.lit(kind))
+    def edge(position: Column, kind: int, n: Column, v: Column, p: Column) -> Column:
+        return F.struct(
+            position.alias("_pos"), F.lit(kind).alias("_kind"), n.alias("_n"), v.cast(fixed).alias("_v"), p.alias("_point")
         )
 
-    mids = distinct_points(intervals, by, mid, [value, lo], tie, keep="first").withColumn(
-        "_kind", F.lit(POINT)
-    )
-    opened = edges(lo, POINT, 1)
-    # An opening and a midpoint may share a depth: one row per (depth, kind).
-    starts = (
-        union_all([opened, mids])
-        .groupBy(*by, "_pos", "_kind")
-        .agg(
-            F.sum("_n").alias("_n"),
-            F.sum("_v").cast("decimal(38,9)").alias("_v"),
-            F.first("_point", True).alias("_point"),
+    n, v, nothing = F.col("_n"), F.col("_v"), F.lit(None).cast("struct<pos:double,lo:double,value:double>")
+    edges = F.array_compact(
+        F.array(
+            F.when(holds, edge(F.col(lo), POINT, n, v, nothing)),
+            edge(mid, POINT, F.lit(0).cast("long"), F.lit(0), point),
+            F.when(holds, edge(F.col(hi), CLOSE, -n, -v, nothing)),
         )
     )
-    merged = union_all(
-        [
-            starts,
-            edges(hi, CLOSE, -1),
-            distinct_probes(probes, by, probe_position).withColumn("_kind", F.lit(PROBE)),
-        ]
+    events = (
+        merged.select(*by, F.inline(edges))
+        .groupBy(*by, "_pos", "_kind")
+        .agg(F.sum("_n").alias("_n"), F.sum("_v").cast(fixed).alias("_v"), F.min("_point").alias("_point"))
     )
-    zero = F.lit(0).cast("decimal(38,9)")
+    asked = distinct_probes(probes, by, probe_position).withColumn("_kind", F.lit(PROBE))
+    # The scan reads its input twice; merged edges are far fewer than the intervals they stand for.
     swept = scan(
-        merged,
+        checkpointed(union_all([events, asked])),
         by,
         depth_chunk("_pos", width),
         ["_pos", "_kind"],
@@ -234,17 +235,16 @@ def interval_mean(
         next_known={"after": F.col("_point")},
         total={
             "n_containing": F.coalesce(F.col("_n"), F.lit(0)),
-            "_sum": F.coalesce(F.col("_v"), zero),
+            "_sum": F.coalesce(F.col("_v"), F.lit(0).cast(fixed)),
         },
     ).filter(F.col("_kind") == PROBE)
     up = F.col("_pos") - F.col("before.pos")
     down = F.col("after.pos") - F.col("_pos")
-    first_up = F.coalesce(F.col(f"before.{lo}"), F.lit(0.0)) <= F.coalesce(F.col(f"after.{lo}"), F.lit(0.0))
     nearest = (
-        F.when(F.col("after").isNull() | (up < down), F.col(f"before.{value}"))
-        .when(F.col("before").isNull() | (up > down), F.col(f"after.{value}"))
-        .when(first_up, F.col(f"before.{value}"))
-        .otherwise(F.col(f"after.{value}"))
+        F.when(F.col("after").isNull() | (up < down), F.col("before.value"))
+        .when(F.col("before").isNull() | (up > down), F.col("after.value"))
+        .when(F.col("before.lo") <= F.col("after.lo"), F.col("before.value"))
+        .otherwise(F.col("after.value"))
     )
     return swept.select(
         *by,

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.activity import issue_category
-from ..functions.numbers import duration_hrs, interval_mid, truthy
+from ..functions.numbers import duration_hrs, truthy
 from ..functions.predicates import in_dates, is_issue, is_problem_summary, mudlog_quality
 from ..functions.text import truncate_text
 from .intervals import asof_join, interval_mean
 from .ordered import ranked_within
+from .sizing import checkpointed
 
 def _time_order() -> list[Column]:
     return [F.asc_nulls_last("date"), F.asc_nulls_last("start_ts"), F.asc_nulls_last("event_id")]
@@ -76,7 +77,6 @@ def formation_at(probes: DataFrame, tops: DataFrame, depth: str = "depth_m") ->
 def rop_at_depths(probes: DataFrame, mudlog: DataFrame, depth: str = "depth_m") -> DataFrame:
     """Mean ROP of the intervals at each distinct depth, else that of the nearest interval."""
     plausible = mudlog.filter(mudlog_quality(with_torque=False))
-    tie = [F.coalesce("md_top_m", F.lit(float("inf"))), F.col("rop_avg_m_per_hr")]
     return interval_mean(
         probes.filter(truthy(F.col(depth))),
         plausible,
@@ -85,8 +85,6 @@ def rop_at_depths(probes: DataFrame, mudlog: DataFrame, depth: str = "depth_m")
         "md_top_m",
         "md_bottom_m",
         "rop_avg_m_per_hr",
-        interval_mid(F.col("md_top_m"), F.col("md_bottom_m")),
-        tie,
     )
 
 
@@ -116,7 +114,8 @@ def contributing_factors(
             F.max(density).alias("density_max"),
         )
     )
-    by_depth = (
+    # Both depth lookups and the final join read this: it is computed once.
+    by_depth = checkpointed(
         issues.filter(truthy(F.col("depth_m"))).groupBy(*key, "depth_m").agg(F.count("*").alias("n"))
     )
     rop = rop_at_depths(by_depth, mudlog)

@@ -13,6 +13,7 @@ from ..functions.predicates import in_dates
 from ..functions.text import truncate_text
 from .ordered import day_chunk, scan, union_all
 from .overview import share_of_well
+from .sizing import checkpointed
 
 
 def hole_phases(status: DataFrame) -> DataFrame:
@@ -36,8 +37,9 @@ def hole_phases(status: DataFrame) -> DataFrame:
         .agg(F.max_by(F.struct("date", "report_no", "md_m"), F.struct("date", "report_no")).alias("r"))
         .select("well", "r.*", F.lit(1).alias("is_end"))
     )
+    # A scan reads its input twice; phase starts are few, so they are kept rather than found again.
     marked = scan(
-        union_all([starts, ends]),
+        checkpointed(union_all([starts, ends])),
         ["well"],
         day_chunk("report_no"),
         ["date", "report_no", "is_end"],
@@ -68,11 +70,19 @@ def _daily_calendar(status: DataFrame, activities: DataFrame) -> DataFrame:
         F.min_by("md_m", F.when(truthy(F.col("md_m")), F.col("report_no"))).alias("first_md"),
         F.min_by("summary_24hr", F.when(has_text, F.col("report_no"))).alias("summary"),
     )
-    label = classify_phase(F.col("activity_code"))
-    work = activities.groupBy("well", "date").agg(
-        F.count("*").alias("n_activities"),
-        F.count_if(F.col("state") == "problem").alias("n_problems"),
-        *[F.count_if(label == name).alias(f"n_{i}") for i, name in enumerate(PHASE_LABELS)],
+    # Counts per label first: the label is computed once a row, the columns once a day.
+    per_label = (
+        activities.withColumn("label", classify_phase(F.col("activity_code")))
+        .groupBy("well", "date", "label")
+        .agg(F.count("*").alias("n"), F.count_if(F.col("state") == "problem").alias("problems"))
+    )
+    work = per_label.groupBy("well", "date").agg(
+        F.sum("n").alias("n_activities"),
+        F.sum("problems").alias("n_problems"),
+        *[
+            F.sum(F.when(F.col("label") == name, F.col("n")).otherwise(0)).alias(f"n_{i}")
+            for i, name in enumerate(PHASE_LABELS)
+        ],
     )
     counted = ["n_reports", "n_activities", "n_problems", *[f"n_{i}" for i in range(len(PHASE_LABELS))]]
     days = reports.join(work, ["well", "date"], "full").fillna(0, counted)
@@ -93,7 +103,8 @@ def _daily_calendar(status: DataFrame, activities: DataFrame) -> DataFrame:
 
 def phase_details(phases: DataFrame, status: DataFrame, activities: DataFrame) -> DataFrame:
     """Report days, casing point, activity mix, problems and first summary of each phase."""
-    days = _daily_calendar(status, activities)
+    # Read by two joins; one row per well and day.
+    days = checkpointed(_daily_calendar(status, activities))
     counted = [c.removeprefix("upto_") for c in days.columns if c.startswith("upto_")]
     opening = days.select(
         "well",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import interval_mid, truthy
 from ..functions.predicates import mudlog_quality
 from .benchmarks import mudlog_in_sections
+from .intervals import DEPTH_BIN_M
 from .issues import formation_at
 from .ordered import day_chunk, depth_chunk, scan, union_all
 from .sizing import checkpointed, sized
@@ -131,7 +132,7 @@ def rop_by_lithology(mudlog: DataFrame) -> DataFrame:
     )
 
 
-def run_performance(runs: DataFrame, mudlog: DataFrame, run_id: str = "run_no", width: float = 1.0) -> DataFrame:
+def run_performance(runs: DataFrame, mudlog: DataFrame, run_id: str = "run_no", width: float = DEPTH_BIN_M) -> DataFrame:
     """Intervals, mean ROP and WOB whose midpoint lies inside each assembly run.
 
     Runs overlap freely, so a join would list every (run, interval) pair.  Running sums in depth

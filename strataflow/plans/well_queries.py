@@ -8,6 +8,7 @@ from ..operators import compare as c
 from ..operators import efficiency as e
 from ..operators import overview as o
 from ..operators import phases as p
+from ..operators.questions import rank_wells
 from .registry import query, rounded
 
 # ---------------------------------------------------------------- overview
@@ -127,17 +128,8 @@ def result_cap(t):
 from production group by well""",
 )
 def order_with_nulls(t):
-    # Seven production wells at most come out of the aggregate: the ranking is over wells.
     sums = t["production"].groupBy("well").agg(F.sum("bore_wat_vol").alias("cum_water"))
-    ranked = x_rank(sums, "cum_water")
-    return rounded(ranked, 2)
-
-
-def x_rank(per_well, col):
-    """Dense position of each well by a column, largest first and NULL last, ties by name."""
-    from ..operators.questions import rank_wells
-
-    return rank_wells(per_well, col, "rank_no")
+    return rounded(rank_wells(sums, "cum_water", "rank_no"), 2)
 
 
 # -------------------------------------------------------------- efficiency

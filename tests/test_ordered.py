@@ -82,8 +82,7 @@ def test_interval_mean(spark):
     probes = [(rng.choice("abc"), float(rng.randrange(1, 700)) / 2, i) for i in range(250)]
     left = spark.createDataFrame(probes, "w string, d double, id int")
     right = spark.createDataFrame(spans, "w string, lo double, hi double, v double, id int")
-    mid = (F.coalesce("lo", F.lit(0.0)) + F.coalesce("hi", F.lit(0.0))) / 2
-    out = intervals.interval_mean(left, right, ["w"], "d", "lo", "hi", "v", mid, [F.col("lo"), F.col("v")])
+    out = intervals.interval_mean(left, right, ["w"], "d", "lo", "hi", "v")
     got = {(r.w, r.d): (r.n_containing, r.v_at) for r in out.collect()}
     assert len(got) == len({p[:2] for p in probes})
     for (w, d), (n, value) in got.items():

@@ -70,7 +70,7 @@ def long_metrics(metrics: DataFrame) -> DataFrame:
 
 def pair_frame(spark: SparkSession, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     listed = F.array(
-        *[F.struct(F.lit(i).alias("pair_no"), F.lit(a).alias("well_a"), F.lit(b).alias("well_b")) for i, (a, b) in enumerate(pairs)]
+        *[F.struct(F.lit(i).cast("long").alias("pair_no"), F.lit(a).alias("well_a"), F.lit(b).alias("well_b")) for i, (a, b) in enumerate(pairs)]
     )
     return spark.range(1).select(F.inline(listed))
 

@@ -38,7 +38,9 @@ def ddr_narrative(
     comments = inside(tables["ddr_activities"], "depth_m").filter(F.length("comments") >= 20)
     parts = [
         _first(summaries, "summary", [F.asc_nulls_last("date"), F.asc("report_no")], SUMMARIES).select(
-            "well", "kind", "ordinal", "date", F.col("md_m").alias("depth_m"), F.col("summary_24hr").alias("text")
+            "well", "kind", "ordinal", "date", F.col("md_m").alias("depth_m"), "hole_diameter_in",
+            F.col("summary_24hr").alias("text"),
+            *[F.col(c) for c in ("forecast_24hr",) if c in summaries.columns],
         ),
         _first(
             comments,

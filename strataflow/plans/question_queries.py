@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import benchmarks as b
 from ..operators import efficiency as e
 from ..operators import questions as q

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.overview import table_counts
 from ..operators.sizing import ensure_checkpoint_dir
 from ..schemas import BHA_RUN, GEOLOGY_INTERVAL, MESSAGE, TRAJECTORY_STATION, WELLBORE
 from ..sources import ddr, tables, tabular, witsml
@@ -63,7 +62,7 @@ def _ddr_files(t) -> DataFrame:
         .otherwise(body)
     )
     prefixed = F.regexp_replace("plain", "<(/?)([A-Za-z])", "<$1witsml:$2")
-    reports = t.spark.sql(REPORTS, orders=t.source("orders"))
+    reports = t.spark.sql(REPORTS, orders=_spread(t.source("orders")))
     # One step per column: each is computed once and used by the next.
     return (
         reports.withColumn("body", F.to_xml("report", {"rowTag": "drillReport", "indent": ""}))
@@ -90,7 +89,7 @@ ACTS = """select g.*, n from good g, (values (1), (2)) v(n) where o_orderkey % 3
 
 
 def _reports(t) -> DataFrame:
-    return ddr.parse_ddr(_spread(_ddr_files(t)))
+    return ddr.parse_ddr(_ddr_files(t))
 
 
 STATUS_SQL = """select well, date, cast(o_orderkey as int) as report_no,
@@ -201,7 +200,7 @@ def errors(t):
 
 def _elements(t, sql: str, schema: T.StructType, **sources: str) -> DataFrame:
     """Rows of ``sql`` with their ``xml`` text parsed into column ``e``."""
-    rows = _spread(t.spark.sql(sql, **{k: t.source(v) for k, v in sources.items()}))
+    rows = t.spark.sql(sql, **{k: _spread(t.source(v)) for k, v in sources.items()})
     parsed = rows.withColumn("x", F.from_xml("xml", schema.simpleString(), {"ignoreNamespace": "true"})).drop("xml")
     # Outer explode of one element: later filters cannot sink below the parser and run it twice.
     return parsed.select(*[c for c in parsed.columns if c != "x"], F.explode_outer(F.array("x")).alias("e"))
@@ -248,9 +247,9 @@ def bha_runs(t):
     "s12_witsml_mudlog",
     sql=f"""with {SECTIONS_SQL}, l as (select *, {IN_SECTION}, cast(floor(l_extendedprice * 100 + 0.5) as bigint) as k from lineitem)
 select well, wellbore, cast(l_orderkey % 4000 as double) as md_top_m, l_orderkey % 4000 + l_quantity as md_bottom_m, 'first ' || l_returnflag as lith_type,
- l_quantity as lith_pct, round(l_extendedprice / 100000 * 3600, 6) as rop_avg_m_per_hr, cast(null as double) as rop_min_m_per_hr, case when k % 3 = 0 then round(-999.99 * 3600, 6) end as rop_max_m_per_hr,
+ l_quantity as lith_pct, round(l_extendedprice / 100000 * 3600, 6) as rop_avg_m_per_hr, cast(null as double) as rop_min_m_per_hr, case when k % 3 = 0 then round(cast(-999.99 as double) * 3600, 6) end as rop_max_m_per_hr,
  round(l_quantity * 1000 * 0.001, 6) as wob_avg_kN, round(l_discount * 0.001, 6) as torque_avg_kNm, case when l_linenumber > 5 then null else cast(l_linenumber * 60 as double) end as rpm_avg,
- round(1200 * 0.001, 6) as mud_weight_sg, cast(null as double) as ecd_sg, round(l_tax, 6) as dxc, case when k % 4 <> 0 then round(l_extendedprice, 6) end as methane_avg_ppm, cast(null as double) as ethane_avg_ppm
+ round(cast(1200 as double) * 0.001, 6) as mud_weight_sg, cast(null as double) as ecd_sg, round(l_tax, 6) as dxc, case when k % 4 <> 0 then round(l_extendedprice, 6) end as methane_avg_ppm, cast(null as double) as ethane_avg_ppm
 from l join sections using (well_dir, section_dir)""",
 )
 def mudlog(t):

@@ -90,8 +90,8 @@ def search_with_fallback(t):
     ["ddr_status", "ddr_activities"],
     """, s as (select *, row_number() over (partition by well order by date, report_no) as r from ddr_status where summary_24hr is not null),
 a as (select *, row_number() over (partition by well order by date, start_ts, event_id) as r from ddr_activities where comments <> '' and length(comments) >= 20)
-select well, 'summary' as kind, cast(r as int) as ordinal, date, round(md_m, 6) as depth_m, summary_24hr as text, null as activity_code, null as state, null as state_detail from s where r <= 15
-union all select well, 'activity', cast(r as int), date, round(depth_m, 6), substr(comments, 1, 200), activity_code, state, state_detail from a where r <= 15""",
+select well, 'summary' as kind, cast(r as int) as ordinal, date, round(md_m, 6) as depth_m, hole_diameter_in, summary_24hr as text, null as activity_code, null as state, null as state_detail from s where r <= 15
+union all select well, 'activity', cast(r as int), date, round(depth_m, 6), null, substr(comments, 1, 200), activity_code, state, state_detail from a where r <= 15""",
 )
 def ddr_narrative(t):
     return rounded(narrative.ddr_narrative(t), 6)

@@ -96,8 +96,11 @@ def witsml_sections(wellbores: DataFrame) -> DataFrame:
 
 
 def with_section(elements: DataFrame, sections: DataFrame) -> DataFrame:
-    """Elements with their section's well; sections without a name give nothing."""
-    return elements.join(sized(sections), SECTION_KEY)
+    """Elements with their section's well; sections without a name give nothing.
+
+    Pass ``sized`` sections: one row per folder, measured once for all kinds of elements.
+    """
+    return elements.join(sections, SECTION_KEY)
 
 
 def bha_runs(rows: DataFrame) -> DataFrame:
@@ -194,7 +197,7 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
 
 def read_witsml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """All four tables below a rig-data folder."""
-    sections = witsml_sections(read_elements(spark, path, "_wellboreInfo", "wellbore", WELLBORE))
+    sections = sized(witsml_sections(read_elements(spark, path, "_wellboreInfo", "wellbore", WELLBORE)))
 
     def rows(folder: str, row_tag: str, schema: T.StructType) -> DataFrame:
         return with_section(read_elements(spark, path, folder, row_tag, schema), sections)

@@ -18,8 +18,7 @@ def skewed(seed, n=400):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_scan(spark, seed, monkeypatch):
-    monkeypatch.setattr(ordered, "ID_BLOCK", 50)
+def test_scan(spark, seed):
     rows = skewed(seed)
     df = spark.createDataFrame(rows, "k string, day int, id long, v double")
     out = ordered.scan(

@@ -170,7 +170,7 @@ def flat_files(tmp_path_factory):
     lines = [
         "# Well picks", "Well NO 15/9-F-11", "  Well name                Surface name", "  " + "-" * 100,
         pick("NO 15/9-F-11", "Nordland GP. Top", "100.5", "100.0", "-45.5", "300.25"),
-        pick("NO 15/9-F-11", "Hugin Fm. VOLVE Top", "2800.0", "", "-2700.0"),
+        pick("NO 15/9-F-11", "Hugin Fm. Top", "2800.0", "", "-2700.0"),
         pick("NO 15/9-F-11", "Smørbukk Top", "bad"), pick("NO 15/9-F-11", "", "10"), "short line",
         pick("NO 15/9-F-11", "Søgne Top", "900"),
     ]
@@ -191,7 +191,7 @@ def test_flat_sources(spark, flat_files):
     tops = sorted(tabular.read_well_picks(spark, str(flat_files / "picks.dat")).collect(), key=lambda r: r.md_m)
     assert [(t.well, t.surface_name, t.md_m, t.tvd_m, t.tvdss_m, t.twt_ms) for t in tops] == [
         ("15_9_F_11", "Nordland GP. Top", 100.5, 100.0, -45.5, 300.25), ("15_9_F_11", "Søgne Top", 900.0, None, None, None),
-        ("15_9_F_11", "Hugin Fm. VOLVE Top", 2800.0, None, -2700.0, None),
+        ("15_9_F_11", "Hugin Fm. Top", 2800.0, None, -2700.0, None),
     ]
     perfs = sorted(tabular.read_perforations(spark, str(flat_files / "perf.dat")).collect())
     assert [tuple(p) for p in perfs] == [
@@ -238,7 +238,7 @@ def test_ingest_and_operators(spark, ddr_dir, witsml_dir, flat_files, tmp_path):
     assert {r.kind for r in told} == {"summary", "activity"}
     probes = spark.createDataFrame([("15_9_F_11_T2", 950.0)], "well string, depth_m double")
     context = formation.formation_context(t, probes).first()
-    assert (context.current_name, context.above_name, context.below_name) == ("Søgne Top", "Nordland GP. Top", "Hugin Fm. VOLVE Top")
+    assert (context.current_name, context.above_name, context.below_name) == ("Søgne Top", "Nordland GP. Top", "Hugin Fm. Top")
     found = search.search_with_fallback(docs, "Drilled", embed=lambda c: F.array(F.length(c).cast("float"), F.lit(1.0).cast("float")), k=3)
     assert found.count() == 3
     assert overview.table_schema(t, "perforations").count() == 5

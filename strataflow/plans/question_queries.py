@@ -129,12 +129,12 @@ def hard_intervals(t):
 g as (select *, step_mean - lag(step_mean) over (partition by well order by step_md) as change from s),
 tops1 as (select well, md_m, surface_name from (select *, row_number() over (partition by well, md_m order by top_no desc) as r from formation_tops where md_m is not null) where r = 1),
 c as (select * from g where abs(change) > 0.00103)
-select c.well, c.step_md, round(step_mean, 6) as step_mean, intervals, round(change, 6) as change, case when c.step_md <> 0 then t.surface_name end as formation
+select c.well, c.step_md, round(step_mean + 1e-9, 4) as step_mean, intervals, round(change + 1e-9, 4) as change, case when c.step_md <> 0 then t.surface_name end as formation
 from c asof left join tops1 t on c.well = t.well and c.step_md >= t.md_m""",
 )
 def change_points(t):
     out = q.change_points(t["witsml_mudlog"], t["formation_tops"], value="mud_weight_sg", jump=0.00103)
-    return rounded(out, 6)
+    return rounded(out, 4)
 
 
 @query(

@@ -43,6 +43,18 @@ def buckets_for(total: int, per_bucket: int, least: int = 1) -> int:
     return max(least, -(-int(total) // per_bucket))
 
 
+def hash_sample(rows: DataFrame, n: int, by: list[str] | None = None) -> list:
+    """At most ``n`` doc_ids (per value of ``by``), spread over the table by hash; the same in every run.
+
+    One id per hash bucket is found by a two-step minimum, so only ids and no texts are moved.
+    """
+    hashed = F.xxhash64("doc_id")
+    chosen = rows.groupBy(*(by or []), F.pmod(hashed, F.lit(n)).alias("bucket")).agg(
+        F.min_by("doc_id", F.struct(hashed, "doc_id")).alias("doc_id")
+    )
+    return sorted({row["doc_id"] for row in chosen.select("doc_id").collect()})
+
+
 def same_key(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality of key columns, still a hash join."""
     condition = F.lit(True)

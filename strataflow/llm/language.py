@@ -17,6 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+from .frames import map_rows
+
 ORDER = 3
 SAMPLE_PER_LANGUAGE = 512
 UNDETERMINED = "und"
@@ -158,14 +161,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     counted whole, on the executors.  Rows without lang, text or id teach nothing.
     """
     usable = docs.select("doc_id", "text", "lang").dropna()
-    hashed = F.xxhash64("doc_id")
-    chosen = (
-        usable.groupBy("lang", F.pmod(hashed, F.lit(per_language)).alias("bucket"))
-        .agg(F.min_by("doc_id", F.struct(hashed, "doc_id")).alias("doc_id"))
-        .select("doc_id", "lang")
-    )
-    # One id per language and bucket: languages times per_language numbers.
-    ids = sorted({row["doc_id"] for row in chosen.select("doc_id").collect()})
+    ids = hash_sample(usable.select("doc_id", "lang"), per_language, ["lang"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -198,6 +194,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 scores.extend(s)
             yield batch.assign(lang_pred=names, score=np.array(scores, dtype=float))
 
-    from .frames import map_rows
-
     return map_rows(base, run, "lang_pred string, score double", reads=["text"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -64,6 +65,12 @@ class WordIds:
                 yield b"".join(map(get, words)) + self.end
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, separator: int) -> WordIds:
+    """One encoder per Python worker: what a task has learned serves the next."""
+    return WordIds(path, separator)
+
+
 def place(lengths: np.ndarray, n_sequences: int, capacity: int, linear: float, quadratic: float):
     """Pieces (item, start, length, sequence) for as many tokens as ``n_sequences`` hold.
 
@@ -175,7 +182,7 @@ def pack(
     columns = ["doc_id", *numbers]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordIds(tokenizer, separator)
+        encoder = encoder_of(tokenizer, separator)
         first = TaskContext.get().partitionId() << 33
         packer = Packer(first, sequence_tokens, window_tokens, linear, quadratic)
         for batch in batches:

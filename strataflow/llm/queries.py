@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, simhash
-from .common import ship
+from . import language, mixing, packing, pii, simhash
+from .common import kept, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +31,40 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", mixing.word_count().alias("size"))
+    # Sizes are asked for four times; counted once, they are a few bytes a row.
+    found = mixing.taken_words(*mixing.mix(kept(sized)))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_language": op3_language, "op6_simhash": op6_simhash}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    names = F.array(*[F.lit(k) for k in pii.KINDS])
+
+    def joined(spans):
+        parts = F.transform(
+            spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])
+        )
+        return F.array_join(parts, ",")
+
+    counts = [
+        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+        for k, kind in enumerate(pii.KINDS)
+    ]
+    everything = F.array_sort(F.concat("base", "added"))
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(everything).alias("spans")
+    )
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_language": op3_language, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op8_pii": op8_pii}
 ORACLES: dict[str, str] = {}

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_components
+from .common import kept, local_components
 from .components import connected_components
 from .frames import map_rows
 
@@ -153,8 +153,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     node, so copies cost nothing.  A null doc_id never names a component unless it is alone in it (then
     null); repeated rows are returned each; an empty table gives no rows; other columns are not read.
     """
-    from .common import kept
-
     marked = kept(fingerprints(docs.select("doc_id", "text"), shingle_words).select("doc_id", "fp"))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connected_components(near_links(nodes.select("fp"), max_bits))

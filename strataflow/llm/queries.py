@@ -56,10 +56,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return F.array_join(parts, ",")
 
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-        for k, kind in enumerate(pii.KINDS)
-    ]
+    def count(number, kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(number, kind) for number, kind in enumerate(pii.KINDS)]
     everything = F.array_sort(F.concat("base", "added"))
     return found.select(
         "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(everything).alias("spans")

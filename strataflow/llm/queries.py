@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, pii, simhash
+from . import language, mixing, packing, pii, repeats, simhash, suffix
 from .common import kept, ship
 
 
@@ -66,5 +66,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_language": op3_language, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op8_pii": op8_pii}
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_language": op3_language, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_suffix": op7_suffix, "op8_pii": op8_pii, "op9_repeats": op9_repeats}
 ORACLES: dict[str, str] = {}

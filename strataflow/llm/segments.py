@@ -65,6 +65,13 @@ class Shape:
             self._powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
         return self._powers[0][:n], self._powers[1][:n]
 
+    def grams(self, items: np.ndarray) -> np.ndarray:
+        """Hash of the gram at each position."""
+        up, down = self.powers(len(items) + 1)
+        sums = np.zeros(len(items) + 1, dtype=np.uint64)
+        np.cumsum(items * up[: len(items)], out=sums[1:])
+        return mix64((sums[self.gram :] - sums[: -self.gram]) * down[: len(items) - self.gram + 1])
+
     def segments(self, items: np.ndarray, starts: np.ndarray):
         """Of concatenated documents: (anchor hash, segment hash, document, start in it, items beyond length).
 
@@ -79,7 +86,7 @@ class Shape:
         np.cumsum(items * up[:n], out=sums[1:])
         gram = mix64((sums[self.gram :] - sums[: -self.gram]) * down[: n - self.gram + 1])
         # The low bits hold the position: a minimum of values is then an argument of the minimum.
-        bits = np.uint64(max(1, int(n).bit_length()))
+        bits = np.uint64(max(24, int(n).bit_length()))
         low = (np.uint64(1) << bits) - np.uint64(1)
         best = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
         span = 1

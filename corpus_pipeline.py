@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import language, packing, simhash
+from strataflow.llm import language, mixing, packing, pii, simhash
 from strataflow.llm.common import shared_folder, ship
 from strataflow.llm.queries import tokenizer_path
 
@@ -31,17 +31,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship(spark)
     found = simhash.near_duplicates(docs)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    once = docs.withColumn("_hash", F.xxhash64("doc_id", "text"))
-    chosen = once.groupBy("doc_id").agg(F.min("_hash").alias("_hash"))
-    kept_ids = chosen.join(first, chosen["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return (
-        once.join(
-            kept_ids,
-            once["doc_id"].eqNullSafe(kept_ids["doc_id"]) & (once["_hash"] == kept_ids["_hash"]),
-            "left_semi",
-        )
-        .select(*DOCUMENT)
-    )
+    # Of rows that share an id the one of smallest text hash stays, once.
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    chosen = hashed.groupBy("doc_id").agg(F.min("_hash").alias("_hash"))
+    chosen = chosen.join(first, chosen["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    same = hashed["doc_id"].eqNullSafe(chosen["doc_id"]) & (hashed["_hash"] == chosen["_hash"])
+    return hashed.join(chosen, same, "left_semi").select(*DOCUMENT).dropDuplicates(["doc_id"])
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind in angle brackets in place of each span of personal data; no document is dropped."""
+    ship(spark)
+    masked = pii.mask(pii.find(docs.select(*DOCUMENT), pii.train(docs)))
+    return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(*DOCUMENT)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The production mix: a document appears once for each pass that takes words of it."""
+    ship(spark)
+    return mixing.mixed_documents(docs.select(*DOCUMENT))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +61,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("language", identify_language),
     ("near_duplicates", drop_near_duplicates),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
 

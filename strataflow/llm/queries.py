@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, pii, repeats, simhash, suffix
+from . import language, mixing, multiset, packing, pii, repeats, simhash, suffix
 from .common import kept, ship
 
 
@@ -31,6 +31,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", mixing.word_count().alias("size"))
@@ -74,5 +78,5 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_language": op3_language, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_suffix": op7_suffix, "op8_pii": op8_pii, "op9_repeats": op9_repeats}
+QUERIES = {"op1_packing": op1_packing, "op3_language": op3_language, "op4_multiset": op4_multiset, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_suffix": op7_suffix, "op8_pii": op8_pii, "op9_repeats": op9_repeats}
 ORACLES: dict[str, str] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,9 +30,12 @@ def shared_folder(spark: SparkSession) -> None:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Compute once into the shared folder and cut the lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Compute once into a table in the shared folder and read it back: lineage ends there."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

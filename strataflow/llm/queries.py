@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, multiset, packing, pii, repeats, simhash, suffix
+from . import language, licenses, mixing, multi_index, multiset, packing, pii, repeats, simhash, suffix
 from .common import kept, ship
 
 
@@ -24,6 +24,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` has no path: a source is a repository, its directories hold a thousand and a hundred ids."""
+    docs = table(spark, sf_dir, "documents")
+    number = F.col("doc_id")
+    path = F.concat_ws("/", "source", F.floor(number / 1000).cast("string"), F.floor(number / 100).cast("string"), number.cast("string"))
+    found = licenses.scan(docs.select("doc_id", "text", path.alias("path")))
+    return found.select("doc_id", "path", "license", F.round("license_score", 9).alias("license_score"), "license_from", "license_dir")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.filter(~language.held_out()))
@@ -78,5 +87,9 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_language": op3_language, "op4_multiset": op4_multiset, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_suffix": op7_suffix, "op8_pii": op8_pii, "op9_repeats": op9_repeats}
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_licenses": op2_licenses, "op3_language": op3_language, "op4_multiset": op4_multiset, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_suffix": op7_suffix, "op8_pii": op8_pii, "op9_repeats": op9_repeats, "op10_multi_index": op10_multi_index}
 ORACLES: dict[str, str] = {}

@@ -40,15 +40,14 @@ def word_items(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashed([w for p in parts for w in p]), starts
 
 
-def extended(contents: list[np.ndarray], unit: np.ndarray, shape: seg.Shape) -> np.ndarray:
+def extended(contents: list[np.ndarray], anchor: np.ndarray, unit: np.ndarray, shape: seg.Shape) -> np.ndarray:
     """Which windows of each segment another segment of its unit has; (segments, choices) by window start.
 
-    All segments of a unit hold its anchor.  ``left[:, o]`` names the o words before the anchor and ``right[:, r]``
+    All segments of a unit hold its anchor, ``anchor`` words behind their start.  ``left[:, o]`` names the o words before the anchor and ``right[:, r]``
     the r words behind it, each built from the one before by one more word; two segments agree over a
     window that starts o words before the anchor if both names agree.
     """
     reach = shape.choices - 1
-    anchor = np.array([int((shape.grams(c) & ~np.uint64((1 << 24) - 1)).argmin()) for c in contents])
     size = np.array([len(c) for c in contents])
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
     flat = np.concatenate(contents)
@@ -78,7 +77,7 @@ def judge(shape: seg.Shape):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         leads = frame.drop_duplicates(["unit", "seg"])
         contents = [np.frombuffer(c, dtype=np.uint64) for c in leads["content"]]
-        hit = extended(contents, leads["unit"].to_numpy(), shape)
+        hit = extended(contents, leads["at"].to_numpy(), leads["unit"].to_numpy(), shape)
         row, at = np.nonzero(hit)
         start = leads["start"].to_numpy()[row] + at
         doc = np.arange(len(leads))[row]
@@ -100,12 +99,15 @@ def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "start": [a["start"] for a in asked],
                     "unit": [a["unit"] for a in asked],
                     "seg": [a["seg"] for a in asked],
+                    "at": [a["at"] for a in asked],
                     "content": [hashed(words[a["start"] : a["stop"]]).tobytes() for a in asked],
                 }
             )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, unit_segments: int = seg.UNIT_SEGMENTS
+) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` (and ``kept``, text, if ``with_text``) per row.
 
     A word goes if it lies in ``length`` consecutive words whose sequence also starts anywhere else, in
@@ -115,18 +117,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     gives no rows; other columns are not read.
     """
     rows = seg.keyed(docs.select("doc_id", "text"))
-    shape = seg.Shape(length, gram)
+    shape = seg.Shape(length, gram, unit_segments)
     n_buckets = buckets_for(text_bytes(docs), BUCKET_BYTES)
     texts = rows.select("key1", "key2", "text")
     found = kept(seg.find(texts, word_items, shape, n_buckets, earlier=False))
     asked = (
         found.filter(F.col("kind") == seg.LEAD)
         .groupBy("key1", "key2")
-        .agg(F.collect_list(F.struct("start", "stop", "unit", "seg")).alias("asked"))
+        .agg(F.collect_list(F.struct("start", "stop", "unit", "seg", "at")).alias("asked"))
     )
     judged = (
         texts.join(asked, ["key1", "key2"])
-        .mapInPandas(fetch, f"{seg.KEY}, start int, unit long, seg long, content binary")
+        .mapInPandas(fetch, f"{seg.KEY}, start int, unit long, seg long, at int, content binary")
         .groupBy(F.pmod(F.xxhash64("unit"), F.lit(n_buckets)).alias("part"))
         .applyInPandas(judge(shape), f"{seg.KEY}, start int, stop int")
     )

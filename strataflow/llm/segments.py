@@ -23,15 +23,18 @@ from pyspark.sql import functions as F
 
 from .common import mix64
 
-SEGMENT = np.dtype([("anchor", "<u4"), ("seg", "<u8"), ("start", "<u4"), ("doc", "<u4"), ("extra", "u1"), ("many", "?")])
+SEGMENT = np.dtype(
+    [("anchor", "<u4"), ("seg", "<u4"), ("more", "<u2"), ("start", "<u4"), ("doc", "<u2"), ("extra", "u1"), ("at", "u1"), ("many", "?"), ("near", "u1", 3)]
+)
 CHUNK_ITEMS = 1 << 21
+STEP_ITEMS = 1 << 17
 UNIT_SEGMENTS = 4_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 # A document is named by key1 (its id) and key2 (a hash of id and text), so rows with one id are told apart.
 KEY = "key1 long, key2 long"
-FOUND = f"kind byte, {KEY}, start int, stop int, unit long, seg long"
+FOUND = f"kind byte, {KEY}, start int, stop int, unit long, seg long, at int"
 SETTLED, LEAD, FOLLOWER = 0, 1, 2
 
 
@@ -51,6 +54,7 @@ class Shape:
 
     length: int
     gram: int
+    unit_segments: int = UNIT_SEGMENTS
 
     @property
     def choices(self) -> int:
@@ -58,29 +62,26 @@ class Shape:
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if not hasattr(self, "_powers") or len(self._powers[0]) < n:
-            size = max(n, CHUNK_ITEMS // 4)
+            size = max(n, STEP_ITEMS + 1)
             up = np.full(size, BASE, dtype=np.uint64)
             down = np.full(size, INVERSE, dtype=np.uint64)
             up[0] = down[0] = 1
             self._powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
         return self._powers[0][:n], self._powers[1][:n]
 
-    def grams(self, items: np.ndarray) -> np.ndarray:
-        """Hash of the gram at each position."""
-        up, down = self.powers(len(items) + 1)
-        sums = np.zeros(len(items) + 1, dtype=np.uint64)
-        np.cumsum(items * up[: len(items)], out=sums[1:])
-        return mix64((sums[self.gram :] - sums[: -self.gram]) * down[: len(items) - self.gram + 1])
+    def segments(self, items: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+        """Of concatenated documents, per segment: hash of the anchor and of the segment, document, start
+        in it, items beyond ``length``, place of the anchor in the segment, and ``near``.
 
-    def segments(self, items: np.ndarray, starts: np.ndarray):
-        """Of concatenated documents: (anchor hash, segment hash, document, start in it, items beyond length).
-
-        ``items`` are 64-bit values; document d is items[starts[d]:starts[d + 1]].
+        ``items`` are 64-bit values; document d is items[starts[d]:starts[d + 1]].  ``near`` are small
+        hashes of what stands left of the anchor, around it and right of it, each two thirds of a window's
+        reach: two segments that share a window agree in at least one.
         """
         n = len(items)
         n_windows = n - self.length + 1
         if n_windows <= 0:
-            return [np.zeros(0, np.int64)] * 5
+            empty = np.zeros(0, np.int64)
+            return {"anchor": empty.view(np.uint64), "seg": empty.view(np.uint64), "doc": empty, "start": empty, "extra": empty, "at": empty, "near": np.zeros((0, 3), np.uint8)}
         up, down = self.powers(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(items * up[:n], out=sums[1:])
@@ -95,25 +96,47 @@ class Shape:
             span *= 2
         if span < self.choices:
             best = np.minimum(best[: span - self.choices], best[self.choices - span :])
-        anchor_at = (best & low).astype(np.int64)
-        doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[:n_windows]
-        whole = np.arange(n_windows) + self.length <= starts[doc + 1]
+        # Windows that run over the end of their document are none.
+        whole = np.ones(n_windows, bool)
+        for end in starts[1:-1]:
+            whole[max(0, end - self.length + 1) : end] = False
         turn = np.ones(n_windows, bool)
-        turn[1:] = (anchor_at[1:] != anchor_at[:-1]) | (whole[1:] != whole[:-1]) | (doc[1:] != doc[:-1])
+        turn[1:] = (best[1:] != best[:-1]) | (whole[1:] != whole[:-1])
+        turn[starts[1:-1][starts[1:-1] < n_windows]] = True
         first = np.flatnonzero(turn)
         last = np.concatenate([first[1:], [n_windows]]) - 1
         used = whole[first]
         first, last = first[used], last[used]
+        anchor_at = (best[first] & low).astype(np.int64)
+        doc = np.searchsorted(starts, first, "right") - 1
         stop = last + self.length
-        seg = mix64((sums[stop] - sums[first]) * down[first] + mix64((stop - first).astype(np.uint64)))
-        return gram[anchor_at[first]], seg, doc[first], first - starts[doc[first]], stop - first - self.length
+
+        def hashed(lo, hi):
+            return mix64((sums[hi] - sums[lo]) * down[lo])
+
+        reach = self.choices - 1
+        third, behind = reach // 3, anchor_at + self.gram
+        near = [
+            hashed(np.maximum(anchor_at - (reach - third), 0), anchor_at),
+            hashed(np.maximum(anchor_at - third, 0), np.minimum(behind + third, n)),
+            hashed(behind, np.minimum(behind + (reach - third), n)),
+        ]
+        return {
+            "anchor": gram[anchor_at],
+            "seg": mix64((sums[stop] - sums[first]) * down[first] + mix64((stop - first).astype(np.uint64))),
+            "doc": doc,
+            "start": first - starts[doc],
+            "extra": stop - first - self.length,
+            "at": anchor_at - first,
+            "near": np.stack([(h >> np.uint64(40)).astype(np.uint8) for h in near], axis=1),
+        }
 
 
-def batches_of(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of documents of about CHUNK_ITEMS items."""
+def batches_of(sizes, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of documents of at most ``most`` characters; a longer document is a run of its own."""
     lo, held = 0, 0
     for i, size in enumerate(sizes):
-        if held and held + size > CHUNK_ITEMS:
+        if held and held + size > most:
             yield lo, i
             lo, held = i, 0
         held += size
@@ -132,7 +155,7 @@ def settled_rows(key1, key2, doc, start, stop) -> pd.DataFrame:
     stops = np.maximum.reduceat(stop, first) if len(first) else stop
     doc, start = doc[first], start[first]
     return pd.DataFrame(
-        {"kind": np.int8(SETTLED), "key1": key1[doc], "key2": key2[doc], "start": start.astype(np.int32), "stop": stops.astype(np.int32), "unit": np.int64(0), "seg": np.int64(0)}
+        {"kind": np.int8(SETTLED), "key1": key1[doc], "key2": key2[doc], "start": start.astype(np.int32), "stop": stops.astype(np.int32), "unit": np.int64(0), "seg": np.int64(0), "at": np.int32(0)}
     )
 
 
@@ -146,11 +169,19 @@ def cut(items_of: Callable, shape: Shape, n_buckets: int, earlier: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sizes = frame["text"].str.len().fillna(0).to_numpy(dtype=np.int64)
-            for lo, hi in batches_of(sizes):
+            for lo, hi in batches_of(sizes, CHUNK_ITEMS):
                 part = frame.iloc[lo:hi].sort_values("key1", kind="stable")
                 key1, key2 = part["key1"].to_numpy(), part["key2"].to_numpy()
-                items, starts = items_of(part["text"].tolist())
-                anchor, seg, doc, start, extra = shape.segments(items, starts)
+                texts = part["text"].tolist()
+                found = []
+                # Small steps: the arrays of one step stay in the processor's cache.
+                for a, b in batches_of([len(t or "") for t in texts], STEP_ITEMS):
+                    step = shape.segments(*items_of(texts[a:b]))
+                    step["doc"] = step["doc"] + a
+                    found.append(step)
+                anchor, seg, doc, start, extra, place, near = (
+                    np.concatenate([f[c] for f in found]) for c in ("anchor", "seg", "doc", "start", "extra", "at", "near")
+                )
                 if not len(anchor):
                     continue
                 both = mix64(anchor ^ (seg * BASE))
@@ -173,17 +204,20 @@ def cut(items_of: Callable, shape: Shape, n_buckets: int, earlier: bool):
                 at = order[goes]
                 bucket = (anchor[at] >> np.uint64(32)) % np.uint64(n_buckets)
                 out = np.empty(len(at), SEGMENT)
-                out["anchor"], out["seg"], out["start"] = anchor[at] & np.uint64(0xFFFFFFFF), seg[at], start[at]
-                out["doc"], out["extra"], out["many"] = doc[at], extra[at], size[goes] > 1
-                by = np.argsort(bucket, kind="stable")
+                out["anchor"], out["start"] = anchor[at] & np.uint64(0xFFFFFFFF), start[at]
+                out["seg"], out["more"] = seg[at] & np.uint64(0xFFFFFFFF), (seg[at] >> np.uint64(32)) & np.uint64(0xFFFF)
+                out["extra"], out["at"], out["many"], out["near"] = extra[at], place[at], size[goes] > 1, near[at]
+                # Only documents with a whole window have segments: fewer than 2**16 of a batch.
+                local = doc[at]
+                by = np.argsort(bucket.astype(np.uint16 if n_buckets < 1 << 16 else np.uint64), kind="stable")
+                out, local = out[by], local[by]
                 cuts = np.searchsorted(bucket[by], np.arange(n_buckets + 1, dtype=np.uint64))
                 names = np.stack([key1, key2], axis=1)
                 payloads, buckets = [], []
                 for b in range(n_buckets):
-                    rows = out[by[cuts[b] : cuts[b + 1]]]
+                    rows = out[cuts[b] : cuts[b + 1]]
                     if len(rows):
-                        docs_here, local = np.unique(rows["doc"], return_inverse=True)
-                        rows["doc"] = local
+                        docs_here, rows["doc"] = np.unique(local[cuts[b] : cuts[b + 1]], return_inverse=True)
                         payloads.append(np.int64(len(docs_here)).tobytes() + names[docs_here].tobytes() + rows.tobytes())
                         buckets.append(b)
                 yield pd.DataFrame({"bucket": buckets, "kind": np.zeros(len(buckets), np.int8), "payload": payloads})
@@ -201,63 +235,96 @@ def meet(shape: Shape, n_buckets: int, earlier: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         done = [np.frombuffer(p, settled_type) for p in frame.loc[frame["kind"] == 1, "payload"]]
         outs = [
-            pd.DataFrame({"kind": np.int8(SETTLED), **{c: d[c] for c in settled_type.names}, "unit": np.int64(0), "seg": np.int64(0)})
+            pd.DataFrame({"kind": np.int8(SETTLED), **{c: d[c] for c in settled_type.names}, "unit": np.int64(0), "seg": np.int64(0), "at": np.int32(0)})
             for d in done
         ]
-        names, rows, base = [], [], 0
+        names, rows, docs, base = [], [], [], 0
         for payload in frame.loc[frame["kind"] == 0, "payload"]:
             n = int(np.frombuffer(payload, np.int64, 1)[0])
             names.append(np.frombuffer(payload, np.int64, 2 * n, offset=8).reshape(n, 2))
-            part = np.frombuffer(payload, SEGMENT, offset=8 + 16 * n).copy()
-            part["doc"] += base
+            part = np.frombuffer(payload, SEGMENT, offset=8 + 16 * n)
+            docs.append(part["doc"].astype(np.int64) + base)
             base += n
             rows.append(part)
         if rows:
-            outs += compare(np.concatenate(names), np.concatenate(rows), int(frame["bucket"].iloc[0]))
+            outs += compare(np.concatenate(names), np.concatenate(rows), np.concatenate(docs), int(frame["bucket"].iloc[0]))
         return pd.concat(outs, ignore_index=True)
 
-    def compare(names: np.ndarray, rows: np.ndarray, bucket: int) -> list[pd.DataFrame]:
+    def compare(names: np.ndarray, rows: np.ndarray, doc: np.ndarray, bucket: int) -> list[pd.DataFrame]:
         key1, key2 = names[:, 0], names[:, 1]
-        order = np.lexsort((rows["start"], key2[rows["doc"]], key1[rows["doc"]], rows["seg"], rows["anchor"]))
-        rows = rows[order]
-        own = key1[rows["doc"]]
-        head = np.ones(len(rows), bool)
-        head[1:] = (rows["seg"][1:] != rows["seg"][:-1]) | (rows["anchor"][1:] != rows["anchor"][:-1])
-        segment = np.cumsum(head) - 1
-        top = np.ones(len(rows), bool)
-        top[1:] = rows["anchor"][1:] != rows["anchor"][:-1]
-        group = np.cumsum(top) - 1
-        kinds = np.bincount(group[head])  # different segments of each anchor
+        anchor, seg = rows["anchor"].astype(np.uint64), rows["seg"].astype(np.uint64)
+        seg_id = (seg << np.uint64(16)) | rows["more"]
+        key = (anchor << np.uint64(32)) | seg
+        order = np.argsort(key)
+        sorted_key, sorted_id = key[order], seg_id[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (sorted_key[1:] != sorted_key[:-1]) | (sorted_id[1:] != sorted_id[:-1])
+        top = np.ones(len(order), bool)
+        top[1:] = sorted_key[1:] >> np.uint64(32) != sorted_key[:-1] >> np.uint64(32)
+        heads, tops = np.flatnonzero(head), np.flatnonzero(top)
+        segment, group = np.cumsum(head) - 1, np.cumsum(top) - 1
+        own = key1[doc[order]]
+        kinds = np.bincount(group[heads])  # different segments of each anchor
         if earlier:
-            settled = own > own[head][segment]
-            several = np.maximum.reduceat(own, np.flatnonzero(top)) > np.minimum.reduceat(own, np.flatnonzero(top))
+            least = np.minimum.reduceat(own, heads)
+            settled = own > least[segment]
+            several = (kinds > 1) & (np.maximum.reduceat(own, tops) > np.minimum.reduceat(own, tops))
         else:
-            settled = (np.add.reduceat(rows["many"].astype(int), np.flatnonzero(head)) + np.bincount(segment) > 1)[segment]
+            settled = (np.add.reduceat(rows["many"][order].astype(np.int64), heads) + np.bincount(segment) > 1)[segment]
             several = kinds > 1
         outs = []
         if settled.any():
-            s = rows[settled]
-            outs.append(settled_rows(key1, key2, s["doc"], s["start"].astype(np.int64), s["start"].astype(np.int64) + s["extra"] + shape.length))
-        open_ = (several & (kinds > 1))[group] & (head | ~settled)
-        if open_.any():
+            s = order[settled]
+            start = rows["start"][s].astype(np.int64)
+            outs.append(settled_rows(key1, key2, doc[s], start, start + rows["extra"][s] + shape.length))
+        # A segment is compared if another of its anchor may share a window with it.
+        near = rows["near"][order[heads]]
+        asked = np.flatnonzero(several[group[heads]])
+        alike = np.zeros(len(heads), bool)
+        for side in range(3):
+            value = group[heads[asked]] * 256 + near[asked, side]
+            _, where, times = np.unique(value, return_inverse=True, return_counts=True)
+            alike[asked] |= times[where] > 1
+        # Of each such segment one occurrence is the lead: for ``earlier`` one of the smallest document.
+        open_ = np.flatnonzero(alike[segment] & (~settled if earlier else head))
+        if len(open_):
+            lead = np.ones(len(open_), bool)
+            lead[1:] = segment[open_][1:] != segment[open_][:-1]
             # Segments of a large group are dealt into parts; every pair of parts is a unit.
-            place = np.arange(len(rows)) - np.flatnonzero(top)[group]
-            nth = segment - segment[np.flatnonzero(top)][group]
-            parts = -(-kinds // UNIT_SEGMENTS)
-            r, part, n_parts = rows[open_], (nth // UNIT_SEGMENTS)[open_], parts[group[open_]]
-            twin = np.repeat(np.arange(len(r)), n_parts)
+            nth = np.cumsum(lead) - 1
+            g = group[open_]
+            start_of = np.zeros(len(kinds), np.int64)
+            fresh = np.ones(len(open_), bool)
+            fresh[1:] = g[1:] != g[:-1]
+            start_of[g[fresh]] = nth[fresh]
+            nth -= start_of[g]
+            n_of = np.zeros(len(kinds), np.int64)
+            np.maximum.at(n_of, g, nth + 1)
+            n_parts, part = -(-n_of[g] // shape.unit_segments), nth // shape.unit_segments
+            twin = np.repeat(np.arange(len(open_)), n_parts)
             other = np.arange(len(twin)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
             lo, hi = np.minimum(part[twin], other), np.maximum(part[twin], other)
-            r, lead = r[twin], head[open_][twin]
-            unit = mix64((np.uint64(bucket) << np.uint64(32)) ^ r["anchor"].astype(np.uint64) ^ mix64((lo * 100_003 + hi).astype(np.uint64)))
-            start = r["start"].astype(np.int32)
+            at = order[open_[twin]]
+            unit = mix64((np.uint64(bucket) << np.uint64(32)) ^ anchor[at] ^ mix64((lo * 100_003 + hi).astype(np.uint64)))
+            start = rows["start"][at].astype(np.int32)
             outs.append(
                 pd.DataFrame(
-                    {"kind": np.where(lead, LEAD, FOLLOWER).astype(np.int8), "key1": key1[r["doc"]], "key2": key2[r["doc"]], "start": start,
-                     "stop": start + r["extra"].astype(np.int32) + np.int32(shape.length), "unit": unit.view(np.int64), "seg": r["seg"].view(np.int64)}
+                    {
+                        "kind": np.where(lead[twin], LEAD, FOLLOWER).astype(np.int8),
+                        "key1": key1[doc[at]],
+                        "key2": key2[doc[at]],
+                        "start": start,
+                        "stop": start + rows["extra"][at].astype(np.int32) + np.int32(shape.length),
+                        "unit": unit.view(np.int64),
+                        "seg": seg_id[at].view(np.int64),
+                        "at": rows["at"][at].astype(np.int32),
+                    }
                 )
             )
-        return outs or [pd.DataFrame({"kind": np.zeros(0, np.int8), **{c: np.zeros(0, np.int64) for c in ("key1", "key2")}, **{c: np.zeros(0, np.int32) for c in ("start", "stop")}, **{c: np.zeros(0, np.int64) for c in ("unit", "seg")}})]
+        if not outs:
+            none = np.zeros(0, np.int64)
+            outs.append(settled_rows(none, none, none, none, none))
+        return outs
 
     return run
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,17 +22,17 @@ from .common import buckets_for, kept, mix64, text_bytes
 from .frames import map_rows
 
 LENGTH = 50
-GRAM = 24
+GRAM = 20
 BUCKET_BYTES = 8_000_000
-UNITS_PER_BUCKET = 20_000
+TEXT_SYMBOLS = 1 << 16
 
 BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def lyndon_groups(text: bytes) -> tuple[list[int], list[list[int]]]:
+def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[list[int]]]:
     """Suffixes grouped by longest Lyndon prefix: each suffix's group, and the groups in ascending order.
 
-    Groups start as first bytes and are processed from the largest down.  The previous smaller suffix of a
+    Groups start as first symbols and are processed from the largest down.  The previous smaller suffix of a
     member is found by pointers that skip all that has been processed; it takes the member's prefix
     onto its own and so moves to a new group right above its old one, further up the more
     members point to it.
@@ -41,24 +41,49 @@ def lyndon_groups(text: bytes) -> tuple[list[int], list[list[int]]]:
     if not n:
         return [], []
     first: dict[int, list[int]] = {}
-    for i, byte in enumerate(text):
-        first.setdefault(byte, []).append(i)
+    for i, symbol in enumerate(text):
+        first.setdefault(symbol, []).append(i)
     keys = sorted(first)
     members = [first[k] for k in keys]
     of = [0] * n
     for g, m in enumerate(members):
         for i in m:
             of[i] = g
+    size = [len(m) for m in members]
     below = list(range(-1, len(members) - 1))
     above = list(range(1, len(members) + 1))
     above[-1] = -1
-    done = bytearray(n)
+    done = bytearray(n + 1)  # at -1 stands what is never processed
     pointer = [0] * n
     order = []
     g = len(members) - 1
     while g >= 0:
-        group = members[g] if g < len(keys) else sorted(members[g])
-        group = [i for i in group if of[i] == g]
+        group = members[g]
+        if len(group) == 1:
+            i = group[0]
+            if of[i] == g:
+                order.append(g)
+                done[i] = 1
+                p = i - 1
+                while done[p]:
+                    p = pointer[p]
+                pointer[i] = p
+                if p >= 0:
+                    old = of[p]
+                    if size[old] > 1:  # alone in its group, it stays where it is
+                        size[old] -= 1
+                        of[p] = new = len(members)
+                        members.append([p])
+                        size.append(1)
+                        up = above[old]
+                        above.append(up)
+                        below.append(old)
+                        above[old] = new
+                        if up >= 0:
+                            below[up] = new
+            g = below[g]
+            continue
+        group = sorted([i for i in group if of[i] == g])
         if group:
             members[g] = group
             order.append(g)
@@ -67,32 +92,29 @@ def lyndon_groups(text: bytes) -> tuple[list[int], list[list[int]]]:
             targets = []
             for i in group:
                 p = i - 1
-                while p >= 0 and done[p]:
+                while done[p]:
                     p = pointer[p]
                 pointer[i] = p
                 if p >= 0:
                     targets.append(p)
-            if len(targets) == 1:
+            times = Counter(targets)
+            if len(times) == len(targets):
                 levels = [targets]
-            elif targets:
-                times = Counter(targets)
-                most = max(times.values())
-                if most == 1:
-                    levels = [targets]
-                else:
-                    levels = [[] for _ in range(most)]
-                    for p, k in times.items():
-                        levels[most - k].append(p)
             else:
-                levels = []
+                levels = [[] for _ in range(max(times.values()))]
+                for p, k in times.items():
+                    levels[len(levels) - k].append(p)
             for level in levels:
                 fresh: dict[int, int] = {}
                 for p in level:
                     old = of[p]
                     new = fresh.get(old)
                     if new is None:
+                        if size[old] == 1:
+                            continue
                         new = fresh[old] = len(members)
                         members.append([])
+                        size.append(0)
                         up = above[old]
                         above.append(up)
                         below.append(old)
@@ -101,12 +123,14 @@ def lyndon_groups(text: bytes) -> tuple[list[int], list[list[int]]]:
                             below[up] = new
                     members[new].append(p)
                     of[p] = new
+                    size[old] -= 1
+                    size[new] += 1
         g = below[g]
     order.reverse()
     return of, [members[g] for g in order]
 
 
-def suffix_array(text: bytes) -> list[int]:
+def suffix_array(text: Sequence[int]) -> list[int]:
     """Suffixes of ``text`` in order; a suffix that is a prefix of another comes first.
 
     Second step of the grouping construction: suffixes of one group differ only behind their common
@@ -151,60 +175,92 @@ def byte_items(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return BYTE_VALUE[np.frombuffer(b"".join(parts), dtype=np.uint8)], starts
 
 
-def earlier_windows(contents: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
-    """Per segment the window starts whose string also lies in a segment with a smaller owner."""
-    joined = b"\0".join(contents)
-    sizes = np.array([len(c) for c in contents])
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    order = np.array(suffix_array(joined), dtype=np.int64)
+def earlier_windows(contents: list[np.ndarray], unit: np.ndarray, owners: np.ndarray, at: np.ndarray, length: int, gram: int):
+    """(segment, start) of the windows that a segment of the same unit with a smaller owner also has.
+
+    Each segment is written with one symbol for its unit's anchor, which all segments of the unit have and
+    every window holds, so that windows of different units differ; symbol 0 ends a segment.
+    """
+    written, sizes = [], []
+    for number, (content, place) in enumerate(zip(contents, at)):
+        text = np.empty(len(content) - gram + 2, dtype=np.int64)
+        text[:place] = content[:place]
+        text[place + 1 : -1] = content[place + gram :]
+        text[:-1] += 1
+        text[place], text[-1] = 257 + unit[number], 0
+        written.append(text)
+        sizes.append(len(text))
+    flat = np.concatenate(written)
+    starts = np.cumsum(sizes) - sizes
+    order = np.array(suffix_array(flat.tolist()), dtype=np.int64)
     of = np.searchsorted(starts, order, "right") - 1
-    valid = order + length <= starts[of] + sizes[of]
-    order, of = order[valid], of[valid]
-    flat = np.frombuffer(joined, dtype=np.uint8)
-    same = np.zeros(len(order), bool)
-    for lo in range(1, len(order), 65_536):
-        hi = min(lo + 65_536, len(order))
-        span = np.arange(length)
-        same[lo:hi] = (flat[order[lo:hi, None] + span] == flat[order[lo - 1 : hi - 1, None] + span]).all(axis=1)
-    run = np.flatnonzero(~same)
-    first = np.minimum.reduceat(owners[of], run) if len(run) else np.zeros(0, np.int64)
-    found = first[np.cumsum(~same) - 1] < owners[of]
-    out = [[] for _ in contents]
-    for i, at in zip(of[found], order[found] - starts[of[found]]):
-        out[i].append(at)
-    return [np.array(sorted(x), dtype=np.int64) for x in out]
-
-
-def judge(length: int):
+    inside = order - starts[of]
+    reach = length - gram + 1
+    valid = (inside <= at[of]) & (inside + reach < np.array(sizes)[of])
+    order, of, inside = order[valid], of[valid], inside[valid]
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    span = np.arange(reach)
+    window = flat[order[:, None] + span]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (window[1:] != window[:-1]).any(axis=1)
+    first = np.minimum.reduceat(owners[of], np.flatnonzero(fresh))
+    found = first[np.cumsum(fresh) - 1] < owners[of]
+    return of[found], inside[found]
+
+
+def judge(length: int, gram: int):
     """Units of different segments to settled intervals: for leads and for followers of the same segment."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, unit in frame.groupby("unit", sort=False):
-            leads = unit[(unit["kind"] == seg.LEAD) & unit["content"].notna()].drop_duplicates(["seg", "key1", "key2"])
-            if len(leads) < 2:
-                continue
-            windows = earlier_windows(leads["content"].tolist(), leads["key1"].to_numpy(), length)
-            verdict = {s: w for s, w in zip(leads["seg"], windows) if len(w)}
-            if not verdict:
-                continue
-            for key1, key2, start, s in zip(unit["key1"], unit["key2"], unit["start"], unit["seg"]):
-                w = verdict.get(s)
-                if w is not None:
-                    turn = np.flatnonzero(np.diff(w, prepend=-2) > 1)
-                    stop = w[np.concatenate([turn[1:], [len(w)]]) - 1] + length
-                    out.append(pd.DataFrame({"key1": key1, "key2": key2, "start": start + w[turn], "stop": start + stop}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("key1", "key2", "start", "stop")})
+        leads = frame[(frame["kind"] == seg.LEAD) & frame["content"].notna()]
+        leads = leads.drop_duplicates(["unit", "seg", "key1", "key2"]).sort_values("unit", kind="stable")
+        units = leads["unit"].to_numpy()
+        fresh = np.ones(len(units), bool)
+        fresh[1:] = units[1:] != units[:-1]
+        number = np.cumsum(fresh) - 1
+        contents = [np.frombuffer(c, dtype=np.uint8) for c in leads["content"]]
+        owners, at = leads["key1"].to_numpy(), leads["at"].to_numpy()
+        found_segment, found_start = [], []
+        # Whole units are written into texts of about TEXT_SYMBOLS symbols.
+        edges, held = [0], 0
+        for i, content in enumerate(contents):
+            if fresh[i] and held > TEXT_SYMBOLS:
+                edges.append(i)
+                held = 0
+            held += len(content) - gram + 2
+        edges.append(len(contents))
+        for lo, hi in zip(edges, edges[1:]):
+            if hi - lo > 1:
+                segment, start = earlier_windows(contents[lo:hi], number[lo:hi] - number[lo], owners[lo:hi], at[lo:hi], length, gram)
+                found_segment.append(segment + lo)
+                found_start.append(start)
+        empty = pd.DataFrame({"key1": np.zeros(0, np.int64), "key2": np.zeros(0, np.int64), "start": np.zeros(0, np.int32), "stop": np.zeros(0, np.int32)})
+        if not found_segment:
+            return empty
+        segment, start = np.concatenate(found_segment), np.concatenate(found_start)
+        order = np.lexsort((start, segment))
+        segment, start = segment[order], start[order]
+        turn = np.ones(len(segment), bool)
+        turn[1:] = (segment[1:] != segment[:-1]) | (start[1:] != start[:-1] + 1)
+        first = np.flatnonzero(turn)
+        last = np.concatenate([first[1:], [len(segment)]]).astype(np.int64) - 1
+        verdict = pd.DataFrame(
+            {"unit": units[segment[first]], "seg": leads["seg"].to_numpy()[segment[first]], "from_": start[first], "to": start[last] + length}
+        ).drop_duplicates()
+        hit = frame[["unit", "seg", "key1", "key2", "start"]].merge(verdict, on=["unit", "seg"])
+        return pd.DataFrame(
+            {"key1": hit["key1"], "key2": hit["key2"], "start": (hit["start"] + hit["from_"]).astype(np.int32), "stop": (hit["start"] + hit["to"]).astype(np.int32)}
+        )
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int, gram: int, unit_segments: int) -> tuple[DataFrame, DataFrame]:
     """``docs`` with keys, and (key1, key2, spans): intervals of bytes to remove, of documents that have any."""
     rows = seg.keyed(docs)
-    shape = seg.Shape(length, gram)
-    total = text_bytes(docs)
-    n_buckets = buckets_for(total, BUCKET_BYTES)
+    shape = seg.Shape(length, gram, unit_segments)
+    n_buckets = buckets_for(text_bytes(docs), BUCKET_BYTES)
     # A null id is neither smaller nor larger than another: such rows neither lose nor take anything.
     texts = rows.filter(F.col("doc_id").isNotNull()).select("key1", "key2", "text")
     found = kept(seg.find(texts, byte_items, shape, n_buckets, earlier=True))
@@ -213,18 +269,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
         F.col("kind") == seg.LEAD,
         F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("stop") - F.col("start")),
     )
-    n_units = max(n_buckets, 1)
     judged = (
         asked.join(texts, ["key1", "key2"])
-        .select("kind", "key1", "key2", "start", "unit", "seg", content.alias("content"))
-        .groupBy(F.pmod(F.xxhash64("unit"), F.lit(n_units)).alias("part"))
-        .applyInPandas(judge(length), f"{seg.KEY}, start int, stop int")
+        .select("kind", "key1", "key2", "start", "unit", "seg", "at", content.alias("content"))
+        .groupBy(F.pmod(F.xxhash64("unit"), F.lit(2 * n_buckets)).alias("part"))
+        .applyInPandas(judge(length, gram), f"{seg.KEY}, start int, stop int")
     )
     settled = found.filter(F.col("kind") == seg.SETTLED).select("key1", "key2", "start", "stop")
     return rows, seg.spans_of(settled.union(judged))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, unit_segments: int = seg.UNIT_SEGMENTS
+) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, bytes, if ``with_text``) per row.
 
     A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller
@@ -233,7 +290,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     rows; other columns are not read.
     """
     base = docs.select("doc_id", "text")
-    rows, spans = repeated_spans(base, length, gram)
+    rows, spans = repeated_spans(base, length, gram, unit_segments)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

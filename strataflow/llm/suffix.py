@@ -30,7 +30,7 @@ BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192
 
 
 def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[list[int]]]:
-    """Suffixes grouped by longest Lyndon prefix: each suffix's group, and the groups in ascending order.
+    """Suffixes grouped by longest Lyndon prefix: previous smaller suffixes, and the groups in ascending order.
 
     Groups start as first symbols and are processed from the largest down.  The previous smaller suffix of a
     member is found by pointers that skip all that has been processed; it takes the member's prefix
@@ -127,7 +127,7 @@ def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[list[int]]]:
                     size[new] += 1
         g = below[g]
     order.reverse()
-    return of, [members[g] for g in order]
+    return pointer, [members[g] for g in order]
 
 
 def suffix_array(text: Sequence[int]) -> list[int]:
@@ -138,34 +138,33 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     suffix puts those that have it behind their prefix into the next free places of their groups.
     """
     n = len(text)
-    of, groups = lyndon_groups(text)
-    rank = {}
-    free, at = [], 0
+    previous, groups = lyndon_groups(text)
+    group_of, free, at = [0] * n, [], 0
     for position, group in enumerate(groups):
-        rank[of[group[0]]] = position
+        for i in group:
+            group_of[i] = position
         free.append(at)
         at += len(group)
-    group_of = [rank[g] for g in of]
-    # Next smaller suffix: the first behind with a group not above; n stands for the empty suffix.
-    behind: list[list[int]] = [[] for _ in range(n + 1)]
-    stack: list[int] = []
-    for i in range(n):
-        own = group_of[i]
-        while stack and group_of[stack[-1]] >= own:
-            behind[i].append(stack.pop())
-        stack.append(i)
-    while stack:
-        behind[n].append(stack.pop())
     out = [0] * n
-    for j in behind[n]:
+    # First the suffixes with nothing smaller behind them but the end.
+    j = n - 1
+    while j >= 0:
         g = group_of[j]
         out[free[g]] = j
         free[g] += 1
+        j = previous[j]
     for position in range(n):
-        for j in behind[out[position]]:
+        # Those whose Lyndon prefix ends right before i: i - 1 and its previous smaller ones, down to i's own group.
+        i = out[position]
+        least = group_of[i]
+        j = i - 1
+        while j >= 0:
             g = group_of[j]
+            if g < least:
+                break
             out[free[g]] = j
             free[g] += 1
+            j = previous[j]
     return out
 
 

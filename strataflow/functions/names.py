@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITESPACE = " \t\n\r\f\u000b"
@@ -39,9 +41,33 @@ def parent_well(col: Column) -> Column:
     return F.when(F.size(parts) > 4, F.array_join(F.slice(parts, 1, 4), "_"))
 
 
-def well_matches(col: Column, pattern: str) -> Column:
-    """``*`` and ``%`` are wildcards; a pattern without one is compared for equality,
-    so that the underscores of a canonical name stay literal."""
+def well_matches(col: Column, pattern: str | None) -> Column:
+    """``*`` and ``%`` are wildcards, everything else is literal; None takes every well."""
+    if pattern is None:
+        return F.lit(True)
     if "*" in pattern or "%" in pattern:
-        return col.like(pattern.replace("*", "%"))
+        literal = pattern.replace("\\", "\\\\").replace("_", "\\_")
+        return col.like(literal.replace("*", "%"))
     return col == F.lit(pattern)
+
+
+class WellTables(Mapping):
+    """Tables of which only the rows of matching wells are seen; a table without wells is left whole."""
+
+    def __init__(self, tables: Mapping[str, DataFrame], pattern: str):
+        self.tables, self.pattern = tables, pattern
+
+    def __getitem__(self, name: str) -> DataFrame:
+        df = self.tables[name]
+        return df.filter(well_matches(F.col("well"), self.pattern)) if "well" in df.columns else df
+
+    def __iter__(self):
+        return iter(self.tables)
+
+    def __len__(self):
+        return len(self.tables)
+
+
+def of_well(tables: Mapping[str, DataFrame], pattern: str | None) -> Mapping[str, DataFrame]:
+    """``tables`` cut to the wells that match; all of them for None."""
+    return tables if pattern is None else WellTables(tables, pattern)

@@ -26,8 +26,9 @@ DATED_QUOTES = (
 )
 
 
-def truncate_text(col: Column, n: int) -> Column:
-    return F.substring(col, 1, n)
+def truncate_text(col: Column, n: int | None) -> Column:
+    """The first ``n`` characters, or all for None."""
+    return col if n is None else F.substring(col, 1, n)
 
 
 def missing_sections(text: Column) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.numbers import interval_mid, zscore
 from ..functions.predicates import in_wells, mentions_fishing, mentions_severe, mudlog_quality
 from .intervals import assign_to_window
-from .sizing import checkpointed, sized
 
 
 def top_bottom(df: DataFrame, order: list[Column], reverse: list[Column], k: int = 5) -> DataFrame:
@@ -16,8 +15,6 @@ def top_bottom(df: DataFrame, order: list[Column], reverse: list[Column], k: int
 
     ``order`` must be total and ``reverse`` its exact opposite.  Two top-k sorts, no full sort.
     """
-    df = checkpointed(df)
-    total = df.limit(k + 1).count()
 
     def band(label: str, keys: list[Column]) -> DataFrame:
         # The unpartitioned window numbers the k rows that are left, no more.
@@ -28,8 +25,9 @@ def top_bottom(df: DataFrame, order: list[Column], reverse: list[Column], k: int
             .withColumn("band", F.lit(label))
         )
 
-    top = band("top", order)
-    return top.unionByName(band("bottom", reverse)) if total > k else top
+    # The bottom is shown only if there are more than k rows: the last of k + 1 tells.
+    more = df.limit(k + 1).agg((F.count("*") > k).alias("more")).scalar()
+    return band("top", order).unionByName(band("bottom", reverse).filter(more))
 
 
 def daily_progress(status: DataFrame, wells=None, hole_size_in: float | None = None) -> DataFrame:
@@ -110,7 +108,6 @@ def section_performance(
         )
         .filter(F.col("intervals") >= min_intervals)
     )
-    sections = checkpointed(sections)
     # One row of field statistics as a scalar subquery: nothing is joined.
     field = sections.agg(
         F.struct(
@@ -145,7 +142,7 @@ def formation_window(tops: DataFrame, formation: str, wells=None) -> DataFrame:
     )
     following = (
         tops.select("well", "md_m")
-        .join(sized(picked), "well")
+        .join(picked, "well")
         .groupBy("well", "top_md", "_base")
         .agg(F.min(F.when(F.col("md_m") > F.col("top_md"), F.col("md_m"))).alias("_next"))
     )
@@ -159,7 +156,7 @@ def formation_window(tops: DataFrame, formation: str, wells=None) -> DataFrame:
 
 def rows_in_formation(mudlog: DataFrame, tops: DataFrame, formation: str, wells=None) -> DataFrame:
     """Mudlog intervals wholly inside the formation window of their well."""
-    window = sized(formation_window(tops, formation, wells))
+    window = formation_window(tops, formation, wells)
     return mudlog.join(window, "well").filter(
         (F.col("md_top_m") >= F.col("top_md")) & (F.col("md_bottom_m") <= F.col("base_md"))
     )

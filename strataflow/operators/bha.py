@@ -7,16 +7,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import of_well
 from ..functions.numbers import interval_mid, truthy
 from ..functions.predicates import mentions_bha, mudlog_quality
 from ..functions.text import truncate_text
 from .intervals import around, distinct_points, distinct_probes, nearest_join, nearest_point
-from .ordered import ranked_within, scan
+from .ordered import Cut, ranked_within, scan
 
 
-def bha_runs_list(runs: DataFrame, order: Sequence[str], chunk: dict[str, Column]) -> DataFrame:
+def bha_runs_list(runs: DataFrame, order: Sequence[str], cut: Cut) -> DataFrame:
     """Runs numbered in start order within each well."""
-    return scan(runs, ["well"], chunk, order, total={"run_index": F.lit(1)})
+    return scan(runs, ["well"], cut, order, total={"run_index": F.lit(1)})
 
 
 def filtered_count(mudlog: DataFrame) -> DataFrame:
@@ -179,11 +180,20 @@ def bha_confidence(runs: DataFrame, mudlog: DataFrame, wells: DataFrame) -> Data
     return merged.withColumn("confidence", level)
 
 
-def bha_configurations(tables: Mapping[str, DataFrame], run_order: Sequence[str], run_chunk) -> dict[str, DataFrame]:
+def runs_by_start(runs: DataFrame, tie: Sequence[str] = ("run_name",)) -> DataFrame:
+    """Runs numbered by start time within each well, those without a time last, equal times by ``tie``."""
+    timed = runs.withColumn("_start", F.coalesce(F.col("start_time").cast("string"), F.lit("~")))
+    by_day = Cut(lambda c: F.substring(c, 1, 10))
+    return bha_runs_list(timed, ["_start", *tie], by_day).drop("_start")
+
+
+def bha_configurations(tables: Mapping[str, DataFrame], well: str | None = None) -> dict[str, DataFrame]:
+    """All parts of the report; ``well`` is a name or a pattern, None for every well."""
+    tables = of_well(tables, well)
     mudlog, status = tables["witsml_mudlog"], tables["ddr_status"]
     sections = ddr_section_performance(status)
     return {
-        "runs": bha_runs_list(tables["witsml_bha_runs"], run_order, run_chunk),
+        "runs": runs_by_start(tables["witsml_bha_runs"]),
         "filtered": filtered_count(mudlog),
         "sections": performance_ranking(mudlog_section_stats(mudlog, status)),
         "lithology": lithology_by_section(mudlog, status),

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.activity import classify_time, npt_cause, productive_kind
+from ..functions.names import of_well
 from ..functions.numbers import duration_hrs, truthy
 from ..functions.predicates import in_dates
 from ..functions.text import truncate_text
-from .ordered import day_chunk, scan, upper_median
+from .ordered import BY_DAY_AND_ID, running_counts, scan
 
 
 def timed_activities(activities: DataFrame) -> DataFrame:
@@ -56,13 +57,13 @@ def npt_breakdown(timed: DataFrame) -> DataFrame:
     )
 
 
-def longest_npt_event(timed: DataFrame) -> DataFrame:
-    """Longest downtime row per well, the earliest one on ties."""
+def longest_npt_event(timed: DataFrame, chars: int | None = None) -> DataFrame:
+    """Longest downtime row per well, the earliest one on ties; ``chars`` shortens its comment."""
     npt = timed.filter((F.col("time_class") == "npt") & (F.col("duration_hrs") > 0))
     # Earliest first on ties: the smallest struct starts with the negated hours.
     order = F.struct(-F.col("duration_hrs"), "date", "start_ts", "event_id")
     picked = F.struct(
-        "duration_hrs", "date", "cause", truncate_text(F.col("comments"), 120).alias("comment")
+        "duration_hrs", "date", "cause", truncate_text(F.col("comments"), chars).alias("comment")
     )
     return npt.groupBy("well").agg(F.min_by(picked, order).alias("e")).select("well", "e.*")
 
@@ -98,7 +99,7 @@ def daily_increments(status: DataFrame) -> DataFrame:
     rows = scan(
         status.select("well", "date", "report_no", "md_m"),
         ["well"],
-        day_chunk("report_no"),
+        BY_DAY_AND_ID,
         ["date", "report_no"],
         lag={"prev_md": F.col("md_m")},
     )
@@ -110,19 +111,21 @@ def daily_increments(status: DataFrame) -> DataFrame:
 
 def daily_progress_stats(status: DataFrame) -> DataFrame:
     """Min, max, mean and upper median of the positive daily gains."""
-    gains = daily_increments(status).select("well", "gain_m")
-    basic = gains.groupBy("well").agg(
+    gains = running_counts(daily_increments(status).select("well", "gain_m"), ["well"], "gain_m")
+    return gains.groupBy("well").agg(
         F.min("gain_m").alias("min_gain"),
         F.max("gain_m").alias("max_gain"),
-        F.avg("gain_m").alias("mean_gain"),
-        F.count("*").alias("n_gains"),
+        (F.sum(F.col("gain_m") * F.col("n")) / F.sum("n")).alias("mean_gain"),
+        F.sum("n").alias("n_gains"),
+        F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("gain_m"))).alias("median_gain"),
     )
-    return basic.join(upper_median(gains, ["well"], "gain_m", "median_gain"), "well")
 
 
 def efficiency_metrics(
-    tables: Mapping[str, DataFrame], date_from: str | None = None, date_to: str | None = None
+    tables: Mapping[str, DataFrame], date_from: str | None = None, date_to: str | None = None, well: str | None = None
 ) -> dict[str, DataFrame]:
+    """All parts of the report; ``well`` is a name or a pattern, None for every well."""
+    tables = of_well(tables, well)
     within = in_dates(F.col("date"), date_from, date_to)
     timed = timed_activities(tables["ddr_activities_timed"].filter(within))
     status = tables["ddr_status"].filter(within)

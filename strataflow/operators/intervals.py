@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import interval_mid, truthy
-from .ordered import depth_chunk, scan, union_all
-from .sizing import checkpointed, sized
+from .ordered import by_depth, scan, union_all
 
-# Wide enough to hold many rows, narrow enough that distinct depths in one bin stay few.
-DEPTH_BIN_M = 25.0
+# A well has as many chunks as metres; even of 10**10 distinct depths one chunk holds a few million.
+DEPTH_BIN_M = 1.0
 POINT, PROBE, CLOSE = 0, 1, 2
 
 
@@ -65,7 +64,7 @@ def around(
     scanned = scan(
         merged,
         by,
-        depth_chunk("_pos", width),
+        by_depth(width),
         ["_pos", "_kind"],
         last_known={"before": F.col("_point")} if before else None,
         next_known={"after": F.col("_point")} if after else None,
@@ -111,7 +110,7 @@ def asof_neighbors(
     ordered = scan(
         tops.filter(F.col(position).isNotNull()),
         by,
-        depth_chunk(position, width),
+        by_depth(width),
         [position, tie],
         lag={"_above": F.struct(F.col(name).alias("name"), F.col(position).alias("pos"))},
     ).withColumns(
@@ -225,11 +224,10 @@ def interval_mean(
         .agg(F.sum("_n").alias("_n"), F.sum("_v").cast(fixed).alias("_v"), F.min("_point").alias("_point"))
     )
     asked = distinct_probes(probes, by, probe_position).withColumn("_kind", F.lit(PROBE))
-    # The scan reads its input twice; merged edges are far fewer than the intervals they stand for.
     swept = scan(
-        checkpointed(union_all([events, asked])),
+        union_all([events, asked]),
         by,
-        depth_chunk("_pos", width),
+        by_depth(width),
         ["_pos", "_kind"],
         last_known={"before": F.col("_point")},
         next_known={"after": F.col("_point")},
@@ -287,7 +285,7 @@ def assign_to_window(
             )
         ).alias("_windows")
     )
-    located = rows.withColumn("_at", position).join(sized(per_key), list(by))
+    located = rows.withColumn("_at", position).join(per_key, list(by))
     hit = F.filter("_windows", lambda w: (w["lo"] <= F.col("_at")) & (F.col("_at") <= w["hi"]))
     return (
         located.withColumn("_hit", F.get(hit, F.lit(0)))

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.activity import issue_category
+from ..functions.names import of_well
 from ..functions.numbers import duration_hrs, truthy
 from ..functions.predicates import in_dates, is_issue, is_problem_summary, mudlog_quality
 from ..functions.text import truncate_text
 from .intervals import asof_join, interval_mean
 from .ordered import ranked_within
-from .sizing import checkpointed
 
 def _time_order() -> list[Column]:
     return [F.asc_nulls_last("date"), F.asc_nulls_last("start_ts"), F.asc_nulls_last("event_id")]
@@ -43,16 +43,16 @@ def issue_counts(activities: DataFrame) -> DataFrame:
     )
 
 
-def first_events(issues: DataFrame, k: int = 3, chars: int = 200) -> DataFrame:
-    """First k events of each category."""
+def first_events(issues: DataFrame, k: int | None = 3, chars: int | None = 200) -> DataFrame:
+    """First k events of each category, all for None."""
     return ranked_within(issues, ["well", "category"], _time_order(), k).select(
         "well", "category", "rank_no", "date", "depth_m", "event_id",
         truncate_text(F.coalesce("comments", F.lit("")), chars).alias("comment"),
     )
 
 
-def issue_timeline(issues: DataFrame, k: int = 25, chars: int = 150) -> DataFrame:
-    """First k issues of each well in time order."""
+def issue_timeline(issues: DataFrame, k: int | None = 25, chars: int | None = 150) -> DataFrame:
+    """First k issues of each well in time order, all for None."""
     return ranked_within(issues, ["well"], _time_order(), k).select(
         "well", "rank_no", "date", "depth_m", "category", "event_id",
         duration_hrs(F.col("start_ts"), F.col("end_ts")).alias("duration_hrs"),
@@ -114,10 +114,7 @@ def contributing_factors(
             F.max(density).alias("density_max"),
         )
     )
-    # Both depth lookups and the final join read this: it is computed once.
-    by_depth = checkpointed(
-        issues.filter(truthy(F.col("depth_m"))).groupBy(*key, "depth_m").agg(F.count("*").alias("n"))
-    )
+    by_depth = issues.filter(truthy(F.col("depth_m"))).groupBy(*key, "depth_m").agg(F.count("*").alias("n"))
     rop = rop_at_depths(by_depth, mudlog)
     found = F.when(truthy(F.col("rop_avg_m_per_hr_at")), F.col("n"))
     depths = (
@@ -249,8 +246,8 @@ def issue_trend(issues: DataFrame, by_time: bool = False) -> DataFrame:
     return halves.withColumn("trend", trend)
 
 
-def problem_summaries(status: DataFrame, k: int = 5, chars: int = 200) -> DataFrame:
-    """First k daily summaries per well that speak of a problem."""
+def problem_summaries(status: DataFrame, k: int | None = 5, chars: int | None = 200) -> DataFrame:
+    """First k daily summaries per well that speak of a problem, all for None."""
     order = [F.asc_nulls_last("date"), F.asc_nulls_last("report_no")]
     return ranked_within(status.filter(is_problem_summary()), ["well"], order, k).select(
         "well", "rank_no", "date", "report_no", "md_m", truncate_text(F.col("summary_24hr"), chars).alias("excerpt")
@@ -258,8 +255,10 @@ def problem_summaries(status: DataFrame, k: int = 5, chars: int = 200) -> DataFr
 
 
 def operational_issues(
-    tables: Mapping[str, DataFrame], date_from: str | None = None, date_to: str | None = None
+    tables: Mapping[str, DataFrame], date_from: str | None = None, date_to: str | None = None, well: str | None = None
 ) -> dict[str, DataFrame]:
+    """All parts of the report; ``well`` is a name or a pattern, None for every well."""
+    tables = of_well(tables, well)
     within = in_dates(F.col("date"), date_from, date_to)
     activities = tables["ddr_activities_timed"].filter(within)
     status, fluids = tables["ddr_status"].filter(within), tables["ddr_fluids"].filter(within)

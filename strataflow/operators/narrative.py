@@ -7,15 +7,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import of_well, well_matches
 from ..functions.predicates import in_dates, in_depths
 from ..functions.text import truncate_text
 from .ordered import ranked_within, union_all
 
-# How many entries of each kind a narrative shows.
-SUMMARIES, ACTIVITIES, MESSAGES = 15, 15, 10
 
-
-def _first(rows: DataFrame, kind: str, order: list[Column], k: int) -> DataFrame:
+def _first(rows: DataFrame, kind: str, order: list[Column], k: int | None) -> DataFrame:
     return ranked_within(rows, ["well"], order, k, "ordinal").withColumn("kind", F.lit(kind))
 
 
@@ -26,8 +24,19 @@ def ddr_narrative(
     depth_from: float | None = None,
     depth_to: float | None = None,
     messages: DataFrame | None = None,
+    n_summaries: int | None = 15,
+    n_activities: int | None = 15,
+    n_messages: int | None = 10,
+    chars: int | None = 200,
+    well: str | None = None,
 ) -> DataFrame:
-    """Summaries, activity comments and messages of every well, each kind in time order."""
+    """Summaries, activity comments and messages of every well, each kind in time order.
+
+    The first ``n_...`` entries of each kind, comments cut to ``chars``; None for all.  ``well`` is a name
+    or a pattern (see ``well_matches``).
+    """
+    tables = of_well(tables, well)
+    messages = None if messages is None else messages.filter(well_matches(F.col("well"), well))
 
     def inside(rows: DataFrame, depth: str) -> DataFrame:
         return rows.filter(
@@ -37,7 +46,7 @@ def ddr_narrative(
     summaries = inside(tables["ddr_status"], "md_m").filter(F.col("summary_24hr").isNotNull())
     comments = inside(tables["ddr_activities"], "depth_m").filter(F.length("comments") >= 20)
     parts = [
-        _first(summaries, "summary", [F.asc_nulls_last("date"), F.asc("report_no")], SUMMARIES).select(
+        _first(summaries, "summary", [F.asc_nulls_last("date"), F.asc("report_no")], n_summaries).select(
             "well", "kind", "ordinal", "date", F.col("md_m").alias("depth_m"), "hole_diameter_in",
             F.col("summary_24hr").alias("text"),
             *[F.col(c) for c in ("forecast_24hr",) if c in summaries.columns],
@@ -46,10 +55,10 @@ def ddr_narrative(
             comments,
             "activity",
             [F.asc_nulls_last("date"), F.asc_nulls_last("start_ts"), F.asc("event_id")],
-            ACTIVITIES,
+            n_activities,
         ).select(
             "well", "kind", "ordinal", "date", "depth_m", "activity_code", "state", "state_detail",
-            truncate_text(F.col("comments"), 200).alias("text"),
+            truncate_text(F.col("comments"), chars).alias("text"),
         ),
     ]
     if messages is not None:
@@ -62,7 +71,7 @@ def ddr_narrative(
         with_text = summaries.select("well").union(comments.select("well")).distinct()
         kept = kept.join(with_text, "well", "left_semi")
         parts.append(
-            _first(kept, "message", [F.asc_nulls_last("timestamp"), F.asc_nulls_last("message_text")], MESSAGES).select(
+            _first(kept, "message", [F.asc_nulls_last("timestamp"), F.asc_nulls_last("message_text")], n_messages).select(
                 "well", "kind", "ordinal", F.substring("timestamp", 1, 10).alias("date"),
                 F.col("md_m").alias("depth_m"), F.col("message_text").alias("text"),
             )

@@ -1,31 +1,52 @@
 """Ordered scans that never put a whole key into one task.
 
 A well may own a third of all rows, so ``Window.partitionBy(well)`` is no option for rows.
-Each scan cuts a key into chunks that follow its order.  Rows meet in windows over
-(key, chunk) only; what crosses a chunk border travels through one summary row per chunk,
-and only those summaries are windowed per key.
+Each scan cuts a key into chunks of its own order.  Rows meet in windows over (key, chunk) only; what
+crosses a chunk border travels through one summary row per chunk, and only those summaries are
+windowed per key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ID_BLOCK = 100_000_000
+ID_BLOCK = 1_000_000
 
 
-def id_block(col: str) -> Column:
-    """Block number of a unique non-negative id: no block holds more than ID_BLOCK rows."""
-    return F.floor(F.coalesce(F.col(col), F.lit(0)) / F.lit(ID_BLOCK))
+@dataclass(frozen=True)
+class Cut:
+    """Chunks of an order: its first ``whole`` columns as they are, then ``part`` of the next one.
+
+    ``part`` must never fall while its column rises; then chunks rise with the order, whatever the rows.
+    """
+
+    part: Callable[[Column], Column]
+    whole: int = 0
+
+    def columns(self, order: Sequence[str]) -> list[Column]:
+        return [*[F.col(c) for c in order[: self.whole]], self.part(F.col(order[self.whole]))]
+
+
+# (date, unique id): one chunk per date and block of ids.
+BY_DAY_AND_ID = Cut(lambda c: F.floor(c / F.lit(ID_BLOCK)), whole=1)
+# (timestamp, ...): one chunk per hour.
+BY_HOUR = Cut(lambda c: F.date_trunc("hour", c))
+
+
+def by_depth(width: float) -> Cut:
+    """(depth, ...): one chunk per ``width`` metres."""
+    return Cut(lambda c: F.floor(c / F.lit(float(width))))
 
 
 def scan(
     df: DataFrame,
     by: Sequence[str],
-    chunk: dict[str, Column],
+    cut: Cut,
     order: Sequence[str],
     *,
     lag: dict[str, Column] | None = None,
@@ -36,14 +57,15 @@ def scan(
 ) -> DataFrame:
     """Add columns that depend on the order of rows within a key.
 
-    ``chunk`` columns must rise with ``order``; ``order`` must be unique and not NULL.
+    Chunks are cut from ``order``, which must be unique and not NULL; a NULL key is a key like any.
     lag / lead: value of the neighbouring row.  last_known / next_known: nearest non-NULL value
     strictly before / after the row.  total: running sum up to and including the row.
     """
     lag, lead, total = lag or {}, lead or {}, total or {}
     last_known, next_known = last_known or {}, next_known or {}
-    marks = [f"_c_{name}" for name in chunk]
-    df = df.withColumns(dict(zip(marks, chunk.values())))
+    chunks = cut.columns(order)
+    marks = [f"_c_{i}" for i in range(len(chunks))]
+    df = df.withColumns(dict(zip(marks, chunks)))
     position = F.struct(*[F.col(c) for c in order])
 
     rows = Window.partitionBy(*by, *marks)
@@ -94,7 +116,12 @@ def scan(
             for n in total
         ],
     )
-    joined = df.withColumns(local).join(carried, [*by, *marks], "left")
+    rows_, keys_ = df.withColumns(local), [*by, *marks]
+    side = carried.select(*[F.col(c).alias(f"_j_{c}") for c in keys_], *[c for c in carried.columns if c.startswith("_k_")])
+    same = F.lit(True)
+    for c in keys_:
+        same = same & F.col(c).eqNullSafe(F.col(f"_j_{c}"))
+    joined = rows_.join(side, same, "left")
 
     def near(name: str) -> Column:
         return F.coalesce(F.col(f"_l_{name}"), F.col(f"_k_{name}"))
@@ -107,58 +134,66 @@ def scan(
             for n in total
         }
     )
-    hidden = [*marks, *local, *[c for c in carried.columns if c.startswith("_k_")]]
+    hidden = [*marks, *local, *[c for c in side.columns if c.startswith(("_k_", "_j_"))]]
     return joined.withColumns(added).drop(*hidden)
 
 
-def day_chunk(tie: str) -> dict[str, Column]:
-    """Chunks of a date-ordered key: one per day, and per block of the tie-breaking id."""
-    return {"day": F.col("date"), "block": id_block(tie)}
-
-
-def depth_chunk(position: str, width: float) -> dict[str, Column]:
-    return {"bin": F.floor(F.col(position) / F.lit(float(width)))}
-
-
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def ranked_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "rank_no") -> DataFrame:
-    """First k rows per key.  Spark cuts to k per map task before it shuffles."""
+def ranked_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | None, name: str = "rank_no") -> DataFrame:
+    """First k rows per key, or all of them numbered.  Spark cuts to k per map task before it shuffles."""
     window = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
+    numbered = df.withColumn(name, F.row_number().over(window))
+    return numbered if k is None else numbered.filter(F.col(name) <= k)
 
 
-def upper_median(df: DataFrame, by: Sequence[str], value: str, out: str = "median", bins: int = 4096) -> DataFrame:
-    """``sorted(values)[n // 2]`` per key without gathering the values of a key.
+def value_range(value: Column, per_doubling: int = 256) -> Column:
+    """Number of a value's range; never falls while the value rises.
 
-    Equal values are counted first; a histogram over the value range finds the bin that holds
-    the middle, and only that bin's distinct values are ordered.
+    Ranges are relative (``per_doubling`` to a factor of two, either sign), so one huge value leaves the
+    others spread as they were.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    span = counted.groupBy(*by).agg(
-        F.min(value).alias("_lo"),
-        F.max(value).alias("_hi"),
-        F.floor(F.sum("_n") / 2).alias("_mid"),
-    )
-    share = (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    binned = counted.join(span, list(by)).withColumn(
-        "_bin", F.coalesce(F.floor(share * F.lit(bins)), F.lit(0))
+    v = value.cast("double")
+    size = F.floor(F.log2(F.greatest(F.abs(v), F.lit(1e-300))) * per_doubling).cast("long") + 1_000 * per_doubling
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
+
+
+def running_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Per key and distinct value: ``n`` rows, ``upto`` rows of no larger value, ``total`` rows of the key.
+
+    Equal values are counted first.  Ranges of values carry the counts before them, and values are
+    ordered inside their range only, so no task holds the values of a key.
+    """
+    counted = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*by, value)
+        .agg(F.count("*").alias("n"))
+        .withColumn("_range", value_range(F.col(value)))
     )
-    bin_window = Window.partitionBy(*by).orderBy("_bin")
-    middle_bin = (
-        binned.groupBy(*by, "_bin")
-        .agg(F.sum("_n").alias("_in_bin"), F.first("_mid").alias("_middle"))
-        .withColumn("_upto", F.sum("_in_bin").over(bin_window))
-        .filter((F.col("_upto") > F.col("_middle")) & (F.col("_upto") - F.col("_in_bin") <= F.col("_middle")))
-        .select(*by, "_bin", (F.col("_middle") - F.col("_upto") + F.col("_in_bin")).alias("_rest"))
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        counted.groupBy(*by, "_range")
+        .agg(F.sum("n").alias("_n"))
+        .select(
+            *by,
+            "_range",
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+            F.sum("_n").over(whole).alias("total"),
+        )
     )
-    inner = Window.partitionBy(*by).orderBy(value)
+    inside = Window.partitionBy(*by, "_range").orderBy(value)
     return (
-        binned.join(middle_bin, [*by, "_bin"])
-        .withColumn("_cum", F.sum("_n").over(inner))
-        .filter(F.col("_cum") > F.col("_rest"))
-        .groupBy(*by)
-        .agg(F.min(value).alias(out))
+        counted.withColumn("_inside", F.sum("n").over(inside))
+        .join(ranges, [*by, "_range"])
+        .withColumn("upto", F.col("_before") + F.col("_inside"))
+        .drop("_range", "_before", "_inside")
     )
+
+
+def upper_median(df: DataFrame, by: Sequence[str], value: str, out: str = "median") -> DataFrame:
+    """``sorted(values)[n // 2]`` per key without gathering the values of a key."""
+    middle = F.col("upto") > F.floor(F.col("total") / 2)
+    return running_counts(df, by, value).filter(middle).groupBy(*by).agg(F.min(value).alias(out))

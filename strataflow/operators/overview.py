@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import of_well
 from ..functions.numbers import truthy
 from .ordered import union_all
 
@@ -103,8 +105,9 @@ def formation_column(tops: DataFrame, wells: list[str] | None = None) -> DataFra
     return rows.orderBy(F.asc_nulls_last("well"), F.asc_nulls_last("md_m"))
 
 
-def well_overview(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """All parts of the overview, each a DataFrame over all wells."""
+def well_overview(tables: Mapping[str, DataFrame], well: str | None = None) -> dict[str, DataFrame]:
+    """All parts of the overview, each a DataFrame over the wells that match ``well``, all for None."""
+    tables = of_well(tables, well)
     return {
         "summary": well_summary(tables["ddr_status"]),
         "hole_sections": hole_sections(tables["ddr_status"]),
@@ -114,11 +117,23 @@ def well_overview(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def run_sql(tables: Mapping[str, DataFrame], text: str, limit: int | None = 200) -> DataFrame:
-    """Ad-hoc SELECT over the tables; at most ``limit`` rows, None for all."""
-    if not text.strip():
+OWN_LIMIT = re.compile(r"(?is)\blimit\s+(all|\d+)(\s+offset\s+\d+)?\s*$")
+
+
+def run_sql(tables: Mapping[str, DataFrame], text: str, cap: int | None = None) -> DataFrame:
+    """Ad-hoc query over the tables, which may be named plainly or in braces.
+
+    ``cap`` limits a SELECT that has no LIMIT of its own; anything else, and everything without
+    ``cap``, is returned whole.
+    """
+    query = text.strip().rstrip(";").strip()
+    if not query:
         raise ValueError("empty query")
-    frames = {name: tables[name] for name in tables if "{" + name + "}" in text}
-    spark = tables[next(iter(frames or tables))].sparkSession
-    out = spark.sql(text.rstrip().rstrip(";"), **frames)
-    return out if limit is None else out.limit(limit)
+    frames = {name: tables[name] for name in tables if "{" + name + "}" in query}
+    plain = [name for name in tables if re.search(rf"(?<![{{\w]){name}(?![}}\w])", query)]
+    spark = tables[next(iter([*frames, *plain, *tables]))].sparkSession
+    for name in plain:
+        tables[name].createOrReplaceTempView(name)
+    out = spark.sql(query, **frames)
+    capped = cap is not None and query.lower().startswith("select") and not OWN_LIMIT.search(query)
+    return out.limit(cap) if capped else out

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.activity import PHASE_LABELS, classify_phase
+from ..functions.names import of_well
 from ..functions.numbers import hole_section_name, truthy
 from ..functions.predicates import in_dates
 from ..functions.text import truncate_text
-from .ordered import day_chunk, scan, union_all
+from .ordered import BY_DAY_AND_ID, scan, union_all
 from .overview import share_of_well
-from .sizing import checkpointed
 
 
 def hole_phases(status: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def hole_phases(status: DataFrame) -> DataFrame:
     sizes = scan(
         rows.filter(truthy(F.col("hole_diameter_in"))),
         ["well"],
-        day_chunk("report_no"),
+        BY_DAY_AND_ID,
         ["date", "report_no"],
         lag={"prev_hole": F.col("hole_diameter_in")},
     )
@@ -37,11 +37,10 @@ def hole_phases(status: DataFrame) -> DataFrame:
         .agg(F.max_by(F.struct("date", "report_no", "md_m"), F.struct("date", "report_no")).alias("r"))
         .select("well", "r.*", F.lit(1).alias("is_end"))
     )
-    # A scan reads its input twice; phase starts are few, so they are kept rather than found again.
     marked = scan(
-        checkpointed(union_all([starts, ends])),
+        union_all([starts, ends]),
         ["well"],
-        day_chunk("report_no"),
+        BY_DAY_AND_ID,
         ["date", "report_no", "is_end"],
         lead={"_next": F.struct("date", "md_m")},
         total={"phase_no": F.lit(1)},
@@ -101,10 +100,14 @@ def _daily_calendar(status: DataFrame, activities: DataFrame) -> DataFrame:
     )
 
 
-def phase_details(phases: DataFrame, status: DataFrame, activities: DataFrame) -> DataFrame:
-    """Report days, casing point, activity mix, problems and first summary of each phase."""
-    # Read by two joins; one row per well and day.
-    days = checkpointed(_daily_calendar(status, activities))
+def phase_details(
+    phases: DataFrame, status: DataFrame, activities: DataFrame, chars: int | None = None
+) -> DataFrame:
+    """Report days, casing point, activity mix, problems and first summary of each phase.
+
+    ``chars`` shortens the summary.
+    """
+    days = _daily_calendar(status, activities)
     counted = [c.removeprefix("upto_") for c in days.columns if c.startswith("upto_")]
     opening = days.select(
         "well",
@@ -139,7 +142,7 @@ def phase_details(phases: DataFrame, status: DataFrame, activities: DataFrame) -
         inside("n_activities").alias("activities"),
         inside("n_problems").alias("problems"),
         F.array_join(shown, ", ").alias("activity_mix"),
-        F.when(F.col("summary_date") <= F.col("end_date"), truncate_text(F.col("summary"), 150)).alias(
+        F.when(F.col("summary_date") <= F.col("end_date"), truncate_text(F.col("summary"), chars)).alias(
             "evidence"
         ),
     )
@@ -150,7 +153,7 @@ def depth_reversals(status: DataFrame, tolerance_m: float = 10.0) -> DataFrame:
     rows = scan(
         status.filter(F.col("md_m").isNotNull()).select("well", "date", "report_no", "md_m"),
         ["well"],
-        day_chunk("report_no"),
+        BY_DAY_AND_ID,
         ["date", "report_no"],
         lag={"from_md": F.col("md_m")},
     )
@@ -211,7 +214,7 @@ def hole_runs(status: DataFrame) -> DataFrame:
     with_prev = scan(
         rows,
         ["well"],
-        day_chunk("report_no"),
+        BY_DAY_AND_ID,
         order,
         lag={"_prev": F.struct(F.col("hole_diameter_in").alias("h"))},
     )
@@ -219,7 +222,7 @@ def hole_runs(status: DataFrame) -> DataFrame:
     numbered = scan(
         with_prev.withColumn("_new", changed.cast("int")).drop("_prev"),
         ["well"],
-        day_chunk("report_no"),
+        BY_DAY_AND_ID,
         order,
         total={"run_no": F.col("_new")},
     )
@@ -234,8 +237,10 @@ def hole_runs(status: DataFrame) -> DataFrame:
 
 
 def drilling_phases(
-    tables: Mapping[str, DataFrame], date_from: str | None = None, date_to: str | None = None
+    tables: Mapping[str, DataFrame], date_from: str | None = None, date_to: str | None = None, well: str | None = None
 ) -> dict[str, DataFrame]:
+    """All parts of the report; ``well`` is a name or a pattern, None for every well."""
+    tables = of_well(tables, well)
     within = in_dates(F.col("date"), date_from, date_to)
     status = tables["ddr_status"].filter(within)
     activities = tables["ddr_activities"].filter(within)

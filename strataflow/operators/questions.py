@@ -10,35 +10,26 @@ from ..functions.predicates import mudlog_quality
 from .benchmarks import mudlog_in_sections
 from .intervals import DEPTH_BIN_M
 from .issues import formation_at
-from .ordered import depth_chunk, scan, union_all
-from .sizing import checkpointed, sized
+from .ordered import by_depth, running_counts, scan, union_all, value_range
 
 
-def rank_wells(per_well: DataFrame, col: str, out: str, bins: int = 4096) -> DataFrame:
+def rank_wells(per_well: DataFrame, col: str, out: str) -> DataFrame:
     """Position of each row by ``col``, largest first, NULL last, ties by well name.
 
-    Rows are ranked inside value bins; the bins, bounded in number, carry the offset.
+    Rows are ranked inside ranges of values; the ranges, bounded in number, carry the offset.
     """
-    per_well = checkpointed(per_well)
-    span = per_well.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi")).alias("s")).scalar()
-    share = (F.col(col) - F.col("_s.lo")) / F.nullif(F.col("_s.hi") - F.col("_s.lo"), F.lit(0.0))
-    # Bin 0 holds the largest values; NULL gets a bin of its own after all others.
-    binned = per_well.withColumn("_s", span).withColumn(
-        "_bin",
-        F.when(F.col(col).isNull(), bins + 1).otherwise(
-            F.coalesce(F.floor((F.lit(1.0) - share) * bins), F.lit(0))
-        ),
-    ).drop("_s")
-    offsets = binned.groupBy("_bin").agg(F.count("*").alias("_n")).withColumn(
-        "_offset",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).drop("_n")
-    inside = Window.partitionBy("_bin").orderBy(F.desc_nulls_last(col), F.asc("well"))
+    # The last range is that of NULL.
+    ranged = per_well.withColumn("_range", F.coalesce(-value_range(F.col(col)), F.lit((1 << 62)).cast("long")))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    )
+    inside = Window.partitionBy("_range").orderBy(F.desc_nulls_last(col), F.asc("well"))
     return (
-        binned.withColumn("_in_bin", F.row_number().over(inside))
-        .join(offsets, "_bin")
-        .withColumn(out, F.col("_in_bin") + F.col("_offset"))
-        .drop("_bin", "_in_bin", "_offset")
+        ranged.withColumn("_inside", F.row_number().over(inside))
+        .join(offsets, "_range")
+        .withColumn(out, F.col("_inside") + F.col("_offset"))
+        .drop("_range", "_inside", "_offset")
     )
 
 
@@ -162,7 +153,7 @@ def run_performance(runs: DataFrame, mudlog: DataFrame, run_id: str = "run_no",
     swept = scan(
         union_all([points, bounds]),
         ["well"],
-        depth_chunk("_pos", width),
+        by_depth(width),
         ["_pos", "_kind"],
         total={
             "n": F.coalesce("_n", F.lit(0)), "wn": F.coalesce("_wn", F.lit(0)),
@@ -220,7 +211,7 @@ def section_means(sectioned: DataFrame) -> DataFrame:
 def hard_intervals(mudlog: DataFrame, status: DataFrame, sigmas: float = 1.0) -> DataFrame:
     """Intervals with high weight and torque for their section, yet below half its mean ROP."""
     rows = mudlog_in_sections(mudlog, status)
-    means = sized(section_means(rows))
+    means = section_means(rows)
     joined = rows.join(means, ["well", "hole_diameter_in"])
     return joined.filter(
         (F.col("wob_avg_kN") > F.col("wob_mean") + sigmas * F.col("wob_sd"))
@@ -247,54 +238,55 @@ def change_points(mudlog: DataFrame, tops: DataFrame, value: str = "dxc", jump:
 def gas_near_kicks(activities: DataFrame, mudlog: DataFrame, tolerance_m: float = 10.0, width: float = 1.0) -> DataFrame:
     """Well-control activities with the highest methane within ``tolerance_m`` of their depth.
 
-    Methane is reduced to one maximum per metre, so a depth meets a fixed number of bins.
+    Readings are reduced to the highest of each depth, and to the highest of each metre.  Metres that lie
+    within reach as a whole are answered by their maximum; in the two or three that are cut by the
+    reach, every depth is measured.
     """
-    bins = (
+    mid = interval_mid(F.col("md_top_m"), F.col("md_bottom_m"))
+    points = (
         mudlog.filter(F.col("methane_avg_ppm").isNotNull())
-        .groupBy("well", F.floor(interval_mid(F.col("md_top_m"), F.col("md_bottom_m")) / width).alias("bin"))
+        .groupBy("well", mid.alias("mid"))
         .agg(F.max("methane_avg_ppm").alias("peak"))
+        .withColumn("bin", F.floor(F.col("mid") / width))
     )
-    reach = int(tolerance_m // width)
+    bins = points.groupBy("well", "bin").agg(F.max("peak").alias("peak"))
     kicks = activities.filter(F.col("activity_code").startswith("well_control") & truthy(F.col("depth_m")))
-    depths = kicks.select("well", F.floor(F.col("depth_m") / width).alias("at")).distinct()
-    near = (
-        depths.withColumn("bin", F.explode(F.sequence(F.col("at") - reach, F.col("at") + reach)))
-        .join(bins, ["well", "bin"])
-        .groupBy("well", "at")
-        .agg(F.max("peak").alias("max_ch4"))
+    lowest, highest = (F.floor((F.col("depth_m") + F.lit(side * tolerance_m)) / width) for side in (-1, 1))
+    asked = kicks.select("well", "depth_m").distinct().select(
+        "well", "depth_m", F.explode(F.sequence(lowest - 1, highest + 1)).alias("bin")
     )
-    return (
-        kicks.select("event_id", "well", "date", "depth_m", F.floor(F.col("depth_m") / width).alias("at"))
-        .join(near, ["well", "at"], "left")
-        .drop("at")
+    start, stop = F.col("bin") * width, (F.col("bin") + 1) * width
+    # A metre counts as whole only with some room, so that rounding never decides.
+    inside = (start >= F.col("depth_m") - tolerance_m + 1e-6) & (stop <= F.col("depth_m") + tolerance_m - 1e-6)
+    whole = asked.filter(inside).join(bins, ["well", "bin"]).select("well", "depth_m", "peak")
+    edges = (
+        asked.filter(~inside)
+        .join(points, ["well", "bin"])
+        .filter(F.abs(F.col("mid") - F.col("depth_m")) <= tolerance_m)
+        .select("well", "depth_m", "peak")
     )
+    near = whole.union(edges).groupBy("well", "depth_m").agg(F.max("peak").alias("max_ch4"))
+    return kicks.select("event_id", "well", "date", "depth_m").join(near, ["well", "depth_m"], "left")
 
 
 def npt_vs_production(breakdown: DataFrame, production: DataFrame) -> DataFrame:
     """Downtime share beside cumulative oil, and their correlation over the producing wells."""
-    both = checkpointed(breakdown.select("well", "npt_pct").join(production.select("well", "cum_oil"), "well"))
+    both = breakdown.select("well", "npt_pct").join(production.select("well", "cum_oil"), "well")
     overall = both.agg(F.corr("npt_pct", "cum_oil").alias("c")).scalar()
     return both.withColumn("field_corr", overall)
 
 
 def rop_percentiles(mudlog: DataFrame, status: DataFrame) -> DataFrame:
-    """P10, P50 and P90 of ROP per section by rank: the smallest value with that share at or below it.
+    """P10, P50 and P90 of ROP per section by rank: the smallest value with that share at or below it."""
+    key = ["well", "hole_diameter_in"]
+    counts = running_counts(mudlog_in_sections(mudlog, status).select(*key, "rop_avg_m_per_hr"), key, "rop_avg_m_per_hr")
 
-    Values are counted per 0.1 m/h step first; the ranking runs over at most 2,001 steps a section.
-    """
-    rows = mudlog_in_sections(mudlog, status)
-    steps = rows.groupBy(
-        "well", "hole_diameter_in", F.ceil(F.col("rop_avg_m_per_hr") * 10).alias("step")
-    ).agg(F.count("*").alias("n"))
-    key = Window.partitionBy("well", "hole_diameter_in")
-    upto = key.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    share = steps.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(key))
-
-    def percentile(p: float, name: str):
-        return (F.min(F.when(F.col("share") >= p, F.col("step"))) / 10.0).alias(name)
-
-    return share.groupBy("well", "hole_diameter_in").agg(
-        F.sum("n").alias("intervals"), percentile(0.1, "p10"), percentile(0.5, "p50"), percentile(0.9, "p90")
+    def percentile(percent: int, name: str):
+        reached = F.col("upto") * 100 >= F.col("total") * percent
+        return F.min(F.when(reached, F.col("rop_avg_m_per_hr"))).alias(name)
+
+    return counts.groupBy(*key).agg(
+        F.sum("n").alias("intervals"), percentile(10, "p10"), percentile(50, "p50"), percentile(90, "p90")
     )
 
 

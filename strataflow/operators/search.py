@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import well_matches
 from ..functions.predicates import in_dates
 from .ordered import ranked_within, union_all
 
-MAX_QUERY_VECTORS = 1_000
-
 
 def keywords(text: str) -> list[str]:
     """Lower-case words of more than two characters."""
@@ -57,8 +56,7 @@ def keyword_search(
     The queries are literals, so each text is read once and tested in place; no join.
     A query without a usable keyword matches every text.
     """
-    if well is not None:
-        docs = docs.filter(F.col("well").like(well.replace("*", "%")))
+    docs = docs.filter(well_matches(F.col("well"), well))
     docs = docs.filter(in_dates(F.col("date"), date_from, date_to)) if date_from or date_to else docs
     lowered = F.lower("text")
 
@@ -92,38 +90,59 @@ def semantic_search(
     doc_id: str = "doc_id",
     query_id: str = "query_id",
     vector: str = "embedding",
+    well: str | None = None,
+    date_from: str | None = None,
+    date_to: str | None = None,
+    slices: int = 16,
+    query_blocks: int = 1,
 ) -> DataFrame:
-    """Exact cosine top-k per query vector.
+    """Exact cosine top-k per query vector, over the documents of the wells and dates asked for.
 
-    The query side is counted before it is shipped to the tasks.  Each Arrow batch is one matrix
-    product and hands on its own k best rows per query, so the final ranking sees few rows.
+    Documents are dealt into ``slices`` and queries into ``query_blocks`` by hash; every pair of a slice and a
+    block is one task's work: matrix products that hand on k rows per query.  Neither side goes
+    through the driver; more slices or blocks make the tasks smaller.
     """
-    wanted = queries.select(query_id, vector).limit(MAX_QUERY_VECTORS + 1).collect()
-    if len(wanted) > MAX_QUERY_VECTORS:
-        raise ValueError(f"more than {MAX_QUERY_VECTORS} query vectors: search in several calls")
-    ids = [row[0] for row in wanted]
-    matrix = np.array([row[1] for row in wanted], dtype="float64").reshape(len(ids), -1)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-    def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty or not ids:
-                continue
-            block = np.stack(pdf[vector].to_numpy()).astype("float64")
-            length = np.linalg.norm(block, axis=1, keepdims=True)
-            block = np.divide(block, length, out=np.zeros_like(block), where=length > 0)
-            cosine = unit @ block.T
-            docs_in = pdf[doc_id].to_numpy()
-            for q, row in enumerate(cosine):
-                # Keep every row as close as the k-th, so that ties are settled by id later.
-                cut = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                at = np.flatnonzero(row >= cut)
-                yield pd.DataFrame({query_id: ids[q], doc_id: docs_in[at], "cosine": row[at]})
+    if well is not None:
+        docs = docs.filter(well_matches(F.col("well"), well))
+    if date_from is not None or date_to is not None:
+        docs = docs.filter(in_dates(F.col("date"), date_from, date_to))
+
+    def unit(pdf: pd.DataFrame) -> np.ndarray:
+        rows = np.stack(pdf["v"].to_numpy()).astype("float64")
+        length = np.linalg.norm(rows, axis=1, keepdims=True)
+        return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+    def best_of(asked: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or pdf.empty:
+            return pd.DataFrame({"q": asked["q"].iloc[:0], "d": pdf["d"].iloc[:0], "cosine": np.zeros(0)})
+        block, ids, out = unit(pdf), pdf["d"].to_numpy(), []
+        for lo in range(0, len(asked), 256):
+            part = asked.iloc[lo : lo + 256]
+            for q, row in zip(part["q"], unit(part) @ block.T):
+                # Every row as close as the k-th stays, so that ties are settled by id later.
+                edge = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                at = np.flatnonzero(row >= edge)
+                at = at[np.lexsort((ids[at], -row[at]))[:k]]
+                out.append(pd.DataFrame({"q": q, "d": ids[at], "cosine": row[at]}))
+        return pd.concat(out, ignore_index=True)
+
+    def dealt(df: DataFrame, id_: str, name: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        return df.filter(F.col(vector).isNotNull()).select(
+            F.col(id_).alias(name),
+            F.col(vector).alias("v"),
+            F.pmod(F.xxhash64(id_), F.lit(n_own)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other),
+        )
 
     kinds = dict(docs.dtypes), dict(queries.dtypes)
-    schema = f"{query_id} {kinds[1][query_id]}, {doc_id} {kinds[0][doc_id]}, cosine double"
-    near = docs.select(doc_id, vector).filter(F.col(vector).isNotNull()).mapInPandas(best_of, schema)
+    left = dealt(queries, query_id, "q", "block", query_blocks, "slice", slices)
+    right = dealt(docs, doc_id, "d", "slice", slices, "block", query_blocks)
+    near = (
+        left.groupBy("slice", "block")
+        .cogroup(right.groupBy("slice", "block"))
+        .applyInPandas(best_of, f"q {kinds[1][query_id]}, d {kinds[0][doc_id]}, cosine double")
+        .select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "cosine")
+    )
     return ranked_within(near, [query_id], [F.desc("cosine"), F.asc(doc_id)], k).withColumn(
         "relevance", F.greatest(F.lit(0.0), F.col("cosine"))
     )
@@ -132,9 +151,6 @@ def semantic_search(
 def search_with_fallback(docs: DataFrame, query: str, embed=None, k: int = 10, **filters) -> DataFrame:
     """Vector search where the table has embeddings and a query can be embedded, else keywords."""
     if "embedding" in docs.columns and embed is not None:
-        if filters.get("well") is not None:
-            docs = docs.filter(F.col("well") == filters["well"])
-        docs = docs.filter(in_dates(F.col("date"), filters.get("date_from"), filters.get("date_to")))
         one = docs.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("text"))
-        return semantic_search(docs, one.withColumn("embedding", embed("text")), k)
+        return semantic_search(docs, one.withColumn("embedding", embed("text")), k, **filters)
     return keyword_search(docs, [query], k, **filters)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import bha as h
 from ..operators import intervals as iv
 from ..operators import issues as i
-from ..operators import ordered
 from ..operators.formation import tops_or_parent
 from .benchmark_queries import QUALITY, QUALITY_TORQUE
 from .registry import query, rounded
@@ -150,10 +149,10 @@ def parent_fallback(t):
 @query(
     "t6_bha_runs_list",
     ["witsml_bha_runs"],
-    "select *, row_number() over (partition by well order by run_no) as run_index from witsml_bha_runs",
+    "select *, row_number() over (partition by well order by start_time nulls last, run_no) as run_index from witsml_bha_runs",
 )
 def bha_runs_list(t):
-    return h.bha_runs_list(t["witsml_bha_runs"], ["run_no"], {"block": ordered.id_block("run_no")})
+    return h.runs_by_start(t["witsml_bha_runs"], ["run_no"])
 
 
 @query(

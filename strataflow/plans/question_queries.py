@@ -140,9 +140,9 @@ def change_points(t):
 @query(
     "x10_gas_near_kicks",
     ["ddr_activities", "witsml_mudlog"],
-    """, b as (select well, cast(floor((coalesce(md_top_m, 0) + coalesce(md_bottom_m, 0)) / 2.0) as bigint) as bin, max(methane_avg_ppm) as peak from witsml_mudlog where methane_avg_ppm is not null group by 1, 2),
-k as (select *, cast(floor(depth_m) as bigint) as at_bin from ddr_activities where activity_code like 'well_control%' and depth_m is not null and depth_m <> 0)
-select event_id, k.well, date, round(depth_m, 6) as depth_m, round(max(peak), 6) as max_ch4 from k left join b on b.well = k.well and b.bin between at_bin - 10 and at_bin + 10 group by event_id, k.well, date, depth_m""",
+    """, b as (select well, (coalesce(md_top_m, 0) + coalesce(md_bottom_m, 0)) / 2.0 as mid, max(methane_avg_ppm) as peak from witsml_mudlog where methane_avg_ppm is not null group by 1, 2),
+k as (select * from ddr_activities where activity_code like 'well_control%' and depth_m is not null and depth_m <> 0)
+select event_id, k.well, date, round(depth_m, 6) as depth_m, round(max(peak), 6) as max_ch4 from k left join b on b.well = k.well and abs(mid - depth_m) <= 10 group by event_id, k.well, date, depth_m""",
 )
 def gas_near_kicks(t):
     return rounded(q.gas_near_kicks(t["ddr_activities"], t["witsml_mudlog"]), 6)
@@ -165,10 +165,10 @@ def npt_vs_production(t):
     "x12_rop_percentiles",
     ["ddr_status", "witsml_mudlog"],
     SECTION_CTE
-    + """, c as (select well, hole_diameter_in, ceil(rop_avg_m_per_hr * 10) as step, count(*) as n from hit where pick = 1 group by 1, 2, 3),
-h as (select *, sum(n) over (partition by well, hole_diameter_in order by step rows unbounded preceding) / cast(sum(n) over (partition by well, hole_diameter_in) as double) as share from c)
-select well, hole_diameter_in, cast(sum(n) as bigint) as intervals, min(case when share >= 0.1 then step end) / 10 as p10, min(case when share >= 0.5 then step end) / 10 as p50,
- min(case when share >= 0.9 then step end) / 10 as p90 from h group by well, hole_diameter_in""",
+    + """, c as (select well, hole_diameter_in, rop_avg_m_per_hr as v, row_number() over (partition by well, hole_diameter_in order by rop_avg_m_per_hr) as r,
+ count(*) over (partition by well, hole_diameter_in) as n from hit where pick = 1)
+select well, hole_diameter_in, count(*) as intervals, round(min(case when r * 100 >= n * 10 then v end), 6) as p10, round(min(case when r * 100 >= n * 50 then v end), 6) as p50,
+ round(min(case when r * 100 >= n * 90 then v end), 6) as p90 from c group by well, hole_diameter_in""",
 )
 def rop_percentiles(t):
     return rounded(q.rop_percentiles(t["witsml_mudlog"], t["ddr_status"]), 6)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.sizing import ensure_checkpoint_dir, sized
+from ..operators.sizing import ensure_checkpoint_dir
 from ..schemas import BHA_RUN, GEOLOGY_INTERVAL, MESSAGE, TRAJECTORY_STATION, WELLBORE
 from ..sources import ddr, tables, tabular, witsml
 from .registry import query, rounded
@@ -240,7 +240,7 @@ def bha_runs(t):
  '<bhaRun><name>Run ' || cast(o_orderkey as string) || '</name><dTimStart>' || {DAY} || 'T00:00:00Z</dTimStart><numBitRun>' || cast(o_orderkey % 9 as string) || '</numBitRun>' ||
  case when o_orderkey % 5 = 0 then '' else '<drillingParams><mdHoleStart uom="m">' || cast(o_orderkey % 3500 as string) || '</mdHoleStart><mdHoleStop>' ||
   case when o_orderkey % 4 = 0 then '-999.25' else cast(o_orderkey % 3500 + 250 as string) end || '</mdHoleStop></drillingParams>' end || '</bhaRun>' as xml from {{orders}}"""
-    return witsml.bha_runs(witsml.with_section(_elements(t, text, BHA_RUN, orders="orders"), sized(_sections(t))))
+    return witsml.bha_runs(witsml.with_section(_elements(t, text, BHA_RUN, orders="orders"), _sections(t)))
 
 
 @query(
@@ -260,7 +260,7 @@ select well_dir, section_dir, '<w:geologyInterval xmlns:w="x"><w:mdTop uom="m">'
  cast(l_tax as string) || '</w:dxcAv><w:lithology><w:type>first ' || l_returnflag || '</w:type><w:lithPc>' || cast(l_quantity as string) || '</w:lithPc></w:lithology><w:lithology><w:type>second</w:type></w:lithology>' ||
  case when k % 4 = 0 then '' else '<w:chromatograph><w:methAv>' || cast(l_extendedprice as string) || '</w:methAv></w:chromatograph>' end || '</w:geologyInterval>' as xml from l"""
     rows = _elements(t, text, GEOLOGY_INTERVAL, lineitem="lineitem")
-    return rounded(witsml.mudlog(witsml.with_section(rows, sized(_sections(t)))), 6)
+    return rounded(witsml.mudlog(witsml.with_section(rows, _sections(t))), 6)
 
 
 @query(
@@ -275,7 +275,7 @@ def trajectory(t):
     text = f"""select {IN_SECTION}, l_orderkey as file, l_linenumber as pos, l_partkey as k3, l_suppkey as k4, l_extendedprice as k5,
  '<trajectoryStation><md uom="m">' || case when l_linenumber = 6 then '-999.25' else cast(l_orderkey % 500 as string) end || '</md><tvd>' || cast(l_partkey as string) || '</tvd><incl uom="rad">' || cast(l_tax * 10 as string) ||
  '</incl><azi>' || cast(l_discount * 10 as string) || '</azi><dls>' || cast(l_tax as string) || '</dls><dispNs>-9999</dispNs><dispEw>' || cast(l_extendedprice as string) || '</dispEw></trajectoryStation>' as xml from {{lineitem}}"""
-    rows = witsml.with_section(_elements(t, text, TRAJECTORY_STATION, lineitem="lineitem"), sized(_sections(t)))
+    rows = witsml.with_section(_elements(t, text, TRAJECTORY_STATION, lineitem="lineitem"), _sections(t))
     return rounded(witsml.trajectory(rows, order=["file", "pos", "k3", "k4", "k5"]), 6)
 
 
@@ -286,13 +286,13 @@ _CLEAN = "translate(translate(text, '<>&', '   '), chr(13), ' ')"
     "s14_witsml_messages",
     sql=f"""with {SECTIONS_SQL}, m as (select *, 'W' || cast(doc_id % 26 as varchar) as well_dir, cast(1 + doc_id % 3 as varchar) as section_dir from documents)
 select well, wellbore, '2013-04-' || lpad(cast(1 + doc_id % 28 as varchar), 2, '0') || 'T06:00:00Z' as timestamp, cast(doc_id % 4000 as double) as md_m, source as message_type,
- md5(regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '[^ -~]', '', 'g'), '^\\s+', ''), '\\s+$', '')) as text_md5 from m join sections using (well_dir, section_dir)""",
+ md5(regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '^\\s+', ''), '\\s+$', '')) as text_md5 from m join sections using (well_dir, section_dir)""",
 )
 def messages(t):
     text = """select 'W' || cast(doc_id % 26 as string) as well_dir, cast(1 + doc_id % 3 as string) as section_dir,
  '<message><dTim>2013-04-' || lpad(cast(1 + doc_id % 28 as string), 2, '0') || 'T06:00:00Z</dTim><md>' || cast(doc_id % 4000 as string) || '</md><typeMessage>' || source || '</typeMessage><messageText>' ||
- regexp_replace(translate(translate(text, '<>&', '   '), chr(13), ' '), '[^ -~]', '') || '</messageText></message>' as xml from {documents}"""
-    rows = witsml.messages(witsml.with_section(_elements(t, text, MESSAGE, documents="documents"), sized(_sections(t))))
+ regexp_replace(translate(translate(text, '<>&', '   '), chr(13), ' '), '[\\\\x00-\\\\x08\\\\x0B\\\\x0C\\\\x0E-\\\\x1F]', '') || '</messageText></message>' as xml from {documents}"""
+    rows = witsml.messages(witsml.with_section(_elements(t, text, MESSAGE, documents="documents"), _sections(t)))
     return rows.withColumn("text_md5", F.md5("message_text")).drop("message_text")
 
 

@@ -78,6 +78,41 @@ def semantic_search(t):
     return rounded(search.semantic_search(vectors, means, 10, doc_id="vec_id"), 6)
 
 
+VECTOR_DOCS = "select *, '15_9_F_' || cast(vec_id % 26 as string) as well, case when label % 2 = 0 then '2013-01-0' else '2013-02-0' end || cast(1 + vec_id % 9 as string) as date from {embeddings}"
+VECTOR_SQL = (
+    "with docs as (" + VECTOR_DOCS.replace("{embeddings}", "embeddings") + """), d as (select vec_id, embedding as e from docs where starts_with(well, '15_9_F_1') and date >= '2013-01-03'),
+c as (select vec_id as query_id, embedding as q from embeddings where vec_id % 50 = 0),
+s as (select query_id, vec_id, list_cosine_similarity(cast(e as double[]), cast(q as double[])) as cosine from d cross join c)
+select query_id, vec_id, round(cosine, 6) as cosine, round(greatest(0, cosine), 6) as relevance,
+ cast(row_number() over (partition by query_id order by cosine desc, vec_id) as int) as rank_no from s
+qualify row_number() over (partition by query_id order by cosine desc, vec_id) <= 5"""
+)
+
+
+@query("r2_filtered", sql=VECTOR_SQL)
+def filtered_search(t):
+    """Vector search over the documents of a well pattern from a date on; every fiftieth vector is a query."""
+    docs = t.spark.sql(VECTOR_DOCS, embeddings=t.source("embeddings"))
+    asked = t.source("embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    out = search.semantic_search(docs, asked, 5, doc_id="vec_id", well="15_9_F_1*", date_from="2013-01-03", slices=4, query_blocks=2)
+    return rounded(out, 6)
+
+
+@query(
+    "r3_search_with_vectors",
+    sql="with docs as (" + VECTOR_DOCS.replace("{embeddings}", "embeddings") + """), q as (select list(m order by i) as q from (select i, avg(v) as m from (select generate_subscripts(embedding, 1) as i, unnest(embedding) as v from embeddings) group by i)),
+s as (select vec_id as doc_id, list_cosine_similarity(cast(embedding as double[]), cast(q as double[])) as cosine from docs, q where well = '15_9_F_3')
+select 0 as query_id, doc_id, round(cosine, 6) as cosine, round(greatest(0, cosine), 6) as relevance, cast(row_number() over (order by cosine desc, doc_id) as int) as rank_no from s
+qualify row_number() over (order by cosine desc, doc_id) <= 10""",
+)
+def search_with_vectors(t):
+    """The branch with embeddings: the query's vector is the mean of all vectors."""
+    docs = t.spark.sql(VECTOR_DOCS, embeddings=t.source("embeddings")).withColumnRenamed("vec_id", "doc_id")
+    parts = t.source("embeddings").select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))
+    mean = parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m")).scalar()
+    return rounded(search.search_with_fallback(docs, "any text", embed=lambda text: mean, k=10, well="15_9_F_3"), 6)
+
+
 @query("r3_search_with_fallback", ["ddr_status", "ddr_activities"], DOCS_SQL + search_sql(10).replace("where r <= 10", "where r <= 10 and query_no = 1"))
 def search_with_fallback(t):
     docs = search.search_docs(t["ddr_status"], t["ddr_activities"])
@@ -97,6 +132,31 @@ def ddr_narrative(t):
     return rounded(narrative.ddr_narrative(t), 6)
 
 
+@query(
+    "r4_narrative_of_range",
+    ["ddr_status", "ddr_activities_aligned"],
+    """, s as (select *, row_number() over (partition by well order by date, report_no) as r from ddr_status where summary_24hr is not null and date between '1995-03-01' and '1997-06-30' and md_m between 500 and 2500),
+a as (select *, row_number() over (partition by well order by date, start_ts, event_id) as r from ddr_activities_aligned where length(comments) >= 20 and date between '1995-03-01' and '1997-06-30' and depth_m between 500 and 2500),
+m as (select '15_9_F_' || cast(doc_id % 26 as varchar) as well, doc_id, source, text, '1996-0' || cast(1 + doc_id % 9 as varchar) || '-15T08:00:00' as timestamp, cast(doc_id % 4000 as double) as md_m from documents),
+k as (select *, row_number() over (partition by well order by timestamp, doc_id) as r from m where timestamp >= '1995-03-01' and timestamp <= '1997-06-30T99' and md_m between 500 and 2500
+  and well in (select well from s union select well from a))
+select well, 'summary' as kind, cast(r as int) as ordinal, date, round(md_m, 6) as depth_m, hole_diameter_in, summary_24hr as text, null as activity_code, null as state, null as state_detail from s where starts_with(well, '15_9_F_2')
+union all select well, 'activity', cast(r as int), date, round(depth_m, 6), null, comments, activity_code, state, state_detail from a where r <= 20 and starts_with(well, '15_9_F_2')
+union all select well, 'message', cast(r as int), substr(timestamp, 1, 10), md_m, null, cast(doc_id as varchar), null, null, null from k where r <= 10 and starts_with(well, '15_9_F_2')""",
+)
+def narrative_of_range(t):
+    """A range of dates and depths of a well pattern, all summaries, 20 whole comments, messages."""
+    tables = {"ddr_status": t["ddr_status"], "ddr_activities": t["ddr_activities_aligned"]}
+    messages = t.spark.sql(
+        """select '15_9_F_' || cast(doc_id % 26 as string) as well, '1996-0' || cast(1 + doc_id % 9 as string) || '-15T08:00:00' as timestamp, cast(doc_id % 4000 as double) as md_m,
+ lpad(cast(doc_id as string), 20, '0') as message_text from {documents}""",
+        documents=t.source("documents"),
+    )
+    out = narrative.ddr_narrative(tables, "1995-03-01", "1997-06-30", 500, 2500, messages, n_summaries=None, n_activities=20, chars=None, well="15_9_F_2*")
+    shown = F.when(F.col("kind") == "message", F.regexp_replace("text", "^0+(?=.)", "")).otherwise(F.col("text"))
+    return rounded(out.withColumn("text", shown), 6)
+
+
 # Headings and evidence are put around the conversation texts, so that every branch occurs.
 ANSWERS = """select conv_id, turn, case when (conv_id + turn) % 4 = 0 then '# Answer' || chr(10) || '##Evidence from drilling data' || chr(10) || '## Evidence from Daily Reports' || chr(10)
   || '## Reasoning' || chr(10) || '## Assumptions' || chr(10) || '## Confidence: Medium' || chr(10) || text

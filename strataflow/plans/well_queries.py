@@ -118,7 +118,21 @@ def adhoc_sql(t):
     """select well, report_no, date from ddr_status order by date desc, report_no desc limit 200""",
 )
 def result_cap(t):
-    return o.run_sql(t, "select well, report_no, date from {ddr_status} order by date desc, report_no desc")
+    return o.run_sql(t, "select well, report_no, date from {ddr_status} order by date desc, report_no desc", cap=200)
+
+
+@query("t5_own_limit", ["ddr_status"], "select well, report_no, date from ddr_status order by date, report_no limit 1000")
+def own_limit(t):
+    return o.run_sql(t, "select well, report_no, date from ddr_status order by date, report_no limit 1000;", cap=200)
+
+
+@query(
+    "t5_with_query_uncapped",
+    ["ddr_status"],
+    "select well, date, count(*) as n from ddr_status group by well, date",
+)
+def with_query(t):
+    return o.run_sql(t, "with d as (select well, date from ddr_status) select well, date, count(*) as n from d group by well, date", cap=200)
 
 
 @query(

@@ -24,7 +24,7 @@ def test_scan(spark, seed):
     out = ordered.scan(
         df,
         ["k"],
-        {"day": F.col("day"), "block": F.floor(F.col("id") / 50)},
+        ordered.Cut(lambda c: F.floor(c / 3), whole=1),
         ["day", "id"],
         lag={"prev": F.col("v")},
         lead={"next": F.col("v")},
@@ -45,12 +45,33 @@ def test_scan(spark, seed):
             assert r.upto == i + 1
 
 
-@pytest.mark.parametrize("bins", [1, 3, 4096])
-def test_upper_median(spark, bins):
-    rng = random.Random(bins)
-    data = {"a": [rng.randrange(50) / 4 for _ in range(301)], "b": [1.0, 2.0, 3.0, 4.0], "c": [7.0], "d": [5.0] * 9}
+def test_scan_with_ids_that_do_not_rise_with_time(spark):
+    """Chunks of three rows at most, ids around a block border, a NULL key."""
+    rng = random.Random(5)
+    rows = [(k, t, rng.choice([0, ordered.ID_BLOCK, 5 * ordered.ID_BLOCK]) + i) for k in ("a", None) for i, t in enumerate(rng.sample(range(60), 40))]
+    df = spark.createDataFrame(rows, "k string, t int, id long").withColumn("ts", F.timestamp_seconds(F.col("t") * 600))
+    for cut in (ordered.BY_HOUR, ordered.Cut(lambda c: F.date_trunc("minute", c))):
+        out = ordered.scan(df, ["k"], cut, ["ts", "id"], lead={"next": F.col("t")}, total={"upto": F.lit(1)}).collect()
+        for key in ("a", None):
+            own = sorted((r for r in out if r.k == key), key=lambda r: (r.t, r.id))
+            assert [r.next for r in own] == [r.t for r in own[1:]] + [None]
+            assert [r.upto for r in own] == list(range(1, 41))
+
+
+def test_an_outlier_leaves_values_spread(spark):
+    df = spark.createDataFrame([("a", float(i) / 100) for i in range(5000)] + [("a", 1e9), ("a", 0.0), ("a", -3.0)], "k string, v double")
+    sizes = [r["count"] for r in df.groupBy(ordered.value_range(F.col("v")).alias("r")).count().collect()]
+    assert len(sizes) > 500 and max(sizes) < 50
+    order = [r.r for r in df.withColumn("r", ordered.value_range(F.col("v"))).orderBy("v").collect()]
+    assert order == sorted(order)
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_upper_median(spark, seed):
+    rng = random.Random(seed)
+    data = {"a": [rng.randrange(50) / 4 for _ in range(301)], "b": [1.0, 2.0, 3.0, 4.0], "c": [7.0], "d": [5.0] * 9, "e": [-1e9, -2.0, 0.0, 1e9]}
     df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v double")
-    got = {r.k: r.median for r in ordered.upper_median(df, ["k"], "v", bins=bins).collect()}
+    got = {r.k: r.median for r in ordered.upper_median(df, ["k"], "v").collect()}
     assert got == {k: sorted(v)[len(v) // 2] for k, v in data.items()}
 
 
@@ -110,5 +131,5 @@ def test_assign_to_window(spark):
 
 def test_rank_wells(spark):
     rows = [("a", 3.0), ("b", None), ("c", 9.0), ("d", 3.0), ("e", -1.0)]
-    ranked = rank_wells(spark.createDataFrame(rows, "well string, v double"), "v", "r", bins=4)
+    ranked = rank_wells(spark.createDataFrame(rows, "well string, v double"), "v", "r")
     assert {r.well: r.r for r in ranked.collect()} == {"c": 1, "a": 2, "d": 3, "e": 4, "b": 5}

@@ -225,7 +225,7 @@ def test_ingest_and_operators(spark, ddr_dir, witsml_dir, flat_files, tmp_path):
     parts = [
         overview.well_overview(t), efficiency.efficiency_metrics(t, "2013-01-01", "2013-12-31"), phases.drilling_phases(t),
         issues.operational_issues(t), compare.compare_wells(t, "15_9_F_11_T2", "15_9_F_2"),
-        bha.bha_configurations(t, ["start_time", "run_name"], {"day": F.substring("start_time", 1, 10)}),
+        bha.bha_configurations(t),
     ]
     for part in parts:
         for frame in part.values():
@@ -242,9 +242,20 @@ def test_ingest_and_operators(spark, ddr_dir, witsml_dir, flat_files, tmp_path):
     found = search.search_with_fallback(docs, "Drilled", embed=lambda c: F.array(F.length(c).cast("float"), F.lit(1.0).cast("float")), k=3)
     assert found.count() == 3
     assert overview.table_schema(t, "perforations").count() == 5
-    assert overview.run_sql(t, "select well from {ddr_status};", limit=2).count() == 2
+    assert overview.run_sql(t, "select well from {ddr_status};", cap=2).count() == 2
     with pytest.raises(ValueError):
         overview.run_sql(t, "  ")
+    assert overview.run_sql(t, "select well from ddr_status").count() == 4
+    one = "15_9_F_11*"
+    for parts in (
+        overview.well_overview(t, one), efficiency.efficiency_metrics(t, well=one), phases.drilling_phases(t, well=one),
+        issues.operational_issues(t, well=one), bha.bha_configurations(t, one), {"told": narrative.ddr_narrative(t, well=one)},
+    ):
+        for frame in parts.values():
+            if "well" in frame.columns:
+                assert all(r.well.startswith("15_9_F_11") for r in frame.select("well").distinct().collect())
+    everything = narrative.ddr_narrative(t, n_summaries=None, n_activities=None, chars=None)
+    assert everything.count() == 4 + 3 - t["ddr_status"].filter("summary_24hr is null").count() - t["ddr_activities"].filter("length(comments) < 20 and comments <> ''").count()
 
 
 def test_report_stream(spark, ddr_dir, tmp_path):

@@ -25,7 +25,7 @@ VOLUME = 1.5
 MOST_REPEATS = 2.0
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4_096
-BUCKET_DOCUMENTS = 2_000
+BUCKET_DOCUMENTS = 1_000
 MOST_BUCKETS = 100_000
 SEED = 17
 
@@ -122,7 +122,7 @@ def draws(spark, sources: pd.DataFrame, shard_slots: int, seed: int) -> DataFram
         .withColumn("n", F.least("upto", "slots") - F.col("first"))
         .filter("n > 0")
         .select("source_no", "shard", "first", "n", "blocks")
-        .repartition("source_no", "shard")
+        .repartition(max(n_shards // 16, int(spark.conf.get("spark.sql.shuffle.partitions"))), "source_no", "shard")
     )
 
 

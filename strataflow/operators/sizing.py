@@ -1,13 +1,10 @@
-"""Small join sides: measured before they are broadcast."""
+"""The folder that a cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
+from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -21,20 +18,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="strataflow-")
     context.setCheckpointDir(folder)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute once, keep in the shared folder, cut the lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A side that should be small: computed once, counted, and broadcast only if it is.
-
-    Beyond ``max_rows`` the plain frame is returned and the join shuffles (AQE splits skew).
-    """
-    small = checkpointed(df)
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(small)
-    return small

@@ -31,7 +31,7 @@ RISK_CTE = f"""
 perf as (select well, count(*) as perf_count, max(md_base_m) as deepest_perf_md from perforations group by well),
 risk as (select acts.*, coalesce(perf_count, 0) as perf_count, coalesce(deepest_perf_md, 0) as deepest_perf_md,
    round(severe_mentions*3.0 + well_control*5.0 + fishing_mentions*2.0 + interruptions*cast(0.05 as double)
-     + case when coalesce(perf_count, 0) > 0 then 1.0 else 0.0 end + 1e-9, 4) as risk_score
+     + case when coalesce(perf_count, 0) > 0 then 1.0 else 0.0 end, 6) as risk_score
   from acts left join perf on acts.well = perf.well)
 """
 
@@ -62,7 +62,7 @@ def risk_top_bottom(t):
     ["ddr_status"],
     """, daily as (select well, hole_diameter_in, date, sum(dist_drill_m) as dist_m from ddr_status
   where hole_diameter_in is not null and coalesce(dist_drill_m, 0) > 0 group by all)
-select well, hole_diameter_in, round(avg(dist_m) + 1e-9, 4) as avg_daily_m, count(*) as drilling_days,
+select well, hole_diameter_in, round(avg(dist_m), 6) as avg_daily_m, count(*) as drilling_days,
  round(sum(dist_m), 2) as total_m from daily group by well, hole_diameter_in having count(*) >= 2""",
 )
 def daily_progress_benchmark(t):
@@ -92,11 +92,11 @@ sec as (select well, hole_diameter_in, md_min, md_max, count(*) as intervals, av
     + """, f as (select count(*) as n, avg(avg_wob) as mw, stddev_pop(avg_wob) as sw, avg(avg_torque) as mt,
    stddev_pop(avg_torque) as st, avg(avg_rop) as mr, stddev_pop(avg_rop) as sr from sec)
 select well, hole_diameter_in, round(md_min, 6) as md_min, round(md_max, 6) as md_max, intervals,
- round(avg_rop + 1e-9, 4) as avg_rop, round(avg_wob + 1e-9, 4) as avg_wob, round(avg_torque + 1e-9, 4) as avg_torque,
- round(avg_rpm + 1e-9, 4) as avg_rpm, round(avg_mw + 1e-9, 4) as avg_mw, round(avg_ecd + 1e-9, 4) as avg_ecd, round(avg_ch4 + 1e-9, 4) as avg_ch4,
+ round(avg_rop, 6) as avg_rop, round(avg_wob, 6) as avg_wob, round(avg_torque, 6) as avg_torque,
+ round(avg_rpm, 6) as avg_rpm, round(avg_mw, 6) as avg_mw, round(avg_ecd, 6) as avg_ecd, round(avg_ch4, 6) as avg_ch4,
  round(case when n < 2 or sw = 0 then 0 else (avg_wob - mw) / sw end
   + case when n < 2 or st = 0 then 0 else (avg_torque - mt) / st end
-  - case when n < 2 or sr = 0 then 0 else (avg_rop - mr) / sr end + 1e-9, 4) as difficulty_index
+  - case when n < 2 or sr = 0 then 0 else (avg_rop - mr) / sr end, 6) as difficulty_index
 from sec cross join f""",
 )
 def section_performance(t):
@@ -153,7 +153,7 @@ IN_FORMATION_CTE = FORMATION_CTE + """, inside as (select m.*, top_md, base_md f
     ["formation_tops", "witsml_mudlog"],
     IN_FORMATION_CTE
     + """select well, lith_type, count(*) as intervals, min(md_top_m) as md_min, max(md_bottom_m) as md_max,
- round(avg(rop_avg_m_per_hr) + 1e-9, 4) as avg_rop from inside group by well, lith_type""",
+ round(avg(rop_avg_m_per_hr), 6) as avg_rop from inside group by well, lith_type""",
 )
 def formation_window_join(t):
     rows = b.rows_in_formation(t["witsml_mudlog"], t["formation_tops"], "Hugin")
@@ -174,8 +174,8 @@ def formation_window_join(t):
     + """, lith as (select well, lith_type, row_number() over (partition by well order by count(*) desc, lith_type) as r
   from inside where lith_type is not null group by well, lith_type)
 select i.well, top_md, base_md, count(*) as intervals, round(max(methane_avg_ppm), 6) as max_ch4,
- round(max(ethane_avg_ppm), 6) as max_c2, round(avg(methane_avg_ppm) + 1e-9, 4) as avg_ch4,
- round(coalesce(avg(ethane_avg_ppm), 0) + 1e-9, 4) as avg_c2, coalesce(any_value(lith.lith_type), 'unknown') as dominant_lith
+ round(max(ethane_avg_ppm), 6) as max_c2, round(avg(methane_avg_ppm), 6) as avg_ch4,
+ round(coalesce(avg(ethane_avg_ppm), 0), 6) as avg_c2, coalesce(any_value(lith.lith_type), 'unknown') as dominant_lith
 from inside i left join lith on lith.well = i.well and lith.r = 1
 where methane_avg_ppm is not null group by i.well, top_md, base_md""",
 )
@@ -188,7 +188,7 @@ def gas_response(t):
     "a24_production_summary",
     ["production"],
     """select well, count(*) as prod_days, round(sum(bore_oil_vol), 2) as cum_oil, round(sum(bore_gas_vol), 2) as cum_gas,
- round(sum(bore_wat_vol), 2) as cum_water, round(avg(avg_downhole_pressure) + 1e-9, 4) as avg_pressure
+ round(sum(bore_wat_vol), 2) as cum_water, round(avg(avg_downhole_pressure), 6) as avg_pressure
 from production group by well""",
 )
 def production_summary(t):

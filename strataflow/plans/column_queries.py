@@ -245,7 +245,7 @@ def mid(t):
     "n14_zscore",
     ["production"],
     """, w as (select well, avg(bore_oil_vol) as v from production group by well), s as (select count(*) as n, avg(v) as m, stddev_pop(v) as sd from w)
-select well, round(v + 1e-9, 4) as v, round(case when n < 2 or sd = 0 then 0 else (v - m) / sd end + 1e-9, 4) as z from w cross join s""",
+select well, round(v, 6) as v, round(case when n < 2 or sd = 0 then 0 else (v - m) / sd end, 6) as z from w cross join s""",
 )
 def z(t):
     per_well = t["production"].groupBy("well").agg(F.avg("bore_oil_vol").alias("v"))

@@ -9,7 +9,7 @@ from ..operators import intervals as iv
 from ..operators import issues as i
 from ..operators.formation import tops_or_parent
 from .benchmark_queries import QUALITY, QUALITY_TORQUE
-from .registry import query, rounded
+from .registry import query, rounded, single
 from .well_queries import TIMED
 
 # ------------------------------------------------------------- depth joins
@@ -100,15 +100,12 @@ rop as (select pd.well, pd.depth_m, coalesce(n, 0) as n_containing, coalesce(ins
     "j5_interval_rop",
     ["ddr_activities", "witsml_mudlog"],
     ROP_CTE
-    + "select well, round(depth_m, 6) as depth_m, n_containing, round(rop_at + 1e-9, 4) as rop_avg_m_per_hr_at from rop",
+    + "select well, round(depth_m, 6) as depth_m, n_containing, cast(cast(rop_at as real) as double) as rop_avg_m_per_hr_at from rop",
 )
 def interval_rop(t):
     out = i.rop_at_depths(t["ddr_activities"], t["witsml_mudlog"])
-    return rounded(
-        out.select("well", "depth_m", F.col("n_containing").cast("long").alias("n_containing"), "rop_avg_m_per_hr_at"),
-        4,
-        depth_m=6,
-    )
+    shown = out.select("well", F.round("depth_m", 6).alias("depth_m"), F.col("n_containing").cast("long").alias("n_containing"), "rop_avg_m_per_hr_at")
+    return single(shown, "rop_avg_m_per_hr_at")
 
 
 @query(
@@ -170,25 +167,26 @@ agg as (select well, hole as hole_diameter_in, cast(count(*) as bigint) as inter
   avg(wob_avg_kN) as avg_wob, avg(torque_avg_kNm) as avg_torque, avg(rpm_avg) as avg_rpm, avg(mud_weight_sg) as avg_mw, avg(ecd_sg) as avg_ecd,
   min(rop_avg_m_per_hr) as min_rop, max(rop_avg_m_per_hr) as max_rop from sec group by well, hole)
 """
-_SEC_COLS = """well, hole_diameter_in, intervals, md_min, md_max, round(avg_rop + 1e-9, 4) as avg_rop, round(avg_wob + 1e-9, 4) as avg_wob,
- round(avg_torque + 1e-9, 4) as avg_torque, round(avg_rpm + 1e-9, 4) as avg_rpm, round(avg_mw + 1e-9, 4) as avg_mw, round(avg_ecd + 1e-9, 4) as avg_ecd,
- round(min_rop, 6) as min_rop, round(max_rop, 6) as max_rop"""
+_SEC_COLS = """well, hole_diameter_in, intervals, md_min, md_max, cast(cast(avg_rop as real) as double) as avg_rop, cast(cast(avg_wob as real) as double) as avg_wob,
+ cast(cast(avg_torque as real) as double) as avg_torque, cast(cast(avg_rpm as real) as double) as avg_rpm, cast(cast(avg_mw as real) as double) as avg_mw, cast(cast(avg_ecd as real) as double) as avg_ecd,
+ cast(cast(min_rop as real) as double) as min_rop, cast(cast(max_rop as real) as double) as max_rop"""
 
 
 @query("a12_mudlog_section_stats", ["ddr_status", "witsml_mudlog"], SECTIONS + f"select {_SEC_COLS} from agg")
 def mudlog_section_stats(t):
-    return rounded(h.mudlog_section_stats(t["witsml_mudlog"], t["ddr_status"]), 4, min_rop=6, max_rop=6)
+    out = h.mudlog_section_stats(t["witsml_mudlog"], t["ddr_status"])
+    return single(out, *[c for c, kind in out.dtypes if kind == "double" and c != "hole_diameter_in"])
 
 
 @query(
     "t2_performance_ranking",
     ["ddr_status", "witsml_mudlog"],
     SECTIONS
-    + "select well, hole_diameter_in, round(avg_rop + 1e-9, 4) as avg_rop, cast(rank() over (partition by well order by avg_rop desc) as int) as rop_rank from agg",
+    + "select well, hole_diameter_in, round(avg_rop, 8) as avg_rop, cast(rank() over (partition by well order by avg_rop desc) as int) as rop_rank from agg",
 )
 def performance_ranking(t):
     out = h.performance_ranking(h.mudlog_section_stats(t["witsml_mudlog"], t["ddr_status"]))
-    return rounded(out.select("well", "hole_diameter_in", "avg_rop", "rop_rank"))
+    return rounded(out.select("well", "hole_diameter_in", "avg_rop", "rop_rank"), 8)
 
 
 @query(
@@ -212,11 +210,11 @@ DDR_SECTIONS = """
     "a14_ddr_section_performance",
     ["ddr_status"],
     DDR_SECTIONS
-    + """select well, hole_diameter_in, n_days, round(total_m + 1e-9, 4) as total_m, round(avg_m_per_day + 1e-9, 4) as avg_m_per_day,
- round(md_min, 6) as md_min, round(md_max, 6) as md_max from ds""",
+    + """select well, hole_diameter_in, n_days, round(total_m, 8) as total_m, round(avg_m_per_day, 8) as avg_m_per_day,
+ round(md_min, 8) as md_min, round(md_max, 8) as md_max from ds""",
 )
 def ddr_section_performance(t):
-    return rounded(h.ddr_section_performance(t["ddr_status"]), 4, md_min=6, md_max=6)
+    return rounded(h.ddr_section_performance(t["ddr_status"]), 8)
 
 
 @query(
@@ -224,8 +222,8 @@ def ddr_section_performance(t):
     ["ddr_status"],
     DDR_SECTIONS
     + """, r as (select *, row_number() over (partition by well order by avg_m_per_day desc, md_min) as b, row_number() over (partition by well order by avg_m_per_day, md_min) as s, count(*) over (partition by well) as n from ds)
-select well, n as n_sections, max(case when b = 1 then hole_diameter_in end) as best_hole, round(max(avg_m_per_day) + 1e-9, 4) as best_m_per_day,
- max(case when s = 1 then hole_diameter_in end) as slowest_hole, round(min(avg_m_per_day) + 1e-9, 4) as slowest_m_per_day from r where n > 1 group by well, n""",
+select well, n as n_sections, max(case when b = 1 then hole_diameter_in end) as best_hole, round(max(avg_m_per_day), 6) as best_m_per_day,
+ max(case when s = 1 then hole_diameter_in end) as slowest_hole, round(min(avg_m_per_day), 6) as slowest_m_per_day from r where n > 1 group by well, n""",
 )
 def section_extremes(t):
     return rounded(h.section_extremes(h.ddr_section_performance(t["ddr_status"])))
@@ -336,8 +334,8 @@ dp as (select iss.well, category, min(iss.depth_m) as depth_min, max(iss.depth_m
   where iss.depth_m is not null and iss.depth_m <> 0 group by iss.well, category),
 wr as (select well, avg(rop_avg_m_per_hr) as rop_well from mlq group by well)
 select ev.well, ev.category, events, coalesce(array_to_string([cast(x as varchar) for x in hl], '|'), '') as holes,
- round(density_min, 6) as density_min, round(density_max, 6) as density_max, round(depth_min, 6) as depth_min, round(depth_max, 6) as depth_max,
- coalesce(formations, '') as formations, round(rop_at_issues + 1e-9, 4) as rop_at_issues, round(rop_well + 1e-9, 4) as rop_well,
+ round(density_min, 8) as density_min, round(density_max, 8) as density_max, round(depth_min, 8) as depth_min, round(depth_max, 8) as depth_max,
+ coalesce(formations, '') as formations, round(rop_at_issues, 8) as rop_at_issues, round(rop_well, 8) as rop_well,
  case when rop_at_issues is null or rop_well is null then null when rop_at_issues > rop_well * 1.1 then 'above' when rop_at_issues < rop_well * 0.9 then 'below' else 'near' end as rop_vs_well
 from ev left join dd on dd.well = ev.well and dd.category = ev.category left join dp on dp.well = ev.well and dp.category = ev.category left join wr on wr.well = ev.well""",
 )
@@ -349,7 +347,7 @@ def contributing_factors(t):
         t["formation_tops"],
         t["witsml_mudlog"],
     )
-    return rounded(out, 6, rop_at_issues=4, rop_well=4)
+    return rounded(out, 8)
 
 
 @query(
@@ -362,12 +360,12 @@ l as (select well, problem, 'density_gcc' as property, density_gcc as v from fl
 g as (select well, property, count(*) filter (where problem and v <> 0) as n_problem, count(*) filter (where not problem and v <> 0) as n_normal,
   avg(v) filter (where problem and v <> 0) as avg_problem, avg(v) filter (where not problem and v <> 0) as avg_normal from l group by well, property)
 select well, property, n_problem, n_normal, round(avg_problem, 6) as avg_problem, round(avg_normal, 6) as avg_normal,
- round((avg_problem - avg_normal) / avg_normal * 100 + 1e-9, 4) as diff_pct, abs((avg_problem - avg_normal) / avg_normal * 100) > 5 as notable
+ round((avg_problem - avg_normal) / avg_normal * 100, 6) as diff_pct, abs((avg_problem - avg_normal) / avg_normal * 100) > 5 as notable
 from g where n_problem > 0 and n_normal > 0""",
 )
 def mud_problem_vs_normal(t):
     out = i.mud_problem_vs_normal(t["ddr_fluids"], i.issue_rows(t["ddr_activities_aligned"]))
-    return rounded(out, 6, diff_pct=4)
+    return rounded(out)
 
 
 @query(

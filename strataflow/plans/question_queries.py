@@ -6,7 +6,7 @@ from ..operators import benchmarks as b
 from ..operators import efficiency as e
 from ..operators import questions as q
 from .benchmark_queries import QUALITY_TORQUE, SECTION_CTE
-from .registry import query, rounded
+from .registry import query, rounded, single
 from .well_queries import BREAKDOWN, TIMED
 
 
@@ -19,7 +19,7 @@ def _timed(t):
     ["ddr_activities"],
     TIMED
     + BREAKDOWN
-    + """select well, round(npt_hrs + 1e-9, 4) as npt_hrs, round(total_hrs + 1e-9, 4) as total_hrs, round(npt_hrs / total_hrs * 100 + 1e-9, 4) as npt_pct,
+    + """select well, round(npt_hrs, 6) as npt_hrs, round(total_hrs, 6) as total_hrs, round(npt_hrs / total_hrs * 100, 6) as npt_pct,
  row_number() over (order by npt_hrs / total_hrs desc nulls last, well) as npt_rank from s""",
 )
 def npt_ranking(t):
@@ -29,7 +29,7 @@ def npt_ranking(t):
 @query(
     "x2_weather_by_month",
     ["ddr_activities"],
-    TIMED + "select well, substr(date, 6, 2) as month, round(sum(hrs) + 1e-9, 4) as hrs, count(*) as events from timed where cause = 'Weather' group by 1, 2",
+    TIMED + "select well, substr(date, 6, 2) as month, round(sum(hrs), 6) as hrs, count(*) as events from timed where cause = 'Weather' group by 1, 2",
 )
 def weather_by_month(t):
     return rounded(q.weather_by_month(_timed(t)))
@@ -72,7 +72,7 @@ tops1 as (select well, md_m, surface_name from (select *, row_number() over (par
     ["witsml_mudlog", "formation_tops"],
     MIDS
     + """, l as (select ml.well, rop_avg_m_per_hr, t.surface_name as formation from ml asof left join tops1 t on ml.well = t.well and ml.md_mid >= t.md_m)
-select well, formation, cast(count(*) as bigint) as intervals, round(avg(rop_avg_m_per_hr) + 1e-9, 4) as avg_rop from l group by well, formation""",
+select well, formation, cast(count(*) as bigint) as intervals, round(avg(rop_avg_m_per_hr), 6) as avg_rop from l group by well, formation""",
 )
 def rop_by_formation(t):
     return rounded(q.rop_by_formation(t["witsml_mudlog"], t["formation_tops"]))
@@ -81,7 +81,7 @@ def rop_by_formation(t):
 @query(
     "x5_rop_by_lithology",
     ["witsml_mudlog"],
-    f"""select lith_type, count(*) as intervals, round(avg(rop_avg_m_per_hr) + 1e-9, 4) as avg_rop, round(avg(wob_avg_kN) + 1e-9, 4) as avg_wob from witsml_mudlog where {QUALITY_TORQUE} group by lith_type""",
+    f"""select lith_type, count(*) as intervals, round(avg(rop_avg_m_per_hr), 6) as avg_rop, round(avg(wob_avg_kN), 6) as avg_wob from witsml_mudlog where {QUALITY_TORQUE} group by lith_type""",
 )
 def rop_by_lithology(t):
     return rounded(q.rop_by_lithology(t["witsml_mudlog"]))
@@ -91,11 +91,11 @@ def rop_by_lithology(t):
     "x6_run_performance",
     ["witsml_bha_runs", "witsml_mudlog"],
     f""", ml as (select *, (coalesce(md_top_m, 0) + coalesce(md_bottom_m, 0)) / 2.0 as md_mid from witsml_mudlog where {QUALITY_TORQUE})
-select r.well, run_no, md_start_m, md_stop_m, count(ml.well) as intervals, round(avg(rop_avg_m_per_hr) + 1e-9, 4) as avg_rop, round(avg(wob_avg_kN) + 1e-9, 4) as avg_wob
+select r.well, run_no, md_start_m, md_stop_m, count(ml.well) as intervals, cast(cast(avg(rop_avg_m_per_hr) as real) as double) as avg_rop, cast(cast(avg(wob_avg_kN) as real) as double) as avg_wob
 from witsml_bha_runs r left join ml on ml.well = r.well and md_mid between md_start_m and md_stop_m group by all""",
 )
 def run_performance(t):
-    return rounded(q.run_performance(t["witsml_bha_runs"], t["witsml_mudlog"]))
+    return single(q.run_performance(t["witsml_bha_runs"], t["witsml_mudlog"]), "avg_rop", "avg_wob")
 
 
 @query(
@@ -129,12 +129,12 @@ def hard_intervals(t):
 g as (select *, step_mean - lag(step_mean) over (partition by well order by step_md) as change from s),
 tops1 as (select well, md_m, surface_name from (select *, row_number() over (partition by well, md_m order by top_no desc) as r from formation_tops where md_m is not null) where r = 1),
 c as (select * from g where abs(change) > 0.00103)
-select c.well, c.step_md, round(step_mean + 1e-9, 4) as step_mean, intervals, round(change + 1e-9, 4) as change, case when c.step_md <> 0 then t.surface_name end as formation
+select c.well, c.step_md, round(step_mean, 6) as step_mean, intervals, round(change, 6) as change, case when c.step_md <> 0 then t.surface_name end as formation
 from c asof left join tops1 t on c.well = t.well and c.step_md >= t.md_m""",
 )
 def change_points(t):
     out = q.change_points(t["witsml_mudlog"], t["formation_tops"], value="mud_weight_sg", jump=0.00103)
-    return rounded(out, 4)
+    return rounded(out)
 
 
 @query(
@@ -154,11 +154,11 @@ def gas_near_kicks(t):
     TIMED
     + BREAKDOWN
     + """, p as (select well, sum(bore_oil_vol) as cum_oil from production group by well), j as (select s.well, npt_hrs / total_hrs * 100 as npt_pct, cum_oil from s join p on p.well = s.well)
-select well, round(npt_pct + 1e-9, 4) as npt_pct, round(cum_oil, 2) as cum_oil, round((select corr(npt_pct, cum_oil) from j), 6) as field_corr from j""",
+select well, round(npt_pct, 6) as npt_pct, round(cum_oil, 2) as cum_oil, round((select corr(npt_pct, cum_oil) from j), 6) as field_corr from j""",
 )
 def npt_vs_production(t):
     out = q.npt_vs_production(e.time_breakdown(_timed(t)), b.production_summary(t["production"]))
-    return rounded(out, 4, cum_oil=2, field_corr=6)
+    return rounded(out, 6, cum_oil=2)
 
 
 @query(
@@ -181,7 +181,7 @@ def rop_percentiles(t):
     + """, d as (select well, hole_diameter_in, date, sum(dist_drill_m) as dist_m from ddr_status where hole_diameter_in is not null and dist_drill_m > 0 group by all),
 p as (select well, hole_diameter_in, avg(dist_m) as m_per_day, count(*) as days from d group by well, hole_diameter_in),
 r as (select well, hole_diameter_in, avg(rop_avg_m_per_hr) as avg_rop from hit where pick = 1 group by well, hole_diameter_in)
-select p.well, p.hole_diameter_in, round(m_per_day + 1e-9, 4) as m_per_day, days, round(avg_rop + 1e-9, 4) as avg_rop, round(m_per_day / avg_rop + 1e-9, 4) as drilling_hrs_per_day
+select p.well, p.hole_diameter_in, round(m_per_day, 6) as m_per_day, days, round(avg_rop, 6) as avg_rop, round(m_per_day / avg_rop, 6) as drilling_hrs_per_day
 from p join r on p.well = r.well and p.hole_diameter_in = r.hole_diameter_in""",
 )
 def progress_vs_rop(t):

@@ -29,18 +29,19 @@ def query(name: str, views: list[str] | None = None, sql: str | None = None):
     return keep
 
 
-NUDGE = 1e-9
-
-
-def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
-    """Round every DOUBLE column, so that summation order does not show.
-
-    Means of few decimals often lie exactly between two rounded values, where engines differ.
-    At four digits the value is nudged off that point; the SQL side adds the same 1e-9.
-    """
+def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
+    """Round every DOUBLE column, so that summation order does not show."""
 
     def cut(col: str):
         n = special.get(col, digits)
-        return F.round(F.col(col) + F.lit(NUDGE) if n == 4 else F.col(col), n).alias(col)
+        return F.round(F.col(col), n).alias(col)
 
     return df.select(*[cut(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def single(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns in single precision, for means that lie exactly between two decimal values.
+
+    Seven significant digits stay, and no mean of few decimals lies between two binary fractions.
+    """
+    return df.withColumns({c: F.col(c).cast("float").cast("double") for c in columns})

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import union_all
 from ..operators.sizing import ensure_checkpoint_dir
-from ..schemas import BHA_RUN, GEOLOGY_INTERVAL, MESSAGE, TRAJECTORY_STATION, WELLBORE
+from ..schemas import BHA_RUN, GEOLOGY_INTERVAL, MESSAGE, TABLES, TRAJECTORY_STATION, WELLBORE
 from ..sources import ddr, tables, tabular, witsml
 from .registry import query, rounded
 
@@ -367,23 +368,24 @@ def message_docs(t):
 # ------------------------------------------------------------------- sinks
 
 
+WRITTEN = tuple(TABLES)
+
+
 @query(
     "k1_write_tables",
-    ["ddr_status", "perforations"],
-    """select 'ddr_status' as table_name, well, count(*) as row_count from ddr_status group by well
-union all select 'perforations', well, count(*) from perforations group by well""",
+    list(WRITTEN),
+    " union all ".join(f"select '{n}' as table_name, well, count(*) as row_count from {n} group by well" for n in WRITTEN),
 )
 def write_tables(t):
+    """All twelve tables, written and read back."""
     ensure_checkpoint_dir(t.spark)
     folder = f"{t.spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
-    names = ("ddr_status", "perforations")
-    tables.write_tables({n: t[n] for n in names}, folder, partition_by_well=("ddr_status",))
-    read = {n: t.spark.read.parquet(f"{folder}/{n}") for n in names}
-    per_well = [
-        read[n].groupBy("well").agg(F.count("*").alias("row_count")).select(F.lit(n).alias("table_name"), "well", "row_count")
-        for n in names
+    tables.write_tables({n: t[n] for n in WRITTEN}, folder)
+    counts = [
+        t.spark.read.parquet(f"{folder}/{n}").groupBy("well").agg(F.count("*").alias("row_count")).select(F.lit(n).alias("table_name"), "well", "row_count")
+        for n in WRITTEN
     ]
-    return per_well[0].unionByName(per_well[1])
+    return union_all(counts)
 
 
 @query(
@@ -395,17 +397,20 @@ def write_tables(t):
 select well, doc_type, count(*) as n_docs, count(*) as n_ids, round(sum(coalesce(depth_m, 0)), 2) as depth_sum, cast(sum(length(text)) as bigint) as chars from d group by well, doc_type""",
 )
 def doc_index(t):
-    """Ids must be unique: documents and distinct ids are counted side by side."""
+    """Written and read back; ids must be unique, and the embedding holds the length of the text."""
     status = t["ddr_status"].withColumn("forecast_24hr", F.lit(""))
     messages = t["witsml_messages"].withColumns({"timestamp": F.lit(None).cast("string"), "md_m": F.lit(None).cast("double")})
     docs = ddr.ddr_text_docs(status, t["ddr_activities"]).unionByName(ddr.message_text_docs(messages))
-    indexed = tables.doc_index(docs)
+    ensure_checkpoint_dir(t.spark)
+    folder = f"{t.spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    tables.write_doc_index(docs, folder, embed=lambda text: F.array(F.length(text).cast("float"), F.lit(1.0).cast("float")))
+    indexed = t.spark.read.parquet(folder)
     return rounded(
         indexed.groupBy("well", "doc_type").agg(
             F.count("*").alias("n_docs"),
             F.countDistinct("doc_id").alias("n_ids"),
             F.sum("depth_m").alias("depth_sum"),
-            F.sum(F.length("text")).cast("long").alias("chars"),
+            F.sum(F.element_at("embedding", 1)).cast("long").alias("chars"),
         ),
         2,
     )

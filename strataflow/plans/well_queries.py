@@ -73,7 +73,7 @@ def available_wells(t):
 
 
 COUNTED = [
-    "ddr_status", "ddr_activities", "ddr_fluids", "wellbore_info", "formation_tops", "perforations",
+    "ddr_status", "ddr_activities", "ddr_fluids", "ddr_surveys", "wellbore_info", "formation_tops", "perforations",
     "production", "witsml_bha_runs", "witsml_mudlog", "witsml_trajectory", "witsml_messages",
 ]
 
@@ -195,10 +195,10 @@ def _timed(t):
     ["ddr_activities"],
     TIMED
     + BREAKDOWN
-    + """select well, round(productive_hrs + 1e-9, 4) as productive_hrs, round(npt_hrs + 1e-9, 4) as npt_hrs, round(trip_hrs + 1e-9, 4) as trip_hrs,
- round(other_hrs + 1e-9, 4) as other_hrs, round(total_hrs + 1e-9, 4) as total_hrs, problem_count, activities,
- round(productive_hrs / total_hrs * 100 + 1e-9, 4) as productive_pct, round(npt_hrs / total_hrs * 100 + 1e-9, 4) as npt_pct,
- round(trip_hrs / total_hrs * 100 + 1e-9, 4) as trip_pct, round(other_hrs / total_hrs * 100 + 1e-9, 4) as other_pct from s""",
+    + """select well, round(productive_hrs, 6) as productive_hrs, round(npt_hrs, 6) as npt_hrs, round(trip_hrs, 6) as trip_hrs,
+ round(other_hrs, 6) as other_hrs, round(total_hrs, 6) as total_hrs, problem_count, activities,
+ round(productive_hrs / total_hrs * 100, 6) as productive_pct, round(npt_hrs / total_hrs * 100, 6) as npt_pct,
+ round(trip_hrs / total_hrs * 100, 6) as trip_pct, round(other_hrs / total_hrs * 100, 6) as other_pct from s""",
 )
 def time_breakdown(t):
     return rounded(e.time_breakdown(_timed(t)))
@@ -207,7 +207,7 @@ def time_breakdown(t):
 @query(
     "a7_npt_breakdown",
     ["ddr_activities"],
-    TIMED + "select well, cause, round(sum(hrs) + 1e-9, 4) as hrs, count(*) as events from timed where time_class = 'npt' group by well, cause",
+    TIMED + "select well, cause, round(sum(hrs), 6) as hrs, count(*) as events from timed where time_class = 'npt' group by well, cause",
 )
 def npt_breakdown(t):
     return rounded(e.npt_breakdown(_timed(t)))
@@ -228,7 +228,7 @@ def longest_npt_event(t):
 @query(
     "a9_productive_breakdown",
     ["ddr_activities"],
-    TIMED + "select well, kind, round(sum(hrs) + 1e-9, 4) as hrs, count(*) as events from timed where time_class = 'productive' group by well, kind",
+    TIMED + "select well, kind, round(sum(hrs), 6) as hrs, count(*) as events from timed where time_class = 'productive' group by well, kind",
 )
 def productive_breakdown(t):
     return rounded(e.productive_breakdown(_timed(t)))
@@ -250,7 +250,7 @@ def duration(t):
   coalesce(nullif(sum(dist_drill_m), 0), max(md_m) - min(md_m)) as drilled_m from ddr_status
   where hole_diameter_in is not null and hole_diameter_in <> 0 and md_m is not null and md_m <> 0 group by well, hole_diameter_in)
 select well, hole_diameter_in, round(min_md, 6) as min_md, round(max_md, 6) as max_md, n_days,
- round(drilled_m + 1e-9, 4) as drilled_m, round(drilled_m / n_days + 1e-9, 4) as m_per_day from g""",
+ round(drilled_m, 6) as drilled_m, round(drilled_m / n_days, 6) as m_per_day from g""",
 )
 def progress_by_hole(t):
     return rounded(e.progress_by_hole(t["ddr_status"]), min_md=6, max_md=6)
@@ -276,11 +276,11 @@ def daily_increment(t):
     ["ddr_status"],
     GAINS
     + """, r as (select well, gain_m, row_number() over (partition by well order by gain_m) as r, count(*) over (partition by well) as n from gains)
-select well, round(min(gain_m), 6) as min_gain, round(max(gain_m), 6) as max_gain, round(avg(gain_m) + 1e-9, 4) as mean_gain,
+select well, round(min(gain_m), 6) as min_gain, round(max(gain_m), 6) as max_gain, round(avg(gain_m), 6) as mean_gain,
  count(*) as n_gains, round(max(case when r = n // 2 + 1 then gain_m end), 6) as median_gain from r group by well""",
 )
 def daily_progress_stats(t):
-    return rounded(e.daily_progress_stats(t["ddr_status"]), 6, mean_gain=4)
+    return rounded(e.daily_progress_stats(t["ddr_status"]))
 
 
 # ------------------------------------------------------------------ phases
@@ -417,13 +417,10 @@ PAIR_SQL = ", pairs as (select i // 2 as pair_no, '15_9_F_' || cast(i as varchar
   from ddr_status group by well),
 ac as (select well, count(*) filter (where activity_code <> '') as total_activities, count(*) filter (where state = 'problem') as problem_count from ddr_activities group by well),
 pr as (select well, sum(bore_oil_vol) as cum_oil, sum(bore_gas_vol) as cum_gas, sum(bore_wat_vol) as cum_water, avg(avg_downhole_pressure) as avg_pressure from production group by well),
-m as (select st.*, coalesce(total_activities, 0) as total_activities, coalesce(problem_count, 0) as problem_count, cum_oil, cum_gas, cum_water, avg_pressure
+m as materialized (select st.*, coalesce(total_activities, 0) as total_activities, coalesce(problem_count, 0) as problem_count, cum_oil, cum_gas, cum_water, avg_pressure
   from st left join ac on ac.well = st.well left join pr on pr.well = st.well),
-l as (select well, 'num_reports' as item, cast(num_reports as double) as v from m union all select well, 'min_depth', min_depth from m
-  union all select well, 'max_depth', max_depth from m union all select well, 'total_activities', total_activities from m
-  union all select well, 'problem_count', problem_count from m union all select well, 'avg_daily_drill', avg_daily_drill from m
-  union all select well, 'max_daily_drill', max_daily_drill from m union all select well, 'cum_oil', cum_oil from m
-  union all select well, 'cum_gas', cum_gas from m union all select well, 'cum_water', cum_water from m union all select well, 'avg_pressure', avg_pressure from m)
+l as materialized (select well, unnest(['num_reports', 'min_depth', 'max_depth', 'total_activities', 'problem_count', 'avg_daily_drill', 'max_daily_drill', 'cum_oil', 'cum_gas', 'cum_water', 'avg_pressure']) as item,
+  unnest([cast(num_reports as double), cast(min_depth as double), cast(max_depth as double), cast(total_activities as double), cast(problem_count as double), cast(avg_daily_drill as double), cast(max_daily_drill as double), cast(cum_oil as double), cast(cum_gas as double), cast(cum_water as double), cast(avg_pressure as double)]) as v from m)
 select pair_no, well_a, well_b, a.item, round(a.v, 3) as value_a, round(b.v, 3) as value_b
 from pairs join l a on a.well = well_a join l b on b.well = well_b and a.item = b.item""",
 )

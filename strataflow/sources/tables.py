@@ -14,6 +14,9 @@ from ..schemas import TABLES
 from . import ddr, tabular, witsml
 
 
+ORDERED_BY = ("date", "timestamp", "md_top_m", "md_start_m", "md_m")
+
+
 def by_name(df: DataFrame, table: str) -> DataFrame:
     """Columns of the table in order and type; missing ones are NULL."""
     return df.select(
@@ -27,11 +30,17 @@ def by_name(df: DataFrame, table: str) -> DataFrame:
 def write_tables(
     frames: Mapping[str, DataFrame], path: str, partition_by_well: tuple[str, ...] = ()
 ) -> None:
-    """Full rebuild: every known table is overwritten, absent ones are written empty."""
+    """Full rebuild: every known table is overwritten, absent ones are written empty.
+
+    Rows are dealt into ranges of well and then date, time or depth, and sorted, so that files hold few wells
+    and short ranges: filters on them skip files.  Ranges are cut by sampled counts, so a large
+    well is spread over many files.
+    """
     spark = next(iter(frames.values())).sparkSession
     for table, schema in TABLES.items():
         df = by_name(frames[table], table) if table in frames else spark.createDataFrame([], schema)
-        writer = df.write.mode("overwrite")
+        keys = [c for c in ("well", *ORDERED_BY) if c in df.columns][:2]
+        writer = df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite")
         if table in partition_by_well:
             writer = writer.partitionBy("well")
         writer.parquet(f"{path}/{table}")
@@ -79,18 +88,10 @@ def ingest(
 def doc_index(docs: DataFrame, embed=None) -> DataFrame:
     """Documents with an id, depth 0 where missing, and an embedding if an embedder is supplied.
 
-    The id is ``well_date_type_hash_position``.  The position is unique over the whole frame and
-    needs no shuffle, however often one text is repeated.
+    The id is ``well_date_type_hash_ordinal``, where the hash is that of the whole row and equal rows are
+    numbered: a rebuild or a repeated task gives the same ids.  Equal rows are counted, not gathered.
     """
-    out = docs.select(
-        F.concat_ws(
-            "_",
-            "well",
-            "date",
-            "doc_type",
-            F.hex(F.xxhash64("well", "date", "doc_type", "text")),
-            F.monotonically_increasing_id().cast("string"),
-        ).alias("doc_id"),
+    rows = docs.select(
         "well",
         "date",
         F.coalesce("depth_m", F.lit(0.0)).alias("depth_m"),
@@ -98,6 +99,12 @@ def doc_index(docs: DataFrame, embed=None) -> DataFrame:
         F.coalesce("activity_code", F.lit("")).alias("activity_code"),
         "text",
     )
+    digest = F.substring(F.sha2(F.to_json(F.struct(*rows.columns)), 256), 1, 24)
+    name = F.concat_ws("_", "well", "date", "doc_type", digest, F.col("ordinal").cast("string"))
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    out = counted.withColumn("ordinal", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
+        name.alias("doc_id"), *rows.columns
+    )
     return out if embed is None else out.withColumn("embedding", embed(F.col("text")))
 
 
@@ -107,7 +114,7 @@ def write_doc_index(docs: DataFrame, path: str, embed=None) -> None:
 
 def _row_id(df: DataFrame) -> DataFrame:
     """A tie-breaking number from the row's content, for tables that carry no unique id."""
-    return F.pmod(F.xxhash64(*df.columns), F.lit(2**31))
+    return F.xxhash64(*df.columns)
 
 
 class Tables(Mapping):

@@ -23,25 +23,33 @@ class WordIds:
     """Token ids of a text, word by word.
 
     The vocabulary's pre-tokeniser drops white space and never joins across it, so the ids of a text
-    are those of its white-space-separated words in order, and each distinct word is encoded once.
+    are those of its white-space-separated words in order, and a word that recurs is encoded once.
+    Words are kept in two generations, so the frequent ones stay and memory is bounded.
     It lower-cases, so A-Z can be lowered before words are told apart.
     """
 
-    def __init__(self, path: str, separator: int = SEPARATOR_ID, keep: int = 800_000):
+    def __init__(self, path: str, separator: int = SEPARATOR_ID, keep: int = 400_000):
         single_threaded()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.older = keep, {}, {}
         self.end = np.array([separator], dtype="<u4").tobytes()
 
     def learn(self, texts: list[list[bytes]]) -> None:
         words = set()
         for parts in texts:
             words.update(parts)
-        if len(self.known) > self.keep:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        new = [w for w in words if w not in self.known]
+        if len(self.known) > self.keep // 2:
+            self.known, self.older = {}, self.known
+        new = []
+        for word in words:
+            if word not in self.known:
+                ids = self.older.get(word)
+                if ids is None:
+                    new.append(word)
+                else:
+                    self.known[word] = ids
         for lo in range(0, len(new), 512):
             self.learn_words(new[lo : lo + 512])
 
@@ -108,15 +116,16 @@ def place(lengths: np.ndarray, n_sequences: int, capacity: int, linear: float, q
 class Packer:
     """Packs a stream of encoded documents; holds at most one window of tokens."""
 
-    def __init__(self, first_id: int, capacity: int, window: int, linear: float, quadratic: float):
-        self.next_id, self.capacity, self.window = first_id, capacity, window
+    def __init__(self, first_id: int, capacity: int, window: int, linear: float, quadratic: float, with_ids: bool):
+        self.next_id, self.capacity, self.window, self.with_ids = first_id, capacity, window, with_ids
         self.linear, self.quadratic = linear, quadratic
         self.open: list[tuple] = []  # (doc_id, tokens of the document, start of this rest, ids of the rest)
         self.held = 0
         self.out: list[tuple] = []
 
     def emit(self, doc, total, start, ids, sequence, offset):
-        self.out.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset, ids))
+        piece = (doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset)
+        self.out.append((*piece, ids) if self.with_ids else piece)
 
     def add(self, doc, ids: bytes) -> None:
         total, start = len(ids) // 4, 0
@@ -148,11 +157,11 @@ class Packer:
                 rest.append((doc, total, base + done, ids[4 * done :]))
         self.open, self.held = rest, int(left.sum())
 
-    def frame(self, columns: list[str], with_ids: bool) -> pd.DataFrame:
+    def frame(self, columns: list[str]) -> pd.DataFrame:
         """What is ready, as columns."""
-        ready = pd.DataFrame(self.out, columns=[*columns, "ids"])
+        ready = pd.DataFrame(self.out, columns=[*columns, "ids"] if self.with_ids else columns)
         self.out = []
-        return ready if with_ids else ready[columns]
+        return ready
 
 
 def pack(
@@ -184,15 +193,15 @@ def pack(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(tokenizer, separator)
         first = TaskContext.get().partitionId() << 33
-        packer = Packer(first, sequence_tokens, window_tokens, linear, quadratic)
+        packer = Packer(first, sequence_tokens, window_tokens, linear, quadratic, with_ids)
         for batch in batches:
             ids_of = encoder.encode(batch["text"].tolist())
             for doc, ids in zip(batch["doc_id"].astype(object), ids_of):
                 packer.add(None if pd.isna(doc) else doc, ids)
                 if len(packer.out) > 20_000:
-                    yield typed(packer.frame(columns, with_ids))
+                    yield typed(packer.frame(columns))
         packer.close(final=True)
-        yield typed(packer.frame(columns, with_ids))
+        yield typed(packer.frame(columns))
 
     def typed(df: pd.DataFrame) -> pd.DataFrame:
         if docs_are_long:

@@ -129,7 +129,7 @@ def remove_repeats(
     judged = (
         texts.join(asked, ["key1", "key2"])
         .mapInPandas(fetch, f"{seg.KEY}, start int, unit long, seg long, at int, content binary")
-        .groupBy(F.pmod(F.xxhash64("unit"), F.lit(n_buckets)).alias("part"))
+        .groupBy(F.pmod(F.xxhash64("unit"), F.lit(64 * n_buckets)).alias("part"))
         .applyInPandas(judge(shape), f"{seg.KEY}, start int, stop int")
     )
     settled = found.filter(F.col("kind") == seg.SETTLED).select("key1", "key2", "start", "stop")

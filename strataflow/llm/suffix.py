@@ -271,7 +271,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, unit_segments: int)
     judged = (
         asked.join(texts, ["key1", "key2"])
         .select("kind", "key1", "key2", "start", "unit", "seg", "at", content.alias("content"))
-        .groupBy(F.pmod(F.xxhash64("unit"), F.lit(2 * n_buckets)).alias("part"))
+        .groupBy(F.pmod(F.xxhash64("unit"), F.lit(64 * n_buckets)).alias("part"))
         .applyInPandas(judge(length, gram), f"{seg.KEY}, start int, stop int")
     )
     settled = found.filter(F.col("kind") == seg.SETTLED).select("key1", "key2", "start", "stop")

@@ -113,7 +113,9 @@ def test_segments_cover_every_window():
     shape = seg.Shape(10, 4)
     items = rng.integers(0, 3, 500).astype(np.uint64) * np.uint64(7919)
     starts = np.array([0, 5, 5, 300, 500])
-    anchor, name, doc, start, extra = shape.segments(items, starts)
+    found = shape.segments(items, starts)
+    anchor, doc, start, extra = (found[c] for c in ("anchor", "doc", "start", "extra"))
+    assert (found["at"] >= extra).all() and (found["at"] <= shape.choices - 1).all()
     covered = {(d, s + k) for d, s, e in zip(doc, start, extra) for k in range(e + 1)}
     assert covered == {(d, k) for d in range(4) for k in range(starts[d + 1] - starts[d] - 9)}
     by_window = {}

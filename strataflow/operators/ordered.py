@@ -153,11 +153,11 @@ def value_range(value: Column, per_doubling: int = 256) -> Column:
     """Number of a value's range; never falls while the value rises.
 
     Ranges are relative (``per_doubling`` to a factor of two, either sign), so one huge value leaves the
-    others spread as they were.
+    others spread as they were.  NULL has no range.
     """
     v = value.cast("double")
     size = F.floor(F.log2(F.greatest(F.abs(v), F.lit(1e-300))) * per_doubling).cast("long") + 1_000 * per_doubling
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
+    return F.when(v > 0, size).when(v < 0, -size).when(v == 0, F.lit(0).cast("long"))
 
 
 def running_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -119,7 +119,9 @@ def edited(docs: DataFrame) -> DataFrame:
     without doc_id follow all others' order as if their id were the smallest.
     """
     text = F.coalesce("text", F.lit(""))
-    clean = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("key"), F.col("doc_id"), text.alias("text"))
+    no_id = F.lit(-(1 << 63)).cast("long")
+    # Both joins read these two columns and nothing else, so they share one exchange of the texts.
+    clean = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("key"), text.alias("text"))
     sized = clean.select(F.col("key").alias("doc_id"), F.char_length("text").alias("n_chars"))
     links = successors(sized).select(
         F.col("next_id").alias("key"), F.col("doc_id").alias("for_key"), F.floor(F.col("n_chars") / 4).cast("int").alias("most")
@@ -140,6 +142,7 @@ def edited(docs: DataFrame) -> DataFrame:
         clean.join(heads, "key", "left")
         .withColumn("n_chars", n.cast("long"))
         .withColumn("edited", F.concat(F.left("text", n - quarter), F.left("head", quarter)))
+        .withColumn("doc_id", F.nullif("key", no_id).cast(docs.schema["doc_id"].dataType))
         .drop("key", "head")
     )
 

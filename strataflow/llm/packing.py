@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,7 @@ class WordIds:
     It lower-cases, so A-Z can be lowered before words are told apart.
     """
 
-    def __init__(self, path: str, separator: int = SEPARATOR_ID, keep: int = 400_000):
+    def __init__(self, path: str, separator: int = SEPARATOR_ID, keep: int = 800_000):
         single_threaded()
         from tokenizers import Tokenizer
 
@@ -73,12 +72,6 @@ class WordIds:
                 yield b"".join(map(get, words)) + self.end
 
 
-@lru_cache(maxsize=1)
-def encoder_of(path: str, separator: int) -> WordIds:
-    """One encoder per Python worker: what a task has learned serves the next."""
-    return WordIds(path, separator)
-
-
 def place(lengths: np.ndarray, n_sequences: int, capacity: int, linear: float, quadratic: float):
     """Pieces (item, start, length, sequence) for as many tokens as ``n_sequences`` hold.
 
@@ -191,7 +184,7 @@ def pack(
     columns = ["doc_id", *numbers]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_of(tokenizer, separator)
+        encoder = WordIds(tokenizer, separator)  # gone with the task, as is its memory
         first = TaskContext.get().partitionId() << 33
         packer = Packer(first, sequence_tokens, window_tokens, linear, quadratic, with_ids)
         for batch in batches:

@@ -92,4 +92,15 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_packing": op1_packing, "op2_licenses": op2_licenses, "op3_language": op3_language, "op4_multiset": op4_multiset, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_suffix": op7_suffix, "op8_pii": op8_pii, "op9_repeats": op9_repeats, "op10_multi_index": op10_multi_index}
-ORACLES: dict[str, str] = {}
+# Every window is listed here, which only small tables allow.  The other operators are tested by brute force.
+ORACLES = {
+    "op9_repeats": r"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, ws, unnest(range(1, len(ws) - 33)) as pos from d where len(ws) >= 35),
+f as (select doc_id, pos, count(*) over (partition by array_to_string(ws[pos:pos + 34], ' ')) as n from s),
+gone as (select distinct doc_id, unnest(range(pos, pos + 35)) as pos from f where n > 1),
+removed as (select doc_id, count(*) as n_removed from gone group by doc_id),
+words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as pos from d),
+left_ as (select doc_id, string_agg(word, ' ' order by pos) as k from words anti join gone using (doc_id, pos) group by doc_id)
+select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(k, '')) as kept_sha256
+from d left join removed using (doc_id) left join left_ using (doc_id)""",
+}

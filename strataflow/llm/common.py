@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1_000
 # Fixed value: a word is a run of anything but ASCII white space.  ``bytes.split()`` cuts the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -99,7 +100,11 @@ def single_threaded() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, which may run where it is not installed."""
+    """Send this package to the Python workers, which may run where it is not installed.
+
+    Texts may be long, so rows go to the workers in batches of BATCH_ROWS.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_strataflow_shipped", False):
         return

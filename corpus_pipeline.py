@@ -27,16 +27,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id in each SimHash component; a null id is kept only alone."""
+    """Keeps one row of each SimHash component: that of smallest id, nulls last, then of smallest text hash."""
     ship(spark)
-    found = simhash.near_duplicates(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    # Of rows that share an id the one of smallest text hash stays, once.
+    chosen = simhash.representatives(docs)
     hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    chosen = hashed.groupBy("doc_id").agg(F.min("_hash").alias("_hash"))
-    chosen = chosen.join(first, chosen["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    same = hashed["doc_id"].eqNullSafe(chosen["doc_id"]) & (hashed["_hash"] == chosen["_hash"])
-    return hashed.join(chosen, same, "left_semi").select(*DOCUMENT).dropDuplicates(["doc_id"])
+    same = hashed["doc_id"].eqNullSafe(chosen["doc_id"]) & (hashed["_hash"] == chosen["text_hash"])
+    # Only rows of equal id and text are still there more than once.
+    return hashed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).select(*DOCUMENT)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

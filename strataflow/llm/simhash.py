@@ -146,6 +146,13 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, unit_rows: int = U
     return units.repartition("unit").mapInPandas(linked_in_units(max_bits), "a long, b long").distinct()
 
 
+def rooted(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Adds ``root``, the fingerprint that stands for its component, to one row per fingerprint."""
+    roots = connected_components(near_links(nodes.select("fp"), max_bits))
+    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return named.withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fp, component_id``: per row the smallest doc_id reachable over links of at most ``max_bits`` bits.
 
@@ -154,11 +161,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     null); repeated rows are returned each; an empty table gives no rows; other columns are not read.
     """
     marked = kept(fingerprints(docs.select("doc_id", "text"), shingle_words).select("doc_id", "fp"))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(near_links(nodes.select("fp"), max_bits))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
+    named = rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), max_bits)
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = named.join(ids, "root").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """``doc_id, text_hash`` of one row per component: the smallest id, nulls last, then the smallest hash.
+
+    The two name a row, so neither rows that share an id nor rows without one stand for each other.
+    """
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    marked = kept(fingerprints(hashed, shingle_words).select("doc_id", "text_hash", "fp"))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    named = rooted(marked.groupBy("fp").agg(F.min(key).alias("key")), max_bits)
+    return named.groupBy("root").agg(F.min("key").alias("key")).select("key.doc_id", "key.text_hash")

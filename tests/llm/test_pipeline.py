@@ -33,3 +33,28 @@ def test_odd_documents(spark, odd, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_one_row_per_component(spark, odd):
+    """Rows that share an id, or have none, are told apart by their texts; copies are kept once."""
+    other = [" ".join(f"{kind}{i}" for i in range(50)) for kind in ("one", "two", "three")]
+    rows = [
+        (None, other[0]), (None, other[1]), (None, other[1]), (21, other[2]), (None, other[2]),
+        (22, other[2]), (21, "an unlike text"), (21, "an unlike text"),
+    ]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = odd.select("doc_id", "text").unionByName(more)
+    docs = docs.withColumns({"lang": F.lit("en"), "source": F.lit("a"), "n_chars": F.char_length("text").cast("long")})
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert len(kept) == len(set(kept))
+    assert sum(doc_id == 12 for doc_id, _ in kept) == 2
+    assert {text for doc_id, text in kept if doc_id is None} >= {other[0], other[1]}
+    assert [doc_id for doc_id, text in kept if text == other[2]] == [21] and (21, "an unlike text") in kept
+    root = {simhash_of(text) for _, text in kept}
+    assert len(root) == len(kept)
+
+
+def simhash_of(text):
+    from strataflow.llm import simhash
+
+    return simhash.fingerprint(text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,16 @@ PATTERNS = {
 }
 NEEDED = {"email": re.compile("@"), "ip": re.compile("[0-9]"), "card": re.compile("[0-9]"), "phone": re.compile(r"\+")}
 MARKS = re.compile("[0-9@]")
+DIGITS = frozenset("0123456789")
+JOINS = frozenset("./_-")
+LETTERS = "éößñ"  # of hosts beyond the base pattern
 
 WINDOW = 64
 STRIDE = WINDOW // 2
 HIDDEN = 12
 SAMPLE_DOCUMENTS = 512
 TRAINING_WINDOWS = 1_024
+REWRITES = 2
 PAD = 0
 CLASSES = ["", "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", " \t", "\n\r", "@", ".", "-", "_", "+", "%", "()", ",;:", "/"]
 CLASS_OF = np.full(129, len(CLASSES), dtype=np.int64)
@@ -194,22 +199,23 @@ class Tagger:
         return tags
 
     def fit(self, classes: np.ndarray, tags: np.ndarray, epochs: int = 14, batch: int = 64, rate: float = 0.02, seed: int = 0):
-        """Adam over shuffled windows."""
+        """Adam over shuffled windows; the rate falls in a line to a tenth."""
         rng = np.random.default_rng(seed)
         mean = [np.zeros_like(p) for p in self.parameters()]
         spread = [np.zeros_like(p) for p in self.parameters()]
-        step = 0
+        step, steps = 0, epochs * -(-classes.shape[1] // batch)
         for _ in range(epochs):
             order = rng.permutation(classes.shape[1])
             for lo in range(0, len(order), batch):
                 rows = order[lo : lo + batch]
                 _, grads = self.loss(classes[:, rows], tags[:, rows])
+                now = rate * (1 - 0.9 * step / steps)
                 step += 1
                 for p, g, m, s in zip(self.parameters(), grads, mean, spread):
                     g = np.clip(g, -5, 5)
                     m += 0.1 * (g - m)
                     s += 0.01 * (g * g - s)
-                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+                    p -= now * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
         return self
 
 
@@ -241,6 +247,36 @@ def tags_of(length: int, spans: list[tuple]) -> np.ndarray:
     return tags
 
 
+def rewritten(text: str, spans: list[tuple], rng) -> tuple[str, list[tuple]]:
+    """The text with its labelled spans written in other ways that no pattern knows, and their places."""
+    parts, out, at, length = [], [], 0, 0
+    for kind, start, end in sorted(spans, key=lambda s: s[1:]):
+        if start < at:
+            continue
+        span = text[start:end]
+        digits = "".join(c for c in span if c in DIGITS)
+        if KINDS[kind] == "phone":
+            mark = rng.choice([".", "-", " ", "/"])
+            local = f"{digits[-10:-7]}{mark}{digits[-7:-4]}{mark}{digits[-4:]}"
+            bracketed = f"({digits[-10:-7]}) {digits[-7:-4]}{rng.choice(['-', ' ', '.'])}{digits[-4:]}"
+            far = f"00{digits[:2]}{mark}{digits[2:5]}{mark}{digits[5:]}"
+            span = [local, bracketed, far][rng.integers(3)]
+        elif KINDS[kind] == "card":
+            mark = rng.choice([".", "  ", "/", "_", " - "])
+            span = mark.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        elif KINDS[kind] == "ip":
+            span = str(rng.choice([" . ", ". ", " ."])).join(span.split("."))
+        else:
+            name, _, host = span.partition("@")
+            span = f"{name}@{host[:1]}{rng.choice(list(LETTERS))}{host[1:]}"
+        parts += [text[at:start], span]
+        length += start - at
+        out.append((kind, length, length + len(span)))
+        length += len(span)
+        at = end
+    return "".join([*parts, text[at:]]), out
+
+
 def reconcile(numbers: np.ndarray, tags: np.ndarray, length: int) -> list[tuple]:
     """Spans of a text from the tags of its windows: each character follows the window it is most central in."""
     whole = np.zeros(length + WINDOW + STRIDE, dtype=np.int8)
@@ -262,14 +298,53 @@ def reconcile(numbers: np.ndarray, tags: np.ndarray, length: int) -> list[tuple]
     return spans
 
 
+def snapped(kind: int, text: str, a: int, b: int) -> tuple[int, int]:
+    """A tagger's span moved to the edges of what it cuts: words for an email, else runs of digits."""
+    if KINDS[kind] == "email":
+        inner = r"[A-Za-z0-9._%+@'\w-]"
+        while a > 0 and re.match(inner, text[a - 1]):
+            a -= 1
+        while b < len(text) and re.match(inner, text[b]):
+            b += 1
+        edge = ".-'"
+        while a < b and text[a] in edge + "+%":
+            a += 1
+        while a < b and (text[b - 1].isspace() or text[b - 1] in edge + ",;:"):
+            b -= 1
+        return a, b
+    while a < b and text[a] not in DIGITS:
+        a += 1
+    while a < b and text[b - 1] not in DIGITS:
+        b -= 1
+    if a == b:
+        return a, b
+    while a > 0 and text[a - 1] in DIGITS:
+        a -= 1
+    while b < len(text) and text[b] in DIGITS:
+        b += 1
+    # A number whose groups are joined by single marks is one: 1111.1111 within 4111.1111.1111.1111.
+    while a > 1 and text[a - 1] in JOINS and text[a - 2] in DIGITS:
+        a -= 2
+        while a > 0 and text[a - 1] in DIGITS:
+            a -= 1
+    while b + 1 < len(text) and text[b] in JOINS and text[b + 1] in DIGITS:
+        b += 2
+        while b < len(text) and text[b] in DIGITS:
+            b += 1
+    if KINDS[kind] == "phone":
+        for sign in "(+":
+            a -= a > 0 and text[a - 1] == sign
+    return a, b
+
+
 def plausible(kind: int, text: str) -> bool:
     """What a span of the tagger must hold to count: the marks without which its kind cannot be."""
-    digits = sum(c in "0123456789" for c in text)
     if KINDS[kind] == "email":
-        return re.fullmatch(r"\S+@\S+\.\S+", text) is not None
+        return re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@]+", text) is not None
     if KINDS[kind] == "ip":
-        return re.fullmatch(r"[0-9]{1,3}([.\s]+[0-9]{1,3}){3}", text) is not None
-    return (14 <= digits <= 19) if KINDS[kind] == "card" else (10 <= digits <= 15)
+        parts = re.fullmatch(r"([0-9]{1,3})[.\s]+([0-9]{1,3})[.\s]+([0-9]{1,3})[.\s]+([0-9]{1,3})", text)
+        return parts is not None and all(int(p) <= 255 for p in parts.groups())
+    return re.fullmatch(r"[(+]{0,2}[0-9](?:[\s().,/_-]{0,3}[0-9])+", text) is not None and passes(KINDS[kind], text)
 
 
 def all_spans(texts: list[str], tagger: Tagger | None, rows_at_once: int = 2048):
@@ -286,15 +361,13 @@ def all_spans(texts: list[str], tagger: Tagger | None, rows_at_once: int = 2048)
         at = 0
         for row, numbers, classes in waiting:
             good, failed = base[row]
-            taken = [(a, b) for _, a, b in [*good, *failed]]
+            taken, refused = [(a, b) for _, a, b in good], set(failed)
             for kind, a, b in reconcile(numbers, tags[at : at + len(classes)], len(texts[row])):
-                while a < b and texts[row][a].isspace():
-                    a += 1
-                while a < b and texts[row][b - 1].isspace():
-                    b -= 1
-                # Where a pattern matched, its verdict stands.
-                if plausible(kind, texts[row][a:b]) and not any(a < d and c < b for c, d in taken):
+                a, b = snapped(kind, texts[row], a, b)
+                # A good match stands; a failed one speaks for its own kind and extent only.
+                if (kind, a, b) not in refused and plausible(kind, texts[row][a:b]) and not any(a < d and c < b for c, d in taken):
                     extra[row].append((kind, a, b))
+                    taken.append((a, b))
             at += len(classes)
         waiting.clear()
 
@@ -317,7 +390,7 @@ def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, training_wi
     """A tagger from at most ``sample_documents`` documents that hold a digit or an @, chosen by hash of the id.
 
     Their base spans label at most ``training_windows`` windows, half of them with spans where there are as
-    many.  None if no window has a span: then the base patterns stand alone.
+    many; half as many windows again hold spans written in other ways.  None if no window has a span: then the base patterns stand alone.
     """
     ids = hash_sample(docs.filter(F.col("text").rlike("[0-9@]")).select("doc_id").dropna(), sample_documents)
     if not ids:
@@ -325,31 +398,37 @@ def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, training_wi
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["text"]:
-                numbers, classes = windows(text)
-                tags = tags_of(len(text), matches(text)[0])[numbers[:, None] * STRIDE + np.arange(WINDOW)]
-                # At most 64 windows of one document, those with spans first.
-                order = np.argsort(~tags.any(axis=1), kind="stable")[:64]
-                yield pd.DataFrame({"c": [bytes(x) for x in classes[order].astype(np.uint8)], "t": [bytes(x) for x in tags[order].astype(np.uint8)]})
+            for original in batch["text"]:
+                spans = matches(original)[0]
+                rng = np.random.default_rng(zlib.crc32(original.encode("utf-8", "replace")))
+                for text, labels in [(original, spans), *(rewritten(original, spans, rng) for _ in range(REWRITES if spans else 0))]:
+                    numbers, classes = windows(text)
+                    tags = tags_of(len(text), labels)[numbers[:, None] * STRIDE + np.arange(WINDOW)]
+                    # At most 64 windows of one text, those with spans first.
+                    order = np.argsort(~tags.any(axis=1), kind="stable")[:64]
+                    if text is not original:
+                        order = order[tags[order].any(axis=1)]
+                    yield pd.DataFrame({"c": [bytes(x) for x in classes[order].astype(np.uint8)], "t": [bytes(x) for x in tags[order].astype(np.uint8)], "r": text is not original})
 
     sample = docs.filter(F.col("doc_id").isin(ids) & F.col("text").rlike("[0-9@]")).select("text")
-    rows = sample.mapInPandas(cut, "c binary, t binary").toPandas().sort_values(["c", "t"]).drop_duplicates()
+    rows = sample.mapInPandas(cut, "c binary, t binary, r boolean").toPandas().sort_values(["c", "t", "r"]).drop_duplicates(["c", "t"])
     classes = np.array([np.frombuffer(x, np.uint8) for x in rows["c"]], dtype=np.int64).reshape(-1, WINDOW)
     tags = np.array([np.frombuffer(x, np.uint8) for x in rows["t"]], dtype=np.int64).reshape(-1, WINDOW)
     order = np.random.default_rng(0).permutation(len(classes))
     held = tags[order].any(axis=1)
-    with_spans, without = order[held][: training_windows // 2], order[~held][: training_windows // 2]
+    other_ways = rows["r"].to_numpy(dtype=bool)[order]
+    with_spans, without = order[held & ~other_ways][: training_windows // 2], order[~held][: training_windows // 2]
     if not len(with_spans):
         return None
-    used = np.concatenate([with_spans, without])
+    used = np.concatenate([with_spans, without, order[other_ways][: training_windows // 2]])
     return Tagger().fit(classes[used].T, tags[used].T)
 
 
 def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """Adds ``base`` and ``added``: arrays of (start, kind number, end) in code points, in order.
 
-    Base spans follow the fixed patterns and checks; the tagger adds spans that touch no match of a
-    pattern.  Overlapping windows are decoded apart and each character follows the window it is most
+    Base spans follow the fixed patterns and checks; the tagger adds spans that touch no base
+    span and are no failed match of their own kind.  Overlapping windows are decoded apart and each character follows the window it is most
     central in.  A null or empty text has no spans; repeated rows get the same; columns named base or
     added are replaced, others kept.
     """

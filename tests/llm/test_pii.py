@@ -96,3 +96,36 @@ def test_mask(spark):
     df = spark.createDataFrame([(1, "é write to a.b@c.de or +1 555 123 4567!", 5)], "doc_id long, text string, extra int")
     out = pii.mask(pii.find(df, None))
     assert out.first().text == "é write to <email> or <phone>!" and out.columns == ["doc_id", "text", "extra"]
+
+
+def test_tagger_adds_what_no_pattern_knows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    tagger = pii.train(docs.filter("doc_id % 2 = 0"))
+    wanted = [
+        (3, "(555) 123-4567"), (3, "555.123.4567"), (2, "4111.1111.1111.1111"), (1, "10. 20. 30. 40"),
+        (0, "jean.99@mäil5.example.com"),
+    ]
+    texts = [f"on the other hand the man went there and {span} then all was well with them" for _, span in wanted]
+    base, added = pii.all_spans(texts, tagger)
+    assert not any(base)
+    assert [[(k, t[a:b]) for k, a, b in spans] for t, spans in zip(texts, added)] == [[w] for w in wanted]
+    # What fails its own kind's check stays out, and so do other numbers.
+    others = ["4111 1111 1111 1112", "4111.1111.1111.1112", "300. 1. 1. 1", "2024-01-31 12:30:00"]
+    assert pii.all_spans([f"on the other hand {span} was there" for span in others], tagger)[1] == [[]] * len(others)
+
+
+class Fixed:
+    """Tags every character as of one kind."""
+
+    def __init__(self, kind):
+        self.kind = kind
+
+    def decode(self, classes):
+        return np.full(classes.shape, 2 + 2 * self.kind, np.int8)
+
+
+def test_failed_matches_of_other_kinds_do_not_suppress():
+    for kind, text in [(3, "(555) 123-4567"), (3, "0049 170 1234567"), (2, "4111.1111.1111.1111"), (1, "10. 20. 30. 40")]:
+        assert pii.all_spans([text], Fixed(kind)) == ([[]], [[(kind, 0, len(text))]])
+    for text in ("4111 1111 1111 1112", "12 34"):
+        assert pii.all_spans([text], Fixed(2)) == ([[]], [[]])

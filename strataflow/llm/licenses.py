@@ -28,6 +28,8 @@ TEMPLATES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0. This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal, Public Domain Dedication."),
 )
 # A header holds one of these words; every template does.
@@ -37,6 +39,10 @@ FILE_SHARE = 0.5
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 MARKED = re.compile(MARKS, re.IGNORECASE)
 LINES = re.compile(r"[^\n\r]+")
+# Comment marks at the edges of a line, and names of licence files.
+COMMENT = re.compile(r"^\s*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|\"\"\"|\'\'\')\s?")
+COMMENT_END = re.compile(r"\s*(?:\*+/|-->|\"\"\"|\'\'\')\s*$")
+FILE_NAME = r"(?i)(^|/)(un)?(licen[cs]e|copying)([._-][^/]*)?$"
 
 
 def terms(text: str) -> list[str]:
@@ -76,14 +82,14 @@ class Scorer:
         at = int(score.argmax())
         return (self.names[at], min(1.0, float(score[at]))) if score[at] > 0 else (None, 0.0)
 
-    def header(self, text: str | None) -> tuple[str | None, float, float]:
-        """Best licence of a text's marked lines, its cosine, and the share of the text's words in marked lines.
+    def header(self, text: str | None) -> tuple[str | None, float, float, float]:
+        """Best licence of a text, its cosine, the share of the text's words in marked lines, and the cosine of the whole.
 
-        The first line of the highest cosine wins.
+        Scored are marked lines, marked passages and the whole text; the first of the highest cosine wins.
         """
         found, score, inside, every = None, 0.0, 0, 0
         if not text or not MARKED.search(text):
-            return None, 0.0, 0.0
+            return None, 0.0, 0.0, 0.0
         for line in LINES.finditer(text):
             n = len(line[0].split())
             every += n
@@ -92,7 +98,30 @@ class Scorer:
                 name, value = self.best(line[0])
                 if value > score:
                     found, score = name, value
-        return found, score, inside / every if every else 0.0
+        joined = passages(text)
+        whole_name, whole = self.best(" ".join(joined[0]))
+        for name, value in [*(self.best(p) for p in joined[1] if MARKED.search(p)), (whole_name, whole)]:
+            if value > score:
+                found, score = name, value
+        return found, score, inside / every if every else 0.0, whole
+
+
+def passages(text: str) -> tuple[list[str], list[str]]:
+    """Lines without comment marks; and passages of joined lines: between empty lines, and the leading comment block."""
+    plain, blocks, block, leading, in_front = [], [], [], [], True
+    for line in text.splitlines():
+        bare = COMMENT_END.sub("", COMMENT.sub("", line)).strip()
+        plain.append(bare)
+        if in_front and (not line.strip() or COMMENT.match(line)):
+            leading.append(bare)
+        else:
+            in_front = False
+        if bare:
+            block.append(bare)
+        elif block:
+            blocks.append(" ".join(block))
+            block = []
+    return plain, [*blocks, " ".join(block), " ".join(leading)]
 
 
 def document_frequencies(docs: DataFrame, templates=TEMPLATES) -> tuple[dict[str, int], int]:
@@ -123,8 +152,9 @@ def directory(path):
 def scan(docs: DataFrame, path: str = "path", threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
     """Adds ``license, license_score, license_from`` and ``license_dir`` to each row.
 
-    A row whose best header reaches ``threshold`` has its own licence (from "header", or "file" if at least
-    ``file_share`` of its words lie in licence lines).  Licence files speak for their directory and all
+    A row whose best header reaches ``threshold`` has its own licence (from "header", or "file" if the whole
+    text reaches it too, or at least ``file_share`` of its words lie in licence lines, or its name is that of
+    a licence file).  Licence files speak for their directory and all
     below: a row without own licence takes that of the nearest ancestor directory that has one (from
     "inherited"), else none (from "none").  Several files of one directory: the highest score, then the
     first licence in order.
@@ -138,12 +168,13 @@ def scan(docs: DataFrame, path: str = "path", threshold: float = THRESHOLD, file
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([scorer.value.header(t) for t in batch["text"]], columns=["_name", "_score", "_share"])
+            yield pd.DataFrame([scorer.value.header(t) for t in batch["text"]], columns=["_name", "_score", "_share", "_whole"])
 
     base = docs.drop(*added).withColumn("_dir", directory(F.col(path)))
-    marked = kept(map_rows(base, run, "_name string, _score double, _share double", reads=["text"]))
+    marked = kept(map_rows(base, run, "_name string, _score double, _share double, _whole double", reads=["text"]))
     own = F.col("_score") >= threshold
-    file = own & (F.col("_share") >= file_share)
+    named = F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False))
+    file = own & ((F.col("_share") >= file_share) | (F.col("_whole") >= threshold) | named)
     files = (
         marked.filter(file & F.col("_dir").isNotNull())
         .groupBy(F.col("_dir").alias("_home"))

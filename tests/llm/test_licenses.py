@@ -62,3 +62,35 @@ def test_empty(spark, odd, nothing):
     assert licenses.scan(nothing.withColumn("path", F.lit("a/b"))).count() == 0
     got = licenses.scan(odd.withColumns({"path": F.lit("a/b"), "license": F.lit(1)}))
     assert got.count() == odd.count()
+
+
+def wrapped(name, mark=""):
+    """The longest text of a licence in lines of 70 characters."""
+    import textwrap
+
+    text = max((t for n, t in licenses.TEMPLATES if n == name), key=len)
+    return "\n".join(mark + line for line in textwrap.wrap(text, 70))
+
+
+def test_wrapped_texts(spark):
+    filler = "\n\nthon andre erst = 1" * 40
+    found = licenses.scan(
+        spark.createDataFrame(
+            [
+                (1, "a/LICENSE", "MIT License\n\nCopyright (c) 2020 Jo Doe\n\n" + wrapped("MIT")),
+                (2, "a/x.py", "thon andre erst"),
+                (3, "b/17", "Copyright (c) 2020, Jo Doe\nAll rights reserved.\n\n" + wrapped("BSD-3-Clause")),
+                (4, "b/x.py", "thon andre erst"),
+                (5, "c/x.py", wrapped("Apache-2.0", "# ") + filler),
+                (6, "c/y.c", "/*\n" + wrapped("GPL-3.0", " * ") + "\n */" + filler),
+                (7, "c/z.py", "thon andre erst"),
+                (8, "d/COPYING", "Preamble of a long text\n" + filler + "\n\n" + wrapped("GPL-3.0")),
+                (9, "d/x.py", "thon andre erst"),
+            ],
+            "doc_id long, path string, text string",
+        )
+    )
+    assert {r.doc_id: (r.license, r.license_from) for r in found.collect()} == {
+        1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("BSD-3-Clause", "file"), 4: ("BSD-3-Clause", "inherited"),
+        5: ("Apache-2.0", "header"), 6: ("GPL-3.0", "header"), 7: (None, "none"), 8: ("GPL-3.0", "file"), 9: ("GPL-3.0", "inherited"),
+    }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, multi_index, multiset, packing, pii, repeats, simhash, suffix
+from . import divergence, exact, language, licenses, mixing, multi_index, multiset, packing, pii, repeats, simhash, suffix, whitening
 from .common import kept, ship
 
 
@@ -91,7 +91,31 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_licenses": op2_licenses, "op3_language": op3_language, "op4_multiset": op4_multiset, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_suffix": op7_suffix, "op8_pii": op8_pii, "op9_repeats": op9_repeats, "op10_multi_index": op10_multi_index}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(df)
+    explained = F.array(*[F.lit(float(v / model.trace)) for v in model.variances]).cast("array<double>")
+    found = whitening.whiten(df, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return found.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.centre.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_licenses": op2_licenses, "op3_language": op3_language, "op4_multiset": op4_multiset, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_suffix": op7_suffix, "op8_pii": op8_pii, "op9_repeats": op9_repeats, "op10_multi_index": op10_multi_index, "op11_divergence": op11_divergence, "op12_whitening": op12_whitening, "op13_exact": op13_exact}
 # Every window is listed here, which only small tables allow.  The other operators are tested by brute force.
 ORACLES = {
     "op9_repeats": r"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
@@ -103,4 +127,29 @@ words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as po
 left_ as (select doc_id, string_agg(word, ' ' order by pos) as k from words anti join gone using (doc_id, pos) group by doc_id)
 select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(k, '')) as kept_sha256
 from d left join removed using (doc_id) left join left_ using (doc_id)""",
+    # Every term meets every pair of sources.
+    "op11_divergence": r"""with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as doc,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+o as (select lang, source, doc, unnest(ts) as term from d),
+t as (select lang, term, count(*) as total from o group by all having count(distinct doc) >= 3),
+l as (select lang, count(*) as v, sum(total) as lang_n from t group by lang),
+g0 as (select distinct lang, source from d),
+c0 as (select lang, source, term, count(*) as c from o semi join t using (lang, term) group by all),
+n0 as (select lang, source, sum(c) as n from c0 group by all),
+g as (select lang, source, coalesce(n, 0) as n, v, lang_n from g0 left join n0 using (lang, source) join l using (lang)),
+p as (select g.lang, g.source, t.term, coalesce(c, 0) as c, total, lang_n, v,
+ 1 + cast(1000000000 * (cast(coalesce(c, 0) as hugeint) + 1) // cast(n + v as hugeint) as bigint) as p
+ from g join t using (lang) left join c0 on c0.lang = g.lang and c0.source = g.source and c0.term = t.term),
+pv as (select a.lang, a.source, b.source as item, cast(sum((a.p - b.p) * (a.p - b.p) // b.p) as bigint) as value
+ from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g0 a
+ join g0 b on a.lang = b.lang and a.source <> b.source left join pv on pv.lang = a.lang and pv.source = a.source and pv.item = b.source),
+q as (select *, 1 + cast(1000000000 * (cast(total as hugeint) + 1) // cast(lang_n + v as hugeint) as bigint) as q from p where c > 0),
+terms as (select lang, source, 'term' as part, term as item, cast((p - q) * (p - q) // q as bigint) as value from q where p > q),
+r as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+ from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 200""",
+    "op13_exact": r"""with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+ doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from d""",
 }

@@ -6,9 +6,11 @@ tokenized, once, and their terms joined back to the counts.
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -17,84 +19,165 @@ from pyspark.sql import functions as F
 from .common import kept
 
 # Fixed value: the characters of a term.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = {upper: upper + 32 for upper in range(65, 91)}
 UNIT = 1_000_000_000
-# A task hands on what it has counted when it holds so many chunks.
-MOST_HELD = 200_000
-CHUNKS = pa.schema(
-    [("lang", pa.string()), ("source", pa.string()), ("chunk", pa.string()), ("n", pa.int64()), ("docs", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]
-)
+# A task hands on what it has counted when it holds so many entries; that bounds its memory, not the counts.
+MOST_ENTRIES = 3_000_000
+MOST_CHUNKS = 400_000
+MOST_HELD = 300_000
+MOST_PAIRS = 2_000_000
+# Stand for the documents of a chunk that is in three or more.
+ENOUGH = (-1, -2, -3)
+
+
+def numbered_groups(docs: DataFrame) -> DataFrame:
+    """``lang, source, no``: the groups, numbered from 0 within a language."""
+    order = Window.partitionBy("lang").orderBy("source")
+    return docs.select("lang", "source").distinct().withColumn("no", (F.row_number().over(order) - 1).cast("int"))
+
+
+def lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:
-    """``lang, source, chunk, n, docs, low, high``: occurrences, documents, and the first and last of these.
+    """``lang, chunk, docs, low, high, nos, ns`` of rows with lang, no and text, per task and its runs of rows.
 
-    A document is a row; a row is read by one task, so the numbers of documents add up over tasks.
+    ``nos`` and ``ns`` hold the groups and their occurrences.  A document is a row and is read by one
+    task; ``docs`` counts to 3, and up to two documents are named by ``low`` and ``high``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-        held, size = {}, 0
+        first = TaskContext.get().partitionId() << 33
+        number, langs = defaultdict(), defaultdict()
+        number.default_factory, langs.default_factory = number.__len__, langs.__len__
+        ids, ns, sizes, lang_of, no_of = [], [], [], [], []
+        done = 0
 
         def flush():
-            for (lang, source), group in held.items():
-                chunks = list(group)
-                for i in range(0, len(chunks), 10_000):
-                    names = chunks[i : i + 10_000]
-                    n, number, low, high = zip(*(group[c] for c in names))
-                    k = len(names)
-                    text = pa.array(names, pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * k), pa.array([source] * k), text, pa.array(n), pa.array(number), pa.array(low), pa.array(high)], schema=CHUNKS)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            key = np.array(ids, dtype=np.int64) * len(langs) + np.array(lang_of, dtype=np.int64)[doc]
+            no = np.array(no_of, dtype=np.int64)[doc]
+            width = int(no.max()) + 1
+            order = np.argsort(key * width + no, kind="stable")
+            key, no, doc = key[order], no[order], doc[order]
+            per_group = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(no, prepend=-1) != 0))
+            total = np.add.reduceat(np.array(ns, dtype=np.int64)[order], per_group)
+            per_key = np.flatnonzero(np.diff(key, prepend=-1))
+            found = np.diff(np.append(per_key, len(key)))
+            named = found < len(ENOUGH)
+            low = np.where(named, np.minimum.reduceat(doc, per_key) + first + done, 0)
+            high = np.where(named, np.maximum.reduceat(doc, per_key) + first + done, 0)
+            chunks, names = pa.array(list(number), pa.binary()).cast(pa.string()), pa.array(list(langs), pa.string())
+            key, no = key[per_key], no[per_group]
+            at = np.searchsorted(per_group, per_key)
+            ends = np.append(at, len(no))
+            for i in range(0, len(key), 10_000):
+                j = min(i + 10_000, len(key))
+                a, b = ends[i], ends[j]
+                columns = [
+                    names.take(pa.array(key[i:j] % len(langs))),
+                    chunks.take(pa.array(key[i:j] // len(langs))),
+                    pa.array(np.minimum(found[i:j], len(ENOUGH)).astype(np.int32)),
+                    pa.array(low[i:j]),
+                    pa.array(high[i:j]),
+                    lists(no[a:b], at[i:j] - a, pa.int32()),
+                    lists(total[a:b], at[i:j] - a, pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "chunk", "docs", "low", "high", "nos", "ns"])
 
         for batch in batches:
-            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = batch.column(2).cast(pa.binary())
-            for at, key in enumerate(zip(langs, sources)):
+            for at, (lang, no) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 # bytes.split() cuts at ASCII white space, which no term holds.
                 counts = Counter(texts[at].as_py().split())
-                group = held.get(key)
-                if group is None:
-                    group = held[key] = {}
-                before = len(group)
-                for chunk, n in counts.items():
-                    entry = group.get(chunk)
-                    if entry is None:
-                        group[chunk] = [n, 1, row, row]
-                    else:
-                        entry[0] += n
-                        entry[1] += 1
-                        entry[3] = row
-                row += 1
-                size += len(group) - before
-                if size > MOST_HELD:
+                ids.extend(map(number.__getitem__, counts))
+                ns.extend(counts.values())
+                sizes.append(len(counts))
+                lang_of.append(langs[lang])
+                no_of.append(no)
+                if len(ids) > MOST_ENTRIES or len(number) > MOST_CHUNKS:
                     yield from flush()
-                    held, size = {}, 0
-        yield from flush()
+                    done += len(sizes)
+                    number.clear()
+                    for held in (ids, ns, sizes, lang_of, no_of):
+                        held.clear()
+        if ids:
+            yield from flush()
 
-    schema = "lang string, source string, chunk string, n long, docs long, low long, high long"
-    part = docs.select("lang", "source", "text").mapInArrow(run, schema)
-    return part.groupBy("lang", "source", "chunk").agg(
-        F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("low").alias("low"), F.max("high").alias("high")
-    )
+    schema = "lang string, chunk string, docs int, low long, high long, nos array<int>, ns array<long>"
+    return docs.select("lang", "no", "text").mapInArrow(run, schema)
+
+
+def lowered(term: str) -> str:
+    return term.lower() if term.isascii() else term.translate(LOWER)
+
+
+class Held:
+    """Per language and term: up to three documents and the occurrences by group."""
+
+    def __init__(self) -> None:
+        self.entries: dict[tuple[str, str], tuple[set, dict]] = {}
+        self.size = 0
+
+    def add(self, lang: str, term: str, docs, nos: list[int], ns, times: int = 1) -> None:
+        entry = self.entries.get((lang, term))
+        if entry is None:
+            entry = self.entries[lang, term] = (set(), {})
+        seen, counts = entry
+        if len(seen) < len(ENOUGH):
+            seen.update(docs)
+        self.size -= len(counts)
+        for no, n in zip(nos, ns):
+            counts[no] = counts.get(no, 0) + n * times
+        self.size += len(counts)
+
+    def batches(self, least_docs: int) -> Iterator[pa.RecordBatch]:
+        rows = [(*key, list(seen)[: len(ENOUGH)], list(counts), list(counts.values())) for key, (seen, counts) in self.entries.items() if len(seen) >= least_docs]
+        self.__init__()
+        kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        for i in range(0, len(rows), 10_000):
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows[i : i + 10_000]), kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "seen", "nos", "ns"])
+
+
+TERMS = "lang string, term string, seen array<long>, nos array<int>, ns array<long>"
 
 
 def with_terms(chunks: DataFrame) -> DataFrame:
-    """Each distinct chunk is tokenized once; ``terms`` holds its terms, repeats included."""
-    dealt = chunks.repartition("chunk")
-    tokenized = dealt.select("chunk").distinct().select(
-        "chunk", F.regexp_extract_all(F.translate("chunk", UPPER, UPPER.lower()), F.lit(TERM), F.lit(0)).alias("terms")
-    )
-    return dealt.join(tokenized.filter(F.size("terms") > 0), "chunk").drop("chunk")
+    """``lang, term, seen, nos, ns``: rows of one chunk meet, it is tokenized once, and its terms take their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current, terms = Held(), None, []
+        for batch in batches:
+            for lang, chunk, docs, low, high, nos, ns in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk != current:
+                    current, terms = chunk, list(Counter(map(lowered, TERM.findall(chunk))).items())
+                for term, times in terms:
+                    held.add(lang, term, ENOUGH if docs >= len(ENOUGH) else (low, high), nos, ns, times)
+                if held.size > MOST_HELD:
+                    yield from held.batches(0)
+        yield from held.batches(0)
+
+    return chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, TERMS)
 
 
-def more_documents(joined: DataFrame, sure: DataFrame, min_docs: int) -> DataFrame:
-    """``lang, term`` of terms that no chunk alone shows to be in ``min_docs`` documents, but their chunks together do."""
-    # A chunk of one or two documents names them all by its first and last.
-    single = joined.filter("docs <= 2").select("lang", F.explode(F.array_distinct("terms")).alias("term"), "low", "high")
-    single = single.join(sure, ["lang", "term"], "left_anti")
-    named = single.select("lang", "term", F.explode(F.array("low", "high")).alias("row")).distinct()
-    return named.groupBy("lang", "term").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term")
+def merged_terms(terms: DataFrame, min_docs: int) -> DataFrame:
+    """One row per language and term in ``min_docs`` documents: ``lang, term, nos, ns``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = Held(), None
+        for batch in batches:
+            for lang, term, seen, nos, ns in zip(*(c.to_pylist() for c in batch.columns)):
+                if (lang, term) != current:
+                    if held.size > MOST_HELD:
+                        yield from held.batches(min_docs)
+                    current = lang, term
+                held.add(lang, term, seen, nos, ns)
+        yield from held.batches(min_docs)
+
+    return terms.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, TERMS).drop("seen")
 
 
 def share(count: Column, size: Column, terms: Column) -> Column:
@@ -110,68 +193,129 @@ def excess(p: Column, q: Column) -> Column:
 def vocabulary(docs: DataFrame, min_docs: int = 3) -> tuple[DataFrame, DataFrame]:
     """Groups and kept terms of a table with text, lang and source.
 
-    Groups: ``lang, source, size, terms, lang_size``, ``terms`` being the number kept; kept terms:
-    ``lang, term, source, n``.  Sizes count kept terms only.
+    Groups: ``lang, source, no, size, terms, lang_size``, sizes counting kept terms and ``terms`` being their
+    number; kept terms: ``lang, term, nos, ns``, the groups that hold it and its occurrences.  The list of
+    groups may be broadcast: the audit has a row for any two of a language, so it is a root of the result.
     """
-    if min_docs > 3:
+    if min_docs > len(ENOUGH):
         raise ValueError("documents are told apart up to three")
     docs = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    joined = kept(with_terms(chunk_counts(docs)))
-    found = joined.select("lang", "source", F.explode("terms").alias("term"), "n", "docs")
-    counted = kept(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.max("docs").alias("docs")))
-    sure = counted.groupBy("lang", "term").agg(F.max("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term")
-    terms = kept(sure.unionByName(more_documents(joined, sure, min_docs)))
-    counted = kept(counted.join(terms, ["lang", "term"], "left_semi").select("lang", "term", "source", "n"))
-    sizes = counted.groupBy("lang", "source").agg(F.sum("n").alias("size"))
+    groups = kept(numbered_groups(docs))
+    chunks = chunk_counts(docs.join(F.broadcast(groups), ["lang", "source"]))
+    terms = kept(merged_terms(with_terms(chunks), min_docs))
     langs = terms.groupBy("lang").agg(F.count("*").alias("terms"))
+    sizes = occurrences(terms).groupBy("lang", "no").agg(F.sum("n").alias("size"))
     lang_sizes = sizes.groupBy("lang").agg(F.sum("size").alias("lang_size"))
-    groups = docs.groupBy("lang", "source").agg(F.count("*").alias("rows")).join(sizes, ["lang", "source"], "left")
-    groups = groups.join(langs, "lang", "left").join(lang_sizes, "lang", "left")
-    return kept(groups.na.fill(0, ["size", "terms", "lang_size"]).drop("rows")), counted
+    sized = groups.join(sizes, ["lang", "no"], "left").join(langs, "lang", "left").join(lang_sizes, "lang", "left")
+    return kept(sized.na.fill(0, ["size", "terms", "lang_size"])), terms
+
+
+def occurrences(terms: DataFrame) -> DataFrame:
+    """``lang, term, total, no, n``: a row per term and group that holds it."""
+    total = F.aggregate("ns", F.lit(0).cast("long"), lambda a, b: a + b)
+    return terms.select("lang", "term", total.alias("total"), F.explode(F.arrays_zip("nos", "ns")).alias("at")).select(
+        "lang", "term", "total", F.col("at.nos").alias("no"), F.col("at.ns").alias("n")
+    )
+
 
+def shares(counts: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """1 + floor(1e9 * (count+1) / whole) of longs, by long division in base 1000."""
+    rest, out = counts + 1, np.zeros(len(counts), dtype=np.int64)
+    for _ in range(3):
+        rest = rest * 1000
+        out = out * 1000 + rest // whole
+        rest = rest % whole
+    return out + 1
 
-def pair_values(groups: DataFrame, counted: DataFrame) -> DataFrame:
+
+def both_values(terms: DataFrame, groups: DataFrame) -> DataFrame:
+    """``lang, a, b, value``: over the terms that both groups hold, what the excess differs by from that of
+    terms of one alone, so that it can be added to sums over each group's own terms.
+
+    Groups meet inside the row of a term; a task hands on one sum per pair.
+    """
+    sizes = groups.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "size"))), lambda x: x["size"]).alias("sizes"), F.max("terms").alias("terms"))
+    rows = terms.filter(F.size("nos") > 1).join(F.broadcast(sizes), "lang")
+    size = F.transform("nos", lambda no: F.get("sizes", no) + F.col("terms"))
+    # The list of a language's groups is not carried by every term: only the sizes of the groups that hold it.
+    rows = rows.select("lang", "nos", "ns", size.alias("wholes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int, int], int] = defaultdict(int)
+
+        def add(lang, no, p, p0):
+            """Matrices: a row per term, a column per group that holds it."""
+            k = no.shape[1]
+            step = max(1, MOST_PAIRS // k)
+            for left in range(0, k, step):
+                a = slice(left, left + step)
+                some = max(1, MOST_PAIRS // (k * min(k, step)))
+                for top in range(0, len(no), some):
+                    t = slice(top, top + some)
+                    pa_, pa0 = p[t, a, None], p0[t, a, None]
+                    pb, pb0 = p[t, None, :], p0[t, None, :]
+                    value = (pa_ - pb) ** 2 // pb - (pa_ - pb0) ** 2 // pb0 - (pa0 - pb) ** 2 // pb + (pa0 - pb0) ** 2 // pb0
+                    pair = (no[t, a, None] << 32) + no[t, None, :]
+                    keys, at = np.unique(pair.ravel(), return_inverse=True)
+                    total = np.zeros(len(keys), dtype=np.int64)
+                    np.add.at(total, at, value.ravel())
+                    for key, v in zip(keys.tolist(), total.tolist()):
+                        sums[lang, key >> 32, key & 0xFFFFFFFF] += v
+
+        def flush():
+            rows = [(*key, value) for key, value in sums.items() if key[1] != key[2]]
+            sums.clear()
+            for i in range(0, len(rows), 10_000):
+                columns = list(zip(*rows[i : i + 10_000]))
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "a", "b", "value"])
+
+        for batch in batches:
+            langs = np.array(batch.column(0).to_pylist(), dtype=object)
+            no, n, whole = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (1, 2, 3))
+            held = np.asarray(batch.column(1).value_lengths())
+            starts = np.cumsum(held) - held
+            p, p0 = shares(n, whole), shares(np.zeros(len(n), dtype=np.int64), whole)
+            for lang in set(langs):
+                for k in np.unique(held[langs == lang]):
+                    at = starts[(langs == lang) & (held == k)][:, None] + np.arange(k)
+                    add(lang, no[at], p[at], p0[at])
+            if len(sums) > MOST_HELD:
+                yield from flush()
+        yield from flush()
+
+    return rows.mapInArrow(run, "lang string, a int, b int, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+
+
+def pair_values(groups: DataFrame, terms: DataFrame) -> DataFrame:
     """``lang, source, item, value``: the excesses of a source over another of its language, over all terms.
 
-    Terms that neither source holds have one excess, terms of one source only an excess by count: both follow
-    from the numbers of terms by count.  Only terms of both are met with each other, inside the row
-    of a term, and sums leave a task.
+    Terms that neither source holds have one excess, terms of one source only an excess by count: both
+    follow from the numbers of terms by count.  Only terms of both are met with each other.
     """
-    own = groups.filter("terms > 0")
-    other = own.select("lang", F.col("source").alias("item"), F.col("size").alias("item_size"))
-    zero, terms = F.lit(0), F.col("terms")
-    p0, q0 = share(zero, F.col("size"), terms), share(zero, F.col("item_size"), terms)
-
-    pairs = own.join(other, "lang").filter("source != item")
-    constant = pairs.select("lang", "source", "item", (terms * excess(p0, q0)).alias("value"))
-    times = counted.groupBy("lang", "source", "n").agg(F.count("*").alias("times"))
-    met = times.join(pairs, ["lang", "source"])
-    mine = share(F.col("n"), F.col("size"), terms)
-    as_group = met.select("lang", "source", "item", (F.col("times") * (excess(mine, q0) - excess(p0, q0))).alias("value"))
+    zero, number = F.lit(0), F.col("terms")
+    other = groups.select("lang", F.col("source").alias("item"), F.col("no").alias("item_no"), F.col("size").alias("item_size"))
+    pairs = groups.join(other, "lang").filter("no != item_no")
+    has = pairs.filter("terms > 0")
+    p0, q0 = share(zero, F.col("size"), number), share(zero, F.col("item_size"), number)
+    a, b = F.col("no").alias("a"), F.col("item_no").alias("b")
+    constant = has.select("lang", a, b, (number * excess(p0, q0)).alias("value"))
+    times = occurrences(terms).groupBy("lang", "no", "n").agg(F.count("*").alias("times"))
+    met = times.join(has, ["lang", "no"])
+    mine = share(F.col("n"), F.col("size"), number)
+    as_group = met.select("lang", a, b, (F.col("times") * (excess(mine, q0) - excess(p0, q0))).alias("value"))
     as_item = met.select(
-        "lang", F.col("item").alias("source"), F.col("source").alias("item"),
-        (F.col("times") * (excess(q0, mine) - excess(q0, p0))).alias("value"),
-    )
-
-    # Per term the shares of the sources that hold it, with their share of a term they lack.
-    held = counted.join(own, ["lang", "source"]).select("lang", "term", F.struct("source", mine.alias("p"), p0.alias("p0")).alias("s"))
-    lists = held.groupBy("lang", "term").agg(F.collect_list("s").alias("held")).filter(F.size("held") > 1)
-    both = lists.select("lang", "held", F.explode("held").alias("a")).select("lang", "a", F.explode("held").alias("b")).filter("a.source != b.source")
-    a, a0, b, b0 = F.col("a.p"), F.col("a.p0"), F.col("b.p"), F.col("b.p0")
-    joint = both.select(
-        "lang", F.col("a.source").alias("source"), F.col("b.source").alias("item"),
-        (excess(a, b) - excess(a, b0) - excess(a0, b) + excess(a0, b0)).alias("value"),
+        "lang", F.col("item_no").alias("a"), F.col("no").alias("b"), (F.col("times") * (excess(q0, mine) - excess(q0, p0))).alias("value")
     )
-    summed = constant.unionByName(as_group).unionByName(as_item).unionByName(joint)
-    summed = summed.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    every = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").filter("source != item")
-    return every.join(summed, ["lang", "source", "item"], "left").na.fill(0, ["value"])
+    summed = constant.unionByName(as_group).unionByName(as_item).unionByName(both_values(terms, groups))
+    summed = summed.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    every = pairs.select("lang", a, b, "source", "item")
+    return every.join(summed, ["lang", "a", "b"], "left").na.fill(0, ["value"]).select("lang", "source", "item", "value")
 
 
-def term_values(groups: DataFrame, counted: DataFrame) -> DataFrame:
+def term_values(groups: DataFrame, terms: DataFrame) -> DataFrame:
     """``lang, source, item, value``: the terms of a source that are likelier there than in its language."""
-    totals = counted.groupBy("lang", "term").agg(F.sum("n").alias("total"))
-    met = counted.join(totals, ["lang", "term"]).join(groups, ["lang", "source"])
+    met = occurrences(terms).join(F.broadcast(groups), ["lang", "no"])
     p = share(F.col("n"), F.col("size"), F.col("terms"))
     q = share(F.col("total"), F.col("lang_size"), F.col("terms"))
     met = met.select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).filter("p > q")
@@ -186,10 +330,10 @@ def audit(docs: DataFrame, min_docs: int = 3, most_terms: int = 200) -> DataFram
     language without a kept term gives its pairs the value 0; a source alone in its language gives no pair.  An
     empty table gives no rows; other columns are not read.
     """
-    groups, counted = vocabulary(docs, min_docs)
+    groups, kept_terms = vocabulary(docs, min_docs)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = pair_values(groups, counted).withColumn("rank", F.row_number().over(order))
-    terms = term_values(groups, counted).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most_terms)
+    pairs = pair_values(groups, kept_terms).withColumn("rank", F.row_number().over(order))
+    terms = term_values(groups, kept_terms).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most_terms)
 
     def part(df, name):
         return df.select("lang", "source", F.lit(name).alias("part"), "item", "value", "rank")

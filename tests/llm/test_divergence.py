@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,9 +82,10 @@ def test_documents_are_counted_once_over_chunks(spark):
     assert "rare" in kept and "pair" in kept and "the" not in kept and "only" not in kept
 
 
-def test_flushing_and_ranks(spark, monkeypatch):
-    words = [f"w{i}x{'abcdefgh'[i % 8]}" for i in range(900)]
-    rows = [(" ".join(words[i % 97 :: 1 + i % 5]), "en", "ab"[i % 3 == 0]) for i in range(60)]
+def test_many_sources_and_ranks(spark):
+    letters = "abcdefghij"
+    words = [f"{letters[i % 10]}{letters[i // 10 % 10]}{letters[i // 100]}," for i in range(900)]
+    rows = [(" ".join(words[i % 97 :: 1 + i % 5]), "en", f"s{i % 23}") for i in range(120)]
     docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(3)
     check(rows, divergence.audit(docs).collect())
 
@@ -99,3 +102,23 @@ def test_clashing_names_and_limits(spark, odd):
     with pytest.raises(ValueError):
         divergence.vocabulary(odd, min_docs=4)
     assert "op11_divergence" in ORACLES
+
+
+def test_small_flushes(spark, monkeypatch):
+    """Tasks that hand on what they hold all the time, and pairs cut into slices, give the same sums."""
+    rows = [(f"a{'xyz'[i % 3]} b,c b {'lmnop'[i % 5]} {'qrs'[i % 3]}-a", "en" if i % 4 else "de", f"s{i % 7}") for i in range(50)]
+    part = pa.table({"lang": ["en"] * 4, "chunk": ["a", "a-b", "b", "b"], "docs": [3, 1, 1, 2], "low": [0, 5, 6, 7], "high": [0, 5, 6, 8], "nos": [[0], [0, 1], [1], [2]], "ns": [[9], [1, 2], [1], [4]]})
+    df = spark.createDataFrame(part)
+    got = {(r.lang, r.term): dict(zip(r.nos, r.ns)) for r in divergence.merged_terms(divergence.with_terms(df), 3).collect()}
+    assert got == {("en", "a"): {0: 10, 1: 2}, ("en", "b"): {0: 1, 1: 3, 2: 4}}
+    monkeypatch.setattr(divergence, "MOST_ENTRIES", 5)
+    monkeypatch.setattr(divergence, "MOST_HELD", 3)
+    monkeypatch.setattr(divergence, "MOST_PAIRS", 4)
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(3)
+    check(rows, divergence.audit(docs).collect())
+
+
+def test_shares_of_longs():
+    counts, whole = [0, 5, 9 * 10**14], [3, 17, 9 * 10**15]
+    got = divergence.shares(np.array(counts, dtype=np.int64), np.array(whole, dtype=np.int64))
+    assert got.tolist() == [1 + 10**9 * (c + 1) // w for c, w in zip(counts, whole)]

@@ -6,27 +6,31 @@ tokenized, once, and their terms joined back to the counts.
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept
 
-# Fixed value: the characters of a term.
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = {upper: upper + 32 for upper in range(65, 91)}
-UNIT = 1_000_000_000
-# A task hands on what it has counted when it holds so many entries; that bounds its memory, not the counts.
-MOST_ENTRIES = 3_000_000
-MOST_CHUNKS = 400_000
-MOST_HELD = 300_000
+
+def marks(of: bytes) -> np.ndarray:
+    return np.isin(np.arange(256), np.frombuffer(of, dtype=np.uint8))
+
+
+# A chunk is cut by ASCII white space, a term holds letters of ASCII and all beyond ASCII.
+CHUNK_BYTES = ~marks(b"\t\n\v\f\r ")
+TERM_BYTES = marks(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
+# A task works on so many bytes, rows or pairs at once; that bounds its memory, not the counts.
+MOST_BYTES = 24 << 20
+MOST_ROWS = 200_000
 MOST_PAIRS = 2_000_000
+MOST_HELD = 300_000
 # Stand for the documents of a chunk that is in three or more.
 ENOUGH = (-1, -2, -3)
 
@@ -41,6 +45,43 @@ def lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
 
 
+def runs_of(texts: pa.Array, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The longest runs of bytes that ``inside`` marks, text after text, and the text each comes from."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32, count=texts.offset + len(texts) + 1)[texts.offset :].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    marked = inside[data]
+    begins = marked.copy()
+    begins[1:] &= ~marked[:-1]
+    # A text begins a run of its own even where the one before ends inside one.
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    begins[heads] = marked[heads]
+    finish = marked.copy()
+    finish[:-1] &= ~marked[1:] | begins[1:]
+    at = np.flatnonzero(begins)
+    ends = np.cumsum(np.append(0, np.flatnonzero(finish) + 1 - at)).astype(np.int32)
+    runs = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data[marked])])
+    return runs, np.searchsorted(offsets, at, side="right") - 1
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], by: list[int], most: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows in larger batches that end where the columns ``by`` change."""
+    waiting, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        size += batch.num_rows
+        last = int(np.flatnonzero(changes(*(batch.column(i) for i in by)))[-1])
+        # The rows of the last key may go on in the next batch.
+        if last and size > most:
+            rows, cut = pa.concat_batches(waiting), size - batch.num_rows + last
+            yield rows.slice(0, cut)
+            waiting, size = [rows.slice(cut)], size - cut
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
 def chunk_counts(docs: DataFrame) -> DataFrame:
     """``lang, chunk, docs, low, high, nos, ns`` of rows with lang, no and text, per task and its runs of rows.
 
@@ -48,98 +89,119 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
     task; ``docs`` counts to 3, and up to two documents are named by ``low`` and ``high``.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 33
-        number, langs = defaultdict(), defaultdict()
-        number.default_factory, langs.default_factory = number.__len__, langs.__len__
-        ids, ns, sizes, lang_of, no_of = [], [], [], [], []
-        done = 0
-
-        def flush():
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            key = np.array(ids, dtype=np.int64) * len(langs) + np.array(lang_of, dtype=np.int64)[doc]
-            no = np.array(no_of, dtype=np.int64)[doc]
-            width = int(no.max()) + 1
-            order = np.argsort(key * width + no, kind="stable")
-            key, no, doc = key[order], no[order], doc[order]
-            per_group = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(no, prepend=-1) != 0))
-            total = np.add.reduceat(np.array(ns, dtype=np.int64)[order], per_group)
-            per_key = np.flatnonzero(np.diff(key, prepend=-1))
-            found = np.diff(np.append(per_key, len(key)))
-            named = found < len(ENOUGH)
-            low = np.where(named, np.minimum.reduceat(doc, per_key) + first + done, 0)
-            high = np.where(named, np.maximum.reduceat(doc, per_key) + first + done, 0)
-            chunks, names = pa.array(list(number), pa.binary()).cast(pa.string()), pa.array(list(langs), pa.string())
-            key, no = key[per_key], no[per_group]
-            at = np.searchsorted(per_group, per_key)
-            ends = np.append(at, len(no))
-            for i in range(0, len(key), 10_000):
-                j = min(i + 10_000, len(key))
-                a, b = ends[i], ends[j]
-                columns = [
-                    names.take(pa.array(key[i:j] % len(langs))),
-                    chunks.take(pa.array(key[i:j] // len(langs))),
-                    pa.array(np.minimum(found[i:j], len(ENOUGH)).astype(np.int32)),
-                    pa.array(low[i:j]),
-                    pa.array(high[i:j]),
-                    lists(no[a:b], at[i:j] - a, pa.int32()),
-                    lists(total[a:b], at[i:j] - a, pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "chunk", "docs", "low", "high", "nos", "ns"])
+    def counted(rows: pa.RecordBatch, first: int):
+        chunks, doc = runs_of(rows.column(2), CHUNK_BYTES)
+        if not len(chunks):
+            return
+        coded, langs = chunks.dictionary_encode(), rows.column(0).dictionary_encode()
+        lang, no = langs.indices.to_numpy().astype(np.int64), rows.column(1).to_numpy().astype(np.int64)
+        # Documents in the order of their groups: one sort brings chunks, languages, groups and documents together.
+        order = np.lexsort((no, lang))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        joint = np.sort(coded.indices.to_numpy().astype(np.int64) * len(order) + rank[doc])
+        at = np.flatnonzero(np.diff(joint, prepend=-1))
+        times = np.diff(np.append(at, len(joint)))
+        code, doc = joint[at] // len(order), order[joint[at] % len(order)]
+        key, no = code * len(langs.dictionary) + lang[doc], no[doc]
+        per_key = np.flatnonzero(np.diff(key, prepend=-1))
+        per_group = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(no, prepend=-1) != 0))
+        total, no = np.add.reduceat(times, per_group), no[per_group]
+        found = np.diff(np.append(per_key, len(key)))
+        named = found < len(ENOUGH)
+        low = np.where(named, np.minimum.reduceat(doc, per_key) + first, 0)
+        high = np.where(named, np.maximum.reduceat(doc, per_key) + first, 0)
+        key = key[per_key]
+        ends = np.append(np.searchsorted(per_group, per_key), len(no))
+        for i in range(0, len(key), 10_000):
+            j = min(i + 10_000, len(key))
+            a, b = ends[i], ends[j]
+            columns = [
+                langs.dictionary.take(pa.array(key[i:j] % len(langs.dictionary))),
+                coded.dictionary.take(pa.array(key[i:j] // len(langs.dictionary))),
+                pa.array(np.minimum(found[i:j], len(ENOUGH)).astype(np.int32)),
+                pa.array(low[i:j]),
+                pa.array(high[i:j]),
+                lists(no[a:b], ends[i:j] - a, pa.int32()),
+                lists(total[a:b], ends[i:j] - a, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "chunk", "docs", "low", "high", "nos", "ns"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, waiting, size = TaskContext.get().partitionId() << 33, [], 0
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary())
-            for at, (lang, no) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                # bytes.split() cuts at ASCII white space, which no term holds.
-                counts = Counter(texts[at].as_py().split())
-                ids.extend(map(number.__getitem__, counts))
-                ns.extend(counts.values())
-                sizes.append(len(counts))
-                lang_of.append(langs[lang])
-                no_of.append(no)
-                if len(ids) > MOST_ENTRIES or len(number) > MOST_CHUNKS:
-                    yield from flush()
-                    done += len(sizes)
-                    number.clear()
-                    for held in (ids, ns, sizes, lang_of, no_of):
-                        held.clear()
-        if ids:
-            yield from flush()
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            size += batch.column(2).nbytes
+            if size > MOST_BYTES:
+                rows = pa.concat_batches(waiting)
+                yield from counted(rows, first)
+                first, waiting, size = first + rows.num_rows, [], 0
+        if waiting:
+            yield from counted(pa.concat_batches(waiting), first)
 
     schema = "lang string, chunk string, docs int, low long, high long, nos array<int>, ns array<long>"
     return docs.select("lang", "no", "text").mapInArrow(run, schema)
 
 
-def lowered(term: str) -> str:
-    return term.lower() if term.isascii() else term.translate(LOWER)
+def changes(*columns: pa.Array) -> np.ndarray:
+    """Whether a row of a sorted batch differs from the one before; the first row does."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    out[1:] = False
+    for column in columns:
+        out[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return out
+
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of the runs that start at ``starts``, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
-class Held:
-    """Per language and term: up to three documents and the occurrences by group."""
 
-    def __init__(self) -> None:
-        self.entries: dict[tuple[str, str], tuple[set, dict]] = {}
-        self.size = 0
+def summed(key: np.ndarray, no: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums per key and group, in that order."""
+    width = int(no.max(initial=0)) + 1
+    joint = key * width + no
+    order = np.argsort(joint, kind="stable")
+    joint = joint[order]
+    at = np.flatnonzero(np.diff(joint, prepend=-1))
+    return joint[at] // width, joint[at] % width, np.add.reduceat(n[order], at) if len(at) else n
 
-    def add(self, lang: str, term: str, docs, nos: list[int], ns, times: int = 1) -> None:
-        entry = self.entries.get((lang, term))
-        if entry is None:
-            entry = self.entries[lang, term] = (set(), {})
-        seen, counts = entry
-        if len(seen) < len(ENOUGH):
-            seen.update(docs)
-        self.size -= len(counts)
-        for no, n in zip(nos, ns):
-            counts[no] = counts.get(no, 0) + n * times
-        self.size += len(counts)
 
-    def batches(self, least_docs: int) -> Iterator[pa.RecordBatch]:
-        rows = [(*key, list(seen)[: len(ENOUGH)], list(counts), list(counts.values())) for key, (seen, counts) in self.entries.items() if len(seen) >= least_docs]
-        self.__init__()
-        kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        for i in range(0, len(rows), 10_000):
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows[i : i + 10_000]), kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "seen", "nos", "ns"])
+def named(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Up to three distinct documents per key."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    fresh = np.ones(len(key), dtype=bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    key, doc = key[fresh], doc[fresh]
+    first = np.maximum.accumulate(np.where(np.diff(key, prepend=-1) != 0, np.arange(len(key)), 0))
+    few = np.arange(len(key)) - first < len(ENOUGH)
+    return key[few], doc[few]
+
+
+def term_rows(counts, docs, names, least_docs: int) -> Iterator[pa.RecordBatch]:
+    """Rows of all keys in ``least_docs`` documents, from keys with groups and occurrences and keys with documents.
+
+    ``names`` gives languages and terms of keys.
+    """
+    key, no, n = summed(*counts)
+    doc_key, doc = named(*docs)
+    # Every key has groups and documents, so the runs of both are in step.
+    start, doc_start = (np.flatnonzero(np.diff(k, prepend=-1)) for k in (key, doc_key))
+    groups, documents = np.diff(np.append(start, len(key))), np.diff(np.append(doc_start, len(doc_key)))
+    keep = np.flatnonzero(documents >= least_docs)
+    for i in range(0, len(keep), 10_000):
+        some = keep[i : i + 10_000]
+        docs_at, at = ranges(doc_start[some], documents[some]), ranges(start[some], groups[some])
+        columns = [
+            *names(key[start[some]]),
+            lists(doc[docs_at], np.cumsum(documents[some]) - documents[some], pa.int64()),
+            lists(no[at], np.cumsum(groups[some]) - groups[some], pa.int32()),
+            lists(n[at], np.cumsum(groups[some]) - groups[some], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "seen", "nos", "ns"])
 
 
 TERMS = "lang string, term string, seen array<long>, nos array<int>, ns array<long>"
@@ -149,16 +211,33 @@ def with_terms(chunks: DataFrame) -> DataFrame:
     """``lang, term, seen, nos, ns``: rows of one chunk meet, it is tokenized once, and its terms take their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, current, terms = Held(), None, []
-        for batch in batches:
-            for lang, chunk, docs, low, high, nos, ns in zip(*(c.to_pylist() for c in batch.columns)):
-                if chunk != current:
-                    current, terms = chunk, list(Counter(map(lowered, TERM.findall(chunk))).items())
-                for term, times in terms:
-                    held.add(lang, term, ENOUGH if docs >= len(ENOUGH) else (low, high), nos, ns, times)
-                if held.size > MOST_HELD:
-                    yield from held.batches(0)
-        yield from held.batches(0)
+        for rows in whole_runs(batches, [1], MOST_ROWS):
+            fresh = changes(rows.column(1))
+            tokens, of = runs_of(pc.ascii_lower(rows.column(1).filter(pa.array(fresh))), TERM_BYTES)
+            if not len(tokens):
+                continue
+            coded, langs = tokens.dictionary_encode(), rows.column(0).dictionary_encode()
+            # Rows by the terms of their chunk, a repeated term as often as it occurs.
+            sizes = np.bincount(of, minlength=fresh.sum())
+            of_chunk = np.cumsum(fresh) - 1
+            row = np.repeat(np.arange(rows.num_rows), sizes[of_chunk])
+            token = coded.indices.to_numpy().astype(np.int64)[ranges((np.cumsum(sizes) - sizes)[of_chunk], sizes[of_chunk])]
+            width = len(langs.dictionary)
+            key = token * width + langs.indices.to_numpy()[row]
+            # These by the groups of the row.
+            lengths = rows.column(5).value_lengths().to_numpy().astype(np.int64)
+            nos, ns = (rows.column(i).flatten().to_numpy().astype(np.int64) for i in (5, 6))
+            at = ranges((np.cumsum(lengths) - lengths)[row], lengths[row])
+            docs, low, high = (rows.column(i).to_numpy()[row].astype(np.int64) for i in (2, 3, 4))
+            many = docs >= len(ENOUGH)
+            doc_keys = np.concatenate([key[~many], key[~many], *[key[many]] * len(ENOUGH)])
+            seen = np.concatenate([low[~many], high[~many], *[np.full(many.sum(), mark) for mark in ENOUGH]])
+            yield from term_rows(
+                (np.repeat(key, lengths[row]), nos[at], ns[at]),
+                (doc_keys, seen),
+                lambda keys: (langs.dictionary.take(pa.array(keys % width)), coded.dictionary.take(pa.array(keys // width))),
+                0,
+            )
 
     return chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, TERMS)
 
@@ -167,29 +246,21 @@ def merged_terms(terms: DataFrame, min_docs: int) -> DataFrame:
     """One row per language and term in ``min_docs`` documents: ``lang, term, nos, ns``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, current = Held(), None
-        for batch in batches:
-            for lang, term, seen, nos, ns in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, term) != current:
-                    if held.size > MOST_HELD:
-                        yield from held.batches(min_docs)
-                    current = lang, term
-                held.add(lang, term, seen, nos, ns)
-        yield from held.batches(min_docs)
+        for rows in whole_runs(batches, [0, 1], MOST_ROWS):
+            fresh = changes(rows.column(0), rows.column(1))
+            key, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+            seen, groups = (rows.column(i).value_lengths().to_numpy() for i in (2, 3))
+            nos, ns = (rows.column(i).flatten().to_numpy().astype(np.int64) for i in (3, 4))
+            yield from term_rows(
+                (np.repeat(key, groups), nos, ns),
+                (np.repeat(key, seen), rows.column(2).flatten().to_numpy()),
+                lambda keys: tuple(rows.column(i).take(pa.array(first[keys])) for i in (0, 1)),
+                min_docs,
+            )
 
     return terms.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, TERMS).drop("seen")
 
 
-def share(count: Column, size: Column, terms: Column) -> Column:
-    """1 + floor(1e9 * (count+1) / (size+terms)), exact."""
-    whole = (count + 1).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)")
-    return F.call_function("div", whole, (size + terms).cast("decimal(20,0)")) + F.lit(1)
-
-
-def excess(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), q)
-
-
 def vocabulary(docs: DataFrame, min_docs: int = 3) -> tuple[DataFrame, DataFrame]:
     """Groups and kept terms of a table with text, lang and source.
 
@@ -287,6 +358,20 @@ def both_values(terms: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, a int, b int, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
+def share(count: Column, size: Column, terms: Column) -> Column:
+    """1 + floor(1e9 * (count+1) / (size+terms)) of longs, by long division in base 1000."""
+    whole, rest, out = size + terms, count + F.lit(1).cast("long"), F.lit(0).cast("long")
+    for _ in range(3):
+        rest = rest * 1000
+        out = out * 1000 + F.call_function("div", rest, whole)
+        rest = rest % whole
+    return out + 1
+
+
+def excess(p: Column, q: Column) -> Column:
+    return F.call_function("div", (p - q) * (p - q), q)
+
+
 def pair_values(groups: DataFrame, terms: DataFrame) -> DataFrame:
     """``lang, source, item, value``: the excesses of a source over another of its language, over all terms.
 

@@ -111,8 +111,9 @@ def test_small_flushes(spark, monkeypatch):
     df = spark.createDataFrame(part)
     got = {(r.lang, r.term): dict(zip(r.nos, r.ns)) for r in divergence.merged_terms(divergence.with_terms(df), 3).collect()}
     assert got == {("en", "a"): {0: 10, 1: 2}, ("en", "b"): {0: 1, 1: 3, 2: 4}}
-    monkeypatch.setattr(divergence, "MOST_ENTRIES", 5)
+    monkeypatch.setattr(divergence, "MOST_BYTES", 50)
     monkeypatch.setattr(divergence, "MOST_HELD", 3)
+    monkeypatch.setattr(divergence, "MOST_ROWS", 2)
     monkeypatch.setattr(divergence, "MOST_PAIRS", 4)
     docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(3)
     check(rows, divergence.audit(docs).collect())
@@ -122,3 +123,13 @@ def test_shares_of_longs():
     counts, whole = [0, 5, 9 * 10**14], [3, 17, 9 * 10**15]
     got = divergence.shares(np.array(counts, dtype=np.int64), np.array(whole, dtype=np.int64))
     assert got.tolist() == [1 + 10**9 * (c + 1) // w for c, w in zip(counts, whole)]
+
+
+def test_runs_of_texts():
+    texts = ["", "a b", "c", "\x0b d\x1ce\u00a0f \n", " ", "\u00e4\u00f6 \u00e4", "", "g"]
+    for array in (pa.array(texts), pa.array(["zz zz", *texts])[1:], pa.array(texts)[:0], pa.array([" "])):
+        chunks, doc = divergence.runs_of(array, divergence.CHUNK_BYTES)
+        want = [(c.decode(), i) for i, t in enumerate(array.to_pylist()) for c in t.encode().split()]
+        assert list(zip(chunks.to_pylist(), doc.tolist())) == want
+    terms, at = divergence.runs_of(pa.array(["a1b", "12", "é_x\U0001d538"]), divergence.TERM_BYTES)
+    assert list(zip(terms.to_pylist(), at.tolist())) == [("a", 0), ("b", 0), ("é", 2), ("x\U0001d538", 2)]

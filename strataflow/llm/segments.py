@@ -211,15 +211,15 @@ def cut(items_of: Callable, shape: Shape, n_buckets: int, earlier: bool):
                 local = doc[at]
                 by = np.argsort(bucket.astype(np.uint16 if n_buckets < 1 << 16 else np.uint64), kind="stable")
                 out, local = out[by], local[by]
-                cuts = np.searchsorted(bucket[by], np.arange(n_buckets + 1, dtype=np.uint64))
+                dealt = bucket[by].astype(np.int64)
+                first = np.flatnonzero(np.diff(dealt, prepend=-1))
                 names = np.stack([key1, key2], axis=1)
-                payloads, buckets = [], []
-                for b in range(n_buckets):
-                    rows = out[cuts[b] : cuts[b + 1]]
-                    if len(rows):
-                        docs_here, rows["doc"] = np.unique(local[cuts[b] : cuts[b + 1]], return_inverse=True)
-                        payloads.append(np.int64(len(docs_here)).tobytes() + names[docs_here].tobytes() + rows.tobytes())
-                        buckets.append(b)
+                payloads = []
+                for lo, hi in zip(first, [*first[1:], len(dealt)]):
+                    rows = out[lo:hi]
+                    docs_here, rows["doc"] = np.unique(local[lo:hi], return_inverse=True)
+                    payloads.append(np.int64(len(docs_here)).tobytes() + names[docs_here].tobytes() + rows.tobytes())
+                buckets = dealt[first]
                 yield pd.DataFrame({"bucket": buckets, "kind": np.zeros(len(buckets), np.int8), "payload": payloads})
 
     return run

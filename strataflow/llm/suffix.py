@@ -238,6 +238,8 @@ def judge(length: int, gram: int):
         if not found_segment:
             return empty
         segment, start = np.concatenate(found_segment), np.concatenate(found_start)
+        if not len(segment):
+            return empty
         order = np.lexsort((start, segment))
         segment, start = segment[order], start[order]
         turn = np.ones(len(segment), bool)

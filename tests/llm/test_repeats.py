@@ -101,6 +101,16 @@ def test_units_of_a_hot_anchor_are_split(spark):
     assert in_order(repeats.remove_repeats(docs, length=12, gram=4, unit_segments=16).collect()) == in_order(brute_words(rows, 12))
 
 
+def test_shared_anchors_without_a_repeat(spark):
+    """Passages shorter than a window bring segments together that share none: all texts stay."""
+    rows = [(i, f"{i * 7919} {i}{i} a passage of thirty bytes or so {i * 104729} {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix.remove_repeats(docs).collect()
+    assert in_order(got) == in_order(brute_bytes(rows, 50)) and not any(r.n_removed for r in got)
+    got = repeats.remove_repeats(docs).collect()
+    assert in_order(got) == in_order(brute_words(rows, 35)) and not any(r.n_removed for r in got)
+
+
 def test_texts_that_are_kept(spark, odd, nothing):
     got = {r.doc_id: r for r in suffix.remove_repeats(odd, with_text=True).collect() if r.doc_id != 12}
     assert bytes(got[6].kept) == b"" and len(got[5].kept) == got[5].n_bytes

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,10 @@ from ..functions.predicates import in_dates
 from .ordered import ranked_within, union_all
 
 
+# Tasks get this module's classes with their code: executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def keywords(text: str) -> list[str]:
     """Lower-case words of more than two characters."""
     return [w for w in text.lower().split() if len(w) > 2]
@@ -83,6 +90,45 @@ def keyword_search(
     ).drop("_in_source")
 
 
+def matrix_of(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of unit length; a zero vector stays zero."""
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    rows = values.reshape(len(vectors), -1)
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+
+class Nearest:
+    """The k nearest of the vectors seen so far, for each query of a block."""
+
+    def __init__(self, queries: pa.Array, vectors: pa.Array, k: int) -> None:
+        self.queries, self.unit, self.k = queries, matrix_of(vectors), k
+        self.edge = np.full(len(queries), -np.inf)
+        self.query, self.cosine, self.ids = np.zeros(0, np.int64), np.zeros(0), None
+
+    def add(self, ids: pa.Array, vectors: pa.Array) -> None:
+        cosines = self.unit @ matrix_of(vectors).T
+        if len(ids) > self.k and np.isinf(self.edge).any():
+            self.edge = np.maximum(self.edge, np.partition(cosines, -self.k, axis=1)[:, -self.k])
+        # Every row as close as the k-th stays, so that ties are settled by id.
+        query, at = np.nonzero(cosines >= self.edge[:, None])
+        self.query = np.concatenate([self.query, query])
+        self.cosine = np.concatenate([self.cosine, cosines[query, at]])
+        found = ids.take(pa.array(at))
+        self.ids = found if self.ids is None else pa.concat_arrays([self.ids, found])
+        order = np.lexsort((pc.rank(self.ids, "ascending", tiebreaker="dense").to_numpy(), -self.cosine, self.query))
+        place = np.arange(len(order)) - np.searchsorted(self.query[order], self.query[order])
+        order = order[place < self.k]
+        self.query, self.cosine, self.ids = self.query[order], self.cosine[order], self.ids.take(pa.array(order))
+        last = np.flatnonzero(place[place < self.k] == self.k - 1)
+        self.edge[self.query[last]] = self.cosine[last]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.ids is not None:
+            columns = [self.queries.take(pa.array(self.query)), self.ids, pa.array(self.cosine)]
+            yield pa.RecordBatch.from_arrays(columns, names=["q", "d", "cosine"])
+
+
 def semantic_search(
     docs: DataFrame,
     queries: DataFrame,
@@ -93,56 +139,74 @@ def semantic_search(
     well: str | None = None,
     date_from: str | None = None,
     date_to: str | None = None,
-    slices: int = 16,
-    query_blocks: int = 1,
+    group_vectors: int = 16_000,
+    group_queries: int = 4_000,
 ) -> DataFrame:
     """Exact cosine top-k per query vector, over the documents of the wells and dates asked for.
 
-    Documents are dealt into ``slices`` and queries into ``query_blocks`` by hash; every pair of a slice and a
-    block is one task's work: matrix products that hand on k rows per query.  Neither side goes
-    through the driver; more slices or blocks make the tasks smaller.
+    Documents are dealt into slices and queries into blocks of about ``group_vectors`` and ``group_queries`` rows,
+    as many as their counts ask for; the counts are part of the plan.  A task holds the queries of a
+    block, reads the documents of a slice batch by batch and keeps the k nearest of each query: its memory
+    depends on the block alone.  Rows without an id or a vector take no part.
     """
     if well is not None:
         docs = docs.filter(well_matches(F.col("well"), well))
     if date_from is not None or date_to is not None:
         docs = docs.filter(in_dates(F.col("date"), date_from, date_to))
 
-    def unit(pdf: pd.DataFrame) -> np.ndarray:
-        rows = np.stack(pdf["v"].to_numpy()).astype("float64")
-        length = np.linalg.norm(rows, axis=1, keepdims=True)
-        return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
-
-    def best_of(asked: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or pdf.empty:
-            return pd.DataFrame({"q": asked["q"].iloc[:0], "d": pdf["d"].iloc[:0], "cosine": np.zeros(0)})
-        block, ids, out = unit(pdf), pdf["d"].to_numpy(), []
-        for lo in range(0, len(asked), 256):
-            part = asked.iloc[lo : lo + 256]
-            for q, row in zip(part["q"], unit(part) @ block.T):
-                # Every row as close as the k-th stays, so that ties are settled by id later.
-                edge = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                at = np.flatnonzero(row >= edge)
-                at = at[np.lexsort((ids[at], -row[at]))[:k]]
-                out.append(pd.DataFrame({"q": q, "d": ids[at], "cosine": row[at]}))
-        return pd.concat(out, ignore_index=True)
-
-    def dealt(df: DataFrame, id_: str, name: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.filter(F.col(vector).isNotNull()).select(
-            F.col(id_).alias(name),
-            F.col(vector).alias("v"),
-            F.pmod(F.xxhash64(id_), F.lit(n_own)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other),
-        )
+    def side(df: DataFrame, id_: str) -> DataFrame:
+        return df.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
 
-    kinds = dict(docs.dtypes), dict(queries.dtypes)
-    left = dealt(queries, query_id, "q", "block", query_blocks, "slice", slices)
-    right = dealt(docs, doc_id, "d", "slice", slices, "block", query_blocks)
-    near = (
-        left.groupBy("slice", "block")
-        .cogroup(right.groupBy("slice", "block"))
-        .applyInPandas(best_of, f"q {kinds[1][query_id]}, d {kinds[0][doc_id]}, cosine double")
-        .select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "cosine")
+    left, right = side(queries, query_id), side(docs, doc_id)
+    blocks, slices = (
+        df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size))).scalar().cast("int")
+        for df, size in ((left, group_queries), (right, group_vectors))
     )
+
+    def dealt(df: DataFrame, own: str, n_own: Column, other: str, n_other: Column, name: str, lacking: str, kind: str) -> DataFrame:
+        return df.select(
+            F.pmod(F.xxhash64("id", "v"), n_own).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), n_other - 1)).alias(other),
+            F.lit(int(name == "d")).alias("side"),
+            F.col("id").alias(name),
+            F.lit(None).cast(kind).alias(lacking),
+            "v",
+        )
+
+    kinds = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
+    asked = dealt(left, "block", blocks, "slice", slices, "q", "d", kinds[1])
+    rows = asked.unionByName(dealt(right, "slice", slices, "block", blocks, "d", "q", kinds[0]))
+    rows = rows.select("slice", "block", "side", "q", "d", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, asked, best = None, [], None
+        for batch in batches:
+            at = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            turns = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *turns], [*turns, len(at)]):
+                if lo == hi:
+                    continue
+                part, own = batch.slice(lo, hi - lo), (at[lo, 0], at[lo, 1])
+                if own != group:
+                    if best is not None:
+                        yield from best.rows()
+                    group, asked, best = own, [], None
+                if not at[lo, 2]:
+                    asked.append(part)
+                elif asked:
+                    if best is None:
+                        held = pa.concat_batches(asked)
+                        best = Nearest(held.column(3), held.column(5), k)
+                    for i in range(0, part.num_rows, 1_000):
+                        some = part.slice(i, 1_000)
+                        best.add(some.column(4), some.column(5))
+        if best is not None:
+            yield from best.rows()
+
+    # The queries of a group come before its documents.
+    ordered = rows.repartition("slice", "block").sortWithinPartitions("slice", "block", "side")
+    near = ordered.mapInArrow(run, f"q {kinds[0]}, d {kinds[1]}, cosine double")
+    near = near.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "cosine")
     return ranked_within(near, [query_id], [F.desc("cosine"), F.asc(doc_id)], k).withColumn(
         "relevance", F.greatest(F.lit(0.0), F.col("cosine"))
     )

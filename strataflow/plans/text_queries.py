@@ -81,7 +81,7 @@ def semantic_search(t):
 VECTOR_DOCS = "select *, '15_9_F_' || cast(vec_id % 26 as string) as well, case when label % 2 = 0 then '2013-01-0' else '2013-02-0' end || cast(1 + vec_id % 9 as string) as date from {embeddings}"
 VECTOR_SQL = (
     "with docs as (" + VECTOR_DOCS.replace("{embeddings}", "embeddings") + """), d as (select vec_id, embedding as e from docs where starts_with(well, '15_9_F_1') and date >= '2013-01-03'),
-c as (select vec_id as query_id, embedding as q from embeddings where vec_id % 50 = 0),
+c as (select vec_id as query_id, embedding as q from embeddings where vec_id % 20 = 0),
 s as (select query_id, vec_id, list_cosine_similarity(cast(e as double[]), cast(q as double[])) as cosine from d cross join c)
 select query_id, vec_id, round(cosine, 6) as cosine, round(greatest(0, cosine), 6) as relevance,
  cast(row_number() over (partition by query_id order by cosine desc, vec_id) as int) as rank_no from s
@@ -91,10 +91,10 @@ qualify row_number() over (partition by query_id order by cosine desc, vec_id) <
 
 @query("r2_filtered", sql=VECTOR_SQL)
 def filtered_search(t):
-    """Vector search over the documents of a well pattern from a date on; every fiftieth vector is a query."""
+    """Vector search over the documents of a well pattern from a date on; every twentieth vector is a query."""
     docs = t.spark.sql(VECTOR_DOCS, embeddings=t.source("embeddings"))
-    asked = t.source("embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    out = search.semantic_search(docs, asked, 5, doc_id="vec_id", well="15_9_F_1*", date_from="2013-01-03", slices=4, query_blocks=2)
+    asked = t.source("embeddings").filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    out = search.semantic_search(docs, asked, 5, doc_id="vec_id", well="15_9_F_1*", date_from="2013-01-03")
     return rounded(out, 6)
 
 

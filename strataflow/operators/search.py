@@ -90,6 +90,90 @@ def keyword_search(
     ).drop("_in_source")
 
 
+# Trigrams are told apart by so many numbers: lists of these are small however many trigrams there are.
+GRAM_NUMBERS = 1 << 16
+GRAM = r"(?s)(?=(.{3}))"
+
+
+def gram_numbers(lowered: Column) -> Column:
+    """The distinct trigrams of a text, as numbers; a number may stand for several trigrams."""
+    grams = F.array_distinct(F.regexp_extract_all(lowered, F.lit(GRAM), F.lit(1)))
+    return F.array_distinct(F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(GRAM_NUMBERS)).cast("int")))
+
+
+def query_words(queries: DataFrame, query_id: str, text: str) -> DataFrame:
+    """``query_id, word, times``: the lower-case words of more than two characters of each query."""
+    words = F.filter(F.split(F.lower(F.col(text)), r"(?U)[\s\x1c-\x1f]+"), lambda w: F.char_length(w) > 2)
+    return queries.select(F.col(query_id).alias("query_id"), F.explode(words).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
+
+
+def rarest_grams(words: DataFrame, postings: DataFrame) -> DataFrame:
+    """``word, gram``: of the trigrams of each word the one in the fewest texts; none if one is in no text."""
+    grams = words.select("word").distinct().select("word", F.explode(gram_numbers(F.col("word"))).alias("gram"))
+    # At most GRAM_NUMBERS rows of one number are broadcast.
+    wanted = postings.join(F.broadcast(grams.select("gram").distinct()), "gram", "left_semi")
+    texts = wanted.groupBy("gram").agg(F.count("*").alias("texts"))
+    met = grams.join(texts, "gram", "left").na.fill(0, ["texts"])
+    return met.groupBy("word").agg(F.min(F.struct("texts", "gram")).alias("best")).filter("best.texts > 0").select("word", "best.gram")
+
+
+def keyword_search_table(
+    docs: DataFrame,
+    queries: DataFrame,
+    n: int = 10,
+    query_id: str = "query_id",
+    query_text: str = "query",
+    well: str | None = None,
+    date_from: str | None = None,
+    date_to: str | None = None,
+) -> DataFrame:
+    """``keyword_search`` for a table of queries of any size: ``query_id, n_hits``, the columns of ``docs``, ``rank_no``.
+
+    Texts are indexed by trigrams.  The texts that hold the rarest trigram of a word are its candidates,
+    and only these are searched for it; no text meets a query without such a candidate.  Top lists are cut
+    on narrow rows, the columns of the documents are joined to what is left.  A query without a
+    usable keyword has the first documents of each source, which are found once.
+    """
+    docs = docs.filter(well_matches(F.col("well"), well))
+    docs = docs.filter(in_dates(F.col("date"), date_from, date_to)) if date_from or date_to else docs
+    # Equal rows have one key.
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
+    order = [F.asc_nulls_last("date"), F.asc("doc_no"), F.asc("_key")]
+    place = ["_key", "source_no", "date", "doc_no"]
+
+    asked = query_words(queries, query_id, query_text)
+    lowered = F.lower("text")
+    postings = keyed.select("_key", F.explode(gram_numbers(lowered)).alias("gram"))
+    rarest = rarest_grams(asked, postings)
+    chosen = postings.join(F.broadcast(rarest.select("gram").distinct()), "gram", "left_semi")
+    candidates = chosen.join(rarest, "gram").select("_key", "word").distinct()
+    looked = keyed.select(*place, lowered.alias("_text")).join(candidates, "_key")
+    present = looked.filter(F.col("_text").contains(F.col("word"))).groupBy(*place, "word").agg(F.count("*").alias("copies"))
+    # The first n texts of a query are among the first n of its words: hits of a common word end here.
+    present = ranked_within(present, ["word", "source_no"], order, n, "_of_word").drop("_of_word")
+    hits = present.join(asked, "word").groupBy("query_id", *place).agg(F.max("copies").alias("copies"))
+    # Equal rows are places of their own, but no list holds more than n of them.
+    hits = hits.select("query_id", *place, F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(n)).cast("int")))).drop("col")
+
+    wordless = queries.select(F.col(query_id).alias("query_id")).join(asked.select("query_id"), "query_id", "left_anti")
+    first = ranked_within(keyed.select(*place), ["source_no"], order, n, "_in_source").drop("_in_source")
+    every = first.agg(F.collect_list(F.struct(*place))).scalar()  # n rows of each source
+    hits = hits.unionByName(wordless.select("query_id", F.inline(every)))
+
+    per_source = ranked_within(hits, ["query_id", "source_no"], order, n, "_in_source")
+    best = ranked_within(per_source, ["query_id"], [F.asc("source_no"), F.asc("_in_source")], n)
+    best = best.select("query_id", "rank_no", "_key")
+    whole = keyed.join(best.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+    lists = asked.groupBy("query_id").agg(F.collect_list(F.struct("word", "times")).alias("_words"))
+    found = best.join(lists, "query_id", "left").join(whole, "_key")
+    n_hits = F.aggregate(
+        F.coalesce("_words", F.array().cast("array<struct<word:string,times:bigint>>")),
+        F.lit(0),
+        lambda total, w: total + F.when(lowered.contains(w["word"]), w["times"].cast("int")).otherwise(0),
+    )
+    return found.select("query_id", n_hits.alias("n_hits"), *docs.columns, "rank_no")
+
+
 def matrix_of(vectors: pa.Array) -> np.ndarray:
     """Vectors of one length as rows of unit length; a zero vector stays zero."""
     values = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")

@@ -38,6 +38,13 @@ def keyword_search(t):
     return rounded(search.keyword_search(docs, SEARCHES, 10), 6)
 
 
+def messages_as_docs(t):
+    return t["witsml_messages"].select(
+        F.lit(3).alias("source_no"), "well", F.lit(None).cast("string").alias("date"),
+        F.col("message_no").alias("doc_no"), F.col("message_type").alias("doc_type"), F.col("message_text").alias("text"),
+    )
+
+
 @query(
     "r1_keyword_search_messages",
     ["witsml_messages"],
@@ -48,14 +55,32 @@ select * from (select query_no, n_hits, well, message_no as doc_no, message_type
  cast(row_number() over (partition by query_no order by message_no) as int) as rank_no from f where n_hits > 0) where rank_no <= 50""",
 )
 def keyword_search_messages(t):
-    docs = t["witsml_messages"].select(
-        F.lit(3).alias("source_no"), "well", F.lit(None).cast("string").alias("date"),
-        F.col("message_no").alias("doc_no"), F.col("message_type").alias("doc_type"), F.col("message_text").alias("text"),
-    )
-    out = search.keyword_search(docs, ["the license", "email password"], 50)
+    out = search.keyword_search(messages_as_docs(t), ["the license", "email password"], 50)
     return out.select("query_no", "n_hits", "well", "doc_no", "doc_type", F.md5("text").alias("text_md5"), "rank_no")
 
 
+@query(
+    "r1_keyword_table",
+    ["witsml_messages"],
+    r""", l as (select *, lower(message_text) as l from witsml_messages),
+q as (select conv_id * 1000 + turn as query_id, array_to_string(list_slice(string_split_regex(text, '\s+'), 1, 5), ' ') as query from conversations),
+w as (select query_id, word, count(*) as times from (select query_id, unnest(string_split_regex(lower(query), '\s+')) as word from q) where length(word) > 2 group by all),
+p as (select word, message_no from (select distinct word from w) cross join l where contains(l.l, word)),
+f as (select query_id, message_no, cast(sum(times) as int) as n_hits from w join p using (word) group by all
+  union all select query_id, message_no, 0 from (select query_id from q anti join w using (query_id)) cross join l),
+r as (select *, cast(row_number() over (partition by query_id order by message_no) as int) as rank_no from f)
+select query_id, n_hits, well, message_no as doc_no, message_type as doc_type, md5(message_text) as text_md5, rank_no from r join l using (message_no) where rank_no <= 10""",
+)
+def keyword_search_table(t):
+    """The first five words of every conversation turn are a query over all messages."""
+    asked = t.source("conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+        F.array_join(F.slice(F.split("text", r"\s+"), 1, 5), " ").alias("query"),
+    )
+    out = search.keyword_search_table(messages_as_docs(t), asked, 10)
+    return out.select("query_id", "n_hits", "well", "doc_no", "doc_type", F.md5("text").alias("text_md5"), "rank_no")
+
+
 @query(
     "r2_semantic_search",
     sql="""with u as (select vec_id, label, embedding as e from embeddings),

@@ -60,3 +60,60 @@ def test_counts_are_part_of_the_plan(spark):
     asked = docs.limit(3).withColumnRenamed("id", "query_id")
     plan = search.semantic_search(docs, asked, 5, doc_id="id")._jdf.queryExecution().executedPlan().toString()
     assert "Subquery" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+TEXTS = ["Stuck pipe in WELL", "lost circulation, losses", None, "", "pipe pipe stuck", "Ünstuck ÄÖ well", "no", "stu ck pip e", "stuck pipe in well\nsecond line", "100% sure_thing"]
+
+
+def plain_search(rows, queries, n):
+    out = set()
+    for q, text in queries:
+        words = search.keywords(text or "")
+        hits = []
+        for i, (source, date, no, doc) in enumerate(rows):
+            found = sum(w in (doc or "").lower() for w in words)
+            if found or not words:
+                hits.append((source, date is None, date or "", no, found))
+        best = []
+        for source in {h[0] for h in hits}:
+            best += sorted(h for h in hits if h[0] == source)[:n]
+        out |= {(q, rank, h[0], h[3], h[4]) for rank, h in enumerate(sorted(best)[:n], 1)}
+    return out
+
+
+def keyword_rows(spark):
+    rows = [(1 + i % 2, None if i % 7 == 0 else f"2013-01-{1 + i % 5:02d}", i, TEXTS[i % len(TEXTS)]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "source_no int, date string, doc_no long, text string").withColumn("well", F.lit("15_9_F_1")).repartition(3)
+    return rows, docs
+
+
+def test_table_of_queries_against_loops_and_literals(spark):
+    rows, docs = keyword_rows(spark)
+    queries = [(1, "stuck PIPE"), (2, "of to"), (3, "nothing matches this"), (4, "well well lost"), (5, None), (6, "äö 100% sure_thing"), (7, "line\tsecond"), (8, "")]
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    for n in (1, 4, 100):
+        got = search.keyword_search_table(docs, asked, n).collect()
+        assert {(r.query_id, r.rank_no, r.source_no, r.doc_no, r.n_hits) for r in got} == plain_search(rows, queries, n)
+        literal = search.keyword_search(docs, [q or "" for _, q in queries], n).collect()
+        assert {(r.query_id, r.rank_no, r.doc_no, r.n_hits, r.text) for r in got} == {(r.query_no + 1, r.rank_no, r.doc_no, r.n_hits, r.text) for r in literal}
+
+
+def test_table_of_queries_keeps_equal_rows(spark):
+    docs = spark.createDataFrame([(1, None, 7, "stuck pipe", "w")] * 5 + [(1, None, 8, "pipe", "w")], "source_no int, date string, doc_no long, text string, well string")
+    asked = spark.createDataFrame([(1, "stuck pipe"), (2, "pipe pipe")], "query_id long, query string")
+    got = sorted((r.query_id, r.rank_no, r.doc_no, r.n_hits) for r in search.keyword_search_table(docs, asked, 6).collect())
+    assert got == [(1, k, 7, 2) for k in range(1, 6)] + [(1, 6, 8, 1)] + [(2, k, 7, 2) for k in range(1, 6)] + [(2, 6, 8, 2)]
+    assert len(search.keyword_search_table(docs, asked, 2).collect()) == 4
+    assert search.keyword_search_table(docs.limit(0), asked, 2).count() == 0
+    assert search.keyword_search_table(docs, asked.limit(0), 2).count() == 0
+
+
+def test_plan_does_not_grow_with_the_queries(spark):
+    _, docs = keyword_rows(spark)
+
+    def plan(n):
+        asked = spark.range(n).select(F.col("id").alias("query_id"), F.concat(F.lit("word"), F.col("id").cast("string")).alias("query"))
+        return search.keyword_search_table(docs, asked, 5)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert abs(len(plan(1_000)) - len(plan(3))) < 100
+    assert "Cartesian" not in plan(3)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import interval_mid, truthy
@@ -256,6 +256,56 @@ def interval_mean(
     )
 
 
+def spans_of_slots(first: Column, last: Column, level: Column) -> Column:
+    """The blocks of 2**level slots that belong to the cover of slots ``first``..``last`` at that level.
+
+    Block b of a level holds the slots of blocks 2b and 2b+1 below; a cover has at most two blocks a level.
+    """
+    one = F.lit(1).cast("long")
+    size = F.call_function("shiftleft", one, level)
+    lo = F.call_function("shiftright", first + size - 1, level)
+    hi = F.call_function("shiftright", last + 1, level)
+    odd = (lo < hi) & (lo % 2 == 1), (lo < hi) & (hi % 2 == 1)
+    # A block that is both the first and the last is taken once.
+    return F.array_distinct(F.array_compact(F.array(F.when(odd[0], lo), F.when(odd[1], hi - 1))))
+
+
+def elementary_winners(windows: DataFrame, by: Sequence[str], lo: str, hi: str, best: Column) -> DataFrame:
+    """Windows cut at their edges: ``_pos`` of each edge, the winner ``at`` it and ``after`` it up to the next.
+
+    The winner of overlapping windows is the one of smallest ``best``.  Edges are numbered in
+    depth order; edge i is slot 2i, the gap behind it slot 2i+1.  A window covers a run of slots, which is
+    two blocks a level at most; a slot's winner is the best over the blocks that hold it.  The edges of a key
+    are sorted, not held, and overlapping windows cost a logarithm, not a product.
+    """
+    edge = F.explode(F.array(F.struct(F.col(lo).alias("pos")), F.struct(F.col(hi).alias("pos"))))
+    cut = windows.filter(F.col(lo) <= F.col(hi)).select(*by, best.alias("_best"), F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), edge.alias("_e"))
+    numbers = Window.partitionBy(*by).orderBy("_e.pos")
+    numbered = cut.withColumn("_slot", (F.dense_rank().over(numbers).cast("long") - 1) * 2)
+
+    placed = numbered.groupBy(*by, "_lo", "_hi", "_best").agg(F.min("_slot").alias("_first"), F.max("_slot").alias("_last"))
+    levels = F.floor(F.log2(F.col("_last") - F.col("_first") + 1)).cast("int")
+    blocks = (
+        placed.withColumn("_level", F.explode(F.sequence(F.lit(0), levels)))
+        .withColumn("_block", F.explode(spans_of_slots(F.col("_first"), F.col("_last"), F.col("_level"))))
+        .groupBy(*by, "_level", "_block")
+        .agg(F.min("_best").alias("_best"))
+    )
+    # Every slot asks its block on each level that the key can have.
+    highest = F.floor(F.log2(F.max("_slot").over(Window.partitionBy(*by)) + 1)).cast("int")
+    asked = (
+        numbered.groupBy(*by, F.col("_e.pos").alias("_pos")).agg(F.min("_slot").alias("_slot"))
+        .withColumn("_highest", highest)
+        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_highest"))))
+        .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
+        .withColumn("_block", F.call_function("shiftright", F.col("_slot") + F.col("_side"), F.col("_level")))
+    )
+    won = asked.join(blocks, [*by, "_level", "_block"])
+    return won.groupBy(*by, "_pos").agg(
+        F.min(F.when(F.col("_side") == 0, F.col("_best"))).alias("at"), F.min(F.when(F.col("_side") == 1, F.col("_best"))).alias("after")
+    )
+
+
 def assign_to_window(
     rows: DataFrame,
     windows: DataFrame,
@@ -265,31 +315,20 @@ def assign_to_window(
     hi: str,
     label: str,
     extra: Sequence[str] = (),
+    width: float = DEPTH_BIN_M,
 ) -> DataFrame:
     """Each row with the narrowest window of its key that holds it; the larger label on ties.
 
-    ``windows`` has one row per (key, label); labels are hole sizes, a short catalogue per key, so
-    the windows of a key fit one array.  Rows in no window are dropped.
+    Windows may be any number: they are cut into elementary intervals, and a row takes the winner of the
+    interval its depth lies in, found as of the last edge above.  Rows in no window are dropped.
     """
-    per_key = windows.filter(F.col(lo).isNotNull() & F.col(hi).isNotNull()).groupBy(*by).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    (F.col(hi) - F.col(lo)).alias("width"),
-                    (-F.col(label)).alias("rank"),
-                    F.col(label).alias(label),
-                    F.col(lo).alias("lo"),
-                    F.col(hi).alias("hi"),
-                    *extra,
-                )
-            )
-        ).alias("_windows")
-    )
-    located = rows.withColumn("_at", position).join(per_key, list(by))
-    hit = F.filter("_windows", lambda w: (w["lo"] <= F.col("_at")) & (F.col("_at") <= w["hi"]))
-    return (
-        located.withColumn("_hit", F.get(hit, F.lit(0)))
-        .filter(F.col("_hit").isNotNull())
-        .withColumns({label: F.col(f"_hit.{label}")} | {c: F.col(f"_hit.{c}") for c in extra})
-        .drop("_at", "_windows", "_hit")
-    )
+    kept = [c for c in (label, *extra) if c not in (lo, hi)]
+    best = F.struct((F.col(hi) - F.col(lo)).alias("_width"), (-F.col(label)).alias("_rank"), F.col(lo), F.col(hi), *kept)
+    cut = elementary_winners(windows, by, lo, hi, best)
+    located = rows.withColumn("_pos", position).filter(F.col("_pos").isNotNull())
+    points = cut.select(*by, "_pos", F.struct(F.col("_pos").alias("pos"), "at", "after").alias("_point"))
+    found = around(located.select(*by, "_pos").distinct(), points, by, width)
+    hit = F.when(F.col("before.pos") == F.col("_pos"), F.col("before.at")).otherwise(F.col("before.after"))
+    found = found.select(*by, "_pos", hit.alias("_hit")).filter(F.col("_hit").isNotNull())
+    names = dict.fromkeys([label, *extra])
+    return located.join(found, [*by, "_pos"]).withColumns({c: F.col(f"_hit.{c}") for c in names}).drop("_pos", "_hit")

@@ -16,7 +16,7 @@ from .ordered import by_depth, scan, union_all
 
 # A well has as many chunks as metres; even of 10**10 distinct depths one chunk holds a few million.
 DEPTH_BIN_M = 1.0
-POINT, PROBE, CLOSE = 0, 1, 2
+POINT, KNOWN, PROBE, CLOSE = 0, 1, 2, 3
 
 
 def distinct_points(
@@ -172,64 +172,59 @@ def nearest_join(
     return probes.join(answer, [*by, probe_position], "left")
 
 
-def interval_mean(
+def interval_sweep(
     probes: DataFrame,
     intervals: DataFrame,
     by: Sequence[str],
-    probe_position: str,
     lo: str,
     hi: str,
     value: str,
     width: float = DEPTH_BIN_M,
+    points: DataFrame | None = None,
+    also: Sequence[str] = (),
 ) -> DataFrame:
-    """Mean ``value`` of the intervals that hold a depth, else that of the nearest midpoint.
-
-    One sweep in depth order: an interval adds its value where it opens and takes it back where it
-    closes.  Sums are fixed-point decimals, so nothing is lost when they cancel.  An edge that is
-    NULL or zero, or edges in the wrong order, hold no depth; their midpoint still counts.
-    Midpoint ties go to the smaller ``lo``, then to the smaller value.
-    Returns distinct probes with ``n_containing`` and the mean.
+    """``probes`` with ``n_containing`` and ``mean`` of ``value``, and ``known``, answered in one order.
+
+    Probes have the key, ``_pos`` and the columns ``also``, which tell equal depths apart.  An interval adds
+    its value where it opens and takes it back where it closes; where none holds a depth, the nearest
+    midpoint answers.  ``points`` (key, ``_pos``, ``_payload``, ``_tie``) give ``known``, the payload of the
+    last point at or above a depth.  Sums are fixed-point decimals, so nothing is lost when they cancel.
+    An edge that is NULL or zero, or edges in the wrong order, hold no depth; their midpoint still
+    counts.  Midpoint ties go to the smaller ``lo``, then to the smaller value.
     """
     fixed = "decimal(38,9)"
-    # Equal intervals become one row before they are turned into edges.
-    merged = intervals.groupBy(*by, lo, hi).agg(
-        F.count("*").alias("_n"),
-        F.sum(F.col(value).cast("decimal(20,9)")).cast(fixed).alias("_v"),
-        F.min(value).alias("_first"),
-    )
     holds = truthy(F.col(lo)) & truthy(F.col(hi)) & (F.col(lo) <= F.col(hi))
     mid = interval_mid(F.col(lo), F.col(hi))
     point = F.struct(
         mid.alias("pos"),
         F.coalesce(lo, F.lit(float("inf"))).alias("lo"),
-        F.col("_first").alias("value"),
+        F.col(value).alias("value"),
     )
 
-    def edge(position: Column, kind: int, n: Column, v: Column, p: Column) -> Column:
-        return F.struct(
-            position.alias("_pos"), F.lit(kind).alias("_kind"), n.alias("_n"), v.cast(fixed).alias("_v"), p.alias("_point")
-        )
-
-    n, v, nothing = F.col("_n"), F.col("_v"), F.lit(None).cast("struct<pos:double,lo:double,value:double>")
-    edges = F.array_compact(
-        F.array(
-            F.when(holds, edge(F.col(lo), POINT, n, v, nothing)),
-            edge(mid, POINT, F.lit(0).cast("long"), F.lit(0), point),
-            F.when(holds, edge(F.col(hi), CLOSE, -n, -v, nothing)),
-        )
-    )
-    events = (
-        merged.select(*by, F.inline(edges))
+    def edge(position: str, kind: int, sign: int) -> Column:
+        v = (sign * F.col(value)).cast("decimal(20,9)")
+        return F.struct(F.col(position).alias("_pos"), F.lit(kind).alias("_kind"), F.lit(sign).cast("long").alias("_n"), v.alias("_v"))
+
+    # Sums and midpoints apart: sums need no sorted aggregation, and they are two rows of three.
+    edges = (
+        intervals.filter(holds)
+        .select(*by, F.inline(F.array(edge(lo, POINT, 1), edge(hi, CLOSE, -1))))
         .groupBy(*by, "_pos", "_kind")
-        .agg(F.sum("_n").alias("_n"), F.sum("_v").cast(fixed).alias("_v"), F.min("_point").alias("_point"))
+        .agg(F.sum("_n").alias("_n"), F.sum("_v").cast(fixed).alias("_v"))
     )
-    asked = distinct_probes(probes, by, probe_position).withColumn("_kind", F.lit(PROBE))
+    known = intervals.select(*by, mid.alias("_pos"), point.alias("_point"))
+    if points is not None:
+        known = union_all([known, points])
+    known = known.filter(F.col("_pos").isNotNull()).groupBy(*by, "_pos").agg(
+        F.min("_point").alias("_point"), *([] if points is None else [F.max_by("_payload", "_tie").alias("_payload")])
+    )
+    events = union_all([edges, known.withColumn("_kind", F.lit(KNOWN))])
     swept = scan(
-        union_all([events, asked]),
+        union_all([events, probes.withColumn("_kind", F.lit(PROBE))]),
         by,
         by_depth(width),
-        ["_pos", "_kind"],
-        last_known={"before": F.col("_point")},
+        ["_pos", "_kind", *also],
+        last_known={"before": F.col("_point")} | ({} if points is None else {"known": F.col("_payload")}),
         next_known={"after": F.col("_point")},
         total={
             "n_containing": F.coalesce(F.col("_n"), F.lit(0)),
@@ -244,16 +239,26 @@ def interval_mean(
         .when(F.col("before.lo") <= F.col("after.lo"), F.col("before.value"))
         .otherwise(F.col("after.value"))
     )
-    return swept.select(
-        *by,
-        F.col("_pos").alias(probe_position),
-        "n_containing",
-        F.when(
-            F.col("n_containing") > 0, F.col("_sum").cast("double") / F.col("n_containing")
-        )
-        .otherwise(nearest)
-        .alias(f"{value}_at"),
-    )
+    mean = F.when(F.col("n_containing") > 0, F.col("_sum").cast("double") / F.col("n_containing")).otherwise(nearest)
+    return swept.select(*probes.columns, "n_containing", mean.alias("mean"), *([] if points is None else ["known"]))
+
+
+def interval_mean(
+    probes: DataFrame,
+    intervals: DataFrame,
+    by: Sequence[str],
+    probe_position: str,
+    lo: str,
+    hi: str,
+    value: str,
+    width: float = DEPTH_BIN_M,
+) -> DataFrame:
+    """Mean ``value`` of the intervals that hold a depth, else that of the nearest midpoint.
+
+    Returns distinct probes with ``n_containing`` and the mean; see ``interval_sweep``.
+    """
+    swept = interval_sweep(distinct_probes(probes, by, probe_position), intervals, by, lo, hi, value, width)
+    return swept.select(*by, F.col("_pos").alias(probe_position), "n_containing", F.col("mean").alias(f"{value}_at"))
 
 
 def spans_of_slots(first: Column, last: Column, level: Column) -> Column:

@@ -12,7 +12,7 @@ from ..functions.names import of_well
 from ..functions.numbers import duration_hrs, truthy
 from ..functions.predicates import in_dates, is_issue, is_problem_summary, mudlog_quality
 from ..functions.text import truncate_text
-from .intervals import asof_join, interval_mean
+from .intervals import asof_join, interval_mean, interval_sweep
 from .ordered import ranked_within
 
 def _time_order() -> list[Column]:
@@ -97,11 +97,11 @@ def contributing_factors(
 ) -> DataFrame:
     """Depths, hole sizes, formations, mud weight and ROP around each category of issues.
 
-    Issues are reduced to distinct (category, date) and (category, depth) before anything is joined.
+    Issues are counted per (category, date) and per (category, depth) before anything meets them.  One
+    sweep in depth order answers both the formation and the ROP of a depth.
     """
     key = ["well", "category"]
-    events = issues.groupBy(*key).agg(F.count("*").alias("events")).filter(F.col("events") >= min_events)
-    by_day = issues.select(*key, "date").distinct()
+    by_day = issues.groupBy(*key, "date").agg(F.count("*").alias("n"))
     hole = F.when(truthy(F.col("hole_diameter_in")), F.col("hole_diameter_in"))
     density = F.when(truthy(F.col("density_gcc")), F.col("density_gcc"))
     daily = (
@@ -109,34 +109,32 @@ def contributing_factors(
         .join(last_per_day(fluids, "density_gcc", "sample_no"), ["well", "date"], "left")
         .groupBy(*key)
         .agg(
+            F.sum("n").alias("events"),
             F.array_join(F.transform(F.sort_array(F.collect_set(hole)), lambda h: h.cast("string")), "|").alias("holes"),
             F.min(density).alias("density_min"),
             F.max(density).alias("density_max"),
         )
+        .filter(F.col("events") >= min_events)
     )
-    by_depth = issues.filter(truthy(F.col("depth_m"))).groupBy(*key, "depth_m").agg(F.count("*").alias("n"))
-    rop = rop_at_depths(by_depth, mudlog)
-    found = F.when(truthy(F.col("rop_avg_m_per_hr_at")), F.col("n"))
-    depths = (
-        formation_at(by_depth, tops)
-        .join(rop, ["well", "depth_m"], "left")
-        .groupBy(*key)
-        .agg(
-            F.min("depth_m").alias("depth_min"),
-            F.max("depth_m").alias("depth_max"),
-            _joined_set(F.col("formation")).alias("formations"),
-            F.try_divide(F.sum(found * F.col("rop_avg_m_per_hr_at")), F.sum(found)).alias("rop_at_issues"),
-        )
+    plausible = mudlog.filter(mudlog_quality(with_torque=False))
+    by_depth = issues.filter(truthy(F.col("depth_m"))).groupBy(*key, F.col("depth_m").alias("_pos")).agg(F.count("*").alias("n"))
+    picks = tops.filter(F.col("md_m").isNotNull()).select(
+        "well", F.col("md_m").alias("_pos"), F.struct("surface_name").alias("_payload"), F.col("top_no").alias("_tie")
+    )
+    swept = interval_sweep(
+        by_depth, plausible, ["well"], "md_top_m", "md_bottom_m", "rop_avg_m_per_hr", points=picks, also=["category"]
     )
-    well_rop = (
-        mudlog.filter(mudlog_quality(with_torque=False))
-        .groupBy("well")
-        .agg(F.avg("rop_avg_m_per_hr").alias("rop_well"))
+    found = F.when(truthy(F.col("mean")), F.col("n"))
+    depths = swept.groupBy(*key).agg(
+        F.min("_pos").alias("depth_min"),
+        F.max("_pos").alias("depth_max"),
+        _joined_set(F.col("known.surface_name")).alias("formations"),
+        F.try_divide(F.sum(found * F.col("mean")), F.sum(found)).alias("rop_at_issues"),
     )
+    well_rop = plausible.groupBy("well").agg(F.avg("rop_avg_m_per_hr").alias("rop_well"))
     ratio = F.col("rop_at_issues") / F.col("rop_well")
     return (
-        events.join(daily, key, "left")
-        .join(depths, key, "left")
+        daily.join(depths, key, "left")
         .join(well_rop, "well", "left")
         .withColumn(
             "rop_vs_well",

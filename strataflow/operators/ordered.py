@@ -43,6 +43,16 @@ def by_depth(width: float) -> Cut:
     return Cut(lambda c: F.floor(c / F.lit(float(width))))
 
 
+def never_null(df: DataFrame, by: Sequence[str]) -> list[Column]:
+    """For each key column a text that is equal where the keys are; that of a NULL key is empty."""
+    out = []
+    for c in by:
+        # 0.0 and -0.0 are one key.
+        value = F.col(c) + F.lit(0.0) if df.schema[c].dataType.typeName() in ("double", "float") else F.col(c)
+        out.append(F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("")))
+    return out
+
+
 def scan(
     df: DataFrame,
     by: Sequence[str],
@@ -65,9 +75,12 @@ def scan(
     last_known, next_known = last_known or {}, next_known or {}
     chunks = cut.columns(order)
     marks = [f"_c_{i}" for i in range(len(chunks))]
-    df = df.withColumns(dict(zip(marks, chunks)))
+    hidden_by = {f"_b_{i}": key for i, key in enumerate(never_null(df, by))}
+    df = df.withColumns(hidden_by | dict(zip(marks, chunks)))
     position = F.struct(*[F.col(c) for c in order])
 
+    # Keys that are never NULL are joined by plain equality, on the partitioning the rows have already.
+    by = list(hidden_by)
     rows = Window.partitionBy(*by, *marks)
     up = rows.orderBy(*order)
     down = rows.orderBy(*[F.desc(c) for c in order])
@@ -120,7 +133,7 @@ def scan(
     side = carried.select(*[F.col(c).alias(f"_j_{c}") for c in keys_], *[c for c in carried.columns if c.startswith("_k_")])
     same = F.lit(True)
     for c in keys_:
-        same = same & F.col(c).eqNullSafe(F.col(f"_j_{c}"))
+        same = same & (F.col(c) == F.col(f"_j_{c}"))
     joined = rows_.join(side, same, "left")
 
     def near(name: str) -> Column:
@@ -134,7 +147,7 @@ def scan(
             for n in total
         }
     )
-    hidden = [*marks, *local, *[c for c in side.columns if c.startswith(("_k_", "_j_"))]]
+    hidden = [*by, *marks, *local, *[c for c in side.columns if c.startswith(("_k_", "_j_"))]]
     return joined.withColumns(added).drop(*hidden)
 
 

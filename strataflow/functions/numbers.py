@@ -119,6 +119,16 @@ def interval_mid(top: Column, bottom: Column) -> Column:
     return (F.coalesce(top, F.lit(0.0)) + F.coalesce(bottom, F.lit(0.0))) / F.lit(2.0)
 
 
+def fixed_mean(value: str, n: Column | None = None) -> Column:
+    """Aggregate: the mean to nine digits, summed in decimals, so that the order of rows cannot show.
+
+    ``n`` is the number of rows that a row stands for.
+    """
+    fixed = F.col(value).cast("decimal(18,9)")
+    times = F.when(fixed.isNotNull(), F.lit(1) if n is None else n).cast("decimal(10,0)")
+    return (F.sum(fixed * times) / F.sum(times)).cast("double")
+
+
 def zscore(value: Column, mean: Column, sigma: Column, n: Column) -> Column:
     """Population z-score; 0 for fewer than two values or no spread."""
     return F.when((n < 2) | sigma.isNull() | (sigma == 0), F.lit(0.0)).otherwise(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.activity import classify_time, npt_cause, productive_kind
 from ..functions.names import of_well
-from ..functions.numbers import duration_hrs, truthy
+from ..functions.numbers import duration_hrs, fixed_mean, truthy
 from ..functions.predicates import in_dates
 from ..functions.text import truncate_text
 from .ordered import BY_DAY_AND_ID, running_counts, scan
@@ -115,7 +115,7 @@ def daily_progress_stats(status: DataFrame) -> DataFrame:
     return gains.groupBy("well").agg(
         F.min("gain_m").alias("min_gain"),
         F.max("gain_m").alias("max_gain"),
-        (F.sum(F.col("gain_m") * F.col("n")) / F.sum("n")).alias("mean_gain"),
+        fixed_mean("gain_m", F.col("n")).alias("mean_gain"),
         F.sum("n").alias("n_gains"),
         F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("gain_m"))).alias("median_gain"),
     )

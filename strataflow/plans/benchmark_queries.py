@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fixed_mean
 from ..operators import benchmarks as b
-from .registry import query, rounded
+from .registry import mean_sql, query, rounded
 
 QUALITY = """rop_avg_m_per_hr is not null and rop_avg_m_per_hr > 0 and rop_avg_m_per_hr <= 200
  and (rpm_avg is null or (rpm_avg > 0 and rpm_avg <= 300))
@@ -152,8 +153,8 @@ IN_FORMATION_CTE = FORMATION_CTE + """, inside as (select m.*, top_md, base_md f
     "j7_formation_window_join",
     ["formation_tops", "witsml_mudlog"],
     IN_FORMATION_CTE
-    + """select well, lith_type, count(*) as intervals, min(md_top_m) as md_min, max(md_bottom_m) as md_max,
- round(avg(rop_avg_m_per_hr), 6) as avg_rop from inside group by well, lith_type""",
+    + f"""select well, lith_type, count(*) as intervals, min(md_top_m) as md_min, max(md_bottom_m) as md_max,
+ {mean_sql('rop_avg_m_per_hr')} as avg_rop from inside group by well, lith_type""",
 )
 def formation_window_join(t):
     rows = b.rows_in_formation(t["witsml_mudlog"], t["formation_tops"], "Hugin")
@@ -162,7 +163,7 @@ def formation_window_join(t):
             F.count("*").alias("intervals"),
             F.min("md_top_m").alias("md_min"),
             F.max("md_bottom_m").alias("md_max"),
-            F.avg("rop_avg_m_per_hr").alias("avg_rop"),
+            fixed_mean("rop_avg_m_per_hr").alias("avg_rop"),
         )
     )
 

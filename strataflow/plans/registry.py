@@ -39,6 +39,12 @@ def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     return df.select(*[cut(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
+def mean_sql(column: str) -> str:
+    """The mean of positive values to six digits in whole numbers: to nine digits, then to six, as Spark has it."""
+    ninth = f"(sum(cast(round({column} * 1000000000) as hugeint)) * 2 + count({column})) // (2 * count({column}))"
+    return f"cast(({ninth} + 500) // 1000 as double) / 1e6"
+
+
 def single(df: DataFrame, *columns: str) -> DataFrame:
     """The columns in single precision, for means that lie exactly between two decimal values.
 

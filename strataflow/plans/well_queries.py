@@ -9,7 +9,7 @@ from ..operators import efficiency as e
 from ..operators import overview as o
 from ..operators import phases as p
 from ..operators.questions import rank_wells
-from .registry import query, rounded
+from .registry import mean_sql, query, rounded
 
 # ---------------------------------------------------------------- overview
 
@@ -275,8 +275,8 @@ def daily_increment(t):
     "a11_daily_progress_stats",
     ["ddr_status"],
     GAINS
-    + """, r as (select well, gain_m, row_number() over (partition by well order by gain_m) as r, count(*) over (partition by well) as n from gains)
-select well, round(min(gain_m), 6) as min_gain, round(max(gain_m), 6) as max_gain, round(avg(gain_m), 6) as mean_gain,
+    + f""", r as (select well, gain_m, row_number() over (partition by well order by gain_m) as r, count(*) over (partition by well) as n from gains)
+select well, round(min(gain_m), 6) as min_gain, round(max(gain_m), 6) as max_gain, {mean_sql('gain_m')} as mean_gain,
  count(*) as n_gains, round(max(case when r = n // 2 + 1 then gain_m end), 6) as median_gain from r group by well""",
 )
 def daily_progress_stats(t):

@@ -70,8 +70,9 @@ def ddr_narrative(
         # Messages only accompany report text of the same well.
         with_text = summaries.select("well").union(comments.select("well")).distinct()
         kept = kept.join(with_text, "well", "left_semi")
+        tie = "message_no" if "message_no" in kept.columns else "message_text"
         parts.append(
-            _first(kept, "message", [F.asc_nulls_last("timestamp"), F.asc_nulls_last("message_text")], n_messages).select(
+            _first(kept, "message", [F.asc_nulls_last("timestamp"), F.asc_nulls_last(tie)], n_messages).select(
                 "well", "kind", "ordinal", F.substring("timestamp", 1, 10).alias("date"),
                 F.col("md_m").alias("depth_m"), F.col("message_text").alias("text"),
             )

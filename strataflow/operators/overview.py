@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import of_well
@@ -79,16 +79,16 @@ def available_wells(status: DataFrame) -> DataFrame:
 
 
 def table_schema(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
-    """Column names and types of one table."""
+    """Column names and types of one table, in order, with the number of values of each column."""
     df = tables[name]
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
     listed = F.array(
         *[
-            F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(k).alias("data_type"))
+            F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(k).alias("data_type"), F.col(f"c{i}").alias("n_values"))
             for i, (c, k) in enumerate(df.dtypes)
         ]
     )
-    one = df.sparkSession.range(1)
-    return one.select(F.inline(listed))
+    return counts.select(F.inline(listed))
 
 
 def table_counts(tables: Mapping[str, DataFrame], names: list[str]) -> DataFrame:
@@ -118,13 +118,54 @@ def well_overview(tables: Mapping[str, DataFrame], well: str | None = None) -> d
 
 
 OWN_LIMIT = re.compile(r"(?is)\blimit\s+(all|\d+)(\s+offset\s+\d+)?\s*$")
+# Parsed nodes that change something or run a program though they are no commands to Spark.
+WRITING_NODES = {"InsertIntoDir", "ScriptTransformation"}
+# Functions that call any Java method.
+CALLING_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
+
+
+def refuse_writes(spark: SparkSession, query: str) -> None:
+    """Raise ``PermissionError`` if the text is anything but a query; it is parsed, not run.
+
+    Every node of the parsed plan is looked at: those in CTEs and in subqueries of expressions as well.
+    """
+    jvm = spark.sparkContext._jvm
+
+    def loaded(name: str):
+        return jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass(f"org.apache.spark.sql.catalyst.{name}")
+
+    refused = [loaded("plans.logical.Command"), loaded("plans.logical.ParsedStatement")]
+    plan_kind, subquery = loaded("plans.logical.LogicalPlan"), loaded("expressions.PlanExpression")
+    function = loaded("analysis.UnresolvedFunction")
+
+    def all_of(sequence):
+        return [sequence.apply(i) for i in range(sequence.size())]
+
+    waiting = [spark._jsparkSession.sessionState().sqlParser().parsePlan(query)]
+    while waiting:
+        node = waiting.pop()
+        name = node.getClass().getSimpleName()
+        if name in WRITING_NODES or any(kind.isInstance(node) for kind in refused):
+            raise PermissionError(f"only queries are allowed, not {name}")
+        if function.isInstance(node) and str(node.nameParts().last()).lower() in CALLING_FUNCTIONS:
+            raise PermissionError(f"function {node.nameParts().last()} is not allowed")
+        if plan_kind.isInstance(node):
+            waiting += all_of(node.expressions())
+            inner = all_of(node.innerChildren())
+            waiting += [child for child in inner if plan_kind.isInstance(child)]
+            if name == "UnresolvedWith":
+                waiting += [relation._2() for relation in all_of(node.cteRelations())]
+        elif subquery.isInstance(node):
+            waiting.append(node.plan())
+        waiting += all_of(node.children())
 
 
 def run_sql(tables: Mapping[str, DataFrame], text: str, cap: int | None = None) -> DataFrame:
     """Ad-hoc query over the tables, which may be named plainly or in braces.
 
-    ``cap`` limits a SELECT that has no LIMIT of its own; anything else, and everything without
-    ``cap``, is returned whole.
+    Only queries run: commands, inserts and scripts are refused before anything is executed.  ``cap``
+    limits a SELECT that has no LIMIT of its own; anything else, and everything without ``cap``, is
+    returned whole.
     """
     query = text.strip().rstrip(";").strip()
     if not query:
@@ -132,6 +173,7 @@ def run_sql(tables: Mapping[str, DataFrame], text: str, cap: int | None = None)
     frames = {name: tables[name] for name in tables if "{" + name + "}" in query}
     plain = [name for name in tables if re.search(rf"(?<![{{\w]){name}(?![}}\w])", query)]
     spark = tables[next(iter([*frames, *plain, *tables]))].sparkSession
+    refuse_writes(spark, re.sub(r"\{(\w+)\}", r"\1", query))
     for name in plain:
         tables[name].createOrReplaceTempView(name)
     out = spark.sql(query, **frames)

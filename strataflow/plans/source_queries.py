@@ -297,6 +297,26 @@ def messages(t):
     return rows.withColumn("text_md5", F.md5("message_text")).drop("message_text")
 
 
+@query(
+    "s19_rig_file_errors",
+    sql="""select 'W' || cast(doc_id % 26 as varchar) || '/1/message/' || cast(doc_id as varchar) || '.xml' as file,
+ case when coalesce(text, '') = '' or doc_id % 11 = 0 then 'Empty file' when doc_id % 7 = 0 then 'XML parse error' else 'No message element' end as error
+from documents where coalesce(text, '') = '' or doc_id % 11 = 0 or doc_id % 7 = 0 or doc_id % 5 = 0""",
+)
+def rig_file_errors(t):
+    """Every document is a message file; some are empty, broken off, or hold no message."""
+    files = t.spark.sql(
+        """select 'W' || cast(doc_id % 26 as string) || '/1/message/' || cast(doc_id as string) || '.xml' as file,
+ case when coalesce(text, '') = '' or doc_id % 11 = 0 then '' when doc_id % 7 = 0 then '<message><messageText>' || length(text)
+  when doc_id % 5 = 0 then null else '<message><messageText>' || length(text) || '</messageText></message>' end as xml from {documents}""",
+        documents=t.source("documents"),
+    )
+    schema = T.StructType([*MESSAGE.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = files.filter("xml <> ''").select("file", F.from_xml("xml", schema.simpleString(), {"mode": "PERMISSIVE"}).alias("e"))
+    listed = files.select("file", F.coalesce(F.length("xml"), F.lit(1)).alias("length"), F.lit("message").alias("row_tag"))
+    return witsml.rejected(listed, parsed.select("file", F.col("e._corrupt_record").isNotNull().alias("broken")))
+
+
 # ------------------------------------------------------------ flat sources
 
 
@@ -388,6 +408,32 @@ def write_tables(t):
     return union_all(counts)
 
 
+SOURCES = ["customer", "orders", "lineitem", "part", "supplier", "events", "documents", "conversations"]
+
+
+@query("k2_footer_counts", sql=" union all ".join(f"select '{n}' as table_name, count(*) as row_count from {n}" for n in SOURCES))
+def footer_counts(t):
+    return tables.footer_counts(t.spark, {n: f"{t.sf_dir}/{n}.parquet" for n in SOURCES})
+
+
+@query(
+    "k1_bucketed_mud_days",
+    ["ddr_fluids", "ddr_activities_aligned"],
+    """, days as (select distinct well, date from ddr_activities_aligned where state = 'problem')
+select f.well, d.well is not null as problem, count(*) as samples, count(distinct f.date) as n_days from ddr_fluids f left join days d on f.well = d.well and f.date = d.date group by 1, 2""",
+)
+def bucketed_mud_days(t):
+    """Mud samples on days with problems and on others, over tables bucketed by well and date."""
+    prefix = f"b{uuid.uuid4().hex[:8]}_"
+    names = ["ddr_fluids", "ddr_activities"]
+    tables.save_bucketed({"ddr_fluids": t["ddr_fluids"], "ddr_activities": t["ddr_activities_aligned"].filter("state = 'problem'").select("well", "date", "event_id")}, 16, prefix)
+    saved = tables.BucketedTables(t.spark, names, prefix)
+    days = saved["ddr_activities"].select("well", "date").distinct().withColumn("hit", F.lit(True))
+    daily = saved["ddr_fluids"].groupBy("well", "date").agg(F.count("*").alias("n"))
+    met = daily.join(days, ["well", "date"], "left")
+    return met.groupBy("well", F.col("hit").isNotNull().alias("problem")).agg(F.sum("n").alias("samples"), F.count("*").alias("n_days"))
+
+
 @query(
     "k3_write_doc_index",
     ["ddr_status", "ddr_activities", "witsml_messages"],

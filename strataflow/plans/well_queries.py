@@ -8,6 +8,7 @@ from ..operators import compare as c
 from ..operators import efficiency as e
 from ..operators import overview as o
 from ..operators import phases as p
+from ..operators.ordered import union_all
 from ..operators.questions import rank_wells
 from .registry import mean_sql, query, rounded
 
@@ -72,6 +73,27 @@ def available_wells(t):
     return o.available_wells(t["ddr_status"])
 
 
+LISTED = {
+    "documents": [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")],
+    "part": [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double")],
+}
+_TYPE = "case column_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' else lower(column_type) end"
+
+
+@query(
+    "a28_table_schema",
+    sql=" union all ".join(
+        f"select '{n}' as table_name, cast({i} as int) as position, '{c}' as column_name, (select {_TYPE} from (describe {n}) where column_name = '{c}') as data_type, count({c}) as n_values from {n}"
+        for n, columns in LISTED.items()
+        for i, (c, _) in enumerate(columns)
+    ),
+)
+def table_schema(t):
+    """Columns of two source tables with their types and numbers of values."""
+    sources = {n: t.source(n) for n in LISTED}
+    return union_all([o.table_schema(sources, n).select(F.lit(n).alias("table_name"), "*") for n in LISTED])
+
+
 COUNTED = [
     "ddr_status", "ddr_activities", "ddr_fluids", "ddr_surveys", "wellbore_info", "formation_tops", "perforations",
     "production", "witsml_bha_runs", "witsml_mudlog", "witsml_trajectory", "witsml_messages",

@@ -46,6 +46,51 @@ def write_tables(
         writer.parquet(f"{path}/{table}")
 
 
+def save_bucketed(frames: Mapping[str, DataFrame], buckets: int, prefix: str = "", by: tuple[str, ...] = ("well", "date")) -> None:
+    """Save tables to the catalogue, bucketed and sorted by their keys.
+
+    Tables of one number of buckets are joined, aggregated and anti-joined by these keys without an
+    exchange.  A bucket is one task's work: choose as many as shuffles have partitions.
+    """
+    for name, df in frames.items():
+        # Rows are dealt as buckets are, so that a bucket is one file.
+        dealt = df.repartition(buckets, *by)
+        dealt.write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by).format("parquet").saveAsTable(f"{prefix}{name}")
+
+
+class BucketedTables(Mapping):
+    """Saved tables by name, for the operators that take a mapping of tables."""
+
+    def __init__(self, spark: SparkSession, names: list[str], prefix: str = ""):
+        self.spark, self.names, self.prefix = spark, names, prefix
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.names:
+            raise KeyError(name)
+        return self.spark.table(f"{self.prefix}{name}")
+
+    def __iter__(self):
+        return iter(self.names)
+
+    def __len__(self):
+        return len(self.names)
+
+
+def footer_counts(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """Row counts from the footers of Parquet files: the count is pushed into the scan, no page is read.
+
+    Only Spark's newer Parquet reader does so; it is asked for while these tables are opened.
+    """
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    older = spark.conf.get("spark.sql.sources.useV1SourceList")
+    spark.conf.set("spark.sql.sources.useV1SourceList", ",".join(k for k in older.split(",") if k != "parquet"))
+    try:
+        frames = {name: spark.read.parquet(path) for name, path in paths.items()}
+    finally:
+        spark.conf.set("spark.sql.sources.useV1SourceList", older)
+    return table_counts(frames, list(paths))
+
+
 def ingest(
     spark: SparkSession,
     out: str,
@@ -76,6 +121,7 @@ def ingest(
         frames["production"] = tabular.read_production(spark, production_file)
     if witsml_dir is not None:
         frames.update(witsml.read_witsml(spark, witsml_dir))
+        witsml.rig_file_errors(spark, witsml_dir).write.mode("overwrite").parquet(f"{out}/rig_file_errors")
     write_tables(frames, out)
     tables = {name: spark.read.parquet(f"{out}/{name}") for name in TABLES}
     docs = ddr.ddr_text_docs(tables["ddr_status"], tables["ddr_activities"]).unionByName(

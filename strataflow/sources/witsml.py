@@ -6,6 +6,8 @@ and one parsed element per row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,19 +38,34 @@ def _float(col: str) -> Column:
     return clean_float_witsml(F.col(col))
 
 
-def read_elements(spark: SparkSession, path: str, folder: str, row_tag: str, schema: T.StructType) -> DataFrame:
-    """Elements below every section folder of one kind, as column ``e`` with section and file.
+# Each folder of a section, the element it holds and what an element is parsed into.
+FOLDERS = {
+    "_wellboreInfo": ("wellbore", WELLBORE),
+    "bhaRun": ("bhaRun", BHA_RUN),
+    "mudLog": ("geologyInterval", GEOLOGY_INTERVAL),
+    "trajectory": ("trajectory", T.StructType([T.StructField("trajectoryStation", T.ArrayType(TRAJECTORY_STATION))])),
+    "message": ("message", MESSAGE),
+}
 
-    A malformed file gives rows that carry its text in ``_corrupt_record``; they are dropped.
-    """
-    with_bad = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = (
-        spark.read.format("xml")
+
+def of_sections(files: DataFrame) -> DataFrame:
+    """Rows of files below section folders that count, with the names of well and section."""
+    return files.withColumns(
+        {"well_dir": F.regexp_extract("file", _SECTION, 1), "section_dir": F.regexp_extract("file", _SECTION, 2)}
+    ).filter(in_section(F.col("well_dir"), F.col("section_dir")))
+
+
+def parsed_elements(spark: SparkSession, path: str, folder: str, stream: dict | None = None) -> DataFrame:
+    """``file, e, _corrupt_record`` per element of one kind of folder; ``stream`` holds options of a file stream."""
+    row_tag, schema = FOLDERS[folder]
+    reader = spark.read if stream is None else spark.readStream.options(**stream)
+    return (
+        reader.format("xml")
         .option("rowTag", row_tag)
         .option("ignoreNamespace", True)
         .option("mode", "PERMISSIVE")
         .option("pathGlobFilter", "*.xml")
-        .schema(with_bad)
+        .schema(T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())]))
         .load(f"{path.rstrip('/')}/*/*/{folder}")
         .select(
             "_corrupt_record",
@@ -56,17 +73,52 @@ def read_elements(spark: SparkSession, path: str, folder: str, row_tag: str, sch
             F.struct(*schema.fieldNames()).alias("e"),
         )
     )
-    return (
-        rows.filter(F.col("_corrupt_record").isNull())
-        .withColumns(
-            {
-                "well_dir": F.regexp_extract("file", _SECTION, 1),
-                "section_dir": F.regexp_extract("file", _SECTION, 2),
-            }
-        )
-        .filter(in_section(F.col("well_dir"), F.col("section_dir")))
-        .drop("_corrupt_record")
+
+
+def read_elements(spark: SparkSession, path: str, folder: str, stream: dict | None = None) -> DataFrame:
+    """Elements below every section folder of one kind, as column ``e`` with section and file.
+
+    A malformed file gives rows that carry its text in ``_corrupt_record``; they are dropped here and named by
+    ``rig_file_errors``.
+    """
+    rows = parsed_elements(spark, path, folder, stream)
+    return of_sections(rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"))
+
+
+def rejected(listed: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``file, error`` of listed files (``file, length, row_tag``) without a readable element or with a broken one.
+
+    ``parsed`` has a row per element: ``file`` and whether it is ``broken``.
+    """
+    seen = parsed.groupBy("file").agg(F.count_if("broken").alias("broken"), F.count_if(~F.col("broken")).alias("good"))
+    reason = (
+        F.when(F.col("length") == 0, "Empty file")
+        .when(F.col("broken") > 0, "XML parse error")
+        .when(F.col("good").isNull(), F.concat(F.lit("No "), "row_tag", F.lit(" element")))
     )
+    return listed.join(seen, "file", "left").select("file", reason.alias("error")).filter(F.col("error").isNotNull())
+
+
+def rig_file_errors(spark: SparkSession, path: str) -> DataFrame:
+    """``file, error`` of every rig file that gave nothing or broke off, of all five folders.
+
+    Files are listed, not read again: what the parser made of them is joined to the listing.  The listing is
+    the one the driver has for every scan; scans leave out empty files, which are told apart by that.
+    """
+
+    def errors(folder: str) -> DataFrame:
+        scan = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(f"{path.rstrip('/')}/*/*/{folder}")
+        # Local names have three slashes there and one in the rows.
+        names = spark.createDataFrame([(name.replace("file:///", "file:/"),) for name in scan.inputFiles()], "file string")
+        lengths = scan.select(F.col("_metadata.file_path").alias("file"), "length")
+        files = names.join(lengths, "file", "left").na.fill(0, ["length"]).withColumn("row_tag", F.lit(FOLDERS[folder][0]))
+        # The reader refuses to look at broken records alone, so a field is read beside them.
+        field = F.col("e").getField(FOLDERS[folder][1].fieldNames()[0]).cast("string")
+        broken = F.col("_corrupt_record").isNotNull() & (F.char_length(F.coalesce(field, F.lit(""))) >= 0)
+        rows = parsed_elements(spark, path, folder).select("file", broken.alias("broken"))
+        return rejected(of_sections(files).drop(*SECTION_KEY), rows)
+
+    return reduce(DataFrame.unionByName, [errors(folder) for folder in FOLDERS])
 
 
 def in_section(well_dir: Column, section_dir: Column) -> Column:
@@ -94,6 +146,10 @@ def witsml_sections(wellbores: DataFrame) -> DataFrame:
     )
 
 
+def read_sections(spark: SparkSession, path: str) -> DataFrame:
+    return witsml_sections(read_elements(spark, path, "_wellboreInfo"))
+
+
 def with_section(elements: DataFrame, sections: DataFrame) -> DataFrame:
     """Elements with their section's well; sections without a name give nothing.
 
@@ -143,12 +199,9 @@ def mudlog(rows: DataFrame) -> DataFrame:
     )
 
 
-def trajectory(rows: DataFrame, section: list[str] = SECTION_KEY, order: list[str] = ["file", "pos"]) -> DataFrame:
-    """Survey stations in degrees; the first station of each depth in a section counts.
-
-    ``min_by`` keeps one row per depth in the map tasks already, so repeated stations do not pile up.
-    """
-    parsed = rows.select(
+def stations_of(rows: DataFrame, section: list[str], order: list[str]) -> DataFrame:
+    """Survey stations in degrees, with their section and place; those without a depth drop out."""
+    return rows.select(
         *section,
         *order,
         "well",
@@ -162,7 +215,14 @@ def trajectory(rows: DataFrame, section: list[str] = SECTION_KEY, order: list[st
         _float("e.dispNs").alias("ns_m"),
         _float("e.dispEw").alias("ew_m"),
     ).filter(F.col("md_m").isNotNull())
-    return first_station(parsed, section, order).drop(*section)
+
+
+def trajectory(rows: DataFrame, section: list[str] = SECTION_KEY, order: list[str] = ["file", "pos"]) -> DataFrame:
+    """Survey stations; the first station of each depth in a section counts.
+
+    ``min_by`` keeps one row per depth in the map tasks already, so repeated stations do not pile up.
+    """
+    return first_station(stations_of(rows, section, order), section, order).drop(*section)
 
 
 def first_station(stations: DataFrame, section: list[str], order: list[str]) -> DataFrame:
@@ -186,24 +246,23 @@ def messages(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_stations(spark: SparkSession, path: str) -> DataFrame:
+def read_stations(spark: SparkSession, path: str, stream: dict | None = None) -> DataFrame:
     """Stations with their place in the file: trajectories are read whole to keep document order."""
-    whole = T.StructType([T.StructField("trajectoryStation", T.ArrayType(TRAJECTORY_STATION))])
-    return read_elements(spark, path, "trajectory", "trajectory", whole).select(
+    return read_elements(spark, path, "trajectory", stream).select(
         *SECTION_KEY, "file", F.posexplode("e.trajectoryStation").alias("pos", "e")
     )
 
 
 def read_witsml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """All four tables below a rig-data folder."""
-    sections = witsml_sections(read_elements(spark, path, "_wellboreInfo", "wellbore", WELLBORE))
+    sections = read_sections(spark, path)
 
-    def rows(folder: str, row_tag: str, schema: T.StructType) -> DataFrame:
-        return with_section(read_elements(spark, path, folder, row_tag, schema), sections)
+    def rows(folder: str) -> DataFrame:
+        return with_section(read_elements(spark, path, folder), sections)
 
     return {
-        "witsml_bha_runs": bha_runs(rows("bhaRun", "bhaRun", BHA_RUN)),
-        "witsml_mudlog": mudlog(rows("mudLog", "geologyInterval", GEOLOGY_INTERVAL)),
+        "witsml_bha_runs": bha_runs(rows("bhaRun")),
+        "witsml_mudlog": mudlog(rows("mudLog")),
         "witsml_trajectory": trajectory(with_section(read_stations(spark, path), sections)),
-        "witsml_messages": messages(rows("message", "message", MESSAGE)),
+        "witsml_messages": messages(rows("message")),
     }

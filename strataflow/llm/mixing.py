@@ -235,24 +235,28 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     keep their white space and are joined by a space.  Columns are those of ``docs``; ``text`` and, if
     there, ``n_chars`` are those of what was taken.
     """
-    sized = kept(docs.withColumn("size", word_count()))
-    rows, taken = mix(sized, **options)
+    others = [c for c in docs.columns if c != "text"]
+    # The row is nested, so that its names meet no names of the mix; the mix itself moves sizes, no texts.
+    nested = F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")
+    held = kept(docs.select(nested, "text", word_count().alias("size"), F.monotonically_increasing_id().alias("row_no")))
+    rows, taken = mix(held.select("row.doc_id", "row.source", "size", "row_no"), **options)
     runs = taken.groupBy("source_no", "start", "pass_no").agg(
-        F.sum("n_words").alias("_words"), F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_runs")
+        F.sum("n_words").alias("words"), F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("runs")
     )
-    joined = rows.join(runs, ["source_no", "start"])
+    passes = rows.join(runs, ["source_no", "start"]).select("row_no", "words", "runs")
+    joined = held.join(passes, "row_no")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [
                 text if words == size else taken_text(text, runs)
-                for text, size, words, runs in zip(batch["text"], batch["size"], batch["_words"], batch["_runs"])
+                for text, size, words, runs in zip(batch["text"], batch["size"], batch["words"], batch["runs"])
             ]
-            yield pd.DataFrame({"_text": out})
+            yield pd.DataFrame({"mixed": out})
 
-    done = map_rows(joined, cut, "_text string", reads=["text", "size", "_words", "_runs"])
-    made = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return done.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+    done = map_rows(joined, cut, "mixed string", reads=["text", "size", "words", "runs"])
+    made = {"text": F.col("mixed"), "n_chars": F.char_length("mixed").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return done.select(*[(made[c] if c in made else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def taken_text(text: str, runs) -> str:

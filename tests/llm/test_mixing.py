@@ -49,6 +49,16 @@ def test_documents_hold_what_was_taken(spark, odd):
     assert all(r.n_chars == len(r.text) for r in mixed.collect())
 
 
+def test_clashing_names_of_documents(spark, odd):
+    plain = odd.drop("fp")
+    named = plain.withColumns({c: F.lit(i) for i, c in enumerate(["size", "target", "start", "source_no", "row", "row_no", "mixed", "runs", "pass_no"])})
+    mixed = mixing.mixed_documents(named, block=4)
+    assert mixed.columns == named.columns
+    rows = mixed.collect()
+    assert {(r["size"], r.target, r.start, r.source_no, r.row, r.row_no, r.mixed, r.runs, r.pass_no) for r in rows} == {tuple(range(9))}
+    assert sorted((r.doc_id or 0, r.text) for r in rows) == sorted((r.doc_id or 0, r.text) for r in mixing.mixed_documents(plain, block=4).collect())
+
+
 def test_odd_rows(spark, odd, nothing):
     got = mixing.taken_words(*mixing.mix(sized(odd), block=4)).collect()
     assert len(got) == odd.count()

@@ -1,7 +1,13 @@
+import zlib
+from collections import Counter, defaultdict
+
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from strataflow.llm import pii
+from strataflow.llm.queries import tokenizer_path
 
 
 def test_stages(spark, sf, tmp_path):
@@ -25,6 +31,28 @@ def test_stages(spark, sf, tmp_path):
     assert abs(mixed / words - 1.5) < 0.05
     packed = outs["packing"].agg(F.sum("length"), F.countDistinct("sequence_id")).first()
     assert packed[0] / packed[1] > 0.95 * 2048
+    check_sequences(outs["mixing"], outs["packing"])
+
+
+def check_sequences(mixed, packing):
+    """The ids of all sequences are those of the mixed texts, as the tokenizer gives them one by one."""
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    want = Counter((r.doc_id, tuple(tokenizer.encode(r.text, add_special_tokens=False).ids) + (1,)) for r in mixed.collect())
+    pieces = defaultdict(list)
+    for r in packing.collect():
+        ids = np.frombuffer(r.ids, dtype="<u4").tolist()
+        assert len(ids) == r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32
+        pieces[r.sequence_id].append((r.offset, r.doc_id, r.start, ids))
+    texts, got = defaultdict(Counter), defaultdict(Counter)
+    for (doc, ids), n in want.items():
+        for token in ids:
+            texts[doc][token] += n
+    for parts in pieces.values():
+        parts.sort()
+        assert [p[0] for p in parts] == np.cumsum([0, *[len(p[3]) for p in parts[:-1]]]).tolist()
+        for _, doc, _, ids in parts:
+            got[doc].update(ids)
+    assert got == texts
 
 
 def test_odd_documents(spark, odd, tmp_path):

@@ -452,26 +452,48 @@ def ordered(spans: list[tuple]) -> list[dict]:
     return [{"start": s, "kind": k, "end": e} for s, k, e in sorted((s, k, e) for k, s, e in spans)]
 
 
+def masked_text(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+    """The text with the kind in angle brackets in place of each span (start, kind number, end)."""
+    if text is None or not spans:
+        return text
+    parts, at = [], 0
+    for start, kind, end in sorted(spans):
+        if end <= at:
+            continue
+        if start >= at:
+            parts += [text[at:start], f"<{KINDS[kind]}>"]
+        at = end
+    return "".join([*parts, text[at:]])
+
+
 def mask(docs: DataFrame) -> DataFrame:
     """Replaces the spans that ``find`` added to ``docs`` by their kind in angle brackets, in the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for text, base, added in zip(batch["text"], batch["base"], batch["added"]):
-                if text is None or not (len(base) or len(added)):
-                    out.append(text)
-                    continue
-                parts, at = [], 0
-                for span in sorted([*base, *added], key=lambda s: (s["start"], s["kind"])):
-                    if span["end"] <= at:
-                        continue
-                    if span["start"] >= at:
-                        parts += [text[at : span["start"]], f"<{KINDS[span['kind']]}>"]
-                    at = span["end"]
-                out.append("".join([*parts, text[at:]]))
+            out = [
+                masked_text(text, [(s["start"], s["kind"], s["end"]) for s in [*base, *added]])
+                for text, base, added in zip(batch["text"], batch["base"], batch["added"])
+            ]
             yield pd.DataFrame({"_masked": pd.Series(out, dtype=object)})
 
     changed = map_rows(docs, run, "_masked string", reads=["text", "base", "added"])
     columns = [F.col("_masked").alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return changed.select(*columns).drop("base", "added")
+
+
+def find_and_mask(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
+    """``mask`` of ``find`` in one step: a task needs one worker, not one for each."""
+    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, out = batch["text"].tolist(), []
+            for lo in range(0, len(texts), 256):
+                some = texts[lo : lo + 256]
+                base, extra = all_spans([t or "" for t in some], shared.value)
+                out += [masked_text(t, [(s, k, e) for k, s, e in [*b, *x]]) for t, b, x in zip(some, base, extra)]
+            yield pd.DataFrame({"_masked": pd.Series(out, dtype=object)})
+
+    changed = map_rows(docs, run, "_masked string", reads=["text"])
+    return changed.select(*[F.col("_masked").alias("text") if c == "text" else F.col(c) for c in docs.columns])

@@ -129,3 +129,13 @@ def test_failed_matches_of_other_kinds_do_not_suppress():
         assert pii.all_spans([text], Fixed(kind)) == ([[]], [[(kind, 0, len(text))]])
     for text in ("4111 1111 1111 1112", "12 34"):
         assert pii.all_spans([text], Fixed(2)) == ([[]], [[]])
+
+
+def test_find_and_mask_in_one_step(spark, odd, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    tagger = pii.train(docs)
+    for df in (docs, odd.select("doc_id", "text").filter("doc_id not in (5, 6)"), docs.limit(0)):
+        two = sorted((r.doc_id, r.text or "") for r in pii.mask(pii.find(df, tagger)).collect())
+        assert two == sorted((r.doc_id, r.text or "") for r in pii.find_and_mask(df, tagger).collect())
+    # Overlapping spans: the first one's kind stands for the stretch it begins.
+    assert pii.masked_text("abcdef", [(1, 0, 3), (2, 1, 5)]) == f"a<{pii.KINDS[0]}>f"

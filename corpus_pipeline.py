@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the kind in angle brackets in place of each span of personal data; no document is dropped."""
     ship(spark)
-    masked = pii.mask(pii.find(docs.select(*DOCUMENT), pii.train(docs)))
+    masked = pii.find_and_mask(docs.select(*DOCUMENT), pii.train(docs))
     return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(*DOCUMENT)
 
 

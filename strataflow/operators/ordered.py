@@ -80,7 +80,7 @@ def scan(
     position = F.struct(*[F.col(c) for c in order])
 
     # Keys that are never NULL are joined by plain equality, on the partitioning the rows have already.
-    by = list(hidden_by)
+    given, by = list(by), list(hidden_by)
     rows = Window.partitionBy(*by, *marks)
     up = rows.orderBy(*order)
     down = rows.orderBy(*[F.desc(c) for c in order])
@@ -97,7 +97,7 @@ def scan(
             for n, v in total.items()
         }
     )
-    summary = df.groupBy(*by, *marks).agg(
+    summary = df.groupBy(*given, *by, *marks).agg(
         *[F.max_by(F.struct(v.alias("v")), position).alias(f"_s_{n}") for n, v in lag.items()],
         *[F.min_by(F.struct(v.alias("v")), position).alias(f"_s_{n}") for n, v in lead.items()],
         *[
@@ -110,7 +110,7 @@ def scan(
         ],
         *[F.sum(v).alias(f"_s_{n}") for n, v in total.items()],
     )
-    keys = Window.partitionBy(*by)
+    keys = Window.partitionBy(*given)
     chunks_up = keys.orderBy(*marks)
     chunks_down = keys.orderBy(*[F.desc(m) for m in marks])
     carried = summary.select(

@@ -7,8 +7,9 @@ packed arrays, one row per bucket of anchors and batch of documents.
 
 * Equal segments are found by hash.  Copies inside a batch are settled there, so a passage that
   half the documents share sends one segment per batch.
-* Different segments of one anchor can still share windows; only those are asked for by content
-  and compared in units of bounded size.
+* Different segments of one anchor can still share windows; only those are asked for by content.  The
+  segments of an anchor are a unit and compared together, unless they are many (an edge of a passage that
+  very many documents share): then every window is hashed and counted, which is linear in the segments.
 """
 
 from __future__ import annotations
@@ -21,21 +22,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import kept, mix64
 
 SEGMENT = np.dtype(
     [("anchor", "<u4"), ("seg", "<u4"), ("more", "<u2"), ("start", "<u4"), ("doc", "<u2"), ("extra", "u1"), ("at", "u1"), ("many", "?"), ("near", "u1", 3)]
 )
 CHUNK_ITEMS = 1 << 21
 STEP_ITEMS = 1 << 17
-UNIT_SEGMENTS = 4_000
+UNIT_SEGMENTS = 1_000
+SALTS = 16
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 # A document is named by key1 (its id) and key2 (a hash of id and text), so rows with one id are told apart.
 KEY = "key1 long, key2 long"
 FOUND = f"kind byte, {KEY}, start int, stop int, unit long, seg long, at int"
-SETTLED, LEAD, FOLLOWER = 0, 1, 2
+SETTLED, LEAD, FOLLOWER, HOT = 0, 1, 2, 3
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -229,6 +231,7 @@ def meet(shape: Shape, n_buckets: int, earlier: bool):
     """All payloads of a bucket to FOUND rows: settled intervals, and segments to be compared by content.
 
     Of equal segments one occurrence is the lead, whose content is fetched; followers wait for its verdict.
+    Segments of an anchor with more than ``unit_segments`` leads are HOT and belong to no unit.
     """
     settled_type = np.dtype([("key1", "<i8"), ("key2", "<i8"), ("start", "<i4"), ("stop", "<i4")])
 
@@ -257,6 +260,10 @@ def meet(shape: Shape, n_buckets: int, earlier: bool):
         key = (anchor << np.uint64(32)) | seg
         order = np.argsort(key)
         sorted_key, sorted_id = key[order], seg_id[order]
+        if ((sorted_key[1:] == sorted_key[:-1]) & (sorted_id[1:] != sorted_id[:-1])).any():
+            # Rare: 32 bits of the hashes of two segments agree.
+            order = np.lexsort((seg_id, key))
+            sorted_key, sorted_id = key[order], seg_id[order]
         head = np.ones(len(order), bool)
         head[1:] = (sorted_key[1:] != sorted_key[:-1]) | (sorted_id[1:] != sorted_id[:-1])
         top = np.ones(len(order), bool)
@@ -290,27 +297,15 @@ def meet(shape: Shape, n_buckets: int, earlier: bool):
         if len(open_):
             lead = np.ones(len(open_), bool)
             lead[1:] = segment[open_][1:] != segment[open_][:-1]
-            # Segments of a large group are dealt into parts; every pair of parts is a unit.
-            nth = np.cumsum(lead) - 1
             g = group[open_]
-            start_of = np.zeros(len(kinds), np.int64)
-            fresh = np.ones(len(open_), bool)
-            fresh[1:] = g[1:] != g[:-1]
-            start_of[g[fresh]] = nth[fresh]
-            nth -= start_of[g]
-            n_of = np.zeros(len(kinds), np.int64)
-            np.maximum.at(n_of, g, nth + 1)
-            n_parts, part = -(-n_of[g] // shape.unit_segments), nth // shape.unit_segments
-            twin = np.repeat(np.arange(len(open_)), n_parts)
-            other = np.arange(len(twin)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
-            lo, hi = np.minimum(part[twin], other), np.maximum(part[twin], other)
-            at = order[open_[twin]]
-            unit = mix64((np.uint64(bucket) << np.uint64(32)) ^ anchor[at] ^ mix64((lo * 100_003 + hi).astype(np.uint64)))
+            hot = np.bincount(g[lead], minlength=len(kinds))[g] > shape.unit_segments
+            at = order[open_]
+            unit = mix64((np.uint64(bucket) << np.uint64(32)) ^ anchor[at])
             start = rows["start"][at].astype(np.int32)
             outs.append(
                 pd.DataFrame(
                     {
-                        "kind": np.where(lead[twin], LEAD, FOLLOWER).astype(np.int8),
+                        "kind": np.where(hot, HOT, np.where(lead, LEAD, FOLLOWER)).astype(np.int8),
                         "key1": key1[doc[at]],
                         "key2": key2[doc[at]],
                         "start": start,
@@ -335,6 +330,43 @@ def find(docs: DataFrame, items_of: Callable, shape: Shape, n_buckets: int, earl
     return cuts.groupBy("bucket").applyInPandas(meet(shape, n_buckets, earlier), FOUND)
 
 
+def shared_windows(places: DataFrame, shape: Shape, width: int, earlier: bool) -> DataFrame:
+    """(key1, key2, start, stop) of the windows that several of ``places`` have, for ``earlier`` those of larger key1.
+
+    ``places`` (key1, key2, start, content) are segments whose items take ``width`` bytes each.  A window is named by
+    128 bits of hash.  Names are counted with partial sums in every task; a name that very many places have
+    is one row of each sum, and its places are dealt by a salt when they learn of it.
+    """
+
+    def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_128_digest
+
+        size = shape.length * width
+        for frame in frames:
+            contents = [bytes(c) for c in frame["content"]]
+            times = np.array([(len(c) - size) // width + 1 for c in contents], dtype=np.int64)
+            of = np.repeat(np.arange(len(contents)), times)
+            shift = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+            yield pd.DataFrame(
+                {
+                    "name": [xxh3_128_digest(contents[i][k * width : k * width + size]) for i, k in zip(of.tolist(), shift.tolist())],
+                    "key1": frame["key1"].to_numpy()[of],
+                    "key2": frame["key2"].to_numpy()[of],
+                    "start": (frame["start"].to_numpy()[of] + shift).astype(np.int32),
+                }
+            )
+
+    windows = kept(places.select("key1", "key2", "start", "content").mapInPandas(named, f"name binary, {KEY}, start int"))
+    known = windows.groupBy("name").agg(F.min("key1").alias("least"), F.max("key1").alias("most"), F.count(F.lit(1)).alias("times"))
+    known = known.filter(F.col("least") < F.col("most") if earlier else F.col("times") > 1).select("name", "least")
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = windows.withColumn("salt", F.pmod(F.xxhash64("key1", "key2", "start"), F.lit(SALTS)).cast("int"))
+    met = dealt.join(salted, ["name", "salt"])
+    if earlier:
+        met = met.filter(F.col("key1") > F.col("least"))
+    return met.select("key1", "key2", "start", (F.col("start") + shape.length).alias("stop"))
+
+
 def spans_of(found: DataFrame) -> DataFrame:
     """(key1, key2, spans): sorted intervals of each document; as many as its text allows."""
     return found.groupBy("key1", "key2").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))

@@ -267,17 +267,18 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, unit_segments: int)
     found = kept(seg.find(texts, byte_items, shape, n_buckets, earlier=True))
     asked = found.filter(F.col("kind") != seg.SETTLED)
     content = F.when(
-        F.col("kind") == seg.LEAD,
+        F.col("kind").isin(seg.LEAD, seg.HOT),
         F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("stop") - F.col("start")),
     )
+    fetched = asked.join(texts, ["key1", "key2"]).select("kind", "key1", "key2", "start", "unit", "seg", "at", content.alias("content"))
     judged = (
-        asked.join(texts, ["key1", "key2"])
-        .select("kind", "key1", "key2", "start", "unit", "seg", "at", content.alias("content"))
+        fetched.filter(F.col("kind") != seg.HOT)
         .groupBy(F.pmod(F.xxhash64("unit"), F.lit(64 * n_buckets)).alias("part"))
         .applyInPandas(judge(length, gram), f"{seg.KEY}, start int, stop int")
     )
     settled = found.filter(F.col("kind") == seg.SETTLED).select("key1", "key2", "start", "stop")
-    return rows, seg.spans_of(settled.union(judged))
+    shared = seg.shared_windows(fetched.filter(F.col("kind") == seg.HOT), shape, 1, earlier=True)
+    return rows, seg.spans_of(settled.union(judged).union(shared))
 
 
 def remove_repeats(

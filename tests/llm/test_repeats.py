@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,13 +95,36 @@ def common_line(spark, n):
     return spark.createDataFrame([(i, f"before {i * 7919} x{i} {line} y{i} behind {i * 104729}") for i in range(n)], "doc_id long, text string")
 
 
-def test_units_of_a_hot_anchor_are_split(spark):
+@pytest.mark.parametrize("times", [1, 2])
+def test_hot_anchors_are_judged_by_window(spark, times):
+    """Anchors with more segments than a unit may hold, also where rows repeat."""
     docs = common_line(spark, 120)
+    docs = docs.union(docs) if times > 1 else docs
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert in_order(suffix.remove_repeats(docs, unit_segments=16).collect()) == in_order(brute_bytes(rows, 50))
     assert in_order(repeats.remove_repeats(docs, length=12, gram=4, unit_segments=16).collect()) == in_order(brute_words(rows, 12))
 
 
+def found_rows(spark, n):
+    docs = seg.keyed(common_line(spark, n)).select("key1", "key2", "text")
+    return seg.find(docs, suffix.byte_items, seg.Shape(50, 20, 16), 4, earlier=True).count()
+
+
+def test_work_on_a_hot_anchor_grows_with_its_segments(spark):
+    assert found_rows(spark, 4_000) < 5 * found_rows(spark, 1_000)
+
+
+def test_segments_whose_short_hashes_meet():
+    """Equal segments stay together although another one has the same first 32 bits of hash."""
+    shape = seg.Shape(10, 4)
+    rows = np.zeros(3, seg.SEGMENT)
+    rows["anchor"], rows["seg"], rows["more"], rows["doc"] = 7, 9, [1, 2, 1], [0, 1, 2]
+    names = np.array([[i, i] for i in range(3)], np.int64)
+    payload = np.int64(3).tobytes() + names.tobytes() + rows.tobytes()
+    got = seg.meet(shape, 1, True)(pd.DataFrame({"bucket": [0], "kind": np.int8([0]), "payload": [payload]}))
+    assert got.loc[got["kind"] == seg.SETTLED, "key1"].tolist() == [2]
+
+
 def test_shared_anchors_without_a_repeat(spark):
     """Passages shorter than a window bring segments together that share none: all texts stay."""
     rows = [(i, f"{i * 7919} {i}{i} a passage of thirty bytes or so {i * 104729} {i}") for i in range(40)]

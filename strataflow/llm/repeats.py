@@ -95,7 +95,6 @@ def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = words_of(text)
             yield pd.DataFrame(
                 {
-                    "kind": [a["kind"] for a in asked],
                     "key1": key1, "key2": key2,
                     "start": [a["start"] for a in asked],
                     "unit": [a["unit"] for a in asked],
@@ -122,19 +121,24 @@ def remove_repeats(
     n_buckets = buckets_for(text_bytes(docs), BUCKET_BYTES)
     texts = rows.select("key1", "key2", "text")
     found = kept(seg.find(texts, word_items, shape, n_buckets, earlier=False))
-    asked = (
-        found.filter(F.col("kind") != seg.SETTLED)
-        .groupBy("key1", "key2")
-        .agg(F.collect_list(F.struct("kind", "start", "stop", "unit", "seg", "at")).alias("asked"))
-    )
-    fetched = texts.join(asked, ["key1", "key2"]).mapInPandas(fetch, f"kind byte, {seg.KEY}, start int, unit long, seg long, at int, content binary")
+
+    def fetched(kind: int) -> DataFrame:
+        asked = (
+            found.filter(F.col("kind") == kind)
+            .groupBy("key1", "key2")
+            .agg(F.collect_list(F.struct("start", "stop", "unit", "seg", "at")).alias("asked"))
+        )
+        return texts.join(asked, ["key1", "key2"]).mapInPandas(
+            fetch, f"{seg.KEY}, start int, unit long, seg long, at int, content binary"
+        )
+
     judged = (
-        fetched.filter(F.col("kind") == seg.LEAD)
+        fetched(seg.LEAD)
         .groupBy(F.pmod(F.xxhash64("unit"), F.lit(64 * n_buckets)).alias("part"))
         .applyInPandas(judge(shape), f"{seg.KEY}, start int, stop int")
     )
+    shared = seg.shared_windows(fetched(seg.HOT), shape, 8, earlier=False)
     settled = found.filter(F.col("kind") == seg.SETTLED).select("key1", "key2", "start", "stop")
-    shared = seg.shared_windows(fetched.filter(F.col("kind") == seg.HOT), shape, 8, earlier=False)
     spans = seg.spans_of(settled.union(judged).union(shared))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

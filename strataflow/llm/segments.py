@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, mix64
+from .common import mix64
 
 SEGMENT = np.dtype(
     [("anchor", "<u4"), ("seg", "<u4"), ("more", "<u2"), ("start", "<u4"), ("doc", "<u2"), ("extra", "u1"), ("at", "u1"), ("many", "?"), ("near", "u1", 3)]
@@ -30,7 +30,6 @@ SEGMENT = np.dtype(
 CHUNK_ITEMS = 1 << 21
 STEP_ITEMS = 1 << 17
 UNIT_SEGMENTS = 1_000
-SALTS = 16
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -334,8 +333,8 @@ def shared_windows(places: DataFrame, shape: Shape, width: int, earlier: bool) -
     """(key1, key2, start, stop) of the windows that several of ``places`` have, for ``earlier`` those of larger key1.
 
     ``places`` (key1, key2, start, content) are segments whose items take ``width`` bytes each.  A window is named by
-    128 bits of hash.  Names are counted with partial sums in every task; a name that very many places have
-    is one row of each sum, and its places are dealt by a salt when they learn of it.
+    128 bits of hash.  Names are counted with partial sums in every task, so a name that very many places have
+    is one row of each sum; its places then meet a single row, a join whose skew adaptive execution splits.
     """
 
     def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -356,12 +355,11 @@ def shared_windows(places: DataFrame, shape: Shape, width: int, earlier: bool) -
                 }
             )
 
-    windows = kept(places.select("key1", "key2", "start", "content").mapInPandas(named, f"name binary, {KEY}, start int"))
+    # Named once for the counts and once for the places: the texts' exchange is shared, names are not stored.
+    windows = places.select("key1", "key2", "start", "content").mapInPandas(named, f"name binary, {KEY}, start int")
     known = windows.groupBy("name").agg(F.min("key1").alias("least"), F.max("key1").alias("most"), F.count(F.lit(1)).alias("times"))
     known = known.filter(F.col("least") < F.col("most") if earlier else F.col("times") > 1).select("name", "least")
-    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = windows.withColumn("salt", F.pmod(F.xxhash64("key1", "key2", "start"), F.lit(SALTS)).cast("int"))
-    met = dealt.join(salted, ["name", "salt"])
+    met = windows.join(known, "name")
     if earlier:
         met = met.filter(F.col("key1") > F.col("least"))
     return met.select("key1", "key2", "start", (F.col("start") + shape.length).alias("stop"))

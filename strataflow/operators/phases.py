@@ -22,23 +22,21 @@ def hole_phases(status: DataFrame) -> DataFrame:
     A phase ends on the row that starts the next one; the last phase ends on the last row.
     """
     rows = status.select("well", "date", "report_no", "md_m", "hole_diameter_in")
-    sizes = scan(
-        rows.filter(truthy(F.col("hole_diameter_in"))),
+    size = F.col("hole_diameter_in")
+    known = scan(
+        rows,
         ["well"],
         BY_DAY_AND_ID,
         ["date", "report_no"],
-        lag={"prev_hole": F.col("hole_diameter_in")},
-    )
-    starts = sizes.filter(~F.col("hole_diameter_in").eqNullSafe(F.col("prev_hole"))).select(
-        *rows.columns, F.lit(0).alias("is_end")
-    )
-    ends = (
-        rows.groupBy("well")
-        .agg(F.max_by(F.struct("date", "report_no", "md_m"), F.struct("date", "report_no")).alias("r"))
-        .select("well", "r.*", F.lit(1).alias("is_end"))
+        last_known={"prev_hole": F.when(truthy(size), size)},
+        lead={"_following": F.lit(1)},
     )
+    # A row may start a phase, be the last of its well, or both.
+    starts = F.when(truthy(size) & ~size.eqNullSafe(F.col("prev_hole")), F.lit(0))
+    ends = F.when(F.col("_following").isNull(), F.lit(1))
+    edges = known.withColumn("is_end", F.explode(F.array_compact(F.array(starts, ends)))).select(*rows.columns, "is_end")
     marked = scan(
-        union_all([starts, ends]),
+        edges,
         ["well"],
         BY_DAY_AND_ID,
         ["date", "report_no", "is_end"],
@@ -109,24 +107,27 @@ def phase_details(
     """
     days = _daily_calendar(status, activities)
     counted = [c.removeprefix("upto_") for c in days.columns if c.startswith("upto_")]
-    opening = days.select(
-        "well",
-        F.col("date").alias("start_date"),
-        *[(F.col(f"upto_{c}") - F.col(f"day_{c}")).alias(f"before_{c}") for c in counted],
-        F.col("next_summary.date").alias("summary_date"),
-        F.col("next_summary.summary").alias("summary"),
-    )
-    closing = days.select(
-        "well",
-        F.col("date").alias("end_date"),
-        *[F.col(f"upto_{c}") for c in counted],
-        F.col("first_md").alias("casing_point_m"),
+    # Both edges of a phase look up the calendar in one join and meet again by phase.
+    edges = phases.select(
+        "well", "phase_no", F.inline(F.array(*[F.struct(F.col(c).alias("date"), F.lit(c).alias("_edge")) for c in ("start_date", "end_date")])),
+        *[c for c in phases.columns if c not in ("well", "phase_no")],
     )
-    joined = phases.join(opening, ["well", "start_date"], "left").join(closing, ["well", "end_date"], "left")
+    opens, closes = F.col("_edge") == "start_date", F.col("_edge") == "end_date"
 
     def inside(name: str) -> Column:
         return F.col(f"upto_{name}") - F.col(f"before_{name}")
 
+    joined = (
+        edges.join(days, ["well", "date"], "left")
+        .groupBy(*phases.columns)
+        .agg(
+            *[F.max(F.when(opens, F.col(f"upto_{c}") - F.col(f"day_{c}"))).alias(f"before_{c}") for c in counted],
+            *[F.max(F.when(closes, F.col(f"upto_{c}"))).alias(f"upto_{c}") for c in counted],
+            F.max(F.when(closes, F.col("first_md"))).alias("casing_point_m"),
+            F.max(F.when(opens, F.col("next_summary"))).alias("_summary"),
+        )
+        .withColumns({"summary_date": F.col("_summary.date"), "summary": F.col("_summary.summary")})
+    )
     mix = F.array(
         *[
             F.struct((-inside(f"n_{i}")).alias("neg"), F.lit(name).alias("label"))

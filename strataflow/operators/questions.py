@@ -142,16 +142,23 @@ def run_performance(runs: DataFrame, mudlog: DataFrame, run_id: str = "run_no",
         )
         .withColumn("_kind", F.lit(1))
     )
-    real = runs.filter(F.col("md_start_m") <= F.col("md_stop_m")).select("well", run_id, "md_start_m", "md_stop_m")
-    bounds = union_all(
-        [
-            real.select("well", F.col("md_start_m").alias("_pos"), F.lit(0).alias("_kind")),
-            real.select("well", F.col("md_stop_m").alias("_pos"), F.lit(2).alias("_kind")),
-        ]
-    ).distinct()
+    run = ["well", run_id, "md_start_m", "md_stop_m"]
+    # Equal runs are swept once; both edges of a run carry its name, so no join leads back to it.
+    real = runs.filter(F.col("md_start_m") <= F.col("md_stop_m")).groupBy(*run).agg(F.count("*").alias("_copies"))
+    edges = real.select(
+        *run,
+        "_copies",
+        F.inline(
+            F.array(
+                F.struct(F.col("md_start_m").alias("_pos"), F.lit(0).alias("_kind")),
+                F.struct(F.col("md_stop_m").alias("_pos"), F.lit(2).alias("_kind")),
+            )
+        ),
+    )
     zero = F.lit(0).cast("decimal(38,9)")
+    # Edges add nothing, so edges that share a place need no order among themselves.
     swept = scan(
-        union_all([points, bounds]),
+        union_all([points, edges]),
         ["well"],
         by_depth(width),
         ["_pos", "_kind"],
@@ -161,26 +168,15 @@ def run_performance(runs: DataFrame, mudlog: DataFrame, run_id: str = "run_no",
         },
     ).filter(F.col("_kind") != 1)
 
-    def at(kind: int, position: str, tag: str) -> DataFrame:
-        return swept.filter(F.col("_kind") == kind).select(
-            "well", F.col("_pos").alias(position), *[F.col(c).alias(f"{c}_{tag}") for c in ("n", "wn", "r", "w")]
-        )
-
-    joined = real.join(at(0, "md_start_m", "a"), ["well", "md_start_m"]).join(
-        at(2, "md_stop_m", "b"), ["well", "md_stop_m"]
-    )
-
     def inside(c: str):
-        return (F.col(f"{c}_b") - F.col(f"{c}_a")).cast("double")
-
-    return joined.select(
-        "well",
-        run_id,
-        "md_start_m",
-        "md_stop_m",
-        (F.col("n_b") - F.col("n_a")).alias("intervals"),
-        F.try_divide(inside("r"), inside("n")).alias("avg_rop"),
-        F.try_divide(inside("w"), inside("wn")).alias("avg_wob"),
+        return F.max(F.when(F.col("_kind") == 2, F.col(c))) - F.max(F.when(F.col("_kind") == 0, F.col(c)))
+
+    found = swept.groupBy(*run, "_copies").agg(*[inside(c).alias(c) for c in ("n", "wn", "r", "w")])
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(
+        *run,
+        F.col("n").alias("intervals"),
+        F.try_divide(F.col("r").cast("double"), F.col("n").cast("double")).alias("avg_rop"),
+        F.try_divide(F.col("w").cast("double"), F.col("wn").cast("double")).alias("avg_wob"),
     )
 
 

@@ -11,7 +11,7 @@ from ..functions.names import of_well
 from ..functions.numbers import interval_mid, truthy
 from ..functions.predicates import mentions_bha, mudlog_quality
 from ..functions.text import truncate_text
-from .intervals import around, distinct_points, distinct_probes, nearest_join, nearest_point
+from .intervals import around, distinct_points, nearest_join, nearest_point
 from .ordered import Cut, ranked_within, scan
 
 
@@ -73,15 +73,13 @@ def _per_depth_and_lithology(mudlog: DataFrame, status: DataFrame) -> DataFrame:
         )
     )
     points, tie = _hole_points(status)
-    found = around(
-        distinct_probes(partial, ["well"], "md_mid"),
+    # Partial rows are probes themselves: rows of one depth need no order among them, as they hold no point.
+    return around(
+        partial.withColumn("_pos", F.col("md_mid")),
         distinct_points(points, ["well"], F.col("md_m"), ["hole_diameter_in"], tie),
         ["well"],
         after=True,
-    ).select(
-        "well", F.col("_pos").alias("md_mid"), nearest_point()["hole_diameter_in"].alias("hole_diameter_in")
-    )
-    return partial.join(found, ["well", "md_mid"], "left")
+    ).select(*partial.columns, nearest_point()["hole_diameter_in"].alias("hole_diameter_in"))
 
 
 def mudlog_section_stats(mudlog: DataFrame, status: DataFrame, ref_compat: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ whole texts are scored by table lookups.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,12 @@ SAMPLE_PER_LANGUAGE = 512
 UNDETERMINED = "und"
 CHUNK = 1 << 20
 SLOT_BITS = 20
-HAS_LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text holds a letter of Unicode (general category L); fractions, circled digits and such are none."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in WORDLIKE.finditer(text))
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +141,7 @@ class Model:
         """Language of the shortest code (first in order on ties) and its share of the likelihood."""
         names = [UNDETERMINED] * len(texts)
         scores = np.zeros(len(texts))
-        lettered = [i for i, t in enumerate(texts) if t and HAS_LETTER.search(t)]
+        lettered = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if not lettered or not self.languages:
             return names, scores
         total = self.totals([texts[i] for i in lettered])

@@ -59,3 +59,8 @@ def test_odd_rows(spark, odd, nothing):
     empty = language.train(nothing)
     assert language.identify(nothing, empty).count() == 0
     assert {r.lang_pred for r in language.identify(odd, empty).collect()} == {"und"}
+
+
+def test_only_unicode_letters_are_letters():
+    assert not any(language.has_letter(t) for t in ("½", "²", "①", "Ⅷ", "٣", "_", "12 ¾", "", "\u0301"))
+    assert all(language.has_letter(t) for t in ("a", "½ é", "中", "ª", "ʰ", "Ж"))

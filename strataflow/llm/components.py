@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import kept
 
-MAX_ROUNDS = 60
-
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node that can be reached, for every node that has a link.
 
     Alternates large-star and small-star steps: every step hangs neighbours on the smallest one known.
     A node's neighbours are only ever reduced to their minimum, so no neighbour list is gathered.
-    Links with a null end or from a node to itself are ignored.
+    Links with a null end or from a node to itself are ignored.  Rounds end when a round changes nothing; their number
+    rises with the logarithm of the longest path.
     """
     edges = kept(
         links.filter(F.col(a) != F.col(b))
@@ -23,7 +22,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
     )
     state = signature(edges)
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # Large star: larger neighbours move to the smallest neighbour.
@@ -48,7 +47,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = now
-    raise RuntimeError("components did not settle")
 
 
 def signature(edges: DataFrame) -> tuple:

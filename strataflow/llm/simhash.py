@@ -18,6 +18,8 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 HASH_SEED = 42
 UNIT_ROWS = 1_000
+# Units of up to so many fingerprints are judged side by side.
+FEW = 64
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -87,39 +89,64 @@ def block_keys(fp: Column, max_bits: int, n_blocks: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("tbl"), fp.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(tables)])
 
 
+def forest(fp: np.ndarray, max_bits: int) -> pd.DataFrame:
+    """Links that connect the fingerprints of one unit as all their pairs within ``max_bits`` would."""
+    bits, n = fp.view(np.uint64), len(fp)
+    found_a, found_b, held = [], [], 0
+    for lag in range(1, n):
+        near = np.flatnonzero(np.bitwise_count(bits[:-lag] ^ bits[lag:]) <= max_bits)
+        found_a.append(near)
+        found_b.append(near + lag)
+        held += len(near)
+        if held > 4 * n + 1_000_000:  # a forest says as much as all pairs
+            label = local_components(n, np.concatenate(found_a), np.concatenate(found_b))
+            tied = np.flatnonzero(label != np.arange(n))
+            found_a, found_b, held = [tied], [label[tied]], 0
+    if not held:
+        return pd.DataFrame({"a": fp[:0], "b": fp[:0]})
+    label = local_components(n, np.concatenate(found_a), np.concatenate(found_b))
+    tied = np.flatnonzero(label != np.arange(n))
+    return pd.DataFrame({"a": fp[tied], "b": fp[label[tied]]})
+
+
+def small_forests(unit: np.ndarray, fp: np.ndarray, max_bits: int) -> pd.DataFrame:
+    """``forest`` of many whole units at once, as most hold two or three fingerprints."""
+    bits = fp.view(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+    sizes = np.diff(np.concatenate([first, [len(unit)]]))
+    few = np.repeat(sizes <= FEW, sizes)
+    ends = np.repeat(first + sizes, sizes)
+    out, live, lag = [], np.flatnonzero(few), 1
+    while len(live := live[live + lag < ends[live]]):
+        near = live[np.bitwise_count(bits[live] ^ bits[live + lag]) <= max_bits]
+        out.append(pd.DataFrame({"a": fp[near], "b": fp[near + lag]}))
+        lag += 1
+    out += [forest(fp[lo : lo + n], max_bits) for lo, n in zip(first[sizes > FEW].tolist(), sizes[sizes > FEW].tolist())]
+    return pd.concat(out, ignore_index=True).drop_duplicates() if out else pd.DataFrame({"a": fp[:0], "b": fp[:0]})
+
+
 def linked_in_units(max_bits: int):
-    """Per partition of (unit, fp) rows: each fp with the smallest one of its unit it is connected to."""
+    """Links of (unit, fp) rows that come sorted by unit.
+
+    Whole units are judged as soon as the next one starts, so a task holds one Arrow batch and at most one unit.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        rows = pd.concat(parts, ignore_index=True)
-        order = np.lexsort((rows["fp"].to_numpy(), rows["unit"].to_numpy()))
-        unit, fp = rows["unit"].to_numpy()[order], rows["fp"].to_numpy()[order]
-        bits = fp.view(np.uint64)
-        first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-        ends = np.repeat(np.concatenate([first[1:], [len(unit)]]), np.diff(np.concatenate([first, [len(unit)]])))
-        live, found_a, found_b, held = np.arange(len(unit)), [], [], 0
-        lag = 1
-        while True:
-            live = live[live + lag < ends[live]]
-            if not len(live):
-                break
-            near = np.bitwise_count(bits[live] ^ bits[live + lag]) <= max_bits
-            found_a.append(live[near])
-            found_b.append(live[near] + lag)
-            held += int(near.sum())
-            if held > 4 * len(unit) + 1_000_000:  # a forest says as much as all pairs
-                label = local_components(len(unit), np.concatenate(found_a), np.concatenate(found_b))
-                tied = np.flatnonzero(label != np.arange(len(unit)))
-                found_a, found_b, held = [tied], [label[tied]], 0
-            lag += 1
-        a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (found_a, found_b))
-        label = local_components(len(unit), a, b)
-        tied = np.flatnonzero(label != np.arange(len(unit)))
-        links = pd.DataFrame({"a": fp[tied], "b": fp[label[tied]]}).drop_duplicates()
-        yield links
+        rest: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            unit, fp = batch["unit"].to_numpy(), batch["fp"].to_numpy()
+            if not len(unit):
+                continue
+            last = int(np.searchsorted(unit, unit[-1]))  # start of the unit that may go on in the next batch
+            if rest and (last or rest[-1][0][-1] != unit[0]):
+                whole = [np.concatenate(x) for x in zip(*rest, (unit[:last], fp[:last]))]
+                yield small_forests(*whole, max_bits)
+                rest = []
+            elif last:
+                yield small_forests(unit[:last], fp[:last], max_bits)
+            rest.append((unit[last:], fp[last:]))
+        if rest:
+            yield small_forests(*[np.concatenate(x) for x in zip(*rest)], max_bits)
 
     return run
 
@@ -143,7 +170,7 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, unit_rows: int = U
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(F.xxhash64("tbl", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "fp")
     )
-    return units.repartition("unit").mapInPandas(linked_in_units(max_bits), "a long, b long").distinct()
+    return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(linked_in_units(max_bits), "a long, b long").distinct()
 
 
 def rooted(nodes: DataFrame, max_bits: int) -> DataFrame:

@@ -82,3 +82,24 @@ def test_odd_rows(spark, odd, nothing):
     assert {r.component_id for r in rows if r.doc_id in (5, 6)} == {5}
     assert {r.fp for r in rows if r.doc_id == 3} == {0}
     assert simhash.near_duplicates(nothing).count() == 0
+
+
+def test_units_are_judged_one_by_one_whatever_the_batches():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    unit = np.sort(np.concatenate([rng.integers(0, 40, 300), np.full(200, 7), np.full(90, 39)])).astype(np.int64)
+    fp = rng.integers(0, 1 << 10, len(unit)).astype(np.int64)
+    for size in (1, 13, 150, 1000):
+        batches = (pd.DataFrame({"unit": unit[lo : lo + size], "fp": fp[lo : lo + size]}) for lo in range(0, len(unit), size))
+        links = pd.concat(simhash.linked_in_units(2)(batches))
+        for u in np.unique(unit):
+            mine = np.unique(fp[unit == u])
+            a, b = np.nonzero(np.bitwise_count(mine[:, None] ^ mine[None, :]) <= 2)
+            found = links[links["a"].isin(mine) & links["b"].isin(mine)]
+            label = local_components(len(mine), a, b)
+            have = local_components(len(mine), np.searchsorted(mine, found["a"]), np.searchsorted(mine, found["b"]))
+            # Links of other units may only join what this unit's own pairs do not contradict.
+            assert all(len(set(have[label == x])) == 1 for x in set(label))
+        assert (np.bitwise_count(links["a"].to_numpy() ^ links["b"].to_numpy()) <= 10).all()
+    assert list(simhash.linked_in_units(2)(iter([pd.DataFrame({"unit": unit[:0], "fp": fp[:0]})]))) == []

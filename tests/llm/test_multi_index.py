@@ -55,3 +55,33 @@ def test_walk_is_in_order_of_distance():
     total = (multi_index.squared(q[None, :3], books[0])[0][:, None] + multi_index.squared(q[None, 3:], books[1])[0][None]).ravel()
     assert multi_index.walk(q, books, counts, 20) == list(np.argsort(total, kind="stable"))
     assert len(multi_index.walk(q, books, counts, 7)) == 7
+
+
+def test_clustered_vectors_need_few_entries(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(40, 16)) * 10
+    x = centre[rng.integers(40, size=6000)] + rng.normal(size=(6000, 16)) * 0.3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    looked = []
+    real = multi_index.entries_needed
+    monkeypatch.setattr(multi_index, "entries_needed", lambda *a: looked.append(real(*a)) or looked[-1])
+    got = {}
+    for r in multi_index.search(df, every=20, part_rows=300, query_block=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows, 20, 10)
+    hits = sum(len({i for i, _ in want[q]} & got[q]) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    assert all(len(v) == 10 for v in got.values()) and 0 < looked[0] < 1200
+
+
+def test_a_query_whose_id_repeats_still_gets_k(spark):
+    rows = [(0, [1.0, 0.0])] * 30 + [(0, [5.0, 5.0])] + [(i, [1.0, i / 100]) for i in range(1, 15)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = multi_index.search(df, every=100).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 11))
+
+
+def test_more_centroids_for_larger_tables():
+    sizes = [multi_index.centroids_for(n) for n in (0, 5_000, 51_282, 1_000_000, 10**10)]
+    assert sizes == [16, 16, 32, 142, 256]

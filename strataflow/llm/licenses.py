@@ -149,7 +149,7 @@ def directory(path):
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def scan(docs: DataFrame, path: str = "path", threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
+def scan(docs: DataFrame, path: str = "path", threshold: float = THRESHOLD, file_share: float = FILE_SHARE, with_text: bool = True) -> DataFrame:
     """Adds ``license, license_score, license_from`` and ``license_dir`` to each row.
 
     A row whose best header reaches ``threshold`` has its own licence (from "header", or "file" if the whole
@@ -160,7 +160,8 @@ def scan(docs: DataFrame, path: str = "path", threshold: float = THRESHOLD, file
     first licence in order.
 
     Null and empty texts have no licence of their own; a null path is in no directory and inherits nothing;
-    repeated rows get the same; columns of ``docs`` by those names are replaced.
+    repeated rows get the same; columns of ``docs`` by those names are replaced.  Very long texts are scored whole.
+    Without ``with_text`` the texts are left out of the result, and of the table that is kept on the way.
     """
     frequency, total = document_frequencies(docs)
     scorer = docs.sparkSession.sparkContext.broadcast(Scorer(frequency, total))
@@ -171,7 +172,8 @@ def scan(docs: DataFrame, path: str = "path", threshold: float = THRESHOLD, file
             yield pd.DataFrame([scorer.value.header(t) for t in batch["text"]], columns=["_name", "_score", "_share", "_whole"])
 
     base = docs.drop(*added).withColumn("_dir", directory(F.col(path)))
-    marked = kept(map_rows(base, run, "_name string, _score double, _share double, _whole double", reads=["text"]))
+    scored = map_rows(base, run, "_name string, _score double, _share double, _whole double", reads=["text"])
+    marked = kept(scored if with_text else scored.drop("text"))
     own = F.col("_score") >= threshold
     named = F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False))
     file = own & ((F.col("_share") >= file_share) | (F.col("_whole") >= threshold) | named)
@@ -195,7 +197,7 @@ def scan(docs: DataFrame, path: str = "path", threshold: float = THRESHOLD, file
     joined = marked.join(nearest, "_dir", "left")
     near = F.col("_near._file._name")
     return joined.select(
-        *[F.col(c) for c in docs.drop(*added).columns],
+        *[F.col(c) for c in docs.drop(*added, *([] if with_text else ["text"])).columns],
         F.when(own, F.col("_name")).otherwise(near).alias("license"),
         F.when(own, F.col("_score")).otherwise(F.col("_near._file._score")).alias("license_score"),
         F.when(file, "file").when(own, "header").when(near.isNotNull(), "inherited").otherwise("none").alias("license_from"),

@@ -29,7 +29,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     number = F.col("doc_id")
     path = F.concat_ws("/", "source", F.floor(number / 1000).cast("string"), F.floor(number / 100).cast("string"), number.cast("string"))
-    found = licenses.scan(docs.select("doc_id", "text", path.alias("path")))
+    found = licenses.scan(docs.select("doc_id", "text", path.alias("path")), with_text=False)
     return found.select("doc_id", "path", "license", F.round("license_score", 9).alias("license_score"), "license_from", "license_dir")
 
 

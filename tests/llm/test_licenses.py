@@ -94,3 +94,10 @@ def test_wrapped_texts(spark):
         1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("BSD-3-Clause", "file"), 4: ("BSD-3-Clause", "inherited"),
         5: ("Apache-2.0", "header"), 6: ("GPL-3.0", "header"), 7: (None, "none"), 8: ("GPL-3.0", "file"), 9: ("GPL-3.0", "inherited"),
     }
+
+
+def test_texts_may_be_left_out(spark):
+    whole = licenses.scan(rows(spark))
+    lean = licenses.scan(rows(spark), with_text=False)
+    assert lean.columns == [c for c in whole.columns if c != "text"]
+    assert sorted(map(str, lean.collect())) == sorted(map(str, whole.drop("text").collect()))

@@ -22,12 +22,13 @@ DIGITS = sum(15 << (LANE_BITS * lane) for lane in range(LANES))
 MEAN = 7.5
 # Fixed value: sentences end at a line break, or at white space behind . ! or ?
 SENTENCE_END = r"[\n\r]+|(?<=[.!?])\s+"
-RANGES = 1_000
+# Ids of a range of the table, which a task orders.
+RANGE_IDS = 100_000
 
 
 def elements(text: Column) -> Column:
     """Sentences of a text, trimmed, in order; none for a null, empty or blank text."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), F.btrim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda p: F.btrim(p))
     return F.filter(parts, lambda p: p != "")
 
 
@@ -87,22 +88,33 @@ def likeness(a: Column, b: Column, a_lanes: Column, b_lanes: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.least(F.greatest(cosine, F.lit(0.0)), F.lit(1.0)))
 
 
-def successors(sized: DataFrame, ranges: int = RANGES) -> DataFrame:
+def last_not_above(edges: Column, value: Column, n: int) -> Column:
+    """Position, from 0, of the last of ``n`` ascending edges that is not above the value; -1 if all are."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+
+    def step(at: Column, jump: Column) -> Column:
+        return F.when((at + jump <= n) & (F.get(edges, at + jump - 1) <= value), at + jump).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step) - 1
+
+
+def successors(sized: DataFrame, range_ids: int = RANGE_IDS) -> DataFrame:
     """(doc_id, next_id, n_chars) per distinct id in ascending order; after the last comes the first.
 
-    Ids are dealt into ranges that start at ids of the table.  The first id of a range is also shown, as a
-    guest, to the range before it, so every range finds its successors alone.  Only the starts of
-    at most ``ranges`` ranges come to the driver.
+    Ids are dealt into ranges of about ``range_ids`` that start at ids of the table.  The first id of a range is also
+    shown, as a guest, to the range before it, so every range finds its successors alone.  Only the starts of
+    the ranges come to the driver.
     """
     ids = sized.groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
+    ranges = max(1, -(-sized.count() // range_ids))
     shares = [i / ranges for i in range(ranges)]
-    starts = ids.agg(F.percentile_approx("doc_id", shares, 10 * ranges).alias("s"), F.min("doc_id").alias("m")).first()
+    starts = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * ranges)).alias("s"), F.min("doc_id").alias("m")).first()
     cuts = sorted({*(starts["s"] or []), *([starts["m"]] if starts["m"] is not None else [])})
     edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    place = F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))) - 1
+    place = last_not_above(edges, F.col("doc_id"), len(cuts))
     before = F.pmod(F.col("place") - 1, F.lit(max(len(cuts), 1)))
     homes = F.when(
-        F.array_contains(edges, F.col("doc_id")),
+        F.get(edges, F.col("place")) == F.col("doc_id"),
         F.array(F.struct(F.col("place").alias("home"), F.lit(0).alias("guest")), F.struct(before.alias("home"), F.lit(1).alias("guest"))),
     ).otherwise(F.array(F.struct(F.col("place").alias("home"), F.lit(0).alias("guest"))))
     shown = ids.withColumn("place", place).select("doc_id", "n_chars", F.inline(homes))

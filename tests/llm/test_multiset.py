@@ -1,5 +1,8 @@
 import hashlib
+import re
 
+import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from strataflow.llm import multiset
@@ -59,6 +62,47 @@ def test_odd_rows(spark, odd, nothing):
 def test_successors_over_many_ranges(spark):
     ids = [3, 5, 8, 13, 21, 34, 55, 89, 144]
     df = spark.createDataFrame([(i, i) for i in ids], "doc_id long, n_chars int")
-    for ranges in (1, 3, 50):
-        got = {r.doc_id: r.next_id for r in multiset.successors(df, ranges).collect()}
+    for range_ids in (1, 3, 100):
+        got = {r.doc_id: r.next_id for r in multiset.successors(df, range_ids).collect()}
         assert got == dict(zip(ids, ids[1:] + ids[:1]))
+
+
+def plain_vector(text):
+    """Count and 64 words of a text, sentence by sentence."""
+    parts = [p.strip(" ") for p in re.split(r"[\n\r]+|(?<=[.!?])\s+", text or "", flags=re.ASCII)]
+    out = [0] * 65
+    for p in filter(None, parts):
+        seed = xxhash.xxh64_intdigest(hashlib.sha256(p.encode()).hexdigest(), 42)
+        out[0] += 1
+        for i in range(1, 65):
+            out[i] = (out[i] + (xxhash.xxh64_intdigest(i.to_bytes(4, "little"), seed) & multiset.DIGITS)) % (1 << 60)
+    return out
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = (np.array([((w >> 20 * lane) % (1 << 20) - 7.5 * v[0] + (1 << 19)) % (1 << 20) - (1 << 19) for lane in range(3) for w in v[1:]]) for v in (a, b))
+    size = np.sqrt((x @ x) * (y @ y))
+    return float(np.clip(x @ y / size, 0, 1)) if size else 0.0
+
+
+def test_fingerprints_and_likeness_against_a_plain_version(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    order = sorted(texts)
+    follows = dict(zip(order, order[1:] + order[:1]))
+    edited = want_edited(list(texts.items()))
+    vectors = {i: plain_vector(t) for i, t in texts.items()}
+    for r in multiset.fingerprints(docs).collect():
+        own, other = vectors[r.doc_id], plain_vector(edited[r.doc_id])
+        assert r.fingerprint == "".join(f"{w:015x}" for w in own)
+        assert r.edited_fingerprint == "".join(f"{w:015x}" for w in other)
+        assert abs(r.near_edited - plain_likeness(own, other)) < 1e-9
+        assert abs(r.near_next - plain_likeness(own, vectors[follows[r.doc_id]])) < 1e-9
+
+
+def test_numbers_at_the_ends_of_sentences_count_wherever_they_stand(spark):
+    df = spark.createDataFrame([(1, "0 ab.\n1 cd 1. 2 ef "), (2, "2 ef\n0 ab.\n1 cd 1."), (3, "ab.\ncd 1. 2 ef")], "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in multiset.fingerprints(df).collect()}
+    assert got[1] == got[2] != got[3]

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import well_matches
@@ -90,31 +90,57 @@ def keyword_search(
     ).drop("_in_source")
 
 
-# Trigrams are told apart by so many numbers: lists of these are small however many trigrams there are.
-GRAM_NUMBERS = 1 << 16
-GRAM = r"(?s)(?=(.{3}))"
+# Lengths of the pieces by which tokens are found; a word is found by pieces of the longest that it has room for.
+GRAM_LENGTHS = (3, 4, 6)
+# Pieces are told apart by so many numbers: lists of these are small however many pieces there are.
+GRAM_NUMBERS = 1 << 20
+# The white space of Unicode and the separators of ASCII, which Python splits by too.
+BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
-def gram_numbers(lowered: Column) -> Column:
-    """The distinct trigrams of a text, as numbers; a number may stand for several trigrams."""
-    grams = F.array_distinct(F.regexp_extract_all(lowered, F.lit(GRAM), F.lit(1)))
-    return F.array_distinct(F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(GRAM_NUMBERS)).cast("int")))
+def grams(text: Column, length: int) -> Column:
+    """The pieces of ``length`` characters of a text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
+
+
+def gram_number(gram: Column) -> Column:
+    """A number may stand for several pieces."""
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_NUMBERS)).cast("int")
+
+
+def long_parts(lowered: Column) -> Column:
+    """What blanks separate in a text, of more than two characters."""
+    return F.filter(F.split(lowered, BLANK), lambda w: F.char_length(w) > 2)
 
 
 def query_words(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     """``query_id, word, times``: the lower-case words of more than two characters of each query."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"(?U)[\s\x1c-\x1f]+"), lambda w: F.char_length(w) > 2)
+    words = long_parts(F.lower(F.col(text)))
     return queries.select(F.col(query_id).alias("query_id"), F.explode(words).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
 
 
-def rarest_grams(words: DataFrame, postings: DataFrame) -> DataFrame:
-    """``word, gram``: of the trigrams of each word the one in the fewest texts; none if one is in no text."""
-    grams = words.select("word").distinct().select("word", F.explode(gram_numbers(F.col("word"))).alias("gram"))
+def tokens_with(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``word, token``: the tokens (distinct) that hold each word (distinct).
+
+    Of the longest pieces of a word the one whose tokens have the fewest characters gives its candidates, and only
+    these are searched; a word with a piece in no token is in none.
+    """
+    room = F.when(F.lit(False), F.array().cast("array<string>"))
+    for length in sorted(GRAM_LENGTHS, reverse=True):
+        room = room.when(F.char_length("word") >= length, grams(F.col("word"), length))
+    pieces = words.select("word", F.explode(F.array_distinct(room)).alias("gram"))
+    every = F.array_distinct(F.concat(*[grams(F.col("token"), length) for length in GRAM_LENGTHS]))
+    postings = tokens.select("token", F.explode(every).alias("gram"))
+
     # At most GRAM_NUMBERS rows of one number are broadcast.
-    wanted = postings.join(F.broadcast(grams.select("gram").distinct()), "gram", "left_semi")
-    texts = wanted.groupBy("gram").agg(F.count("*").alias("texts"))
-    met = grams.join(texts, "gram", "left").na.fill(0, ["texts"])
-    return met.groupBy("word").agg(F.min(F.struct("texts", "gram")).alias("best")).filter("best.texts > 0").select("word", "best.gram")
+    number = gram_number(F.col("gram"))
+    numbers = F.broadcast(pieces.select(number.alias("number")).distinct())
+    # Dealt by piece, so that counts and candidates share one exchange.
+    wanted = postings.withColumn("number", number).join(numbers, "number", "left_semi").drop("number").repartition("gram")
+    sizes = wanted.groupBy("gram").agg(F.sum(F.char_length("token")).alias("size"))
+    met = pieces.join(sizes, "gram", "left").na.fill(0, ["size"])
+    rarest = met.groupBy("word").agg(F.min(F.struct("size", "gram")).alias("best")).filter("best.size > 0").select("word", "best.gram")
+    return wanted.join(rarest, "gram").filter(F.col("token").contains(F.col("word"))).select("word", "token")
 
 
 def keyword_search_table(
@@ -129,10 +155,11 @@ def keyword_search_table(
 ) -> DataFrame:
     """``keyword_search`` for a table of queries of any size: ``query_id, n_hits``, the columns of ``docs``, ``rank_no``.
 
-    Texts are indexed by trigrams.  The texts that hold the rarest trigram of a word are its candidates,
-    and only these are searched for it; no text meets a query without such a candidate.  Top lists are cut
-    on narrow rows, the columns of the documents are joined to what is left.  A query without a
-    usable keyword has the first documents of each source, which are found once.
+    No word holds a blank, so a text holds a word where one of its tokens, the parts between blanks, does.
+    Each distinct token keeps its first n documents of each source, and words are looked for in the distinct
+    tokens alone (``tokens_with``): no text is searched for a list.  Top lists are cut on narrow rows, the columns
+    of the documents are joined to what is left.  A query without a usable keyword has the first
+    documents of each source, which are found once.
     """
     docs = docs.filter(well_matches(F.col("well"), well))
     docs = docs.filter(in_dates(F.col("date"), date_from, date_to)) if date_from or date_to else docs
@@ -143,14 +170,15 @@ def keyword_search_table(
 
     asked = query_words(queries, query_id, query_text)
     lowered = F.lower("text")
-    postings = keyed.select("_key", F.explode(gram_numbers(lowered)).alias("gram"))
-    rarest = rarest_grams(asked, postings)
-    chosen = postings.join(F.broadcast(rarest.select("gram").distinct()), "gram", "left_semi")
-    candidates = chosen.join(rarest, "gram").select("_key", "word").distinct()
-    looked = keyed.select(*place, lowered.alias("_text")).join(candidates, "_key")
-    present = looked.filter(F.col("_text").contains(F.col("word"))).groupBy(*place, "word").agg(F.count("*").alias("copies"))
-    # The first n texts of a query are among the first n of its words: hits of a common word end here.
-    present = ranked_within(present, ["word", "source_no"], order, n, "_of_word").drop("_of_word")
+    spoken = keyed.select(*place, F.explode(F.array_distinct(long_parts(lowered))).alias("token"))
+    # The first n texts of a query are among the first n of its words, and these among the first n of their tokens:
+    # hits of what is common end here.
+    listed = ranked_within(spoken, ["token", "source_no"], order, n, "_of_token").groupBy("token", *place).agg(F.count("*").alias("copies"))
+    known = tokens_with(asked.select("word").distinct(), listed.select("token").distinct())
+    # A text counts once, however many of its tokens hold the word.
+    place_of_word = F.dense_rank().over(Window.partitionBy("word", "source_no").orderBy(*order))
+    present = known.join(listed, "token").drop("token").withColumn("_of_word", place_of_word).filter(F.col("_of_word") <= n)
+    present = present.groupBy("word", *place).agg(F.max("copies").alias("copies"))
     hits = present.join(asked, "word").groupBy("query_id", *place).agg(F.max("copies").alias("copies"))
     # Equal rows are places of their own, but no list holds more than n of them.
     hits = hits.select("query_id", *place, F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(n)).cast("int")))).drop("col")
@@ -163,13 +191,13 @@ def keyword_search_table(
     per_source = ranked_within(hits, ["query_id", "source_no"], order, n, "_in_source")
     best = ranked_within(per_source, ["query_id"], [F.asc("source_no"), F.asc("_in_source")], n)
     best = best.select("query_id", "rank_no", "_key")
-    whole = keyed.join(best.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+    whole = keyed.join(best.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).withColumn("_lowered", lowered)
     lists = asked.groupBy("query_id").agg(F.collect_list(F.struct("word", "times")).alias("_words"))
     found = best.join(lists, "query_id", "left").join(whole, "_key")
     n_hits = F.aggregate(
         F.coalesce("_words", F.array().cast("array<struct<word:string,times:bigint>>")),
         F.lit(0),
-        lambda total, w: total + F.when(lowered.contains(w["word"]), w["times"].cast("int")).otherwise(0),
+        lambda total, w: total + F.when(F.col("_lowered").contains(w["word"]), w["times"].cast("int")).otherwise(0),
     )
     return found.select("query_id", n_hits.alias("n_hits"), *docs.columns, "rank_no")
 

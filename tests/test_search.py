@@ -1,5 +1,7 @@
 """Vector and keyword search against plain loops."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +119,29 @@ def test_plan_does_not_grow_with_the_queries(spark):
 
     assert abs(len(plan(1_000)) - len(plan(3))) < 100
     assert "Cartesian" not in plan(3)
+
+
+def test_words_are_looked_for_in_distinct_tokens(spark):
+    tokens = ["thing", "things", "something", "in", "a𝒳b𝒳cd", "𝒳b𝒳", "aaaaaaaa", "customer_0001", "customer_00012", "x" * 500 + "customer_0001", "ölüng", "ab\u200bcd"]
+    words = ["thing", "hin", "𝒳b𝒳", "b𝒳cd", "aaa", "aaaaaaa", "customer_0001", "00012", "ölü", "lün", "none", "thingsome", "b\u200bc", "mething"]
+    got = search.tokens_with(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(w,) for w in tokens], "token string")).collect()
+    assert sorted((r.word, r.token) for r in got) == sorted((w, t) for w in words for t in tokens if w in t)
+
+
+def test_texts_are_cut_at_all_white_space_and_never_searched_for_lists(spark):
+    blanks = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        　"
+    rows = [(1, None, i, f"un{b}stuck{b}{b}pipes") for i, b in enumerate(blanks)] + [(1, None, 100, "stuck\u200bpipe")]
+    docs = spark.createDataFrame(rows, "source_no int, date string, doc_no long, text string").withColumn("well", F.lit("w"))
+    queries = [(i, f"STUCK{b}pipe") for i, b in enumerate(blanks)] + [(100, "k\u200bp"), (101, "unstuck")]
+    out = search.keyword_search_table(docs, spark.createDataFrame(queries, "query_id long, query string"), 30)
+    assert {(r.query_id, r.rank_no, r.source_no, r.doc_no, r.n_hits) for r in out.collect()} == plain_search(rows, queries, 30)
+    searched = set(re.findall(r"Contains\((\w+)#", out._jdf.queryExecution().optimizedPlan().toString()))
+    # Texts are searched only for the words of the queries that list them.
+    assert searched == {"token", "_lowered"}, searched
+
+
+def test_a_common_word_costs_its_first_texts_only(spark):
+    docs = spark.range(3_000).select(F.lit(1).alias("source_no"), F.lit(None).cast("string").alias("date"), F.col("id").alias("doc_no"), F.lit("w").alias("well"), F.concat(F.lit("common common"), F.col("id") % 3, F.lit(" rest")).alias("text"))
+    asked = spark.createDataFrame([(1, "common"), (2, "mmo rest"), (3, "common2")], "query_id long, query string")
+    out = search.keyword_search_table(docs, asked, 4).collect()
+    assert sorted((r.query_id, r.doc_no, r.n_hits) for r in out) == [(1, i, 1) for i in range(4)] + [(2, i, 2) for i in range(4)] + [(3, i, 1) for i in (2, 5, 8, 11)]

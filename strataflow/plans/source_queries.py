@@ -183,7 +183,7 @@ union all select well, date, md_m, 'forecast_24hr', '', forecast_24hr from s whe
 union all select well, date, depth_m, 'activity', activity_code, comments from a where comments <> ''""",
 )
 def text_docs(t):
-    reports = _reports(t)
+    reports = ddr.parsed_once(_reports(t))
     return rounded(ddr.ddr_text_docs(ddr.ddr_status(reports), ddr.ddr_activities(reports)), 6)
 
 

@@ -65,6 +65,17 @@ def parse_ddr(files: DataFrame) -> DataFrame:
     )
 
 
+def parsed_once(reports: DataFrame) -> DataFrame:
+    """Reports behind an exchange that all tables made from them share, so that each document is parsed once.
+
+    The slice, which holds the report as it is, has every table ask for the whole of it; else each had an exchange
+    of its own part.
+    """
+    dealt = reports.repartition("file")
+    whole = F.explode_outer(F.slice(F.array("report"), 1, 1)).alias("report")
+    return dealt.select(*[whole if c == "report" else c for c in reports.columns])
+
+
 def read_ddr_xml(spark: SparkSession, path: str) -> DataFrame:
     return parse_ddr(read_ddr_files(spark, path))
 
@@ -187,21 +198,15 @@ def wellbore_info(reports: DataFrame) -> DataFrame:
 def ddr_text_docs(status: DataFrame, activities: DataFrame) -> DataFrame:
     """Summary, forecast and each activity comment as documents; empty texts give none."""
 
-    def docs(rows: DataFrame, text: str, depth: str, kind: str, code: Column) -> DataFrame:
-        return rows.filter(F.coalesce(text, F.lit("")) != "").select(
-            "well",
-            "date",
-            F.col(depth).alias("depth_m"),
-            F.lit(kind).alias("doc_type"),
-            code.alias("activity_code"),
-            F.col(text).alias("text"),
-        )
+    def docs(rows: DataFrame, depth: str, code: Column, **kinds: str) -> DataFrame:
+        texts = F.array(*[F.struct(F.lit(kind).alias("doc_type"), F.col(text).alias("text")) for kind, text in kinds.items()])
+        found = rows.select("well", "date", F.col(depth).alias("depth_m"), code.alias("activity_code"), F.inline(texts))
+        return found.filter(F.coalesce("text", F.lit("")) != "").select("well", "date", "depth_m", "doc_type", "activity_code", "text")
 
     return union_all(
         [
-            docs(status, "summary_24hr", "md_m", "summary_24hr", F.lit("")),
-            docs(status, "forecast_24hr", "md_m", "forecast_24hr", F.lit("")),
-            docs(activities, "comments", "depth_m", "activity", F.coalesce("activity_code", F.lit(""))),
+            docs(status, "md_m", F.lit(""), summary_24hr="summary_24hr", forecast_24hr="forecast_24hr"),
+            docs(activities, "depth_m", F.coalesce("activity_code", F.lit("")), activity="comments"),
         ]
     )
 

@@ -270,3 +270,15 @@ def test_trend_needs_six_issues(spark):
     assert [(r.well, r.first_half, r.second_half, r.first_to, r.second_from, r.trend) for r in trend] == [
         ("a", 3, 4, "2013-01-03", "2013-01-04", "INCREASING")
     ]
+
+
+def test_text_docs_parse_each_report_once(spark, ddr_dir):
+    files = spark.createDataFrame([(r.file, r.content) for r in ddr.read_ddr_files(spark, ddr_dir).collect()], "file string, content string")
+    reports = ddr.parse_ddr(files)
+    shared = ddr.parsed_once(reports)
+    out = ddr.ddr_text_docs(ddr.ddr_status(shared), ddr.ddr_activities(shared))
+    rows = sorted(map(str, out.collect()))
+    assert rows == sorted(map(str, ddr.ddr_text_docs(ddr.ddr_status(reports), ddr.ddr_activities(reports)).collect())) and rows
+    assert sorted(map(str, shared.collect())) == sorted(map(str, reports.collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("from_xml") == 1 and plan.count("ReusedExchange") == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,7 +36,10 @@ _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def to_double(text: Column) -> Column:
     """Decimal text to DOUBLE; anything else becomes NULL."""
-    bare = strip(text)
+    return _bare_to_double(strip(text))
+
+
+def _bare_to_double(bare: Column) -> Column:
     return F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
 
 
@@ -50,10 +54,23 @@ def clean_float_ddr(text: Column) -> Column:
 
 
 def clean_float_witsml(text: Column) -> Column:
-    value = to_double(text)
+    return _unless_missing(to_double(text))
+
+
+def _unless_missing(value: Column) -> Column:
     return F.when(~value.isin(*WITSML_MISSING), value)
 
 
+def clean_floats_witsml(texts: Sequence[Column]) -> Column:
+    """``clean_float_witsml`` of many texts, as an array.
+
+    Every step is a pass over the array: a text is trimmed, tested and read once, and the generated code does
+    not grow with the texts.  Written out, a dozen of them make a method that the JVM does not compile.
+    """
+    values = F.transform(F.transform(F.array(*texts), strip), _bare_to_double)
+    return F.transform(values, _unless_missing)
+
+
 def scaled(col: Column, factor: float) -> Column:
     return col * F.lit(factor)
 

@@ -22,6 +22,7 @@ from ..functions.numbers import (
     NM_TO_KNM,
     RAD_TO_DEG,
     clean_float_witsml,
+    clean_floats_witsml,
     rpm_in_range,
     scaled,
 )
@@ -38,6 +39,12 @@ def _float(col: str) -> Column:
     return clean_float_witsml(F.col(col))
 
 
+def _with_floats(rows: DataFrame, *fields: str) -> DataFrame:
+    """The rows with the numbers in these fields, under the fields' own names."""
+    read = rows.withColumn("_numbers", clean_floats_witsml([F.col(field) for field in fields]))
+    return read.withColumns({field.split(".")[-1]: F.get("_numbers", F.lit(i)) for i, field in enumerate(fields)}).drop("_numbers")
+
+
 # Each folder of a section, the element it holds and what an element is parsed into.
 FOLDERS = {
     "_wellboreInfo": ("wellbore", WELLBORE),
@@ -178,24 +185,29 @@ def mudlog(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns(
         {"lith": F.get("e.lithology", F.lit(0)), "gas": F.get("e.chromatograph", F.lit(0))}
     )
+    rows = _with_floats(
+        rows,
+        *[f"e.{name}" for name in ("mdTop", "mdBottom", "ropAv", "ropMn", "ropMx", "wobAv", "tqAv", "rpmAv", "wtMudAv", "ecdTdAv", "dxcAv")],
+        *["lith.lithPc", "gas.methAv", "gas.ethAv"],
+    )
     return rows.select(
         "well",
         "wellbore",
-        _float("e.mdTop").alias("md_top_m"),
-        _float("e.mdBottom").alias("md_bottom_m"),
+        F.col("mdTop").alias("md_top_m"),
+        F.col("mdBottom").alias("md_bottom_m"),
         _text("lith.type").alias("lith_type"),
-        _float("lith.lithPc").alias("lith_pct"),
-        scaled(_float("e.ropAv"), MPS_TO_MPH).alias("rop_avg_m_per_hr"),
-        scaled(_float("e.ropMn"), MPS_TO_MPH).alias("rop_min_m_per_hr"),
-        scaled(_float("e.ropMx"), MPS_TO_MPH).alias("rop_max_m_per_hr"),
-        scaled(_float("e.wobAv"), N_TO_KN).alias("wob_avg_kN"),
-        scaled(_float("e.tqAv"), NM_TO_KNM).alias("torque_avg_kNm"),
-        rpm_in_range(scaled(_float("e.rpmAv"), CPS_TO_RPM)).alias("rpm_avg"),
-        scaled(_float("e.wtMudAv"), KGM3_TO_SG).alias("mud_weight_sg"),
-        scaled(_float("e.ecdTdAv"), KGM3_TO_SG).alias("ecd_sg"),
-        _float("e.dxcAv").alias("dxc"),
-        _float("gas.methAv").alias("methane_avg_ppm"),
-        _float("gas.ethAv").alias("ethane_avg_ppm"),
+        F.col("lithPc").alias("lith_pct"),
+        scaled(F.col("ropAv"), MPS_TO_MPH).alias("rop_avg_m_per_hr"),
+        scaled(F.col("ropMn"), MPS_TO_MPH).alias("rop_min_m_per_hr"),
+        scaled(F.col("ropMx"), MPS_TO_MPH).alias("rop_max_m_per_hr"),
+        scaled(F.col("wobAv"), N_TO_KN).alias("wob_avg_kN"),
+        scaled(F.col("tqAv"), NM_TO_KNM).alias("torque_avg_kNm"),
+        rpm_in_range(scaled(F.col("rpmAv"), CPS_TO_RPM)).alias("rpm_avg"),
+        scaled(F.col("wtMudAv"), KGM3_TO_SG).alias("mud_weight_sg"),
+        scaled(F.col("ecdTdAv"), KGM3_TO_SG).alias("ecd_sg"),
+        F.col("dxcAv").alias("dxc"),
+        F.col("methAv").alias("methane_avg_ppm"),
+        F.col("ethAv").alias("ethane_avg_ppm"),
     )
 
 

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from strataflow.functions import numbers
 from strataflow.operators import benchmarks, bha, compare, efficiency, formation, issues, narrative, overview, phases, search
 from strataflow.sources import ddr, tables, tabular, witsml
 from strataflow.streaming.reports import append_table, stream_ddr
@@ -282,3 +283,16 @@ def test_text_docs_parse_each_report_once(spark, ddr_dir):
     assert sorted(map(str, shared.collect())) == sorted(map(str, reports.collect()))
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
     assert plan.count("from_xml") == 1 and plan.count("ReusedExchange") == 1
+
+
+def test_many_numbers_as_one_by_one(spark):
+    texts = ["1", " 2.5\t", "-999.25", "-9999", "-9999.0", "-999.99", "+.5e3", "1d", "NaN", "Infinity", "", " ", "1,5", None, "1e400", "-0.0"]
+    rows = spark.createDataFrame([(t, u) for t in texts for u in texts], "a string, b string")
+    got = rows.select(numbers.clean_floats_witsml([F.col("a"), F.col("b")]).alias("n"), numbers.clean_float_witsml(F.col("a")).alias("a"), numbers.clean_float_witsml(F.col("b")).alias("b"))
+    assert all(str(r.n) == str([r.a, r.b]) for r in got.collect())
+
+
+def test_mudlog_tests_each_number_once(spark, witsml_dir):
+    plan = witsml.read_witsml(spark, witsml_dir)["witsml_mudlog"]._jdf.queryExecution().optimizedPlan().toString()
+    # One for all numbers and two for the names of sections, of elements and of wellbores.
+    assert plan.count("RLIKE") <= 3, plan.count("RLIKE")

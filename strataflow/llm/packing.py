@@ -7,69 +7,135 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import single_threaded
+from .segments import batches_of
 
 SEQUENCE_TOKENS = 2048
 WINDOW_TOKENS = 1 << 21
+CHUNK_CHARS = 1 << 22
 SEPARATOR_ID = 1
 
 
+# Bytes of the text after lower-casing, by what the pre-tokeniser makes of them; beside OTHER nothing is cut.
+OTHER, LETTER, DIGIT, MARK, APOSTROPHE, BLANK = range(6)
+
+
+def byte_tables() -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Lower-casing of A-Z with one kind of blank, classes of bytes, and the pairs of classes to cut between.
+
+    The pre-tokeniser takes runs of letters, single digits, and runs of marks; only ``'s`` and the like join a
+    mark and letters, and they begin with an apostrophe.
+    """
+    lower = bytes(32 if c in b" \t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+    kind = np.zeros(256, np.uint8)
+    kind[33:127] = MARK
+    kind[48:58], kind[97:123], kind[39], kind[32] = DIGIT, LETTER, APOSTROPHE, BLANK
+    cut = np.zeros((6, 6), bool)
+    cut[[[LETTER], [MARK], [APOSTROPHE]], DIGIT] = cut[LETTER, [MARK, APOSTROPHE]] = True
+    cut[DIGIT, [LETTER, DIGIT, MARK, APOSTROPHE]] = cut[MARK, LETTER] = True
+    cut[:, BLANK] = True
+    return lower, kind, cut.ravel()
+
+
+LOWER, KIND, CUT = byte_tables()
+
+
 class WordIds:
-    """Token ids of a text, word by word.
+    """Token ids of a text, piece by piece.
 
-    The vocabulary's pre-tokeniser drops white space and never joins across it, so the ids of a text
-    are those of its white-space-separated words in order, and a word that recurs is encoded once.
-    Words are kept in two generations, so the frequent ones stay and memory is bounded.
-    It lower-cases, so A-Z can be lowered before words are told apart.
+    The vocabulary's pre-tokeniser drops white space and never joins across it, nor across most changes
+    between letters, digits and marks, so the ids of a text are those of its pieces in order, and a piece that
+    recurs is encoded once.  Texts of a batch are cut as one string of bytes; a piece keeps the blank before it.
+    Pieces are kept in two generations, so the frequent ones stay and memory is bounded.
+    It lower-cases, so A-Z can be lowered before pieces are told apart.
     """
 
-    def __init__(self, path: str, separator: int = SEPARATOR_ID, keep: int = 800_000):
+    def __init__(self, path: str, separator: int = SEPARATOR_ID, keep: int = 300_000):
         single_threaded()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends_word = self.ends_of_words()
         self.keep, self.known, self.older = keep, {}, {}
         self.end = np.array([separator], dtype="<u4").tobytes()
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        words = set()
-        for parts in texts:
-            words.update(parts)
+    def ends_of_words(self) -> np.ndarray:
+        """Per token id whether it ends a word; never, if the vocabulary can't end a word in every byte."""
+        vocabulary, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        out = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        if suffix:
+            ends = [i for token, i in vocabulary.items() if token.endswith(suffix)]
+            if sum(len(token) == len(suffix) + 1 for token in vocabulary if token.endswith(suffix)) >= 256:
+                out[ends] = 1
+        return out
+
+    def cuts(self, data: bytes) -> np.ndarray:
+        """Where pieces start: at every blank and, if no added token stands there, between classes of bytes."""
+        kinds = KIND[np.frombuffer(data, np.uint8)]
+        if any(token in data for token in self.added):
+            return np.flatnonzero(kinds == BLANK)
+        inner = np.flatnonzero(CUT[kinds[:-1] * np.uint8(6) + kinds[1:]]) + 1
+        return np.concatenate([[0], inner])
+
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.known) > self.keep // 2:
             self.known, self.older = {}, self.known
-        new = []
-        for word in words:
-            if word not in self.known:
-                ids = self.older.get(word)
+        known, older, new = self.known, self.older, []
+        for piece in pieces:
+            if piece not in known:
+                ids = older.get(piece)
                 if ids is None:
-                    new.append(word)
+                    new.append(piece)
                 else:
-                    self.known[word] = ids
-        for lo in range(0, len(new), 512):
-            self.learn_words(new[lo : lo + 512])
+                    known[piece] = ids
+        words = [piece.decode("utf-8", "replace").lstrip(" ") for piece in new]
+        alone = np.array([word.isalpha() for word in words], dtype=bool)
+        for learn, some in ((self.learn_letters, np.flatnonzero(alone)), (self.learn_words, np.flatnonzero(~alone))):
+            for lo in range(0, len(some), 512):
+                part = some[lo : lo + 512].tolist()
+                learn([new[i] for i in part], [words[i] for i in part])
+        return [known[piece] for piece in pieces]
+
+    def learn_letters(self, pieces: list[bytes], words: list[str]) -> None:
+        """Words of letters in one text, cheaper than a list of words: each is one run for the pre-tokeniser."""
+        ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        last = self.ends_word[ids]
+        if np.count_nonzero(last) == len(words):
+            self.store(pieces, ids, np.cumsum(last) - last)
+        else:  # lower-casing or composing has made something else of a letter
+            self.learn_words(pieces, words)
 
-    def learn_words(self, words: list[bytes]) -> None:
+    def learn_words(self, pieces: list[bytes], words: list[str]) -> None:
         """One call for many words: a call costs more than a word."""
-        encoded = self.tokenizer.encode(
-            [w.decode("utf-8", "replace") for w in words], is_pretokenized=True, add_special_tokens=False
-        )
-        ids = np.array(encoded.ids, dtype="<u4")
-        ends = np.cumsum(np.bincount(np.array(encoded.word_ids, dtype=np.int64), minlength=len(words)))
-        for word, a, b in zip(words, np.concatenate([[0], ends[:-1]]), ends):
-            self.known[word] = ids[a:b].tobytes()
+        encoded = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        self.store(pieces, encoded.ids, np.array(encoded.word_ids, dtype=np.int64))
+
+    def store(self, pieces: list[bytes], ids: list[int], of: np.ndarray) -> None:
+        data = np.array(ids, dtype="<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(of, minlength=len(pieces)))).tolist()
+        for piece, a, b in zip(pieces, [0, *ends], ends):
+            self.known[piece] = data[a:b]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text with the separator id at its end."""
-        for lo in range(0, len(texts), 512):
-            parts = [(t or "").encode("utf-8", "replace").lower().split() for t in texts[lo : lo + 512]]
-            self.learn(parts)
-            get = self.known.__getitem__
-            for words in parts:
-                yield b"".join(map(get, words)) + self.end
+        for lo, hi in batches_of([len(t or "") for t in texts], CHUNK_CHARS):
+            raw = [b" " + (t or "").encode("utf-8", "replace") for t in texts[lo:hi]]
+            data = b"".join(raw).translate(LOWER)
+            starts = self.cuts(data)
+            edges = np.append(starts, len(data)).astype(np.int64)
+            pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+            ids = pa.array(self.ids_of(pieces.dictionary.to_pylist()), pa.large_binary()).take(pieces.indices)
+            at = np.frombuffer(ids.buffers()[1], np.int64)
+            held = memoryview(ids.buffers()[2] or b"")
+            ends = at[np.searchsorted(edges, np.cumsum([len(r) for r in raw]))].tolist()
+            for a, b in zip([0, *ends], ends):
+                yield b"".join((held[a:b], self.end))
 
 
 def place(lengths: np.ndarray, n_sequences: int, capacity: int, linear: float, quadratic: float):

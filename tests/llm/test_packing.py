@@ -66,3 +66,23 @@ def test_descending_to_cheapest_with_room():
     assert sorted((s, n) for item, s, n, _ in pieces if item == 4) == [(0, 10), (10, 10)]
     pieces, left = packing.place(lengths, 1, 100, 1.0, 0.01)
     assert sum(n for _, _, n, _ in pieces) == 100 and left.sum() == 100
+
+
+def test_words_are_encoded_once_whatever_marks_follow():
+    words = [f"{a}{b}" for a in ("ger", "lyn", "tion", "é", "ß") for b in ("an", "ou", "era")]
+    texts = [f"{w}{mark} ({w}) {w}{number}" for w in words for mark in (".", ",", "!!", "$$$") for number in (7, 12, 345)]
+    ids = packing.WordIds(tokenizer_path())
+    assert list(ids.encode(texts)) == [x.tobytes() for x in plain_ids(texts)]
+    assert len(ids.known) < 60  # not each word with each mark and number, which are 121
+
+
+def test_ids_are_those_of_whole_texts():
+    import random
+
+    parts = ["a", "b", "Z", "s", "t", "ll", "re", "'", "'s", "'S", "''", "<|", "|>", "<|endoftext|>", ".", "$", "-", "1", "23", "é", "İ", "K", "…", "́",
+             "̸", "<", "=", "\0", "\x1c", "\x7f", "\x85", "\xa0", " ", "  ", "\t", "\r\n", "漢", "ᄀ", "ᅡ", "😀", "٣", "²", "ª", "﻿", ";", "`", "ﬁ"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 24))) for _ in range(5_000)] + [None, "", " ", "\n\n"]
+    ids = packing.WordIds(tokenizer_path(), keep=500)
+    got = [x for lo in range(0, len(texts), 300) for x in ids.encode(texts[lo : lo + 300])]
+    assert got == [x.tobytes() for x in plain_ids(texts)]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -99,6 +101,32 @@ def single_threaded() -> None:
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 
+def give_back() -> None:
+    """Return freed memory to the system; the allocators would keep most of it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(run: Callable) -> Callable:
+    """``run`` over a task's batches, whose memory goes back to the system when they end.
+
+    Python workers outlive their tasks, and what a task has freed would count beside all that come after it.
+    """
+
+    def work(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return work
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, which may run where it is not installed.
 

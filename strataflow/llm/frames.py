@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import giving_back
+
 
 def map_rows(df: DataFrame, run: Callable, added: str, reads: list[str]) -> DataFrame:
     """``df`` with the columns ``added`` that ``run`` makes of the columns ``reads``.
@@ -31,4 +33,4 @@ def map_rows(df: DataFrame, run: Callable, added: str, reads: list[str]) -> Data
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = to_arrow_schema(new)
-    return df.mapInArrow(work, T.StructType([*df.schema.fields, *new.fields]))
+    return df.mapInArrow(giving_back(work), T.StructType([*df.schema.fields, *new.fields]))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, buckets_for, kept, mix64
+from .common import WORD, buckets_for, giving_back, kept, mix64
 from .frames import map_rows
 
 # Fixed values of the production mix.
@@ -148,7 +148,7 @@ def slots_of(drawn: DataFrame, seed: int) -> DataFrame:
                 }
             )
 
-    return drawn.mapInPandas(run, "source_no long, index long, pass_no long, shard long")
+    return drawn.mapInPandas(giving_back(run), "source_no long, index long, pass_no long, shard long")
 
 
 def placed(sized: DataFrame, sources: pd.DataFrame, seed: int) -> DataFrame:
@@ -218,7 +218,8 @@ def mix(
     sources = catalogue(docs, weights, volume, most, block)
     rows = placed(docs, sources, seed)
     drawn = draws(docs.sparkSession, sources, shard_slots, seed)
-    taken = pieces_of(rows, block).join(slots_of(drawn, seed), ["source_no", "index"])
+    # A draw becomes up to ``shard_slots`` rows, which the planner's estimate from the draws does not know: not to be broadcast.
+    taken = pieces_of(rows, block).join(slots_of(drawn, seed).hint("merge"), ["source_no", "index"])
     return rows, taken
 
 

@@ -12,12 +12,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import single_threaded
+from .common import giving_back, single_threaded
 from .segments import batches_of
 
 SEQUENCE_TOKENS = 2048
 WINDOW_TOKENS = 1 << 21
 CHUNK_CHARS = 1 << 22
+# Pieces leave a task when they are so many, or their ids so many bytes.
+READY_PIECES = 20_000
+READY_BYTES = 1 << 22
 SEPARATOR_ID = 1
 
 
@@ -181,10 +184,15 @@ class Packer:
         self.open: list[tuple] = []  # (doc_id, tokens of the document, start of this rest, ids of the rest)
         self.held = 0
         self.out: list[tuple] = []
+        self.out_bytes = 0
 
     def emit(self, doc, total, start, ids, sequence, offset):
         piece = (doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset)
         self.out.append((*piece, ids) if self.with_ids else piece)
+        self.out_bytes += len(ids) if self.with_ids else 0
+
+    def full(self) -> bool:
+        return len(self.out) > READY_PIECES or self.out_bytes > READY_BYTES
 
     def add(self, doc, ids: bytes) -> None:
         total, start = len(ids) // 4, 0
@@ -219,7 +227,7 @@ class Packer:
     def frame(self, columns: list[str]) -> pd.DataFrame:
         """What is ready, as columns."""
         ready = pd.DataFrame(self.out, columns=[*columns, "ids"] if self.with_ids else columns)
-        self.out = []
+        self.out, self.out_bytes = [], 0
         return ready
 
 
@@ -257,7 +265,7 @@ def pack(
             ids_of = encoder.encode(batch["text"].tolist())
             for doc, ids in zip(batch["doc_id"].astype(object), ids_of):
                 packer.add(None if pd.isna(doc) else doc, ids)
-                if len(packer.out) > 20_000:
+                if packer.full():
                     yield typed(packer.frame(columns))
         packer.close(final=True)
         yield typed(packer.frame(columns))
@@ -268,4 +276,4 @@ def pack(
         return df
 
     docs_are_long = dict(docs.dtypes)["doc_id"] in ("bigint", "int")
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInPandas(giving_back(run), schema)

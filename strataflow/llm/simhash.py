@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, local_components
+from .common import giving_back, kept, local_components
 from .components import connected_components
 from .frames import map_rows
 
@@ -170,7 +170,7 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, unit_rows: int = U
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(F.xxhash64("tbl", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "fp")
     )
-    return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(linked_in_units(max_bits), "a long, b long").distinct()
+    return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(giving_back(linked_in_units(max_bits)), "a long, b long").distinct()
 
 
 def rooted(nodes: DataFrame, max_bits: int) -> DataFrame:

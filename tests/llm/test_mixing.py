@@ -70,3 +70,11 @@ def test_odd_rows(spark, odd, nothing):
 def test_taken_text():
     runs = [{"from_word": 0, "n_words": 1}, {"from_word": 1, "n_words": 1}, {"from_word": 3, "n_words": 1}]
     assert mixing.taken_text("a\n b c\td", runs) == "a\n b d"
+
+
+def test_draws_are_not_broadcast(spark):
+    """A few draws become very many rows, whatever the planner takes them for."""
+    docs = sized(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    _, taken = mixing.mix(docs)
+    plan = taken._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [source_no" in plan.split("\n")[1] + plan.split("\n")[0] and len(taken.take(1)) == 1

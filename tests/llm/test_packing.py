@@ -86,3 +86,11 @@ def test_ids_are_those_of_whole_texts():
     ids = packing.WordIds(tokenizer_path(), keep=500)
     got = [x for lo in range(0, len(texts), 300) for x in ids.encode(texts[lo : lo + 300])]
     assert got == [x.tobytes() for x in plain_ids(texts)]
+
+
+def test_few_bytes_of_ids_wait_in_a_task():
+    packer = packing.Packer(0, 2048, 1 << 21, 1.0, 1.0, True)
+    ids = bytes(4 * 2048 * 700)
+    packer.add(1, ids)
+    assert packer.full() and sum(map(len, packer.frame(["a", "b", "c", "d", "e", "f", "g"])["ids"])) == len(ids)
+    assert not packer.full()

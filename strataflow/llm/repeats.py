@@ -137,7 +137,7 @@ def remove_repeats(
         .groupBy(F.pmod(F.xxhash64("unit"), F.lit(64 * n_buckets)).alias("part"))
         .applyInPandas(judge(shape), f"{seg.KEY}, start int, stop int")
     )
-    shared = seg.shared_windows(fetched(seg.HOT), shape, 8, earlier=False)
+    shared = seg.shared_windows(fetched(seg.HOT), shape, 8, n_buckets, earlier=False)
     settled = found.filter(F.col("kind") == seg.SETTLED).select("key1", "key2", "start", "stop")
     spans = seg.spans_of(settled.union(judged).union(shared))
 

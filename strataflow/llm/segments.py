@@ -329,40 +329,122 @@ def find(docs: DataFrame, items_of: Callable, shape: Shape, n_buckets: int, earl
     return cuts.groupBy("bucket").applyInPandas(meet(shape, n_buckets, earlier), FOUND)
 
 
-def shared_windows(places: DataFrame, shape: Shape, width: int, earlier: bool) -> DataFrame:
-    """(key1, key2, start, stop) of the windows that several of ``places`` have, for ``earlier`` those of larger key1.
+WINDOW = np.dtype([("high", "<u8"), ("low", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("many", "?")])
+HOT_WINDOWS = 1 << 18
 
-    ``places`` (key1, key2, start, content) are segments whose items take ``width`` bytes each.  A window is named by
-    128 bits of hash.  Names are counted with partial sums in every task, so a name that very many places have
-    is one row of each sum; its places then meet a single row, a join whose skew adaptive execution splits.
+
+def name_windows(shape: Shape, width: int, n_buckets: int, earlier: bool):
+    """Batches of (key1, key2, start, content) to rows (bucket, kind, payload), as ``cut`` does with segments.
+
+    What a chunk's own places settle is settled here, and of equal windows one is sent.
     """
+    size = shape.length * width
 
-    def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for frame in frames:
+            held.append(frame)
+            n += sum(map(len, frame["content"])) // width - len(frame) * (shape.length - 1)
+            if n > HOT_WINDOWS:
+                yield from packed(pd.concat(held, ignore_index=True))
+                held, n = [], 0
+        if held:
+            yield from packed(pd.concat(held, ignore_index=True))
+
+    def packed(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
-        size = shape.length * width
-        for frame in frames:
-            contents = [bytes(c) for c in frame["content"]]
-            times = np.array([(len(c) - size) // width + 1 for c in contents], dtype=np.int64)
-            of = np.repeat(np.arange(len(contents)), times)
-            shift = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
-            yield pd.DataFrame(
-                {
-                    "name": [xxh3_128_digest(contents[i][k * width : k * width + size]) for i, k in zip(of.tolist(), shift.tolist())],
-                    "key1": frame["key1"].to_numpy()[of],
-                    "key2": frame["key2"].to_numpy()[of],
-                    "start": (frame["start"].to_numpy()[of] + shift).astype(np.int32),
-                }
-            )
+        contents = [bytes(c) for c in frame["content"]]
+        times = np.array([(len(c) - size) // width + 1 for c in contents], dtype=np.int64)
+        of = np.repeat(np.arange(len(contents)), times)
+        if not len(of):
+            return
+        shift = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        names = b"".join([xxh3_128_digest(contents[i][k * width : k * width + size]) for i, k in zip(of.tolist(), shift.tolist())])
+        high, low = np.frombuffer(names, "<u8").reshape(-1, 2).T
+        key1, key2 = frame["key1"].to_numpy()[of], frame["key2"].to_numpy()[of]
+        start = frame["start"].to_numpy(dtype=np.int64)[of] + shift
+        order = np.lexsort((key1, low, high))
+        high, low, key1, key2, start = high[order], low[order], key1[order], key2[order], start[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        group = np.cumsum(head) - 1
+        # Keys come in order: the first of a window has the smallest.  A window of that very key stays, it may lose to another chunk.
+        many = np.bincount(group)[group] > 1
+        gone = key1 > key1[head][group] if earlier else many
+        if gone.any():
+            payload = settled_places(key1[gone], key2[gone], start[gone], shape.length)
+            yield pd.DataFrame({"bucket": [int(high[0] % np.uint64(n_buckets))], "kind": np.int8([1]), "payload": [payload]})
+        goes = ~gone if earlier else head
+        bucket = (high[goes] >> np.uint64(8)) % np.uint64(n_buckets)
+        by = np.argsort(bucket, kind="stable")
+        out = np.empty(len(by), WINDOW)
+        out["high"], out["low"], out["start"], out["many"] = high[goes][by], low[goes][by], start[goes][by], many[goes][by]
+        key = np.stack([key1[goes][by], key2[goes][by]], axis=1)
+        dealt = bucket[by].astype(np.int64)
+        first = np.flatnonzero(np.diff(dealt, prepend=-1))
+        payloads = []
+        for lo, hi in zip(first, [*first[1:], len(dealt)]):
+            rows = out[lo:hi]
+            docs, where = np.unique(key[lo:hi], axis=0, return_inverse=True)
+            rows["doc"] = where.ravel()
+            payloads.append(np.int64(len(docs)).tobytes() + docs.tobytes() + rows.tobytes())
+        yield pd.DataFrame({"bucket": dealt[first], "kind": np.zeros(len(first), np.int8), "payload": payloads})
+
+    return run
+
+
+def settled_places(key1, key2, start, length: int) -> bytes:
+    """Places of windows as packed intervals, touching ones of a document joined."""
+    docs, doc = np.unique(np.stack([key1, key2], axis=1), axis=0, return_inverse=True)
+    rows = settled_rows(docs[:, 0], docs[:, 1], doc.ravel(), start, start + length)
+    return rows[["key1", "key2", "start", "stop"]].to_records(index=False).tobytes()
+
+
+def meet_windows(length: int, earlier: bool):
+    """All payloads of a bucket to settled intervals."""
+    settled_type = np.dtype([("key1", "<i8"), ("key2", "<i8"), ("start", "<i4"), ("stop", "<i4")])
 
-    # Named once for the counts and once for the places: the texts' exchange is shared, names are not stored.
-    windows = places.select("key1", "key2", "start", "content").mapInPandas(named, f"name binary, {KEY}, start int")
-    known = windows.groupBy("name").agg(F.min("key1").alias("least"), F.max("key1").alias("most"), F.count(F.lit(1)).alias("times"))
-    known = known.filter(F.col("least") < F.col("most") if earlier else F.col("times") > 1).select("name", "least")
-    met = windows.join(known, "name")
-    if earlier:
-        met = met.filter(F.col("key1") > F.col("least"))
-    return met.select("key1", "key2", "start", (F.col("start") + shape.length).alias("stop"))
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        done = [np.frombuffer(p, settled_type) for p in frame.loc[frame["kind"] == 1, "payload"]]
+        rows, key1, key2 = [], [], []
+        for payload in frame.loc[frame["kind"] == 0, "payload"]:
+            n = int(np.frombuffer(payload, np.int64, 1)[0])
+            names = np.frombuffer(payload, np.int64, 2 * n, offset=8).reshape(n, 2)
+            part = np.frombuffer(payload, WINDOW, offset=8 + 16 * n)
+            rows.append(part)
+            key1.append(names[part["doc"], 0])
+            key2.append(names[part["doc"], 1])
+        if rows:
+            window, key1, key2 = np.concatenate(rows), np.concatenate(key1), np.concatenate(key2)
+            order = np.lexsort((key1, window["low"], window["high"]))
+            window, key1, key2 = window[order], key1[order], key2[order]
+            head = np.ones(len(order), bool)
+            head[1:] = (window["high"][1:] != window["high"][:-1]) | (window["low"][1:] != window["low"][:-1])
+            group = np.cumsum(head) - 1
+            if earlier:
+                gone = key1 > key1[head][group]
+            else:
+                gone = (np.bincount(group) + np.bincount(group, window["many"]) > 1)[group]
+            if gone.any():
+                payload = settled_places(key1[gone], key2[gone], window["start"][gone].astype(np.int64), length)
+                done.append(np.frombuffer(payload, settled_type))
+        return pd.DataFrame(np.concatenate(done) if done else np.zeros(0, settled_type))
+
+    return run
+
+
+def shared_windows(places: DataFrame, shape: Shape, width: int, n_buckets: int, earlier: bool) -> DataFrame:
+    """(key1, key2, start, stop) of the windows that several of ``places`` have, for ``earlier`` those of larger key1.
+
+    ``places`` (key1, key2, start, content) are segments whose items take ``width`` bytes each.  A window is named by
+    128 bits of hash.  Windows travel packed, one row per bucket of names and chunk; of equal windows of a chunk one
+    goes on (for ``earlier`` those of its smallest key), so a window that very many places have is a few entries a chunk.
+    """
+    named = places.select("key1", "key2", "start", "content").mapInPandas(
+        name_windows(shape, width, n_buckets, earlier), "bucket int, kind byte, payload binary"
+    )
+    return named.groupBy("bucket").applyInPandas(meet_windows(shape.length, earlier), f"{KEY}, start int, stop int")
 
 
 def spans_of(found: DataFrame) -> DataFrame:

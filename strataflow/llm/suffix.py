@@ -277,7 +277,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, unit_segments: int)
         .applyInPandas(judge(length, gram), f"{seg.KEY}, start int, stop int")
     )
     settled = found.filter(F.col("kind") == seg.SETTLED).select("key1", "key2", "start", "stop")
-    shared = seg.shared_windows(fetched.filter(F.col("kind") == seg.HOT), shape, 1, earlier=True)
+    shared = seg.shared_windows(fetched.filter(F.col("kind") == seg.HOT), shape, 1, n_buckets, earlier=True)
     return rows, seg.spans_of(settled.union(judged).union(shared))
 
 

@@ -157,3 +157,28 @@ def test_segments_cover_every_window():
         for k in range(e + 1):
             w = items[starts[d] + s + k : starts[d] + s + k + 10].tobytes()
             assert by_window.setdefault(w, a) == a
+
+
+@pytest.mark.parametrize("earlier", [True, False])
+def test_windows_of_hot_segments_travel_packed(spark, monkeypatch, earlier):
+    rng = np.random.default_rng(3)
+    shape = seg.Shape(6, 3)
+    places = pd.DataFrame(
+        [(int(rng.integers(0, 40)), i % 3, 10 * i, bytes(rng.integers(97, 99, rng.integers(6, 11)).astype(np.uint8))) for i in range(600)],
+        columns=["key1", "key2", "start", "content"],
+    )
+    want, owners = set(), {}
+    for key1, _, _, c in places.itertuples(index=False):
+        for k in range(len(c) - 5):
+            owners.setdefault(c[k : k + 6], []).append(key1)
+    for key1, key2, start, c in places.itertuples(index=False):
+        for k in range(len(c) - 5):
+            own = owners[c[k : k + 6]]
+            if (key1 > min(own)) if earlier else len(own) > 1:
+                want |= {(key1, key2, x) for x in range(start + k, start + k + 6)}
+    monkeypatch.setattr(seg, "HOT_WINDOWS", 200)
+    sent = list(seg.name_windows(shape, 1, 4, earlier)(places.iloc[lo : lo + 100] for lo in range(0, 600, 100)))
+    assert sum(map(len, sent)) <= 6 * 5  # one row per bucket and chunk, not one per window
+    packed = pd.concat(sent)
+    found = pd.concat([seg.meet_windows(6, earlier)(part) for _, part in packed.groupby("bucket")])
+    assert {(r.key1, r.key2, x) for r in found.itertuples() for x in range(r.start, r.stop)} == want
